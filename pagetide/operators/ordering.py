@@ -22,13 +22,14 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 
 def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[Column | str],
                 name: str = "idx", num_partitions: int | None = None,
-                few_groups: bool = True) -> DataFrame:
+                few_groups: bool = True, total: str | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of the row inside its group in ``order_cols`` order.
 
     The order must be total (make the last order column unique) so the result
     is deterministic and survives task retries.  ``few_groups`` (threads, days,
     labels, or no group at all) bounds the offset table by partitions + groups,
     so it is broadcast; many tiny groups are better served by ``row_number``.
+    ``total`` optionally names a column with the group size.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(c) for c in group_cols] + order
@@ -44,6 +45,9 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[Column |
     w = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")
     slices = slices.withColumn("_offset", F.coalesce(
         F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if total:
+        whole = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
+        slices = slices.withColumn(total, F.sum("_n").over(whole))
     slices = slices.drop("_n")
     joined = ranged.join(F.broadcast(slices) if few_groups else slices, on=["_pid", *group_cols], how="inner")
     return (joined.withColumn(name, (F.col("_offset") + F.col("_pos") - F.col("_first") + 1).cast("bigint"))

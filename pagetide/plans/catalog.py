@@ -48,3 +48,129 @@ def q_page_text_features(spark, root):
 @query("page_static_features")
 def q_page_static_features(spark, root):
     return P.static_features(Tables(spark, root).pages)
+
+
+# ---------------------------------------------------------------- change timeline
+
+def _bits(spark, root, only_first_stage=False):
+    from pagetide.operators import timeline as T
+    from pagetide.sources import proxies as X
+    bits = X.change_bits(Tables(spark, root).events)
+    return T.first_stage(bits) if only_first_stage else bits
+
+
+def _weekly(spark, root):
+    from pagetide.operators import timeline as T
+    bits = _bits(spark, root)
+    fw, lw = T.week_bounds(bits)
+    return T, bits, fw, lw
+
+
+def _n_pairs(bits):
+    from pyspark.sql import functions as F
+    return int(bits.agg(F.count_distinct("day2")).first()[0])
+
+
+@query("weekly_changes")
+def q_weekly_changes(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.weekly_changes(bits, fw, lw)
+
+
+@query("change_matrix")
+def q_change_matrix(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.change_matrix(bits, fw, lw)
+
+
+@query("normalized_matrix")
+def q_normalized_matrix(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.normalized_matrix(T.change_matrix(bits, fw, lw))
+
+
+@query("change_cube")
+def q_change_cube(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.change_cube(bits, fw, lw)
+
+
+@query("alluvial_edges")
+def q_alluvial_edges(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.alluvial_edges(T.change_cube(bits, fw, lw), fw)
+
+
+@query("avg_behaviour")
+def q_avg_behaviour(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.average_behaviour(T.change_matrix(bits, fw, lw))
+
+
+@query("persistence")
+def q_persistence(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.persistence(T.change_cube(bits, fw, lw))
+
+
+@query("persistence3")
+def q_persistence3(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.persistence3(T.change_cube(bits, fw, lw))
+
+
+@query("persistence_all")
+def q_persistence_all(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.persistence_all(T.change_cube(bits, fw, lw))
+
+
+@query("neighbour_moves")
+def q_neighbour_moves(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.neighbour_moves(T.change_cube(bits, fw, lw))
+
+
+@query("neighbour_moves3")
+def q_neighbour_moves3(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.neighbour_moves3(T.change_cube(bits, fw, lw))
+
+
+@query("daily_changes")
+def q_daily_changes(spark, root):
+    from pagetide.operators import timeline as T
+    return T.daily_changes(_bits(spark, root))
+
+
+@query("weekday_changes")
+def q_weekday_changes(spark, root):
+    from pagetide.operators import timeline as T
+    return T.daily_changes(_bits(spark, root), limit_weekday=1)
+
+
+@query("first_stage_daily")
+def q_first_stage_daily(spark, root):
+    from pagetide.operators import timeline as T
+    return T.daily_changes(_bits(spark, root, only_first_stage=True))
+
+
+@query("changes_per_page")
+def q_changes_per_page(spark, root):
+    from pagetide.operators import timeline as T
+    return T.changes_per_page(_bits(spark, root))
+
+
+@query("rare_changes")
+def q_rare_changes(spark, root):
+    from pagetide.operators import timeline as T
+    bits = _bits(spark, root)
+    # The proxy's pages change on most days; a 0.5 share keeps the rare set non-empty.
+    return T.rare_changes(bits, _n_pairs(bits), 0.5)
+
+
+@query("day_change_curve")
+def q_day_change_curve(spark, root):
+    from pagetide.operators import timeline as T
+    bits = _bits(spark, root)
+    return T.day_change_curve(bits, _n_pairs(bits))

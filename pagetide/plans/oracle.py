@@ -72,3 +72,130 @@ SELECT page_id, CAST(len(text) AS INTEGER) AS text_lines, CAST(len(w) AS INTEGER
        CAST(len(list_distinct(list_transform(w, lambda x: lower(x)))) AS INTEGER) AS words_unique,
        md5({S.one_line('text')}) AS text_md5
 FROM t1"""
+
+
+# ---------------------------------------------------------------- change timeline
+
+CHANGE_BITS = """
+    cb AS (SELECT concat('s', lpad(CAST(user_id % 3 AS VARCHAR), 2, '0'), '-', CAST(user_id AS VARCHAR)) AS page_id,
+                  CAST(ts AS DATE) AS day2,
+                  max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS text_changed,
+                  max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS ilinks_changed,
+                  max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS elinks_changed
+           FROM events GROUP BY user_id, CAST(ts AS DATE))"""
+
+FEATURES3 = "(VALUES ('text'), ('internal_outlinks'), ('external_outlinks')) f(feature)"
+
+
+def _weekly_cte(first_stage: bool = False) -> str:
+    src = "(SELECT * FROM cb WHERE split_part(page_id, '-', 1) = 's00')" if first_stage else "cb"
+    return f"""{CHANGE_BITS},
+    cbs AS (SELECT * FROM {src}),
+    lb AS (SELECT 'text' AS feature, page_id, day2, text_changed AS bit FROM cbs
+           UNION ALL SELECT 'internal_outlinks', page_id, day2, ilinks_changed FROM cbs
+           UNION ALL SELECT 'external_outlinks', page_id, day2, elinks_changed FROM cbs),
+    bounds AS (SELECT min(weekofyear(day2)) AS fw, max(weekofyear(day2)) AS lw FROM cbs),
+    weeks AS (SELECT CAST(unnest(range(fw, lw + 1)) AS INTEGER) AS week FROM bounds),
+    wsum AS (SELECT feature, page_id, weekofyear(day2) AS week, sum(bit) AS n FROM lb GROUP BY ALL),
+    wk AS (SELECT f.feature, p.page_id, w.week, CAST(coalesce(s.n, 0) AS INTEGER) AS n
+           FROM (SELECT DISTINCT page_id FROM cbs) p CROSS JOIN {FEATURES3} CROSS JOIN weeks w
+           LEFT JOIN wsum s ON s.feature = f.feature AND s.page_id = p.page_id AND s.week = w.week),
+    cnt AS (SELECT feature, week, n, count(*) AS pages FROM wk GROUP BY ALL),
+    ns AS (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS n),
+    mgrid AS (SELECT f.feature, w.week, ns.n FROM {FEATURES3} CROSS JOIN weeks w CROSS JOIN ns),
+    matrix AS (SELECT coalesce(g.feature, c.feature) AS feature, coalesce(g.week, c.week) AS week,
+                      coalesce(g.n, c.n) AS n, coalesce(c.pages, 0) AS pages
+               FROM mgrid g FULL JOIN cnt c ON g.feature = c.feature AND g.week = c.week AND g.n = c.n),
+    tr AS (SELECT a.feature, b.week, a.n AS prev_n, b.n AS cur_n, count(*) AS pages FROM wk a JOIN wk b
+           ON a.feature = b.feature AND a.page_id = b.page_id AND b.week = a.week + 1 GROUP BY ALL),
+    cgrid AS (SELECT f.feature, w.week, p.n AS prev_n, c.n AS cur_n
+              FROM {FEATURES3} CROSS JOIN (SELECT week FROM weeks WHERE week > (SELECT fw FROM bounds)) w
+              CROSS JOIN ns p CROSS JOIN ns c),
+    cube AS (SELECT coalesce(g.feature, t.feature) AS feature, coalesce(g.week, t.week) AS week,
+                    coalesce(g.prev_n, t.prev_n) AS prev_n, coalesce(g.cur_n, t.cur_n) AS cur_n,
+                    coalesce(t.pages, 0) AS pages
+             FROM cgrid g FULL JOIN tr t ON g.feature = t.feature AND g.week = t.week
+                  AND g.prev_n = t.prev_n AND g.cur_n = t.cur_n)"""
+
+
+def _ratio(num: str, den: str) -> str:
+    return f"(CASE WHEN ({den}) = 0 THEN NULL ELSE CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) END)"
+
+
+def _cls(c: str) -> str:
+    return f"(CASE WHEN {c} = 0 THEN 0 WHEN {c} = 7 THEN 2 ELSE 1 END)"
+
+
+ORACLE["weekly_changes"] = f"WITH {_weekly_cte()} SELECT feature, page_id, week, n FROM wk"
+ORACLE["change_matrix"] = f"WITH {_weekly_cte()} SELECT feature, week, n, pages FROM matrix"
+ORACLE["normalized_matrix"] = f"""WITH {_weekly_cte()}
+SELECT feature, week, n, pages, {_ratio('pages', 'sum(pages) OVER (PARTITION BY feature, week)')} AS fraction
+FROM matrix"""
+ORACLE["change_cube"] = f"WITH {_weekly_cte()} SELECT feature, week, prev_n, cur_n, pages FROM cube"
+ORACLE["alluvial_edges"] = f"""WITH {_weekly_cte()}
+SELECT feature, CAST((week - (SELECT fw FROM bounds) - 1) * 8 + prev_n AS INTEGER) AS source,
+       CAST((week - (SELECT fw FROM bounds)) * 8 + cur_n AS INTEGER) AS target, pages AS value FROM cube"""
+ORACLE["avg_behaviour"] = f"""WITH {_weekly_cte()},
+    pn AS (SELECT feature, n, sum(pages) AS s FROM matrix GROUP BY ALL)
+SELECT feature, n, {_ratio('s', 'sum(s) OVER (PARTITION BY feature)')} AS fraction FROM pn"""
+ORACLE["persistence"] = f"""WITH {_weekly_cte()}
+SELECT feature, week, prev_n,
+       {_ratio('sum(CASE WHEN prev_n = cur_n THEN pages ELSE 0 END)', 'sum(pages)')} AS fraction
+FROM cube GROUP BY feature, week, prev_n"""
+ORACLE["persistence3"] = f"""WITH {_weekly_cte()}
+SELECT feature, week, {_cls('prev_n')} AS prev_class,
+       {_ratio(f"sum(CASE WHEN {_cls('prev_n')} = {_cls('cur_n')} THEN pages ELSE 0 END)", 'sum(pages)')} AS fraction
+FROM cube GROUP BY feature, week, {_cls('prev_n')}"""
+ORACLE["persistence_all"] = f"""WITH {_weekly_cte()}
+SELECT feature, week,
+       {_ratio('sum(CASE WHEN prev_n = cur_n THEN pages ELSE 0 END)', 'sum(pages)')} AS same8,
+       {_ratio(f"sum(CASE WHEN {_cls('prev_n')} = {_cls('cur_n')} THEN pages ELSE 0 END)", 'sum(pages)')} AS same3
+FROM cube GROUP BY feature, week"""
+ORACLE["neighbour_moves"] = f"""WITH {_weekly_cte()}
+SELECT feature, week, prev_n,
+       {_ratio('sum(CASE WHEN abs(prev_n - cur_n) = 1 THEN pages ELSE 0 END)', 'sum(pages)')} AS fraction
+FROM cube GROUP BY feature, week, prev_n"""
+ORACLE["neighbour_moves3"] = f"""WITH {_weekly_cte()}
+SELECT feature, week, {_cls('prev_n')} AS prev_class,
+       {_ratio(f"sum(CASE WHEN abs({_cls('prev_n')} - {_cls('cur_n')}) = 1 THEN pages ELSE 0 END)", 'sum(pages)')} AS fraction
+FROM cube GROUP BY feature, week, {_cls('prev_n')}"""
+
+
+def _daily_sql(first_stage: bool = False, limit_weekday: int | None = None) -> str:
+    src = "(SELECT * FROM cb WHERE split_part(page_id, '-', 1) = 's00')" if first_stage else "cb"
+    day_no = "CAST(day2 - (SELECT min(day2) FROM cbs) AS INTEGER)"
+    where = ""
+    if limit_weekday is not None:
+        where = f"WHERE isodow(day2 - INTERVAL 1 DAY) - 1 = {limit_weekday}"
+        day_no = f"CAST(floor({day_no} / 7) AS INTEGER)"
+    return f"""WITH {CHANGE_BITS},
+    cbs AS (SELECT * FROM {src}),
+    d AS (SELECT {day_no} AS day_no, sum(text_changed) AS t, sum(ilinks_changed) AS i, sum(elinks_changed) AS e
+          FROM cbs {where} GROUP BY day2),
+    long AS (SELECT 'text' AS feature, day_no, t AS changed FROM d UNION ALL SELECT 'internal_outlinks', day_no, i FROM d
+             UNION ALL SELECT 'external_outlinks', day_no, e FROM d),
+    agg AS (SELECT feature, day_no, sum(changed) AS changed FROM long GROUP BY ALL),
+    grid AS (SELECT f.feature, CAST(unnest(range(0, (SELECT max(day_no) FROM d) + 1)) AS INTEGER) AS day_no FROM {FEATURES3}),
+    np AS (SELECT count(DISTINCT page_id) AS n FROM cbs)
+SELECT g.feature, g.day_no, CAST(coalesce(a.changed, 0) AS BIGINT) AS changed,
+       {_ratio('coalesce(a.changed, 0)', '(SELECT n FROM np)')} AS fraction
+FROM grid g LEFT JOIN agg a ON a.feature = g.feature AND a.day_no = g.day_no"""
+
+
+ORACLE["daily_changes"] = _daily_sql()
+ORACLE["weekday_changes"] = _daily_sql(limit_weekday=1)
+ORACLE["first_stage_daily"] = _daily_sql(first_stage=True)
+ORACLE["changes_per_page"] = f"""WITH {CHANGE_BITS}
+SELECT page_id, count(*) AS changes FROM cb WHERE text_changed = 1 GROUP BY page_id"""
+ORACLE["rare_changes"] = f"""WITH {CHANGE_BITS},
+    np AS (SELECT count(DISTINCT day2) AS n FROM cb),
+    per AS (SELECT page_id, count(*) AS c FROM cb WHERE text_changed = 1 GROUP BY page_id),
+    rare AS (SELECT page_id FROM per WHERE c < (SELECT n FROM np) * 0.5)
+SELECT day2, count(*) AS rare_changes FROM cb WHERE text_changed = 1 AND page_id IN (SELECT page_id FROM rare)
+GROUP BY day2"""
+ORACLE["day_change_curve"] = f"""WITH {CHANGE_BITS},
+    np AS (SELECT count(DISTINCT day2) AS n FROM cb),
+    per AS (SELECT page_id, count(*) AS c FROM cb WHERE text_changed = 1 GROUP BY page_id),
+    r AS (SELECT row_number() OVER (ORDER BY c DESC, page_id) AS position, c, count(*) OVER () AS total FROM per)
+SELECT position, CASE WHEN total > 1 THEN (position - 1) * 100.0 / (total - 1) ELSE 0.0 END AS percentile,
+       c / CAST((SELECT n FROM np) AS DOUBLE) AS fraction FROM r"""
