@@ -174,3 +174,101 @@ def q_day_change_curve(spark, root):
     from pagetide.operators import timeline as T
     bits = _bits(spark, root)
     return T.day_change_curve(bits, _n_pairs(bits))
+
+
+# ---------------------------------------------------------------- order statistics, training data
+
+def _training(spark, root):
+    from pagetide.sources import proxies as X
+    t = Tables(spark, root)
+    return X.training(t.documents, t.labels)
+
+
+def _training_long(spark, root):
+    from pagetide.operators import stats as ST
+    from pagetide.sources import proxies as X
+    return ST.unpivot(_training(spark, root), X.TRAINING_FEATURES)
+
+
+def _predicted(spark, root):
+    from pyspark.sql import functions as F
+    # Deterministic threshold classifier standing in for stored model predictions.
+    tr = _training(spark, root)
+    return tr.withColumn("prediction", F.when(F.col("f_dots") > F.col("f_lines"), 1).otherwise(0))
+
+
+@query("feature_percentiles")
+def q_feature_percentiles(spark, root):
+    from pagetide.operators import stats as ST
+    return ST.percentiles(_training_long(spark, root))
+
+
+@query("value_statistics")
+def q_value_statistics(spark, root):
+    from pagetide.operators import stats as ST
+    return ST.value_statistics(_training_long(spark, root), ignore_extremes=0.025)
+
+
+@query("quantity_statistics")
+def q_quantity_statistics(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import stats as ST
+    li = Tables(spark, root).lineitem
+    long = ST.unpivot(li.select(F.col("l_quantity").cast("int").alias("quantity"),
+                                F.col("l_linenumber").alias("linenumber")), ["quantity", "linenumber"])
+    return ST.value_statistics(long, ignore_extremes=0.025)
+
+
+@query("interval_edges")
+def q_interval_edges(spark, root):
+    from pagetide.operators import stats as ST
+    return ST.interval_edges(_training_long(spark, root), 10)
+
+
+@query("error_heatmap")
+def q_error_heatmap(spark, root):
+    from pagetide.operators import stats as ST
+    from pagetide.sources import proxies as X
+    intervals = ST.interval_edges(_training_long(spark, root), 10)
+    return ST.error_heatmap(_predicted(spark, root), X.TRAINING_FEATURES, intervals)
+
+
+@query("min_recall")
+def q_min_recall(spark, root):
+    from pagetide.operators import stats as ST
+    return ST.confusion(_predicted(spark, root))
+
+
+@query("accuracy")
+def q_accuracy(spark, root):
+    from pagetide.operators import stats as ST
+    return ST.accuracy(_predicted(spark, root))
+
+
+@query("hash_split")
+def q_hash_split(spark, root):
+    from pagetide.operators import ml as M
+    return M.hash_split(_training(spark, root)).select("page_id", "label", "validation")
+
+
+@query("class_weights")
+def q_class_weights(spark, root):
+    from pagetide.operators import ml as M
+    return M.class_weights(_training(spark, root)).select("page_id", "label", "weight")
+
+
+@query("balanced_sample")
+def q_balanced_sample(spark, root):
+    from pagetide.operators import ml as M
+    return M.balanced_sample(_training(spark, root), 100)
+
+
+@query("feature_grid")
+def q_feature_grid(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import stats as ST
+    st = _training(spark, root).agg(F.min("f_lines").alias("xl"), F.max("f_lines").alias("xh"),
+                                    F.min("f_commas").alias("yl"), F.max("f_commas").alias("yh"))
+    return ST.feature_grid(st, "xl", "xh", "yl", "yh", 100)

@@ -199,3 +199,111 @@ ORACLE["day_change_curve"] = f"""WITH {CHANGE_BITS},
     r AS (SELECT row_number() OVER (ORDER BY c DESC, page_id) AS position, c, count(*) OVER () AS total FROM per)
 SELECT position, CASE WHEN total > 1 THEN (position - 1) * 100.0 / (total - 1) ELSE 0.0 END AS percentile,
        c / CAST((SELECT n FROM np) AS DOUBLE) AS fraction FROM r"""
+
+
+# ---------------------------------------------------------------- order statistics, training data
+
+TRAINING = """
+    tr AS (SELECT CAST(d.doc_id AS VARCHAR) AS page_id, CAST(d.n_chars AS INTEGER) AS f_chars,
+                  CAST(length(d.text) - length(replace(d.text, chr(10), '')) + 1 AS INTEGER) AS f_lines,
+                  CAST(length(d.text) - length(replace(d.text, ' ', '')) AS INTEGER) AS f_spaces,
+                  CAST(length(d.text) - length(replace(d.text, '.', '')) AS INTEGER) AS f_dots,
+                  CAST(length(d.text) - length(replace(d.text, ',', '')) AS INTEGER) AS f_commas, l.quality AS label
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+TRAINING_FEATURES = ["f_chars", "f_lines", "f_spaces", "f_dots", "f_commas"]
+
+
+def _long(src: str, features: list[str], extra: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS value{extra} FROM {src}" for f in features)
+
+
+def _positions(long_cte: str) -> str:
+    return f"""s AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS pos,
+                  count(*) OVER (PARTITION BY feature) AS n FROM {long_cte} WHERE value IS NOT NULL)"""
+
+
+def _value_stats_sql(base: str, long_sql: str, e: float) -> str:
+    return f"""WITH {base},
+    lg AS ({long_sql}),
+    {_positions('lg')},
+    t AS (SELECT *, CAST(floor(n * {e}) AS BIGINT) AS t FROM s),
+    a AS (SELECT feature, max(n) AS n,
+                 max(CASE WHEN pos = t THEN value END) AS mn, max(CASE WHEN pos = n - 1 - t THEN value END) AS mx,
+                 sum(CASE WHEN pos BETWEEN t AND n - 1 - t THEN value END) AS sm,
+                 count(CASE WHEN pos BETWEEN t AND n - 1 - t THEN 1 END) AS ct,
+                 max(CASE WHEN pos = n // 2 - 1 THEN value END) AS m1, max(CASE WHEN pos = n // 2 THEN value END) AS m2
+          FROM t GROUP BY feature)
+SELECT feature, mn AS "min", mx AS "max", {_ratio('sm', 'ct')} AS "avg",
+       CASE WHEN n % 2 = 0 THEN CAST(trunc((m1 + m2) / 2.0) AS BIGINT) ELSE CAST(m2 AS BIGINT) END AS med FROM a"""
+
+
+def _edges_cte(k: int = 10) -> str:
+    return f"""{_positions('lg')},
+    edges AS (SELECT s.feature, i.i, s.value FROM s JOIN (SELECT unnest(range(0, {k + 1})) AS i) i
+              ON s.pos = floor(CAST(s.n - 1 AS DOUBLE) / CAST({k} AS DOUBLE) * i.i)),
+    iv AS (SELECT a.feature, CAST(a.i AS INTEGER) AS interval, a.value AS start,
+                  b.value + CASE WHEN b.i = {k} THEN 1 ELSE 0 END AS "end"
+           FROM edges a JOIN edges b ON a.feature = b.feature AND b.i = a.i + 1)"""
+
+
+PRED = "pred AS (SELECT *, CASE WHEN f_dots > f_lines THEN 1 ELSE 0 END AS prediction FROM tr)"
+
+ORACLE["feature_percentiles"] = f"""WITH {TRAINING},
+    lg AS ({_long('tr', TRAINING_FEATURES)}),
+    {_positions('lg')}
+SELECT s.feature, p.percentile, s.value FROM s
+JOIN (VALUES (0), (20), (40), (60), (80), (100)) p(percentile) ON s.pos = floor((s.n - 1) * p.percentile / 100)"""
+ORACLE["value_statistics"] = _value_stats_sql(TRAINING, _long("tr", TRAINING_FEATURES), 0.025)
+ORACLE["quantity_statistics"] = _value_stats_sql(
+    "li AS (SELECT CAST(l_quantity AS INTEGER) AS quantity, l_linenumber AS linenumber FROM lineitem)",
+    _long("li", ["quantity", "linenumber"]), 0.025)
+ORACLE["interval_edges"] = f"""WITH {TRAINING},
+    lg AS ({_long('tr', TRAINING_FEATURES)}),
+    {_edges_cte(10)}
+SELECT feature, interval, start, "end" FROM iv"""
+ORACLE["error_heatmap"] = f"""WITH {TRAINING}, {PRED},
+    lg AS ({_long('tr', TRAINING_FEATURES)}),
+    {_edges_cte(10)},
+    pl AS ({_long('pred', TRAINING_FEATURES, ', CAST(label = prediction AS INTEGER) AS ok')}),
+    hits AS (SELECT iv.feature, iv.interval, sum(pl.ok) AS c, count(*) AS t FROM iv JOIN pl
+             ON pl.feature = iv.feature AND iv.start <= pl.value AND pl.value < greatest(iv.start + 1, iv."end")
+             GROUP BY ALL)
+SELECT iv.feature, iv.interval, round({_ratio('h.c', 'h.t')}, 4) AS accuracy
+FROM iv LEFT JOIN hits h ON h.feature = iv.feature AND h.interval = iv.interval"""
+ORACLE["min_recall"] = f"""WITH {TRAINING}, {PRED},
+    m AS (SELECT CAST(sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+                 CAST(sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+                 CAST(sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+                 CAST(sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp FROM pred)
+SELECT tn, fp, fn, tp, {_ratio('tn', 'tn + fp')} AS recall_zero, {_ratio('tp', 'fn + tp')} AS recall_one,
+       least({_ratio('tn', 'tn + fp')}, {_ratio('tp', 'fn + tp')}) AS min_recall FROM m"""
+ORACLE["accuracy"] = f"""WITH {TRAINING}, {PRED}
+SELECT avg(CAST(label = prediction AS DOUBLE)) AS accuracy, count(*) AS "rows" FROM pred"""
+
+
+def _md5_mod5(x: str) -> str:
+    parts = " + ".join(f"CAST(('0x' || substr(md5({x}), {1 + 8 * i}, 8)) AS BIGINT)" for i in range(4))
+    return f"(({parts}) % 5)"
+
+
+ORACLE["hash_split"] = f"""WITH {TRAINING}
+SELECT page_id, label, {_md5_mod5('page_id')} = 4 AS validation FROM tr"""
+ORACLE["class_weights"] = f"""WITH {TRAINING},
+    c AS (SELECT sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS n1 FROM tr)
+SELECT page_id, label, CASE WHEN label = 0 THEN (SELECT CAST(n1 AS DOUBLE) / n0 FROM c) ELSE 1.0 END AS weight FROM tr"""
+ORACLE["balanced_sample"] = f"""WITH {TRAINING},
+    k AS (SELECT least(50, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END), sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)) AS k FROM tr),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY md5('42' || page_id), page_id) AS INTEGER) AS pair_no FROM tr)
+SELECT * FROM r WHERE pair_no <= (SELECT k FROM k)"""
+
+
+def _axis(lo: str, hi: str, num: int = 100) -> str:
+    step = f"(CAST({hi} - {lo} AS DOUBLE) / CAST({num - 1} AS DOUBLE))"
+    return (f"SELECT DISTINCT CAST(trunc(CASE WHEN i = {num - 1} THEN CAST({hi} AS DOUBLE) "
+            f"ELSE i * {step} + {lo} END) AS BIGINT) AS v FROM st, (SELECT unnest(range(0, {num})) AS i)")
+
+
+ORACLE["feature_grid"] = f"""WITH {TRAINING},
+    st AS (SELECT min(f_lines) AS xl, max(f_lines) AS xh, min(f_commas) AS yl, max(f_commas) AS yh FROM tr),
+    xs AS ({_axis('xl', 'xh')}), ys AS ({_axis('yl', 'yh')})
+SELECT xs.v AS x, ys.v AS y FROM xs, ys"""
