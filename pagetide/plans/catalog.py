@@ -272,3 +272,176 @@ def q_feature_grid(spark, root):
     st = _training(spark, root).agg(F.min("f_lines").alias("xl"), F.max("f_lines").alias("xh"),
                                     F.min("f_commas").alias("yl"), F.max("f_commas").alias("yh"))
     return ST.feature_grid(st, "xl", "xh", "yl", "yh", 100)
+
+
+# ---------------------------------------------------------------- crawl clean-up
+
+def _crawl_order(spark, root):
+    from pagetide.sources import proxies as X
+    return X.crawl_order(Tables(spark, root).documents)
+
+
+@query("crawl_ordered")
+def q_crawl_ordered(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import crawl as C
+    co = _crawl_order(spark, root).withColumn("stage_index", F.lit(0))
+    return C.with_order_index(co).select("doc_id", "log_index", "url_index", "thread", "order_index")
+
+
+@query("sampled_pages")
+def q_sampled_pages(spark, root):
+    from pagetide.operators import crawl as C
+    return C.sample_crawl(_crawl_order(spark, root)).select("doc_id", "log_index", "url_index")
+
+
+def _with_prev(spark, root):
+    from pagetide.operators import crawl as C
+    co = _crawl_order(spark, root)
+    return C.previous_in_order(co, ["log_index"], ["url_index"], ["text_lines"])
+
+
+@query("start_duplicates")
+def q_start_duplicates(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import crawl as C
+    wp = _with_prev(spark, root)
+    same = F.coalesce(C.start_overlap(F.col("prev_text_lines"), F.col("text_lines")), F.lit(False))
+    has_prev = F.col("prev_text_lines").isNotNull()
+    return wp.select("doc_id", "log_index", "url_index", has_prev.alias("has_prev"), same.alias("same_start"),
+                     (~has_prev | ((F.size("text_lines") > 0) & ~same)).alias("cheap_valid"))
+
+
+@query("hash_duplicates")
+def q_hash_duplicates(spark, root):
+    from pagetide.operators import crawl as C
+    return C.hash_duplicates(_with_prev(spark, root)).select("doc_id", "log_index", "url_index", "valid")
+
+
+@query("false_duplicates")
+def q_false_duplicates(spark, root):
+    from pagetide.operators import crawl as C
+    return C.flag_false_duplicates(_with_prev(spark, root)).select("doc_id", "log_index", "url_index", "valid")
+
+
+@query("log_blob_join")
+def q_log_blob_join(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import crawl as C
+    t = Tables(spark, root)
+    # Stand-in log: one row per labelled document; quality 1 = fetched, toxic 0 = file kept.
+    logs = t.labels.select(
+        F.lit(None).cast("date").alias("day"), F.col("doc_id").cast("string").alias("page_key"),
+        F.when(F.col("quality") == 1, F.lit(C.SUCCESS_STATUS)).otherwise(F.lit("RequestStatus.HEADLESS_FAILED"))
+         .alias("status"),
+        (F.col("toxic") == 0).alias("file_present"))
+    blobs = t.documents.select(F.lit(None).cast("date").alias("day"), F.col("doc_id").cast("string").alias("page_key"),
+                               F.col("text").alias("html"))
+    joined = C.valid_log_entries(logs).join(blobs, ["page_key"], "inner")
+    return joined.select("page_key", F.octet_length("html").alias("size"), F.md5("html").alias("page_md5"))
+
+
+@query("threat_urls")
+def q_threat_urls(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import threats as TH
+    from pagetide.sources import proxies as X
+    rows = X.log_rows(Tables(spark, root).events)
+    threats = rows.filter(F.col("is_threat") == 1).select("ts")
+    logs = rows.filter(F.col("is_threat") == 0).select("event_id", "ts")
+    return TH.flag_threat_window(logs, threats, seconds=10)
+
+
+# ---------------------------------------------------------------- day-over-day diff
+
+SNAP_FEATURES = ["text", "internal_outlinks", "meta"]
+
+
+def _snap(spark, root):
+    from pagetide.sources import proxies as X
+    return X.snapshots(Tables(spark, root).documents)
+
+
+@query("day_pair_bits")
+def q_day_pair_bits(spark, root):
+    from pagetide.operators import diff as D
+    return D.change_bits(_snap(spark, root), SNAP_FEATURES, day="day_no")
+
+
+@query("feature_numbers")
+def q_feature_numbers(spark, root):
+    from pagetide.operators import diff as D
+    return D.feature_numbers(_snap(spark, root), SNAP_FEATURES, day="day_no")
+
+
+@query("training_pairs")
+def q_training_pairs(spark, root):
+    from pagetide.operators import diff as D
+    return D.training_pairs(_snap(spark, root), SNAP_FEATURES, ["text", "internal_outlinks"], day="day_no")
+
+
+def _digest_pairs(spark, root):
+    from pagetide.operators import diff as D
+    snap = _snap(spark, root)
+    dig = snap.select("page_id", "day_no", *[D.digest(f).alias(f) for f in SNAP_FEATURES], "page_hash")
+    return D.day_pairs(dig, SNAP_FEATURES + ["page_hash"], day="day_no")
+
+
+@query("change_fractions")
+def q_change_fractions(spark, root):
+    from pagetide.operators import change_types as CT
+    return CT.change_fractions(_digest_pairs(spark, root), SNAP_FEATURES)
+
+
+@query("informative_split")
+def q_informative_split(spark, root):
+    from pagetide.operators import change_types as CT
+    return CT.informative_split(_digest_pairs(spark, root), SNAP_FEATURES)
+
+
+@query("feature_diff")
+def q_feature_diff(spark, root):
+    from pagetide.operators import diff as D
+    return D.feature_diff(_snap(spark, root), SNAP_FEATURES, day="day_no")
+
+
+@query("change_amplitudes")
+def q_change_amplitudes(spark, root):
+    from pagetide.operators import change_types as CT
+    from pagetide.operators import diff as D
+    return CT.change_amplitudes(D.feature_diff(_snap(spark, root), SNAP_FEATURES, day="day_no"))
+
+
+@query("diff_totals")
+def q_diff_totals(spark, root):
+    from pagetide.operators import diff as D
+    return D.diff_totals(D.feature_diff(_snap(spark, root), ["text"], day="day_no", page_hash=None), "text")
+
+
+@query("changed_sample")
+def q_changed_sample(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import diff as D
+    s = D.changed_sample(_snap(spark, root), "text", 10, day="day_no")
+    return s.select("page_id", "day1", "day2", F.size("removed").alias("n_removed"), F.size("added").alias("n_added"),
+                    F.md5(F.array_join(F.array_sort("removed"), "\n")).alias("removed_md5"),
+                    F.md5(F.array_join(F.array_sort("added"), "\n")).alias("added_md5"))
+
+
+@query("change_categories")
+def q_change_categories(spark, root):
+    from pagetide.operators import change_types as CT
+    from pagetide.sources import proxies as X
+    return CT.category_shares(X.categories(Tables(spark, root).events))
+
+
+@query("useful_changes")
+def q_useful_changes(spark, root):
+    from pagetide.operators import change_types as CT
+    from pagetide.sources import proxies as X
+    return CT.useful_share(X.categories(Tables(spark, root).events), useful=("purchase", "signup"))

@@ -307,3 +307,102 @@ ORACLE["feature_grid"] = f"""WITH {TRAINING},
     st AS (SELECT min(f_lines) AS xl, max(f_lines) AS xh, min(f_commas) AS yl, max(f_commas) AS yh FROM tr),
     xs AS ({_axis('xl', 'xh')}), ys AS ({_axis('yl', 'yh')})
 SELECT xs.v AS x, ys.v AS y FROM xs, ys"""
+
+
+# ---------------------------------------------------------------- crawl clean-up
+
+CRAWL_ORDER = """
+    co AS (SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS log_index,
+                  row_number() OVER (PARTITION BY CAST(substr(source, 4) AS INTEGER) % 4 ORDER BY text, doc_id) AS url_index,
+                  CAST(substr(source, 4) AS INTEGER) % 4 AS thread, string_split(text, chr(10)) AS text_lines
+           FROM documents),
+    cp AS (SELECT *, lag(text_lines) OVER (PARTITION BY log_index ORDER BY url_index) AS prev FROM co)"""
+
+ORACLE["crawl_ordered"] = f"""WITH {CRAWL_ORDER}
+SELECT doc_id, log_index, url_index, thread,
+       CAST(log_index AS BIGINT) * 1000000000 + 0 * 1000000 + url_index AS order_index FROM co"""
+ORACLE["sampled_pages"] = f"""WITH {CRAWL_ORDER}
+SELECT doc_id, log_index, url_index FROM co WHERE url_index % 100 = 42"""
+ORACLE["start_duplicates"] = f"""WITH {CRAWL_ORDER},
+    f AS (SELECT *, prev IS NOT NULL AS has_prev, coalesce(prev[1:3] = text_lines[1:3], false) AS same_start FROM cp)
+SELECT doc_id, log_index, url_index, has_prev, same_start,
+       (NOT has_prev) OR (len(text_lines) > 0 AND NOT same_start) AS cheap_valid FROM f"""
+ORACLE["hash_duplicates"] = f"""WITH {CRAWL_ORDER}
+SELECT doc_id, log_index, url_index, prev IS NULL OR prev <> text_lines AS valid FROM cp"""
+ORACLE["log_blob_join"] = """
+SELECT CAST(d.doc_id AS VARCHAR) AS page_key, CAST(octet_length(encode(d.text)) AS INTEGER) AS size, md5(d.text) AS page_md5
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality = 1 AND l.toxic = 0"""
+ORACLE["threat_urls"] = """WITH r AS (SELECT event_id, date_trunc('second', ts) AS ts, event_type = 'error' AS threat FROM events)
+SELECT event_id, ts FROM r WHERE NOT threat
+  AND EXISTS (SELECT 1 FROM r t WHERE t.threat AND r.ts BETWEEN t.ts AND t.ts + INTERVAL 10 SECOND)"""
+
+
+# ---------------------------------------------------------------- day-over-day diff
+
+SNAPSHOTS = """
+    sn AS (SELECT doc_id AS page_id, 0 AS day_no, string_split(text, chr(10)) AS text, [source] AS internal_outlinks,
+                  [lang] AS meta, md5(concat_ws(chr(1), text, source, lang)) AS page_hash FROM documents
+           UNION ALL
+           SELECT doc_id, 1, string_split(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN concat(text, chr(10), 'added line')
+                                          WHEN 2 THEN concat('new head', chr(10), text)
+                                          ELSE replace(text, ' the ', ' de ') END, chr(10)),
+                  [CASE WHEN doc_id % 5 = 0 THEN source || '-moved' ELSE source END],
+                  [CASE WHEN doc_id % 7 = 0 THEN lang || '-alt' ELSE lang END],
+                  md5(concat_ws(chr(1), CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN concat(text, chr(10), 'added line')
+                                          WHEN 2 THEN concat('new head', chr(10), text)
+                                          ELSE replace(text, ' the ', ' de ') END,
+                                CASE WHEN doc_id % 5 = 0 THEN source || '-moved' ELSE source END,
+                                CASE WHEN doc_id % 7 = 0 THEN lang || '-alt' ELSE lang END))
+           FROM documents),
+    pr AS (SELECT a.page_id, a.day_no AS day1, b.day_no AS day2,
+                  a.text AS text_1, b.text AS text_2, a.internal_outlinks AS internal_outlinks_1,
+                  b.internal_outlinks AS internal_outlinks_2, a.meta AS meta_1, b.meta AS meta_2,
+                  a.page_hash AS page_hash_1, b.page_hash AS page_hash_2
+           FROM sn a JOIN sn b ON a.page_id = b.page_id AND b.day_no = a.day_no + 1)"""
+
+ORACLE["day_pair_bits"] = f"""WITH {SNAPSHOTS}
+SELECT page_id, day1, day2, CAST(text_1 <> text_2 AS INTEGER) AS text_changed,
+       CAST(internal_outlinks_1 <> internal_outlinks_2 AS INTEGER) AS internal_outlinks_changed,
+       CAST(meta_1 <> meta_2 AS INTEGER) AS meta_changed FROM pr"""
+ORACLE["feature_numbers"] = f"""WITH {SNAPSHOTS}
+SELECT page_id, day_no, CAST(len(text) AS INTEGER) AS text, CAST(len(internal_outlinks) AS INTEGER) AS internal_outlinks,
+       CAST(len(meta) AS INTEGER) AS meta FROM sn"""
+ORACLE["training_pairs"] = f"""WITH {SNAPSHOTS}
+SELECT page_id, day1, CAST(len(text_1) AS INTEGER) AS text, CAST(len(internal_outlinks_1) AS INTEGER) AS internal_outlinks,
+       CAST(len(meta_1) AS INTEGER) AS meta, CAST(text_1 <> text_2 AS INTEGER) AS text_changed,
+       CAST(internal_outlinks_1 <> internal_outlinks_2 AS INTEGER) AS internal_outlinks_changed FROM pr"""
+ORACLE["change_fractions"] = f"""WITH {SNAPSHOTS}
+SELECT 'text' AS feature, avg(CAST(text_1 <> text_2 AS DOUBLE)) AS fraction FROM pr
+UNION ALL SELECT 'internal_outlinks', avg(CAST(internal_outlinks_1 <> internal_outlinks_2 AS DOUBLE)) FROM pr
+UNION ALL SELECT 'meta', avg(CAST(meta_1 <> meta_2 AS DOUBLE)) FROM pr"""
+ORACLE["informative_split"] = f"""WITH {SNAPSHOTS},
+    fl AS (SELECT (text_1 <> text_2) OR (internal_outlinks_1 <> internal_outlinks_2) AS inf, meta_1 <> meta_2 AS un
+           FROM pr WHERE page_hash_1 <> page_hash_2)
+SELECT CAST(sum(CASE WHEN inf AND un THEN 1 ELSE 0 END) AS BIGINT) AS both,
+       CAST(sum(CASE WHEN inf AND NOT un THEN 1 ELSE 0 END) AS BIGINT) AS only_informative,
+       CAST(sum(CASE WHEN NOT inf AND un THEN 1 ELSE 0 END) AS BIGINT) AS only_uninformative,
+       CAST(sum(CASE WHEN NOT inf AND NOT un THEN 1 ELSE 0 END) AS BIGINT) AS neither FROM fl"""
+
+
+def _sorted_md5(x: str) -> str:
+    return f"md5(array_to_string(list_sort({x}), chr(10)))"
+
+
+EXCEPT_A = "list_distinct(list_filter(text_1, lambda x: NOT list_contains(text_2, x)))"
+EXCEPT_B = "list_distinct(list_filter(text_2, lambda x: NOT list_contains(text_1, x)))"
+ORACLE["changed_sample"] = f"""WITH {SNAPSHOTS},
+    pk AS (SELECT * FROM pr WHERE text_1 <> text_2
+           ORDER BY md5('42' || CAST(page_id AS VARCHAR) || CAST(day1 AS VARCHAR)), page_id LIMIT 10)
+SELECT page_id, day1, day2, CAST(len({EXCEPT_A}) AS INTEGER) AS n_removed, CAST(len({EXCEPT_B}) AS INTEGER) AS n_added,
+       {_sorted_md5(EXCEPT_A)} AS removed_md5, {_sorted_md5(EXCEPT_B)} AS added_md5 FROM pk"""
+
+CATEGORIES = """
+    cat AS (SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS page,
+                   string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS categories
+            FROM events GROUP BY user_id, CAST(ts AS DATE))"""
+ORACLE["change_categories"] = f"""WITH {CATEGORIES},
+    ex AS (SELECT unnest(list_distinct(string_split(categories, ','))) AS category FROM cat)
+SELECT category, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM cat) AS share FROM ex GROUP BY category"""
+ORACLE["useful_changes"] = f"""WITH {CATEGORIES}
+SELECT avg(CAST(list_has_any(string_split(categories, ','), ['purchase', 'signup']) AS DOUBLE)) AS useful_share,
+       count(*) AS pages FROM cat"""
