@@ -36,22 +36,23 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[Column |
     n = _partitions(df, num_partitions)
     ranged = (df.repartitionByRange(n, *keys)
                 .sortWithinPartitions(*keys)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_pos", F.monotonically_increasing_id()))
+                .withColumn("__di_pid", F.spark_partition_id())
+                .withColumn("__di_pos", F.monotonically_increasing_id()))
     # (partition, group) slices: first local position and size.  At most
     # partitions + groups rows, because range partitions hold contiguous groups.
-    slices = ranged.groupBy("_pid", *group_cols).agg(F.min("_pos").alias("_first"),
-                                                     F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")
-    slices = slices.withColumn("_offset", F.coalesce(
-        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    slices = ranged.groupBy("__di_pid", *group_cols).agg(F.min("__di_pos").alias("__di_first"),
+                                                     F.count(F.lit(1)).alias("__di_n"))
+    w = Window.partitionBy(*group_cols).orderBy("__di_pid") if group_cols else Window.orderBy("__di_pid")
+    slices = slices.withColumn("__di_offset", F.coalesce(
+        F.sum("__di_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if total:
         whole = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
-        slices = slices.withColumn(total, F.sum("_n").over(whole))
-    slices = slices.drop("_n")
-    joined = ranged.join(F.broadcast(slices) if few_groups else slices, on=["_pid", *group_cols], how="inner")
-    return (joined.withColumn(name, (F.col("_offset") + F.col("_pos") - F.col("_first") + 1).cast("bigint"))
-                  .drop("_pid", "_pos", "_first", "_offset"))
+        slices = slices.withColumn("__di_total", F.sum("__di_n").over(whole))
+    slices = slices.drop("__di_n")
+    joined = ranged.join(F.broadcast(slices) if few_groups else slices, on=["__di_pid", *group_cols], how="inner")
+    out = (joined.withColumn(name, (F.col("__di_offset") + F.col("__di_pos") - F.col("__di_first") + 1).cast("bigint"))
+                 .drop("__di_pid", "__di_pos", "__di_first", "__di_offset"))
+    return out.withColumnRenamed("__di_total", total) if total else out
 
 
 def previous_row(df: DataFrame, group_cols: list[str], index_col: str, carry: list[str],

@@ -445,3 +445,86 @@ def q_useful_changes(spark, root):
     from pagetide.operators import change_types as CT
     from pagetide.sources import proxies as X
     return CT.useful_share(X.categories(Tables(spark, root).events), useful=("purchase", "signup"))
+
+
+# ---------------------------------------------------------------- seed selection
+
+def _dump_links(spark, root):
+    from pagetide.operators import seeds as SD
+    from pagetide.sources import proxies as X
+    return SD.dump_links(X.wiki_lines(Tables(spark, root).pages))
+
+
+@query("wiki_links")
+def q_wiki_links(spark, root):
+    return _dump_links(spark, root)
+
+
+@query("tld_links")
+def q_tld_links(spark, root):
+    from pagetide.operators import seeds as SD
+    return SD.tld_filter(_dump_links(spark, root), "com")
+
+
+@query("ranked_domains")
+def q_ranked_domains(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import seeds as SD
+    from pagetide.sources import proxies as X
+    ranked = X.ranked_domains(Tables(spark, root).pages).select(
+        F.col("host").alias("domain"), F.substring_index("host", ".", -1).alias("tld"))
+    return SD.ranked_domain_links(ranked, "com")
+
+
+@query("limited_links")
+def q_limited_links(spark, root):
+    from pagetide.operators import seeds as SD
+    return SD.limit_per_domain(_dump_links(spark, root), limit=5)
+
+
+@query("popular_links")
+def q_popular_links(spark, root):
+    from pagetide.operators import seeds as SD
+    return SD.limit_per_domain(_dump_links(spark, root), limit=5, by_popularity=True)
+
+
+@query("stage_sizes")
+def q_stage_sizes(spark, root):
+    from pagetide.operators import seeds as SD
+    return SD.stage_sizes(SD.limit_per_domain(_dump_links(spark, root), limit=5))
+
+
+@query("domain_split")
+def q_domain_split(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import seeds as SD
+    staged = SD.limit_per_domain(_dump_links(spark, root), limit=50)
+    return SD.split_domains(staged.filter(F.col("stage") == 0), train_size=0.8)
+
+
+# ---------------------------------------------------------------- vectors
+
+@query("cosine_neighbours")
+def q_cosine_neighbours(spark, root):
+    from pagetide.operators import vectors as V
+    return V.semantic_duplicates(Tables(spark, root).embeddings, "vec_id", "embedding")
+
+
+@query("vector_mean")
+def q_vector_mean(spark, root):
+    from pagetide.operators import vectors as V
+    return V.mean_vectors(Tables(spark, root).embeddings, "label", "embedding")
+
+
+@query("token_chunks")
+def q_token_chunks(spark, root):
+    from pagetide.operators import vectors as V
+    return V.token_chunks(Tables(spark, root).documents, "doc_id", "text", 512)
+
+
+@query("pca_components")
+def q_pca_components(spark, root):
+    from pagetide.operators import vectors as V
+    return V.pca_projection(Tables(spark, root).embeddings, "vec_id", "embedding", k=24)

@@ -406,3 +406,85 @@ SELECT category, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM cat) AS share
 ORACLE["useful_changes"] = f"""WITH {CATEGORIES}
 SELECT avg(CAST(list_has_any(string_split(categories, ','), ['purchase', 'signup']) AS DOUBLE)) AS useful_share,
        count(*) AS pages FROM cat"""
+
+
+# ---------------------------------------------------------------- seed selection
+
+def _dump_links_cte() -> str:
+    from pagetide.operators.seeds import DUMP_LINK_RE
+    line = "concat('* [', url, ' x] ref=', replace(url, '&', '&amp;'), ' end')"
+    found = f"regexp_extract_all({S.unescape_basic(line)}, {S.q(DUMP_LINK_RE)}, 1)"
+    valid = ("list_filter(found, lambda u: len(string_split(u, '://')) >= 2 "
+             "AND instr(split_part(u, '://', 2), '.') > 0)")
+    cut = f"list_transform({valid}, lambda u: CASE WHEN ends_with(u, '/') THEN substr(u, 1, length(u) - 1) ELSE u END)"
+    return f"""
+    wl AS (SELECT page_id, {found} AS found FROM pages),
+    vl AS (SELECT page_id, {cut} AS links FROM wl),
+    ix AS (SELECT page_id, links, unnest(range(len(links))) AS i FROM vl),
+    dl AS (SELECT page_id, CAST(i AS INTEGER) AS link_no, links[i + 1] AS link FROM ix)"""
+
+
+def _host(x: str) -> str:
+    return S.link_host(x)
+
+
+POP = f"""
+    pop AS (SELECT array_to_string(string_split({_host('link')}, '.')[-2:], '.') AS sld, link, count(*) AS n
+            FROM dl WHERE len(string_split({_host('link')}, '.')) >= 2 GROUP BY ALL)"""
+
+ORACLE["wiki_links"] = f"WITH {_dump_links_cte()} SELECT page_id, link_no, link FROM dl"
+ORACLE["tld_links"] = f"""WITH {_dump_links_cte()}
+SELECT page_id, link_no, link FROM dl WHERE string_split({_host('link')}, '.')[-1] = 'com'"""
+ORACLE["ranked_domains"] = """WITH r AS (SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS n FROM pages GROUP BY 1)
+SELECT 'http://' || host AS link FROM r WHERE string_split(host, '.')[-1] = 'com'"""
+
+
+def _limited(limit: int, popular: bool) -> str:
+    order = "n DESC, link" if popular else "md5('EMOTION' || link), link"
+    extra = ", n" if popular else ""
+    return f"""WITH {_dump_links_cte()}, {POP},
+    rk AS (SELECT sld, link, n, row_number() OVER (PARTITION BY sld ORDER BY {order}) AS rn FROM pop)
+SELECT sld, CAST(rn - 1 AS INTEGER) AS stage, link{extra} FROM rk WHERE rn <= {limit}"""
+
+
+ORACLE["limited_links"] = _limited(5, False)
+ORACLE["popular_links"] = _limited(5, True)
+ORACLE["stage_sizes"] = f"""WITH st AS ({_limited(5, False)}),
+    per AS (SELECT stage, count(*) AS urls FROM st GROUP BY stage)
+SELECT stage, urls, round(CAST(100 AS DOUBLE) * urls / max(urls) OVER (ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS percentage
+FROM per"""
+ORACLE["domain_split"] = f"""WITH st AS ({_limited(50, False)}),
+    sl AS (SELECT DISTINCT {S.sl_domain('link')} AS sld FROM st WHERE stage = 0),
+    rk AS (SELECT sld, row_number() OVER (ORDER BY md5('1492021' || sld), sld) AS pos, count(*) OVER () AS n FROM sl)
+SELECT sld, pos <= floor(n * 0.8) AS train FROM rk"""
+
+
+# ---------------------------------------------------------------- vectors
+
+def _fold(x: str) -> str:
+    return f"list_reduce(list_prepend(0.0::DOUBLE, {x}), lambda acc, v: acc + v)"
+
+
+def _cos(a: str, b: str) -> str:
+    ad, bd = f"list_transform({a}, lambda x: CAST(x AS DOUBLE))", f"list_transform({b}, lambda x: CAST(x AS DOUBLE))"
+    dot = _fold(f"list_transform(list_zip({ad}, {bd}), lambda p: p[1] * p[2])")
+    na = f"sqrt({_fold(f'list_transform({ad}, lambda x: x * x)')})"
+    nb = f"sqrt({_fold(f'list_transform({bd}, lambda x: x * x)')})"
+    return f"(1 - CASE WHEN {na} * {nb} = 0 THEN NULL ELSE {dot} / ({na} * {nb}) END)"
+
+
+ORACLE["cosine_neighbours"] = f"""WITH e AS (SELECT vec_id, embedding,
+        lag(embedding) OVER (ORDER BY vec_id) AS prev FROM embeddings WHERE embedding IS NOT NULL)
+SELECT vec_id, {_cos('embedding', 'prev')} AS distance,
+       prev IS NULL OR {_cos('embedding', 'prev')} >= 0.01 AS valid FROM e
+UNION ALL SELECT vec_id, NULL::DOUBLE, false FROM embeddings WHERE embedding IS NULL"""
+ORACLE["vector_mean"] = """WITH x AS (SELECT label, unnest(range(len(embedding))) AS dim, embedding FROM embeddings)
+SELECT label, CAST(dim AS INTEGER) AS dim, avg(CAST(embedding[dim + 1] AS DOUBLE)) AS mean FROM x GROUP BY label, dim"""
+ORACLE["token_chunks"] = f"""WITH t AS (SELECT doc_id, {S.words('[text]')} AS toks FROM documents),
+    p AS (SELECT doc_id, toks, len(toks) AS n, CAST(ceil(len(toks) / 512.0::DOUBLE) AS INTEGER) AS parts FROM t),
+    i AS (SELECT doc_id, toks, n, parts, unnest(range(parts)) AS part FROM p WHERE parts > 0),
+    b AS (SELECT doc_id, toks, CAST(part AS INTEGER) AS part,
+                 CAST(ceil(part * (n / CAST(parts AS DOUBLE))) AS INTEGER) AS start,
+                 CAST(ceil((part + 1) * (n / CAST(parts AS DOUBLE))) AS INTEGER) AS "end" FROM i)
+SELECT doc_id, part, start, "end", "end" - start AS tokens, 512 - "end" + start AS padding,
+       md5(array_to_string(toks[start + 1:"end"], ' ')) AS chunk_md5 FROM b"""
