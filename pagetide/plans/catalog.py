@@ -528,3 +528,161 @@ def q_token_chunks(spark, root):
 def q_pca_components(spark, root):
     from pagetide.operators import vectors as V
     return V.pca_projection(Tables(spark, root).embeddings, "vec_id", "embedding", k=24)
+
+
+# ---------------------------------------------------------------- models (rows-only checks)
+
+def _prepared(spark, root):
+    from pagetide.operators import ml as M
+    from pagetide.sources import proxies as X
+    return M.prepare(_training(spark, root), X.TRAINING_FEATURES)
+
+
+def _rows(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+CONF_SCHEMA = "model string, tn long, fp long, fn long, tp long, recall_zero double, recall_one double, min_recall double"
+
+
+def _conf_row(name, conf):
+    return (name, conf["tn"], conf["fp"], conf["fn"], conf["tp"], conf["recall_zero"], conf["recall_one"],
+            conf["min_recall"])
+
+
+@query("rf_eval")
+def q_rf_eval(spark, root):
+    from pagetide.operators import ml as M
+    train, test, balanced = _prepared(spark, root)
+    p = M.RF_PARAMS
+    model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
+    conf = M.evaluate(model, test).first().asDict()
+    return _rows(spark, [_conf_row("random_forest", conf)], CONF_SCHEMA)
+
+
+@query("lr_eval")
+def q_lr_eval(spark, root):
+    from pagetide.operators import ml as M
+    train, test, balanced = _prepared(spark, root)
+    conf = M.evaluate(M.logistic_regression(balanced), test).first().asDict()
+    return _rows(spark, [_conf_row("logistic_regression", conf)], CONF_SCHEMA)
+
+
+@query("rf_importances")
+def q_rf_importances(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import ml as M
+    from pagetide.sources import proxies as X
+    train, test, balanced = _prepared(spark, root)
+    p = M.RF_PARAMS
+    model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
+    return M.importances(model, X.TRAINING_FEATURES).orderBy(F.desc("importance"))
+
+
+@query("lr_coefficients")
+def q_lr_coefficients(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import ml as M
+    from pagetide.sources import proxies as X
+    train, test, balanced = _prepared(spark, root)
+    model = M.logistic_regression(balanced)
+    return M.normalized_coefficients(model, train, X.TRAINING_FEATURES).orderBy(F.desc(F.abs("share")))
+
+
+@query("rf_pairs")
+def q_rf_pairs(spark, root):
+    from pagetide.operators import ml as M
+    from pagetide.sources import proxies as X
+    train, test, balanced = _prepared(spark, root)
+    rows = [(X.TRAINING_FEATURES[a], X.TRAINING_FEATURES[b], conf["min_recall"])
+            for (a, b), _m, conf in M.pair_models(balanced, test, X.TRAINING_FEATURES)]
+    return _rows(spark, rows, "feature_a string, feature_b string, min_recall double")
+
+
+@query("rf_depths")
+def q_rf_depths(spark, root):
+    from pagetide.operators import ml as M
+    train, test, balanced = _prepared(spark, root)
+    rows = []
+    for depth in range(2, 16):
+        model = M.random_forest(balanced, M.RF_PARAMS["numTrees"], depth, M.RF_PARAMS["minInstancesPerNode"])
+        rows.append((depth, M.evaluate(model, test).first()["min_recall"]))
+    return _rows(spark, rows, "depth int, min_recall double")
+
+
+@query("rf_grid")
+def q_rf_grid(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import ml as M
+    from pagetide.operators import stats as ST
+    from pagetide.sources import proxies as X
+    train, test, balanced = _prepared(spark, root)
+    a, b = X.TRAINING_FEATURES.index("f_lines"), X.TRAINING_FEATURES.index("f_commas")
+    p = M.RF_PARAMS
+    model = M.random_forest(M.select_subset(balanced, X.TRAINING_FEATURES, [a, b]), p["numTrees"], p["maxDepth"],
+                            p["minInstancesPerNode"])
+    st = _training(spark, root).agg(F.min("f_lines").alias("xl"), F.max("f_lines").alias("xh"),
+                                    F.min("f_commas").alias("yl"), F.max("f_commas").alias("yh"))
+    return M.prediction_grid(model, ST.feature_grid(st, "xl", "xh", "yl", "yh", 100))
+
+
+@query("rf_elimination")
+def q_rf_elimination(spark, root):
+    from pagetide.operators import ml as M
+    from pagetide.sources import proxies as X
+    train, test, balanced = _prepared(spark, root)
+    steps = M.feature_elimination(balanced, test, X.TRAINING_FEATURES)
+    return _rows(spark, steps, "features int, used string, accuracy double, dropped string")
+
+
+@query("pair_sample_accuracy")
+def q_pair_sample_accuracy(spark, root):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import ml as M
+    from pagetide.operators import stats as ST
+    from pagetide.sources import proxies as X
+    feats = X.TRAINING_FEATURES
+    train, test, balanced = _prepared(spark, root)
+    sample = M.balanced_sample(_training(spark, root), 100).withColumn("label", F.col("label").cast("double"))
+    rows = []
+    for (a, b), model, _conf in M.pair_models(balanced, test, feats):
+        cols = [feats[i] for i in sorted((a, b))]  # model input order, whatever order the pair was named in
+        vec = VectorAssembler(inputCols=cols, outputCol="features").transform(sample)
+        rows.append((feats[a], feats[b], ST.accuracy(model.transform(vec)).first()["accuracy"]))
+    return _rows(spark, rows, "feature_a string, feature_b string, accuracy double")
+
+
+@query("cv_search")
+def q_cv_search(spark, root):
+    from pagetide.operators import ml as M
+    train, test, balanced = _prepared(spark, root)
+    cv = M.cross_validated_forest(balanced, num_trees=(50,), max_depth=(20,), min_instances=(1,), folds=5)
+    conf = M.evaluate(cv.bestModel, test).first().asDict()
+    best = cv.bestModel
+    return _rows(spark, [(best.getNumTrees, best.getOrDefault("maxDepth"), best.getOrDefault("minInstancesPerNode"),
+                          float(max(cv.avgMetrics)), conf["min_recall"])],
+                 "num_trees int, max_depth int, min_instances int, auc double, min_recall double")
+
+
+@query("class_downsample")
+def q_class_downsample(spark, root):
+    train, test, balanced = _prepared(spark, root)
+    return balanced.groupBy("label").count()
+
+
+@query("rf_predictions")
+def q_rf_predictions(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import ml as M
+    from pagetide.sources import proxies as X
+    train, test, balanced = _prepared(spark, root)
+    p = M.RF_PARAMS
+    model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
+    return model.transform(test).select(*X.TRAINING_FEATURES, F.col("label").cast("int").alias("target"),
+                                        F.col("prediction").cast("int").alias("prediction"))
