@@ -54,11 +54,11 @@ def read_page_blobs(spark, path: str, day: str | None = None) -> DataFrame:
     """Page files (one per crawled page, named ``<stage file>-<url index>``).
 
     ``html`` is the UTF-8 text, or an empty string when the bytes are not
-    valid UTF-8 (round-trip check, no Python).
+    valid UTF-8 (checked natively, no Python).
     """
     raw = spark.read.format("binaryFile").load(path)
-    text = F.decode(F.col("content"), "UTF-8")
-    valid = F.encode(text, "UTF-8") == F.col("content")
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
     day_str = F.lit(day) if day else F.regexp_extract("path", r"/(\d{8})[^/]*/pages/[^/]+$", 1)
     return raw.select(
         F.to_date(day_str, "yyyyMMdd").alias("day"),
