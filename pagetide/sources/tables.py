@@ -7,19 +7,34 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# Tables whose rows carry whole pages / documents: per-row work (regex, text
+# splitting, alignment) dominates, so the map stage needs at least one task
+# per core.
+TEXT_HEAVY = frozenset({"pages", "documents"})
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One parquet table; Catalyst prunes columns and pushes filters into the scan."""
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+
+def read_table(spark: SparkSession, root: str, name: str, min_partitions: int | None = None) -> DataFrame:
+    """One parquet table; Catalyst prunes columns and pushes filters into the scan.
+
+    With ``min_partitions``, a table stored in fewer splits (e.g. one large row
+    group) is spread round-robin right after the scan; column pruning and
+    filters still reach the scan below the exchange.  Large inputs already
+    have more splits than cores and are left as they are.
+    """
+    df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
+        df = df.repartition(min_partitions)
+    return df
 
 
 class Tables:
     """Lazy accessor: ``Tables(spark, root).pages`` reads ``<root>/pages.parquet``."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, spread: bool = True):
+        self.spark, self.root, self.spread = spark, root, spread
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return read_table(self.spark, self.root, name)
+            min_parts = self.spark.sparkContext.defaultParallelism if self.spread and name in TEXT_HEAVY else None
+            return read_table(self.spark, self.root, name, min_parts)
         raise AttributeError(name)
