@@ -157,3 +157,12 @@ def clean_crawl(logs: DataFrame, blobs: DataFrame, cross_thread: bool = False,
     with_prev = previous_in_order(pages, threads, order, ["text_lines"])
     flagged = flag_false_duplicates(with_prev, max_overlap=max_overlap)
     return flagged.filter("valid").drop("valid", "prev_text_lines", "status", "file_present")
+
+
+def log_entry_pairs(log1: DataFrame, log2: DataFrame, keys=("stage_file", "url_index")) -> DataFrame:
+    """Inner join of two logs on (stage file, URL index); other columns get the
+    suffixes ``-1`` / ``-2``."""
+    ks = list(keys)
+    a = log1.select(*ks, *[F.col(c).alias(c + "-1") for c in log1.columns if c not in ks])
+    b = log2.select(*ks, *[F.col(c).alias(c + "-2") for c in log2.columns if c not in ks])
+    return a.join(b, ks, "inner")

@@ -190,3 +190,13 @@ def feature_elimination(train: DataFrame, test: DataFrame, features: list[str],
         steps.append((len(remaining), ",".join(features[i] for i in ordered), float(acc), features[weakest]))
         remaining.remove(weakest)
     return steps
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(kind: str, path: str):
+    """``kind`` is ``rf`` (random forest) or ``lr`` (logistic regression)."""
+    from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
+    return (RandomForestClassificationModel if kind == "rf" else LogisticRegressionModel).load(path)

@@ -115,6 +115,22 @@ def normalized_matrix(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("fraction", F.try_divide(F.col("pages").cast("double"), n_pages))
 
 
+def normalized_cube(cube: DataFrame) -> DataFrame:
+    """Cube cells divided by the number of pages (sum of each week's cells)."""
+    n_pages = F.sum("pages").over(Window.partitionBy("feature", "week"))
+    return cube.withColumn("fraction", F.try_divide(F.col("pages").cast("double"), n_pages))
+
+
+def percentile_curve(df: DataFrame, group: str, value: str, tie_cols: list[str]) -> DataFrame:
+    """(group, position, percentile, value): values sorted descending per group
+    against an even 0..100 axis; distributed ranking (few groups).  ``tie_cols``
+    make the order total (and the result stable under task retries)."""
+    ranked = dense_index(df.select(group, value, *tie_cols), [group],
+                         [F.col(value).desc(), *[F.col(c) for c in tie_cols]], name="position", total="_total")
+    pct = F.when(F.col("_total") > 1, (F.col("position") - 1) * 100.0 / (F.col("_total") - 1)).otherwise(F.lit(0.0))
+    return ranked.select(group, "position", pct.alias("percentile"), value)
+
+
 def average_behaviour(matrix: DataFrame) -> DataFrame:
     """(feature, n, fraction): mean over weeks of the share of pages with n change-days."""
     per_n = matrix.groupBy("feature", "n").agg(F.sum("pages").alias("_s"))

@@ -686,3 +686,25 @@ def q_rf_predictions(spark, root):
     model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
     return model.transform(test).select(*X.TRAINING_FEATURES, F.col("label").cast("int").alias("target"),
                                         F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("normalized_cube")
+def q_normalized_cube(spark, root):
+    T, bits, fw, lw = _weekly(spark, root)
+    return T.normalized_cube(T.change_cube(bits, fw, lw))
+
+
+@query("amplitude_curve")
+def q_amplitude_curve(spark, root):
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import diff as D
+    from pagetide.operators import timeline as T
+    d = D.feature_diff(_snap(spark, root), SNAP_FEATURES, day="day_no", page_hash=None)
+    changed = d.filter((F.col("insert") != 0) | (F.col("delete") != 0))
+    total = (F.col("equal") + F.col("insert") + F.col("delete")).cast("double")
+    shares = changed.select(F.concat(F.col("feature"), F.lit("/insert")).alias("series"), "page_id", "day1",
+                            (F.col("insert") / total).alias("share")).unionByName(
+        changed.select(F.concat(F.col("feature"), F.lit("/delete")).alias("series"), "page_id", "day1",
+                       (F.col("delete") / total).alias("share")))
+    return T.percentile_curve(shares, "series", "share", ["page_id", "day1"]).drop("page_id", "day1")
