@@ -8,10 +8,10 @@ from pagetide.plans import sqlfrag as S
 ORACLE: dict[str, str] = {}
 
 
-def _links_cte() -> str:
+def _links_cte(src: str = "pages") -> str:
     cur = S.strip_protocol("url")
     return f"""
-    l0 AS (SELECT page_id, url, {cur} AS cur, {S.hrefs('html')} AS hrefs FROM pages),
+    l0 AS (SELECT page_id, url, {cur} AS cur, {S.hrefs('html')} AS hrefs FROM {src}),
     l1 AS (SELECT page_id, url, cur, {S.root_domain('cur')} AS root, {S.sl_domain('cur')} AS psld,
                   list_filter(hrefs, lambda h: starts_with(h, 'mailto:')) AS email,
                   list_filter(hrefs, lambda h: NOT starts_with(h, 'mailto:')) AS others FROM l0),
@@ -492,3 +492,25 @@ SELECT doc_id, part, start, "end", "end" - start AS tokens, 512 - "end" + start
 ORACLE["normalized_cube"] = f"""WITH {_weekly_cte()}
 SELECT feature, week, prev_n, cur_n, pages, {_ratio('pages', 'sum(pages) OVER (PARTITION BY feature, week)')} AS fraction
 FROM cube"""
+
+ORACLE["page_static_features"] = f"""WITH
+    vp AS (SELECT * FROM pages WHERE octet_length(encode(html)) <= {10 * 1048576} AND {S.has_html_element('html')}),
+    {_links_cte('vp')},
+    {_html_lists_cte('vp')},
+    t0 AS (SELECT page_id, {S.words(S.text_lines('html'))} AS w FROM vp),
+    u AS (SELECT page_id, url, html, {S.sl_domain('url')} AS sld FROM vp)
+SELECT u.page_id, CAST(octet_length(encode(u.html)) AS INTEGER) AS size, md5(u.html) AS source_md5,
+       CAST(length(u.url) AS INTEGER) AS url_length, CAST(length(sld) AS INTEGER) AS domain_name_length,
+       CAST(length({S.rx_replace('sld', r'[^\p{Nd}]')}) AS INTEGER) AS domain_name_digits,
+       CAST(length({S.rx_replace('sld', r'[\p{L}\p{Nd}]')}) AS INTEGER) AS domain_name_special_chars,
+       CAST(len(string_split({S.strip_protocol('u.url')}, '/')) - 1 AS INTEGER) AS url_subdir_depth,
+       CAST(greatest(len(string_split({S.root_domain('u.url')}, '.')) - 2, 0) AS INTEGER) AS url_subdomain_depth,
+       CASE WHEN lower(split_part(u.url, '://', 1)) = 'https' THEN 1 ELSE 0 END AS protocol,
+       CAST(len(links.email) AS INTEGER) AS email_links,
+       CAST(len(hl.images) AS INTEGER) AS images, CAST(len(hl.scripts) AS INTEGER) AS scripts,
+       CAST(len(hl.tables) AS INTEGER) AS tables, CAST(len(hl.meta) AS INTEGER) AS meta,
+       CAST(len(t0.w) AS INTEGER) AS words_total,
+       CAST(len(list_distinct(list_transform(t0.w, lambda x: lower(x)))) AS INTEGER) AS words_unique,
+       CAST(len(links.internal) AS INTEGER) AS internal_outlinks, CAST(len(links.external) AS INTEGER) AS external_outlinks,
+       CAST(len(hl.html_tags) AS INTEGER) AS tags_total, CAST(len(list_distinct(hl.html_tags)) AS INTEGER) AS tags_unique
+FROM u JOIN links ON links.page_id = u.page_id JOIN hl ON hl.page_id = u.page_id JOIN t0 ON t0.page_id = u.page_id"""
