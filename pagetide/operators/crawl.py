@@ -105,9 +105,16 @@ def start_overlap(prev: Column, cur: Column, n: int = START_LINES) -> Column:
 
 
 def ratio_upper_bound(a: Column, b: Column) -> Column:
-    """2*min(|a|,|b|)/(|a|+|b|) >= any overlap ratio of a and b."""
+    """Native upper bound of the overlap ratio 2M/(|a|+|b|).
+
+    The matched elements M never exceed the multiset intersection, which is
+    at most |distinct common elements| + min(repeats in a, repeats in b).
+    """
     la, lb = F.size(a), F.size(b)
-    return F.try_divide((2 * F.least(la, lb)).cast("double"), (la + lb).cast("double"))
+    common = F.size(F.array_intersect(a, b))
+    repeats = F.least(la - F.size(F.array_distinct(a)), lb - F.size(F.array_distinct(b)))
+    matched = F.least(common + repeats, la, lb)
+    return F.try_divide((2 * matched).cast("double"), (la + lb).cast("double"))
 
 
 def flag_false_duplicates(with_prev: DataFrame, text: str = "text_lines", prev: str = "prev_text_lines",

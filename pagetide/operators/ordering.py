@@ -64,4 +64,5 @@ def previous_row(df: DataFrame, group_cols: list[str], index_col: str, carry: li
     """
     prev = df.select(*group_cols, (F.col(index_col) + 1).alias(index_col),
                      *[F.col(c).alias(prefix + c) for c in carry])
-    return df.join(prev, on=[*group_cols, index_col], how="left")
+    # Both sides are the whole input: never broadcast, sort-merge (spills) on a unique key.
+    return df.join(prev.hint("merge"), on=[*group_cols, index_col], how="left")

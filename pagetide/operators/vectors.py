@@ -64,10 +64,12 @@ def token_chunks(df: DataFrame, key: str, text: str, max_size: int = 512) -> Dat
     parts = F.ceil(n / F.lit(float(max_size))).cast("int")
     with_parts = toks.select(key, "_t", n.alias("_n"), parts.alias("_p"))
     avg = F.col("_n") / F.col("_p")
-    bounds = F.transform(F.sequence(F.lit(0), F.col("_p") - 1),
+    # Empty documents get an empty part list (no filter that Catalyst could push below the spread).
+    parts_idx = F.when(F.col("_p") > 0, F.sequence(F.lit(0), F.col("_p") - 1)).otherwise(F.array().cast("array<int>"))
+    bounds = F.transform(parts_idx,
                          lambda i: F.struct(i.alias("part"), F.ceil(i * avg).cast("int").alias("start"),
                                             F.ceil((i + 1) * avg).cast("int").alias("end")))
-    rows = with_parts.filter(F.col("_p") > 0).select(key, "_t", F.explode(bounds).alias("_b"))
+    rows = with_parts.select(key, "_t", F.explode(bounds).alias("_b"))
     chunk = F.slice("_t", F.col("_b.start") + 1, F.col("_b.end") - F.col("_b.start"))
     return rows.select(key, "_b.part", "_b.start", "_b.end", (F.col("_b.end") - F.col("_b.start")).alias("tokens"),
                        (F.lit(max_size) - F.col("_b.end") + F.col("_b.start")).alias("padding"),

@@ -278,7 +278,8 @@ def q_feature_grid(spark, root):
 
 def _crawl_order(spark, root):
     from pagetide.sources import proxies as X
-    return X.crawl_order(Tables(spark, root).documents)
+    # The proxy range-partitions first thing: no round-robin spread in front of it.
+    return X.crawl_order(Tables(spark, root, spread=False).documents)
 
 
 @query("crawl_ordered")
@@ -299,7 +300,8 @@ def q_sampled_pages(spark, root):
 def _with_prev(spark, root):
     from pagetide.operators import crawl as C
     co = _crawl_order(spark, root)
-    return C.previous_in_order(co, ["log_index"], ["url_index"], ["text_lines"])
+    # A crawler thread's pages in URL order (FIXTURES: thread = source % 4).
+    return C.previous_in_order(co, ["thread"], ["url_index"], ["text_lines"])
 
 
 @query("start_duplicates")

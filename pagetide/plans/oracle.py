@@ -316,7 +316,7 @@ CRAWL_ORDER = """
                   row_number() OVER (PARTITION BY CAST(substr(source, 4) AS INTEGER) % 4 ORDER BY text, doc_id) AS url_index,
                   CAST(substr(source, 4) AS INTEGER) % 4 AS thread, string_split(text, chr(10)) AS text_lines
            FROM documents),
-    cp AS (SELECT *, lag(text_lines) OVER (PARTITION BY log_index ORDER BY url_index) AS prev FROM co)"""
+    cp AS (SELECT *, lag(text_lines) OVER (PARTITION BY thread ORDER BY url_index) AS prev FROM co)"""
 
 ORACLE["crawl_ordered"] = f"""WITH {CRAWL_ORDER}
 SELECT doc_id, log_index, url_index, thread,

@@ -79,3 +79,20 @@ def test_day_pairs_follow_the_calendar(spark):
     df = spark.createDataFrame(rows, "page_id string, day int, text array<string>")
     bits = {(r["page_id"], r["day1"]): r["text_changed"] for r in D.change_bits(df, ["text"]).collect()}
     assert bits == {("p", 20210612): 0, ("p", 20210613): 1, ("q", 20210613): 0}
+
+
+def test_false_duplicates_brute_force(spark, duck_check):
+    """Full rule with stdlib difflib over DuckDB's lagged rows equals Spark's flags."""
+    import __spark_entry__ as E
+    from conftest import SF_CHECK
+    from pagetide.plans.oracle import CRAWL_ORDER
+    rows = duck_check.sql(f"WITH {CRAWL_ORDER} SELECT doc_id, text_lines, prev FROM cp").fetchall()
+    want = {}
+    for doc_id, cur, prev in rows:
+        if prev is None:
+            want[doc_id] = True
+        else:
+            want[doc_id] = (len(cur) > 0 and prev[:3] != cur[:3]
+                            and difflib.SequenceMatcher(None, cur, prev).ratio() <= 0.75)
+    got = {r["doc_id"]: r["valid"] for r in E.queries()["false_duplicates"](spark, SF_CHECK).collect()}
+    assert got == want
