@@ -710,3 +710,8 @@ def q_amplitude_curve(spark, root):
         changed.select(F.concat(F.col("feature"), F.lit("/delete")).alias("series"), "page_id", "day1",
                        (F.col("delete") / total).alias("share")))
     return T.percentile_curve(shares, "series", "share", ["page_id", "day1"]).drop("page_id", "day1")
+
+
+@query("page_feature_numbers")
+def q_page_feature_numbers(spark, root):
+    return P.feature_numbers(P.page_feature_lists(Tables(spark, root).pages))

@@ -514,3 +514,15 @@ SELECT u.page_id, CAST(octet_length(encode(u.html)) AS INTEGER) AS size, md5(u.h
        CAST(len(links.internal) AS INTEGER) AS internal_outlinks, CAST(len(links.external) AS INTEGER) AS external_outlinks,
        CAST(len(hl.html_tags) AS INTEGER) AS tags_total, CAST(len(list_distinct(hl.html_tags)) AS INTEGER) AS tags_unique
 FROM u JOIN links ON links.page_id = u.page_id JOIN hl ON hl.page_id = u.page_id JOIN t0 ON t0.page_id = u.page_id"""
+
+ORACLE["page_feature_numbers"] = f"""WITH
+    vp AS (SELECT * FROM pages WHERE octet_length(encode(html)) <= {10 * 1048576} AND {S.has_html_element('html')}),
+    {_links_cte('vp')},
+    {_html_lists_cte('vp')},
+    tx AS (SELECT page_id, {S.text_lines('html')} AS text FROM vp)
+SELECT links.page_id, CAST(len(links.email) AS INTEGER) AS email_links,
+       CAST(len(links.external) AS INTEGER) AS external_outlinks, CAST(len(hl.images) AS INTEGER) AS images,
+       CAST(len(links.internal) AS INTEGER) AS internal_outlinks, CAST(len(hl.meta) AS INTEGER) AS meta,
+       CAST(len(tx.text) AS INTEGER) AS text, CAST(len(hl.scripts) AS INTEGER) AS scripts,
+       CAST(len(hl.tables) AS INTEGER) AS tables, CAST(len(hl.html_tags) AS INTEGER) AS html_tags
+FROM links JOIN hl ON hl.page_id = links.page_id JOIN tx ON tx.page_id = links.page_id"""

@@ -96,3 +96,21 @@ def test_false_duplicates_brute_force(spark, duck_check):
                             and difflib.SequenceMatcher(None, cur, prev).ratio() <= 0.75)
     got = {r["doc_id"]: r["valid"] for r in E.queries()["false_duplicates"](spark, SF_CHECK).collect()}
     assert got == want
+
+
+def test_diff_totals_and_amplitudes_brute_force(spark):
+    """Opcode totals and amplitude shares equal stdlib difflib over the snapshot pairs."""
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    from pagetide.plans.check import duckdb_connection
+    from pagetide.plans.oracle import SNAPSHOTS
+    con = duckdb_connection(SF_SMALL)
+    pairs = con.sql(f"WITH {SNAPSHOTS} SELECT text_1, text_2 FROM pr").fetchall()
+    ops = [opcode_counts_py(a, b) for a, b in pairs]
+    want = tuple(sum(o[i] for o in ops) for i in range(3))
+    got = E.queries()["diff_totals"](spark, SF_SMALL).first()
+    assert (got["equal"], got["insert"], got["delete"]) == want
+    changed = [o for o in ops if o[1] or o[2]]
+    amp = {r["feature"]: r for r in E.queries()["change_amplitudes"](spark, SF_SMALL).collect()}
+    ins = sum(o[1] / sum(o) for o in changed) / len(changed)
+    assert abs(amp["text"]["insert_share"] - ins) < 1e-12
