@@ -110,12 +110,23 @@ def diff_totals(diff: DataFrame, feature: str, include_equal: bool = True) -> Da
 
 def changed_sample(snapshots: DataFrame, feature: str, n: int, key: str = "page_id", day: str = "day",
                    seed: int = 42) -> DataFrame:
-    """n pairs whose feature differs, chosen by seeded-hash order (top-n, no global
-    sort), with the lines only in day 1 (``removed``) and only in day 2 (``added``)."""
-    pairs = day_pairs(snapshots, [feature], key, day)
-    a, b = F.col(feature + "_1"), F.col(feature + "_2")
-    differing = pairs.filter(~a.eqNullSafe(b))
+    """n pairs whose feature differs, chosen by seeded-hash order, with the lines
+    only in day 1 (``removed``) and only in day 2 (``added``).
+
+    The choice runs on digests (top-n, no global sort); only the n chosen
+    pages' full lists are then fetched, through a broadcast of n keys.
+    """
+    dig = snapshots.select(key, day, digest(feature).alias("_d"))
+    pairs = day_pairs(dig, ["_d"], key, day)
     order = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"), F.col("day1").cast("string")))
-    picked = differing.withColumn("_o", order).orderBy("_o", key).limit(n)
-    return picked.select(key, "day1", "day2", F.array_except(a, b).alias("removed"),
-                         F.array_except(b, a).alias("added"))
+    picked = (pairs.filter(F.col("_d_1") != F.col("_d_2")).withColumn("_o", order)
+                   .orderBy("_o", key).limit(n).select(key, "day1", "day2"))
+    chosen = F.broadcast(picked)  # n rows by construction
+    lists = snapshots.select(key, day, feature)
+    a = lists.join(chosen.select(key, F.col("day1").alias(day), "day2"), [key, day]).select(
+        key, F.col(day).alias("day1"), "day2", F.col(feature).alias("_a"))
+    b = lists.join(chosen.select(key, F.col("day2").alias(day)), [key, day]).select(
+        key, F.col(day).alias("day2"), F.col(feature).alias("_b"))
+    both = a.join(b, [key, "day2"])
+    return both.select(key, "day1", "day2", F.array_except("_a", "_b").alias("removed"),
+                       F.array_except("_b", "_a").alias("added"))

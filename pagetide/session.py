@@ -21,6 +21,20 @@ DEFAULT_CONF = {
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Page-sized lists travel to the alignment UDF: keep Arrow batches small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
+
+# Suggested settings for a large cluster (passed with spark-submit --conf; not
+# applied here).  Rows carry pages of up to 10 MiB, so input splits and shuffle
+# partitions are kept small and AQE merges what turns out tiny.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "3 x total executor cores (AQE coalesces)",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.checkpoint.dir": "shared storage (HDFS / object store), never a local disk",
+    "spark.task.maxFailures": "8",
 }
 
 
