@@ -166,13 +166,18 @@ def pair_models(train: DataFrame, test: DataFrame, features: list[str], params:
         yield (a, b), model, evaluate(model, te).first().asDict()
 
 
-def prediction_grid(model, grid: DataFrame) -> DataFrame:
-    """P(class 1) over an (x, y) grid for a two-feature model."""
+def prediction_grid(model, grid: DataFrame, swapped: bool = False) -> DataFrame:
+    """P(class 1) over an (x, y) grid for a two-feature model (features in
+    sorted order).  ``swapped`` reports the pair the other way round: columns
+    exchanged and rows ordered by (y, x)."""
     vec = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(
         grid.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
-    return (model.transform(vec)
-                 .select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"),
-                         vector_to_array("probability")[1].alias("probability")))
+    out = (model.transform(vec)
+                .select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"),
+                        vector_to_array("probability")[1].alias("probability")))
+    if swapped:
+        out = out.select(F.col("y").alias("x"), F.col("x").alias("y"), "probability").orderBy("y", "x")
+    return out
 
 
 def feature_elimination(train: DataFrame, test: DataFrame, features: list[str], params: dict | None = None):

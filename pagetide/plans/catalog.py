@@ -482,19 +482,19 @@ def q_ranked_domains(spark, root):
 @query("limited_links")
 def q_limited_links(spark, root):
     from pagetide.operators import seeds as SD
-    return SD.limit_per_domain(_dump_links(spark, root), limit=5)
+    return SD.limit_per_domain(_dump_links(spark, root), limit=SD.SLD_LIMIT)
 
 
 @query("popular_links")
 def q_popular_links(spark, root):
     from pagetide.operators import seeds as SD
-    return SD.limit_per_domain(_dump_links(spark, root), limit=5, by_popularity=True)
+    return SD.limit_per_domain(_dump_links(spark, root), limit=SD.SLD_LIMIT, by_popularity=True)
 
 
 @query("stage_sizes")
 def q_stage_sizes(spark, root):
     from pagetide.operators import seeds as SD
-    return SD.stage_sizes(SD.limit_per_domain(_dump_links(spark, root), limit=5))
+    return SD.stage_sizes(SD.limit_per_domain(_dump_links(spark, root), limit=SD.SLD_LIMIT))
 
 
 @query("domain_split")
@@ -502,7 +502,7 @@ def q_domain_split(spark, root):
     from pyspark.sql import functions as F
 
     from pagetide.operators import seeds as SD
-    staged = SD.limit_per_domain(_dump_links(spark, root), limit=50)
+    staged = SD.limit_per_domain(_dump_links(spark, root), limit=SD.SLD_LIMIT)
     return SD.split_domains(staged.filter(F.col("stage") == 0), train_size=0.8)
 
 

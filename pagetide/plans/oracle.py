@@ -447,9 +447,9 @@ def _limited(limit: int, popular: bool) -> str:
 SELECT sld, CAST(rn - 1 AS INTEGER) AS stage, link{extra} FROM rk WHERE rn <= {limit}"""
 
 
-ORACLE["limited_links"] = _limited(5, False)
-ORACLE["popular_links"] = _limited(5, True)
-ORACLE["stage_sizes"] = f"""WITH st AS ({_limited(5, False)}),
+ORACLE["limited_links"] = _limited(50, False)
+ORACLE["popular_links"] = _limited(50, True)
+ORACLE["stage_sizes"] = f"""WITH st AS ({_limited(50, False)}),
     per AS (SELECT stage, count(*) AS urls FROM st GROUP BY stage)
 SELECT stage, urls, round(CAST(100 AS DOUBLE) * urls / max(urls) OVER (ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS percentage
 FROM per"""

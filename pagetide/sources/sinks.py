@@ -21,6 +21,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     w.parquet(path)
 
 
+def write_feature_csvs(df: DataFrame, root: str, names: list[str], keys=("stage_file", "url_index")) -> None:
+    """One CSV per feature (keys + feature), rows key-sorted inside each file.
+    Joins on the keys do not need the order; it only makes files diffable."""
+    for name in names:
+        (df.select(*keys, F.col(name).cast("string").alias(name)).sortWithinPartitions(*keys)
+           .write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/{name}"))
+
+
 def write_stage_files(staged: DataFrame, path: str, width: int = 2) -> None:
     """One text directory per stage (``stage=links_s00`` ...), one link per line."""
     named = staged.select(F.concat(F.lit("links_s"), F.lpad(F.col("stage").cast("string"), width, "0")).alias("stage"),

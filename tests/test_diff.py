@@ -114,3 +114,12 @@ def test_diff_totals_and_amplitudes_brute_force(spark):
     amp = {r["feature"]: r for r in E.queries()["change_amplitudes"](spark, SF_SMALL).collect()}
     ins = sum(o[1] / sum(o) for o in changed) / len(changed)
     assert abs(amp["text"]["insert_share"] - ins) < 1e-12
+
+
+def test_hash_duplicates_textless_fallback(spark):
+    rows = [(0, 1, ["a"], (1, 2)), (0, 2, ["a"], (1, 2)), (0, 3, [], (3, 4)), (0, 4, [], (3, 4)), (0, 5, [], (5, 4))]
+    df = spark.createDataFrame(rows, "log_index int, url_index int, text_lines array<string>, "
+                                     "counts struct<images:int,tags:int>")
+    wp = C.previous_in_order(df, ["log_index"], ["url_index"], ["text_lines", "counts"])
+    got = {r["url_index"]: r["valid"] for r in C.hash_duplicates(wp, counts="counts", prev_counts="prev_counts").collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True}

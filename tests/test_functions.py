@@ -92,3 +92,10 @@ def test_tld_and_split(spark):
     first = spark.createDataFrame([(f"http://d{i}.nl/",) for i in range(10)], "link string")
     split = SD.split_domains(first, 0.8)
     assert split.filter("train").count() == 8 and split.count() == 10
+
+
+def test_bernoulli_consideration(spark):
+    df = spark.range(20000).select(F.col("id").cast("string").alias("link"))
+    kept = SD.consider(df, 0.25).count()
+    assert 4500 < kept < 5500
+    assert SD.consider(df, 1.0).count() == 20000
