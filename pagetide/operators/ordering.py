@@ -26,7 +26,9 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[Column |
     """Add ``name`` = 1-based position of the row inside its group in ``order_cols`` order.
 
     The order must be total (make the last order column unique) so the result
-    is deterministic and survives task retries.  ``few_groups`` (threads, days,
+    is deterministic and survives task retries.  The offset table and the rows
+    read the same range exchange; Spark's exchange reuse (on by default)
+    makes both branches see one set of range bounds.  ``few_groups`` (threads, days,
     labels, or no group at all) bounds the offset table by partitions + groups,
     so it is broadcast; many tiny groups are better served by ``row_number``.
     ``total`` optionally names a column with the group size.
