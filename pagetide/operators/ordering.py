@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetide.session import ensure_checkpoint_dir
+
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -26,9 +28,9 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[Column |
     """Add ``name`` = 1-based position of the row inside its group in ``order_cols`` order.
 
     The order must be total (make the last order column unique) so the result
-    is deterministic and survives task retries.  The offset table and the rows
-    read the same range exchange; Spark's exchange reuse (on by default)
-    makes both branches see one set of range bounds.  ``few_groups`` (threads, days,
+    is deterministic and survives task retries.  The numbered rows are
+    checkpointed (reliable, under ``spark.checkpoint.dir``) before the offset
+    table is derived from them, so both read one materialised partitioning.  ``few_groups`` (threads, days,
     labels, or no group at all) bounds the offset table by partitions + groups,
     so it is broadcast; many tiny groups are better served by ``row_number``.
     ``total`` optionally names a column with the group size.
@@ -40,6 +42,11 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[Column |
                 .sortWithinPartitions(*keys)
                 .withColumn("__di_pid", F.spark_partition_id())
                 .withColumn("__di_pos", F.monotonically_increasing_id()))
+    # Written once to the shared checkpoint folder: the offset table and the rows
+    # must see the same range bounds (two range exchanges would sample their own
+    # bounds), and a lost executor then re-reads files instead of re-sampling.
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint(eager=True)
     # (partition, group) slices: first local position and size.  At most
     # partitions + groups rows, because range partitions hold contiguous groups.
     slices = ranged.groupBy("__di_pid", *group_cols).agg(F.min("__di_pos").alias("__di_first"),

@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # ordering.dense_index reads one range exchange from two branches; reuse keeps them identical.
     "spark.sql.exchange.reuse": "true",
+    # Checkpoint files of unreferenced data sets are removed by the context cleaner.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",

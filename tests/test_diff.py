@@ -123,3 +123,16 @@ def test_hash_duplicates_textless_fallback(spark):
     wp = C.previous_in_order(df, ["log_index"], ["url_index"], ["text_lines", "counts"])
     got = {r["url_index"]: r["valid"] for r in C.hash_duplicates(wp, counts="counts", prev_counts="prev_counts").collect()}
     assert got == {1: True, 2: False, 3: True, 4: False, 5: True}
+
+
+def test_dense_index_with_payload_under_sampling(spark):
+    """Many rows (range bounds come from sampling) and a payload column that only
+    one branch needs: numbering must still equal row_number."""
+    from pyspark.sql import Window
+    df = (spark.range(60000).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("v"),
+                                    F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+              .repartition(8))
+    idx = dense_index(df, ["g"], ["v"], name="rn", num_partitions=24)
+    ref = df.select("g", "v", F.row_number().over(Window.partitionBy("g").orderBy("v")).alias("rn2"))
+    assert idx.join(ref, ["g", "v"]).filter("rn != rn2").count() == 0
+    assert idx.select("payload").distinct().count() == 60000
