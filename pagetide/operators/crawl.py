@@ -89,14 +89,28 @@ def join_logs_pages(logs: DataFrame, blobs: DataFrame) -> DataFrame:
     return valid_log_entries(logs).join(blobs.select("day", "page_key", "html"), ["day", "page_key"], "inner")
 
 
-def previous_in_order(df: DataFrame, thread_cols: list[str], order_cols: list[str], carry: list[str]) -> DataFrame:
+def previous_in_order(df: DataFrame, thread_cols: list[str], order_cols: list[str], carry: list[str],
+                      row_key: list[str] | None = None) -> DataFrame:
     """Attach ``prev_<col>`` of the previous page in crawl order within ``thread_cols``.
 
     ``thread_cols = [day, log_index]`` compares pages of one crawler thread;
-    ``[day]`` compares across thread borders in (log, stage, url) order.
+    ``[day]`` compares across thread borders in (log, stage, url) order.  With
+    a unique ``row_key`` the ordering runs on a narrow key projection only and
+    page payloads are joined by key afterwards (no payload in the range
+    shuffle or the checkpoint).
     """
-    indexed = dense_index(df, thread_cols, order_cols, name="_seq")
-    return previous_row(indexed, thread_cols, "_seq", carry).drop("_seq")
+    if not row_key:
+        indexed = dense_index(df, thread_cols, order_cols, name="_seq")
+        return previous_row(indexed, thread_cols, "_seq", carry).drop("_seq")
+    narrow = df.select(*dict.fromkeys([*row_key, *thread_cols, *order_cols]))
+    indexed = dense_index(narrow, thread_cols, order_cols, name="_seq")
+    prev_keys = [f"_pk_{k}" for k in row_key]
+    pairs = previous_row(indexed.select(*row_key, *thread_cols, "_seq"), thread_cols, "_seq", row_key,
+                         prefix="_pk_").select(*row_key, *prev_keys)
+    with_keys = df.join(pairs, row_key, "left")
+    prev = df.select(*[F.col(k).alias(p) for k, p in zip(row_key, prev_keys)],
+                     *[F.col(c).alias("prev_" + c) for c in carry])
+    return with_keys.join(prev.hint("merge"), prev_keys, "left").drop(*prev_keys)
 
 
 def start_overlap(prev: Column, cur: Column, n: int = START_LINES) -> Column:
@@ -161,7 +175,7 @@ def clean_crawl(logs: DataFrame, blobs: DataFrame, cross_thread: bool = False,
     pages = joined.withColumn("text_lines", H.text_lines("html"))
     threads = ["day"] if cross_thread else ["day", "log_index"]
     order = ["log_index", "stage_index", "url_index"] if cross_thread else ["stage_index", "url_index"]
-    with_prev = previous_in_order(pages, threads, order, ["text_lines"])
+    with_prev = previous_in_order(pages, threads, order, ["text_lines"], row_key=["day", "page_key"])
     flagged = flag_false_duplicates(with_prev, max_overlap=max_overlap)
     return flagged.filter("valid").drop("valid", "prev_text_lines", "status", "file_present")
 

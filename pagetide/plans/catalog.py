@@ -301,7 +301,7 @@ def _with_prev(spark, root):
     from pagetide.operators import crawl as C
     co = _crawl_order(spark, root)
     # A crawler thread's pages in URL order (FIXTURES: thread = source % 4).
-    return C.previous_in_order(co, ["thread"], ["url_index"], ["text_lines"])
+    return C.previous_in_order(co, ["thread"], ["url_index"], ["text_lines"], row_key=["doc_id"])
 
 
 @query("start_duplicates")
