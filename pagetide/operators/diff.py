@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.functions.udfs import opcode_counts
+from pagetide.operators.ordering import bounded_broadcast
 
 
 def calendar(snapshots: DataFrame, day: str = "day") -> DataFrame:
@@ -36,7 +37,7 @@ def day_pairs(snapshots: DataFrame, features: list[str], key: str = "page_id", d
     """
     left = left if left is not None else features
     right = right if right is not None else features
-    cal = F.broadcast(calendar(snapshots, day))
+    cal = bounded_broadcast(calendar(snapshots, day))  # one row per crawl day
     a = (snapshots.join(cal, day).select(F.col(key), F.col(day).alias("day1"), F.col("next_day").alias("day2"),
                                          *[F.col(c).alias(c + "_1") for c in left]))
     b = snapshots.select(F.col(key), F.col(day).alias("day2"), *[F.col(c).alias(c + "_2") for c in right])

@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 from pagetide.session import ensure_checkpoint_dir
 
 
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after counting: tables above ``max_rows`` stay
+    unhinted and join by shuffle (AQE may still broadcast them if small in bytes)."""
+    return F.broadcast(small) if small.count() <= max_rows else small
+
+
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -24,16 +33,17 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 
 def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[Column | str],
                 name: str = "idx", num_partitions: int | None = None,
-                few_groups: bool = True, total: str | None = None) -> DataFrame:
+                total: str | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of the row inside its group in ``order_cols`` order.
 
     The order must be total (make the last order column unique) so the result
     is deterministic and survives task retries.  The numbered rows are
     checkpointed (reliable, under ``spark.checkpoint.dir``) before the offset
-    table is derived from them, so both read one materialised partitioning.  ``few_groups`` (threads, days,
-    labels, or no group at all) bounds the offset table by partitions + groups,
-    so it is broadcast; many tiny groups are better served by ``row_number``.
-    ``total`` optionally names a column with the group size.
+    table is derived from them, so both read one materialised partitioning.
+    The offset table has at most partitions + groups rows and is broadcast
+    after a size check (few, large groups: threads, days, labels); many tiny
+    groups are better served by ``row_number``.  ``total`` optionally names a
+    column with the group size.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(c) for c in group_cols] + order
@@ -58,7 +68,7 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[Column |
         whole = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
         slices = slices.withColumn("__di_total", F.sum("__di_n").over(whole))
     slices = slices.drop("__di_n")
-    joined = ranged.join(F.broadcast(slices) if few_groups else slices, on=["__di_pid", *group_cols], how="inner")
+    joined = ranged.join(bounded_broadcast(slices), on=["__di_pid", *group_cols], how="inner")
     out = (joined.withColumn(name, (F.col("__di_offset") + F.col("__di_pos") - F.col("__di_first") + 1).cast("bigint"))
                  .drop("__di_pid", "__di_pos", "__di_first", "__di_offset"))
     return out.withColumnRenamed("__di_total", total) if total else out

@@ -91,8 +91,9 @@ def interval_join(long: DataFrame, intervals: DataFrame, feature: str = "feature
     """Rows matched to every interval with start <= value < max(start + 1, end).
 
     Zero-width intervals are widened to one, so a value may land in several.
-    The interval table is features x intervals (tiny, bounded by the
-    definition), so it is broadcast; the residual range test runs in the join.
+    The interval table has features x intervals rows (bounded by its
+    definition, not by the data), so it is broadcast; the residual range test
+    runs in the join.
     """
     iv = intervals.select(F.col(feature).alias("_f"), "interval", "start",
                           F.greatest(F.col("start") + 1, F.col("end")).alias("_end"))

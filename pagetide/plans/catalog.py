@@ -715,3 +715,18 @@ def q_amplitude_curve(spark, root):
 @query("page_feature_numbers")
 def q_page_feature_numbers(spark, root):
     return P.feature_numbers(P.page_feature_lists(Tables(spark, root).pages))
+
+
+@query("global_start_duplicates")
+def q_global_start_duplicates(spark, root):
+    """Cross-thread mode: the previous page is the previous one of the whole
+    crawl in (thread, URL index) order, across thread borders."""
+    from pyspark.sql import functions as F
+
+    from pagetide.operators import crawl as C
+    co = _crawl_order(spark, root)
+    wp = C.previous_in_order(co, [], ["thread", "url_index"], ["text_lines"], row_key=["doc_id"])
+    same = F.coalesce(C.start_overlap(F.col("prev_text_lines"), F.col("text_lines")), F.lit(False))
+    has_prev = F.col("prev_text_lines").isNotNull()
+    return wp.select("doc_id", "thread", "url_index", has_prev.alias("has_prev"), same.alias("same_start"),
+                     (~has_prev | ((F.size("text_lines") > 0) & ~same)).alias("cheap_valid"))

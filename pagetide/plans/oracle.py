@@ -526,3 +526,9 @@ SELECT links.page_id, CAST(len(links.email) AS INTEGER) AS email_links,
        CAST(len(tx.text) AS INTEGER) AS text, CAST(len(hl.scripts) AS INTEGER) AS scripts,
        CAST(len(hl.tables) AS INTEGER) AS tables, CAST(len(hl.html_tags) AS INTEGER) AS html_tags
 FROM links JOIN hl ON hl.page_id = links.page_id JOIN tx ON tx.page_id = links.page_id"""
+
+ORACLE["global_start_duplicates"] = f"""WITH {CRAWL_ORDER},
+    g AS (SELECT *, lag(text_lines) OVER (ORDER BY thread, url_index) AS gp FROM co),
+    f AS (SELECT *, gp IS NOT NULL AS has_prev, coalesce(gp[1:3] = text_lines[1:3], false) AS same_start FROM g)
+SELECT doc_id, thread, url_index, has_prev, same_start,
+       (NOT has_prev) OR (len(text_lines) > 0 AND NOT same_start) AS cheap_valid FROM f"""
