@@ -11,11 +11,11 @@ def _col(c) -> Column:
 
 
 def crawl_timestamp(s) -> Column:
-    return F.to_timestamp(_col(s), "yyyyMMddHHmmss")
+    return F.try_to_timestamp(_col(s), F.lit("yyyyMMddHHmmss"))
 
 
 def crawl_day(s) -> Column:
-    return F.to_date(_col(s), "yyyyMMdd")
+    return F.try_to_date(_col(s), "yyyyMMdd")
 
 
 def weekday(ts) -> Column:

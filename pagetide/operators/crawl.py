@@ -29,6 +29,9 @@ RAW_LOG_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in LOG_COL
 def read_crawl_logs(spark, path: str, day: str | None = None) -> DataFrame:
     """Crawler thread logs (CSV with header) of one or many crawl days.
 
+    Values are parsed with ``try_`` functions: a malformed line yields nulls
+    instead of failing the job (ANSI mode).
+
     ``path`` may be a glob over day directories (``root/*/*.csv``).  The log
     index comes from the file name (``log-thread-K.csv``), the day from the
     ``yyyymmdd`` prefix of the parent directory unless given.
@@ -38,13 +41,13 @@ def read_crawl_logs(spark, path: str, day: str | None = None) -> DataFrame:
     day_str = F.lit(day) if day else F.regexp_extract("_path", r"/(\d{8})[^/]*/[^/]+$", 1)
     stage_file = F.translate(F.col("Stage file"), "\u0000", "")
     return raw.select(
-        F.to_date(day_str, "yyyyMMdd").alias("day"),
-        F.regexp_extract("_path", r"-(\d+)\.[^/.]*$", 1).cast("int").alias("log_index"),
+        F.try_to_date(day_str, "yyyyMMdd").alias("day"),
+        F.regexp_extract("_path", r"-(\d+)\.[^/.]*$", 1).try_cast("int").alias("log_index"),
         stage_file.alias("stage_file"),
-        F.regexp_extract(stage_file, r"_s(\d+)$", 1).cast("int").alias("stage_index"),
-        F.col("URL index").cast("int").alias("url_index"),
+        F.regexp_extract(stage_file, r"_s(\d+)$", 1).try_cast("int").alias("stage_index"),
+        F.col("URL index").try_cast("int").alias("url_index"),
         F.col("Status code").alias("status"),
-        F.to_timestamp(F.col("Timestamp"), "yyyyMMddHHmmss").alias("ts"),
+        F.try_to_timestamp(F.col("Timestamp"), F.lit("yyyyMMddHHmmss")).alias("ts"),
         (F.col("File present") == FILE_PRESENT).alias("file_present"),
         F.col("URL").alias("url"),
         F.concat(stage_file, F.lit("-"), F.col("URL index")).alias("page_key"))
@@ -61,7 +64,7 @@ def read_page_blobs(spark, path: str, day: str | None = None) -> DataFrame:
     valid = F.is_valid_utf8(text)
     day_str = F.lit(day) if day else F.regexp_extract("path", r"/(\d{8})[^/]*/pages/[^/]+$", 1)
     return raw.select(
-        F.to_date(day_str, "yyyyMMdd").alias("day"),
+        F.try_to_date(day_str, "yyyyMMdd").alias("day"),
         F.element_at(F.split(F.col("path"), "/"), -1).alias("page_key"),
         F.col("length").alias("size"),
         F.when(valid, text).otherwise(F.lit("")).alias("html"))

@@ -60,7 +60,7 @@ def snapshots(documents: DataFrame) -> DataFrame:
 def crawl_order(documents: DataFrame) -> DataFrame:
     """Crawl log stand-in: source number = log index, source % 4 = crawler thread,
     URL index = rank of (text, doc_id) inside the thread."""
-    src = F.substring(F.col("source"), 4, 1 << 20).cast("int")
+    src = F.substring(F.col("source"), 4, 1 << 20).try_cast("int")
     base = documents.select("doc_id", "text", src.alias("log_index"), (src % 4).alias("thread"))
     ranked = dense_index(base, ["thread"], ["text", "doc_id"], name="url_index")
     return ranked.select("doc_id", "log_index", "url_index", "thread",
