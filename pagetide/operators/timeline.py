@@ -12,6 +12,8 @@ never from a cross join.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,20 @@ def first_stage(bits: DataFrame) -> DataFrame:
     return bits.filter(F.substring_index(F.col("page_id"), "-", 1) == "s00")
 
 
-def week_bounds(bits: DataFrame) -> tuple[int, int]:
-    """First and last ISO week present (one scalar aggregate)."""
-    row = bits.agg(F.min(F.weekofyear("day2")).alias("a"), F.max(F.weekofyear("day2")).alias("b")).first()
-    return int(row["a"]), int(row["b"])
+def week_bounds(bits: DataFrame, complete_only: bool = True) -> tuple[int, int]:
+    """First and last ISO week of the study (one scalar aggregate).
+
+    With ``complete_only`` only weeks whose seven days all lie in the day2
+    span count: from the first Monday on or after the first day to the last
+    Sunday on or before the last day (a 2021-06-13 ... 2021-09-09 span gives
+    weeks 24 ... 35).
+    """
+    row = bits.agg(F.min("day2").alias("lo"), F.max("day2").alias("hi")).first()
+    lo, hi = row["lo"], row["hi"]
+    if complete_only:
+        lo = lo + dt.timedelta(days=(7 - lo.weekday()) % 7)
+        hi = hi - dt.timedelta(days=(hi.weekday() + 1) % 7)
+    return lo.isocalendar()[1], hi.isocalendar()[1]
 
 
 def long_bits(bits: DataFrame, keep=("page_id", "day2")) -> DataFrame:

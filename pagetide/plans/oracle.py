@@ -94,7 +94,9 @@ def _weekly_cte(first_stage: bool = False) -> str:
     lb AS (SELECT 'text' AS feature, page_id, day2, text_changed AS bit FROM cbs
            UNION ALL SELECT 'internal_outlinks', page_id, day2, ilinks_changed FROM cbs
            UNION ALL SELECT 'external_outlinks', page_id, day2, elinks_changed FROM cbs),
-    bounds AS (SELECT min(weekofyear(day2)) AS fw, max(weekofyear(day2)) AS lw FROM cbs),
+    span AS (SELECT min(day2) AS lo, max(day2) AS hi FROM cbs),
+    bounds AS (SELECT weekofyear(lo + CAST((8 - isodow(lo)) % 7 AS INTEGER)) AS fw,
+                      weekofyear(hi - CAST(isodow(hi) % 7 AS INTEGER)) AS lw FROM span),
     weeks AS (SELECT CAST(unnest(range(fw, lw + 1)) AS INTEGER) AS week FROM bounds),
     wsum AS (SELECT feature, page_id, weekofyear(day2) AS week, sum(bit) AS n FROM lb GROUP BY ALL),
     wk AS (SELECT f.feature, p.page_id, w.week, CAST(coalesce(s.n, 0) AS INTEGER) AS n

@@ -79,3 +79,10 @@ def test_rare_changes_threshold(spark):
                                      "elinks_changed int").withColumn("day2", F.to_date("day2"))
     got = {str(r["day2"]): r["rare_changes"] for r in T.rare_changes(df, 89, 0.1).collect()}
     assert got == {"2021-06-13": 1, "2021-06-14": 1}
+
+
+def test_complete_weeks_of_the_study_span(spark):
+    df = spark.createDataFrame([("s00-1", "2021-06-13"), ("s00-1", "2021-09-09")], "page_id string, day2 string") \
+              .withColumn("day2", F.to_date("day2"))
+    assert T.week_bounds(df) == (24, 35)
+    assert T.week_bounds(df, complete_only=False) == (23, 36)
