@@ -63,11 +63,9 @@ def category_shares(labels: DataFrame, categories: str = "categories") -> DataFr
     """(category, share): share of labelled pages carrying each category,
     ordered by count desc then name."""
     cats = labels.select(F.array_distinct(F.split(F.col(categories), ",")).alias("_cs"))
-    n = labels.agg(F.count(F.lit(1)).alias("_n"))
+    n = labels.count()  # one scalar
     counts = cats.select(F.explode("_cs").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("_c"))
-    # _n is a one-row aggregate; joining on a constant key broadcasts one row.
-    return (counts.withColumn("_k", F.lit(1)).join(F.broadcast(n.withColumn("_k", F.lit(1))), "_k")
-                  .select("category", (F.col("_c") / F.col("_n")).alias("share"), "_c")
+    return (counts.select("category", F.try_divide(F.col("_c").cast("double"), F.lit(float(n))).alias("share"), "_c")
                   .orderBy(F.desc("_c"), "category").drop("_c"))
 
 

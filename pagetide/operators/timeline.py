@@ -215,17 +215,13 @@ def daily_changes(bits: DataFrame, limit_weekday: int | None = None) -> DataFram
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("changed")) for f in FEATURE_BITS])
     long = (days.select("day_no", F.explode(cells).alias("_c"))
                 .groupBy("_c.feature", "day_no").agg(F.sum("_c.changed").alias("changed")))
-    n_pages = bits.agg(F.count_distinct("page_id").alias("n_pages"))
+    n_pages = bits.agg(F.count_distinct("page_id")).first()[0]  # one scalar
     span = long.groupBy().agg(F.max("day_no").alias("_last"))
     grid = (span.select(F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("day_no"))
                 .select(F.explode(F.array(*[F.lit(f) for f in FEATURE_BITS])).alias("feature"), "day_no"))
     dense = grid.join(long, ["feature", "day_no"], "left").select(
         "feature", "day_no", F.coalesce("changed", F.lit(0)).cast("bigint").alias("changed"))
-    # n_pages is a one-row aggregate: attach it by a join on a constant key.
-    return (dense.withColumn("_k", F.lit(1))
-                 .join(F.broadcast(n_pages.withColumn("_k", F.lit(1))), "_k")
-                 .select("feature", "day_no", "changed",
-                         F.try_divide(F.col("changed").cast("double"), F.col("n_pages")).alias("fraction")))
+    return dense.withColumn("fraction", F.try_divide(F.col("changed").cast("double"), F.lit(float(n_pages or 0))))
 
 
 def changes_per_page(bits: DataFrame, bit: str = "text_changed") -> DataFrame:
