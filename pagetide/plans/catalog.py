@@ -8,9 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagetide.operators import change_types as CT
+from pagetide.operators import crawl as C
+from pagetide.operators import diff as D
+from pagetide.operators import ml as M
 from pagetide.operators import pages as P
+from pagetide.operators import seeds as SD
+from pagetide.operators import stats as ST
+from pagetide.operators import threats as TH
+from pagetide.operators import timeline as T
+from pagetide.operators import vectors as V
+from pagetide.sources import proxies as X
 from pagetide.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,117 +65,108 @@ def q_page_static_features(spark, root):
 # ---------------------------------------------------------------- change timeline
 
 def _bits(spark, root, only_first_stage=False):
-    from pagetide.operators import timeline as T
-    from pagetide.sources import proxies as X
     bits = X.change_bits(Tables(spark, root).events)
     return T.first_stage(bits) if only_first_stage else bits
 
 
 def _weekly(spark, root):
-    from pagetide.operators import timeline as T
     bits = _bits(spark, root)
     fw, lw = T.week_bounds(bits)
-    return T, bits, fw, lw
+    return bits, fw, lw
 
 
 def _n_pairs(bits):
-    from pyspark.sql import functions as F
     return int(bits.agg(F.count_distinct("day2")).first()[0])
 
 
 @query("weekly_changes")
 def q_weekly_changes(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.weekly_changes(bits, fw, lw)
 
 
 @query("change_matrix")
 def q_change_matrix(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.change_matrix(bits, fw, lw)
 
 
 @query("normalized_matrix")
 def q_normalized_matrix(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.normalized_matrix(T.change_matrix(bits, fw, lw))
 
 
 @query("change_cube")
 def q_change_cube(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.change_cube(bits, fw, lw)
 
 
 @query("alluvial_edges")
 def q_alluvial_edges(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.alluvial_edges(T.change_cube(bits, fw, lw), fw)
 
 
 @query("avg_behaviour")
 def q_avg_behaviour(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.average_behaviour(T.change_matrix(bits, fw, lw))
 
 
 @query("persistence")
 def q_persistence(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.persistence(T.change_cube(bits, fw, lw))
 
 
 @query("persistence3")
 def q_persistence3(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.persistence3(T.change_cube(bits, fw, lw))
 
 
 @query("persistence_all")
 def q_persistence_all(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.persistence_all(T.change_cube(bits, fw, lw))
 
 
 @query("neighbour_moves")
 def q_neighbour_moves(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.neighbour_moves(T.change_cube(bits, fw, lw))
 
 
 @query("neighbour_moves3")
 def q_neighbour_moves3(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.neighbour_moves3(T.change_cube(bits, fw, lw))
 
 
 @query("daily_changes")
 def q_daily_changes(spark, root):
-    from pagetide.operators import timeline as T
     return T.daily_changes(_bits(spark, root))
 
 
 @query("weekday_changes")
 def q_weekday_changes(spark, root):
-    from pagetide.operators import timeline as T
     return T.daily_changes(_bits(spark, root), limit_weekday=1)
 
 
 @query("first_stage_daily")
 def q_first_stage_daily(spark, root):
-    from pagetide.operators import timeline as T
     return T.daily_changes(_bits(spark, root, only_first_stage=True))
 
 
 @query("changes_per_page")
 def q_changes_per_page(spark, root):
-    from pagetide.operators import timeline as T
     return T.changes_per_page(_bits(spark, root))
 
 
 @query("rare_changes")
 def q_rare_changes(spark, root):
-    from pagetide.operators import timeline as T
     bits = _bits(spark, root)
     # The proxy's pages change on most days; a 0.5 share keeps the rare set non-empty.
     return T.rare_changes(bits, _n_pairs(bits), 0.5)
@@ -171,7 +174,6 @@ def q_rare_changes(spark, root):
 
 @query("day_change_curve")
 def q_day_change_curve(spark, root):
-    from pagetide.operators import timeline as T
     bits = _bits(spark, root)
     return T.day_change_curve(bits, _n_pairs(bits))
 
@@ -179,19 +181,15 @@ def q_day_change_curve(spark, root):
 # ---------------------------------------------------------------- order statistics, training data
 
 def _training(spark, root):
-    from pagetide.sources import proxies as X
     t = Tables(spark, root)
     return X.training(t.documents, t.labels)
 
 
 def _training_long(spark, root):
-    from pagetide.operators import stats as ST
-    from pagetide.sources import proxies as X
     return ST.unpivot(_training(spark, root), X.TRAINING_FEATURES)
 
 
 def _predicted(spark, root):
-    from pyspark.sql import functions as F
     # Deterministic threshold classifier standing in for stored model predictions.
     tr = _training(spark, root)
     return tr.withColumn("prediction", F.when(F.col("f_dots") > F.col("f_lines"), 1).otherwise(0))
@@ -199,21 +197,16 @@ def _predicted(spark, root):
 
 @query("feature_percentiles")
 def q_feature_percentiles(spark, root):
-    from pagetide.operators import stats as ST
     return ST.percentiles(_training_long(spark, root))
 
 
 @query("value_statistics")
 def q_value_statistics(spark, root):
-    from pagetide.operators import stats as ST
     return ST.value_statistics(_training_long(spark, root), ignore_extremes=0.025)
 
 
 @query("quantity_statistics")
 def q_quantity_statistics(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import stats as ST
     li = Tables(spark, root).lineitem
     long = ST.unpivot(li.select(F.col("l_quantity").cast("int").alias("quantity"),
                                 F.col("l_linenumber").alias("linenumber")), ["quantity", "linenumber"])
@@ -222,53 +215,42 @@ def q_quantity_statistics(spark, root):
 
 @query("interval_edges")
 def q_interval_edges(spark, root):
-    from pagetide.operators import stats as ST
     return ST.interval_edges(_training_long(spark, root), 10)
 
 
 @query("error_heatmap")
 def q_error_heatmap(spark, root):
-    from pagetide.operators import stats as ST
-    from pagetide.sources import proxies as X
     intervals = ST.interval_edges(_training_long(spark, root), 10)
     return ST.error_heatmap(_predicted(spark, root), X.TRAINING_FEATURES, intervals)
 
 
 @query("min_recall")
 def q_min_recall(spark, root):
-    from pagetide.operators import stats as ST
     return ST.confusion(_predicted(spark, root))
 
 
 @query("accuracy")
 def q_accuracy(spark, root):
-    from pagetide.operators import stats as ST
     return ST.accuracy(_predicted(spark, root))
 
 
 @query("hash_split")
 def q_hash_split(spark, root):
-    from pagetide.operators import ml as M
     return M.hash_split(_training(spark, root)).select("page_id", "label", "validation")
 
 
 @query("class_weights")
 def q_class_weights(spark, root):
-    from pagetide.operators import ml as M
     return M.class_weights(_training(spark, root)).select("page_id", "label", "weight")
 
 
 @query("balanced_sample")
 def q_balanced_sample(spark, root):
-    from pagetide.operators import ml as M
     return M.balanced_sample(_training(spark, root), 100)
 
 
 @query("feature_grid")
 def q_feature_grid(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import stats as ST
     st = _training(spark, root).agg(F.min("f_lines").alias("xl"), F.max("f_lines").alias("xh"),
                                     F.min("f_commas").alias("yl"), F.max("f_commas").alias("yh"))
     return ST.feature_grid(st, "xl", "xh", "yl", "yh", 100)
@@ -277,28 +259,22 @@ def q_feature_grid(spark, root):
 # ---------------------------------------------------------------- crawl clean-up
 
 def _crawl_order(spark, root):
-    from pagetide.sources import proxies as X
     # The proxy range-partitions first thing: no round-robin spread in front of it.
     return X.crawl_order(Tables(spark, root, spread=False).documents)
 
 
 @query("crawl_ordered")
 def q_crawl_ordered(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import crawl as C
     co = _crawl_order(spark, root).withColumn("stage_index", F.lit(0))
     return C.with_order_index(co).select("doc_id", "log_index", "url_index", "thread", "order_index")
 
 
 @query("sampled_pages")
 def q_sampled_pages(spark, root):
-    from pagetide.operators import crawl as C
     return C.sample_crawl(_crawl_order(spark, root)).select("doc_id", "log_index", "url_index")
 
 
 def _with_prev(spark, root):
-    from pagetide.operators import crawl as C
     co = _crawl_order(spark, root)
     # A crawler thread's pages in URL order (FIXTURES: thread = source % 4).
     return C.previous_in_order(co, ["thread"], ["url_index"], ["text_lines"], row_key=["doc_id"])
@@ -306,9 +282,6 @@ def _with_prev(spark, root):
 
 @query("start_duplicates")
 def q_start_duplicates(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import crawl as C
     wp = _with_prev(spark, root)
     same = F.coalesce(C.start_overlap(F.col("prev_text_lines"), F.col("text_lines")), F.lit(False))
     has_prev = F.col("prev_text_lines").isNotNull()
@@ -318,21 +291,16 @@ def q_start_duplicates(spark, root):
 
 @query("hash_duplicates")
 def q_hash_duplicates(spark, root):
-    from pagetide.operators import crawl as C
     return C.hash_duplicates(_with_prev(spark, root)).select("doc_id", "log_index", "url_index", "valid")
 
 
 @query("false_duplicates")
 def q_false_duplicates(spark, root):
-    from pagetide.operators import crawl as C
     return C.flag_false_duplicates(_with_prev(spark, root)).select("doc_id", "log_index", "url_index", "valid")
 
 
 @query("log_blob_join")
 def q_log_blob_join(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import crawl as C
     t = Tables(spark, root)
     # Stand-in log: one row per labelled document; quality 1 = fetched, toxic 0 = file kept.
     logs = t.labels.select(
@@ -348,10 +316,6 @@ def q_log_blob_join(spark, root):
 
 @query("threat_urls")
 def q_threat_urls(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import threats as TH
-    from pagetide.sources import proxies as X
     rows = X.log_rows(Tables(spark, root).events)
     threats = rows.filter(F.col("is_threat") == 1).select("ts")
     logs = rows.filter(F.col("is_threat") == 0).select("event_id", "ts")
@@ -364,30 +328,25 @@ SNAP_FEATURES = ["text", "internal_outlinks", "meta"]
 
 
 def _snap(spark, root):
-    from pagetide.sources import proxies as X
     return X.snapshots(Tables(spark, root).documents)
 
 
 @query("day_pair_bits")
 def q_day_pair_bits(spark, root):
-    from pagetide.operators import diff as D
     return D.change_bits(_snap(spark, root), SNAP_FEATURES, day="day_no")
 
 
 @query("feature_numbers")
 def q_feature_numbers(spark, root):
-    from pagetide.operators import diff as D
     return D.feature_numbers(_snap(spark, root), SNAP_FEATURES, day="day_no")
 
 
 @query("training_pairs")
 def q_training_pairs(spark, root):
-    from pagetide.operators import diff as D
     return D.training_pairs(_snap(spark, root), SNAP_FEATURES, ["text", "internal_outlinks"], day="day_no")
 
 
 def _digest_pairs(spark, root):
-    from pagetide.operators import diff as D
     snap = _snap(spark, root)
     dig = snap.select("page_id", "day_no", *[D.digest(f).alias(f) for f in SNAP_FEATURES], "page_hash")
     return D.day_pairs(dig, SNAP_FEATURES + ["page_hash"], day="day_no")
@@ -395,40 +354,31 @@ def _digest_pairs(spark, root):
 
 @query("change_fractions")
 def q_change_fractions(spark, root):
-    from pagetide.operators import change_types as CT
     return CT.change_fractions(_digest_pairs(spark, root), SNAP_FEATURES)
 
 
 @query("informative_split")
 def q_informative_split(spark, root):
-    from pagetide.operators import change_types as CT
     return CT.informative_split(_digest_pairs(spark, root), SNAP_FEATURES)
 
 
 @query("feature_diff")
 def q_feature_diff(spark, root):
-    from pagetide.operators import diff as D
     return D.feature_diff(_snap(spark, root), SNAP_FEATURES, day="day_no")
 
 
 @query("change_amplitudes")
 def q_change_amplitudes(spark, root):
-    from pagetide.operators import change_types as CT
-    from pagetide.operators import diff as D
     return CT.change_amplitudes(D.feature_diff(_snap(spark, root), SNAP_FEATURES, day="day_no"))
 
 
 @query("diff_totals")
 def q_diff_totals(spark, root):
-    from pagetide.operators import diff as D
     return D.diff_totals(D.feature_diff(_snap(spark, root), ["text"], day="day_no", page_hash=None), "text")
 
 
 @query("changed_sample")
 def q_changed_sample(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import diff as D
     s = D.changed_sample(_snap(spark, root), "text", 10, day="day_no")
     return s.select("page_id", "day1", "day2", F.size("removed").alias("n_removed"), F.size("added").alias("n_added"),
                     F.md5(F.array_join(F.array_sort("removed"), "\n")).alias("removed_md5"),
@@ -437,23 +387,17 @@ def q_changed_sample(spark, root):
 
 @query("change_categories")
 def q_change_categories(spark, root):
-    from pagetide.operators import change_types as CT
-    from pagetide.sources import proxies as X
     return CT.category_shares(X.categories(Tables(spark, root).events))
 
 
 @query("useful_changes")
 def q_useful_changes(spark, root):
-    from pagetide.operators import change_types as CT
-    from pagetide.sources import proxies as X
     return CT.useful_share(X.categories(Tables(spark, root).events), useful=("purchase", "signup"))
 
 
 # ---------------------------------------------------------------- seed selection
 
 def _dump_links(spark, root):
-    from pagetide.operators import seeds as SD
-    from pagetide.sources import proxies as X
     return SD.dump_links(X.wiki_lines(Tables(spark, root).pages))
 
 
@@ -464,16 +408,11 @@ def q_wiki_links(spark, root):
 
 @query("tld_links")
 def q_tld_links(spark, root):
-    from pagetide.operators import seeds as SD
     return SD.tld_filter(_dump_links(spark, root), "com")
 
 
 @query("ranked_domains")
 def q_ranked_domains(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import seeds as SD
-    from pagetide.sources import proxies as X
     ranked = X.ranked_domains(Tables(spark, root).pages).select(
         F.col("host").alias("domain"), F.substring_index("host", ".", -1).alias("tld"))
     return SD.ranked_domain_links(ranked, "com")
@@ -481,27 +420,21 @@ def q_ranked_domains(spark, root):
 
 @query("limited_links")
 def q_limited_links(spark, root):
-    from pagetide.operators import seeds as SD
     return SD.limit_per_domain(_dump_links(spark, root), limit=SD.SLD_LIMIT)
 
 
 @query("popular_links")
 def q_popular_links(spark, root):
-    from pagetide.operators import seeds as SD
     return SD.limit_per_domain(_dump_links(spark, root), limit=SD.SLD_LIMIT, by_popularity=True)
 
 
 @query("stage_sizes")
 def q_stage_sizes(spark, root):
-    from pagetide.operators import seeds as SD
     return SD.stage_sizes(SD.limit_per_domain(_dump_links(spark, root), limit=SD.SLD_LIMIT))
 
 
 @query("domain_split")
 def q_domain_split(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import seeds as SD
     staged = SD.limit_per_domain(_dump_links(spark, root), limit=SD.SLD_LIMIT)
     return SD.split_domains(staged.filter(F.col("stage") == 0), train_size=0.8)
 
@@ -510,33 +443,27 @@ def q_domain_split(spark, root):
 
 @query("cosine_neighbours")
 def q_cosine_neighbours(spark, root):
-    from pagetide.operators import vectors as V
     return V.semantic_duplicates(Tables(spark, root).embeddings, "vec_id", "embedding")
 
 
 @query("vector_mean")
 def q_vector_mean(spark, root):
-    from pagetide.operators import vectors as V
     return V.mean_vectors(Tables(spark, root).embeddings, "label", "embedding")
 
 
 @query("token_chunks")
 def q_token_chunks(spark, root):
-    from pagetide.operators import vectors as V
     return V.token_chunks(Tables(spark, root).documents, "doc_id", "text", 512)
 
 
 @query("pca_components")
 def q_pca_components(spark, root):
-    from pagetide.operators import vectors as V
     return V.pca_projection(Tables(spark, root).embeddings, "vec_id", "embedding", k=24)
 
 
 # ---------------------------------------------------------------- models (rows-only checks)
 
 def _prepared(spark, root):
-    from pagetide.operators import ml as M
-    from pagetide.sources import proxies as X
     return M.prepare(_training(spark, root), X.TRAINING_FEATURES)
 
 
@@ -554,7 +481,6 @@ def _conf_row(name, conf):
 
 @query("rf_eval")
 def q_rf_eval(spark, root):
-    from pagetide.operators import ml as M
     train, test, balanced = _prepared(spark, root)
     p = M.RF_PARAMS
     model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
@@ -564,7 +490,6 @@ def q_rf_eval(spark, root):
 
 @query("lr_eval")
 def q_lr_eval(spark, root):
-    from pagetide.operators import ml as M
     train, test, balanced = _prepared(spark, root)
     conf = M.evaluate(M.logistic_regression(balanced), test).first().asDict()
     return _rows(spark, [_conf_row("logistic_regression", conf)], CONF_SCHEMA)
@@ -572,10 +497,6 @@ def q_lr_eval(spark, root):
 
 @query("rf_importances")
 def q_rf_importances(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import ml as M
-    from pagetide.sources import proxies as X
     train, test, balanced = _prepared(spark, root)
     p = M.RF_PARAMS
     model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
@@ -584,10 +505,6 @@ def q_rf_importances(spark, root):
 
 @query("lr_coefficients")
 def q_lr_coefficients(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import ml as M
-    from pagetide.sources import proxies as X
     train, test, balanced = _prepared(spark, root)
     model = M.logistic_regression(balanced)
     return M.normalized_coefficients(model, train, X.TRAINING_FEATURES).orderBy(F.desc(F.abs("share")))
@@ -595,8 +512,6 @@ def q_lr_coefficients(spark, root):
 
 @query("rf_pairs")
 def q_rf_pairs(spark, root):
-    from pagetide.operators import ml as M
-    from pagetide.sources import proxies as X
     train, test, balanced = _prepared(spark, root)
     rows = [(X.TRAINING_FEATURES[a], X.TRAINING_FEATURES[b], conf["min_recall"])
             for (a, b), _m, conf in M.pair_models(balanced, test, X.TRAINING_FEATURES)]
@@ -605,7 +520,6 @@ def q_rf_pairs(spark, root):
 
 @query("rf_depths")
 def q_rf_depths(spark, root):
-    from pagetide.operators import ml as M
     train, test, balanced = _prepared(spark, root)
     rows = []
     for depth in range(2, 16):
@@ -616,11 +530,6 @@ def q_rf_depths(spark, root):
 
 @query("rf_grid")
 def q_rf_grid(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import ml as M
-    from pagetide.operators import stats as ST
-    from pagetide.sources import proxies as X
     train, test, balanced = _prepared(spark, root)
     a, b = X.TRAINING_FEATURES.index("f_lines"), X.TRAINING_FEATURES.index("f_commas")
     p = M.RF_PARAMS
@@ -633,8 +542,6 @@ def q_rf_grid(spark, root):
 
 @query("rf_elimination")
 def q_rf_elimination(spark, root):
-    from pagetide.operators import ml as M
-    from pagetide.sources import proxies as X
     train, test, balanced = _prepared(spark, root)
     steps = M.feature_elimination(balanced, test, X.TRAINING_FEATURES)
     return _rows(spark, steps, "features int, used string, accuracy double, dropped string")
@@ -642,12 +549,6 @@ def q_rf_elimination(spark, root):
 
 @query("pair_sample_accuracy")
 def q_pair_sample_accuracy(spark, root):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import ml as M
-    from pagetide.operators import stats as ST
-    from pagetide.sources import proxies as X
     feats = X.TRAINING_FEATURES
     train, test, balanced = _prepared(spark, root)
     sample = M.balanced_sample(_training(spark, root), 100).withColumn("label", F.col("label").cast("double"))
@@ -661,7 +562,6 @@ def q_pair_sample_accuracy(spark, root):
 
 @query("cv_search")
 def q_cv_search(spark, root):
-    from pagetide.operators import ml as M
     train, test, balanced = _prepared(spark, root)
     cv = M.cross_validated_forest(balanced, num_trees=(50,), max_depth=(20,), min_instances=(1,), folds=5)
     conf = M.evaluate(cv.bestModel, test).first().asDict()
@@ -679,10 +579,6 @@ def q_class_downsample(spark, root):
 
 @query("rf_predictions")
 def q_rf_predictions(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import ml as M
-    from pagetide.sources import proxies as X
     train, test, balanced = _prepared(spark, root)
     p = M.RF_PARAMS
     model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
@@ -692,16 +588,12 @@ def q_rf_predictions(spark, root):
 
 @query("normalized_cube")
 def q_normalized_cube(spark, root):
-    T, bits, fw, lw = _weekly(spark, root)
+    bits, fw, lw = _weekly(spark, root)
     return T.normalized_cube(T.change_cube(bits, fw, lw))
 
 
 @query("amplitude_curve")
 def q_amplitude_curve(spark, root):
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import diff as D
-    from pagetide.operators import timeline as T
     d = D.feature_diff(_snap(spark, root), SNAP_FEATURES, day="day_no", page_hash=None)
     changed = d.filter((F.col("insert") != 0) | (F.col("delete") != 0))
     total = (F.col("equal") + F.col("insert") + F.col("delete")).cast("double")
@@ -721,9 +613,6 @@ def q_page_feature_numbers(spark, root):
 def q_global_start_duplicates(spark, root):
     """Cross-thread mode: the previous page is the previous one of the whole
     crawl in (thread, URL index) order, across thread borders."""
-    from pyspark.sql import functions as F
-
-    from pagetide.operators import crawl as C
     co = _crawl_order(spark, root)
     wp = C.previous_in_order(co, [], ["thread", "url_index"], ["text_lines"], row_key=["doc_id"])
     same = F.coalesce(C.start_overlap(F.col("prev_text_lines"), F.col("text_lines")), F.lit(False))
