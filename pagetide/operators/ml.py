@@ -74,7 +74,8 @@ def prepare(df: DataFrame, features: list[str], label: str = "label", id_col: st
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = data.filter(~F.col("validation")), data.filter(F.col("validation"))
-    balanced = balance_by_sampling(train, "label", class_counts(train, "label"))
+    # The sampling fraction comes from the class counts of all pairs, like the weight.
+    balanced = balance_by_sampling(train, "label", counts)
     return train, test, balanced
 
 
@@ -150,12 +151,6 @@ def normalized_coefficients(model, train: DataFrame, features: list[str]) -> Dat
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, coefficient double, mean double, share double")
 
 
-def metrics_row(name: str, conf_df: DataFrame) -> dict:
-    r = conf_df.first().asDict()
-    r["model"] = name
-    return r
-
-
 def pair_models(train: DataFrame, test: DataFrame, features: list[str], params: dict | None = None):
     """Random forest per unordered feature pair; yields (pair, model, metrics)."""
     params = params or RF_PARAMS
