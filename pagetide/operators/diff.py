@@ -131,3 +131,17 @@ def changed_sample(snapshots: DataFrame, feature: str, n: int, key: str = "page_
     both = a.join(b, [key, "day2"])
     return both.select(key, "day1", "day2", F.array_except("_a", "_b").alias("removed"),
                        F.array_except("_b", "_a").alias("added"))
+
+
+def crawl_change_bits(clean_pages: DataFrame, features=("text", "internal_outlinks", "external_outlinks"),
+                      url: str = "url", html: str = "html") -> DataFrame:
+    """Change bits of cleaned crawl pages between consecutive crawl days.
+
+    ``clean_pages`` is the output of ``crawl.clean_crawl`` (day, page_key, url,
+    html, ...).  Feature lists are extracted per page-day (map-only), digested,
+    and paired by page key across the crawl calendar.
+    """
+    from pagetide.operators.pages import page_feature_lists
+    lists = page_feature_lists(clean_pages, keys=("day", "page_key"), url=url, html=html)
+    bits = change_bits(lists, list(features), key="page_key", day="day")
+    return bits.withColumnRenamed("page_key", "page_id")

@@ -66,3 +66,24 @@ def test_sinks_round_trip(spark, tmp_path):
     csv = str(tmp_path / "csv")
     sinks.write_csv(df.withColumn("b", F.lit(1)), csv, lead=["link"])
     assert spark.read.option("header", True).csv(csv).columns == ["link", "b", "stage"]
+
+
+def test_two_crawl_days_to_change_bits(spark, tmp_path):
+    from pagetide.operators import diff as D
+    rows = {"20210612": {"links_s00-1": _page("same") + "", "links_s00-2": _page('a <a href="/x">x</a>')},
+            "20210613": {"links_s00-1": _page("same"), "links_s00-2": _page('b <a href="/y">y</a>')}}
+    for day, pages in rows.items():
+        d = os.path.join(str(tmp_path), f"{day}-run")
+        os.makedirs(os.path.join(d, "pages"))
+        with open(os.path.join(d, "log-thread-0.csv"), "w") as f:
+            f.write(HEADER)
+            for key, page in pages.items():
+                stage, idx = key.rsplit("-", 1)
+                f.write(f"{stage},{idx},RequestStatus.HEADLESS_SUCCESS,{day}101500,True,http://www.site.nl/p{idx}\n")
+                with open(os.path.join(d, "pages", key), "w") as p:
+                    p.write(page)
+    logs = C.read_crawl_logs(spark, os.path.join(str(tmp_path), "*", "*.csv"))
+    blobs = C.read_page_blobs(spark, os.path.join(str(tmp_path), "*", "pages"))
+    bits = {r["page_id"]: (r["text_changed"], r["internal_outlinks_changed"], r["external_outlinks_changed"])
+            for r in D.crawl_change_bits(C.clean_crawl(logs, blobs)).collect()}
+    assert bits == {"links_s00-1": (0, 0, 0), "links_s00-2": (1, 1, 0)}
