@@ -161,6 +161,23 @@ def pair_models(train: DataFrame, test: DataFrame, features: list[str], params:
         yield (a, b), model, evaluate(model, te).first().asDict()
 
 
+def top_feature_models(train: DataFrame, test: DataFrame, features: list[str], params: dict | None = None):
+    """Forests on growing prefixes of the importance order (each prefix used in
+    sorted index order); returns [(n, used features, minimum recall)]."""
+    params = params or RF_PARAMS
+    full = random_forest(train, params["numTrees"], params["maxDepth"], params["minInstancesPerNode"])
+    imp = full.featureImportances.toArray().tolist()
+    order = sorted(range(len(features)), key=lambda i: (-imp[i], i))
+    out = []
+    for n in range(1, len(features) + 1):
+        subset = sorted(order[:n])
+        model = random_forest(select_subset(train, features, subset), params["numTrees"], params["maxDepth"],
+                              params["minInstancesPerNode"])
+        recall = evaluate(model, select_subset(test, features, subset)).first()["min_recall"]
+        out.append((n, ",".join(features[i] for i in subset), recall))
+    return out
+
+
 def prediction_grid(model, grid: DataFrame, swapped: bool = False) -> DataFrame:
     """P(class 1) over an (x, y) grid for a two-feature model (features in
     sorted order).  ``swapped`` reports the pair the other way round: columns

@@ -619,3 +619,22 @@ def q_global_start_duplicates(spark, root):
     has_prev = F.col("prev_text_lines").isNotNull()
     return wp.select("doc_id", "thread", "url_index", has_prev.alias("has_prev"), same.alias("same_start"),
                      (~has_prev | ((F.size("text_lines") > 0) & ~same)).alias("cheap_valid"))
+
+
+@query("rf_top_features")
+def q_rf_top_features(spark, root):
+    train, test, balanced = _prepared(spark, root)
+    rows = M.top_feature_models(balanced, test, X.TRAINING_FEATURES)
+    return _rows(spark, rows, "features int, used string, min_recall double")
+
+
+@query("rf_error_heatmap")
+def q_rf_error_heatmap(spark, root):
+    """Accuracy per feature decile of forest predictions on the hold-out pages."""
+    train, test, balanced = _prepared(spark, root)
+    p = M.RF_PARAMS
+    model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
+    preds = model.transform(test).select(*X.TRAINING_FEATURES, F.col("label").cast("int").alias("label"),
+                                         F.col("prediction").cast("int").alias("prediction"))
+    intervals = ST.interval_edges(_training_long(spark, root), 10)
+    return ST.error_heatmap(preds, X.TRAINING_FEATURES, intervals)
