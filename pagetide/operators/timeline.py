@@ -30,20 +30,37 @@ def first_stage(bits: DataFrame) -> DataFrame:
     return bits.filter(F.substring_index(F.col("page_id"), "-", 1) == "s00")
 
 
-def week_bounds(bits: DataFrame, complete_only: bool = True) -> tuple[int, int]:
-    """First and last ISO week of the study (one scalar aggregate).
+def study_weeks(bits: DataFrame, complete_only: bool = True) -> tuple[dt.date, int]:
+    """(first Monday, number of weeks) of the study (one scalar aggregate).
 
     With ``complete_only`` only weeks whose seven days all lie in the day2
     span count: from the first Monday on or after the first day to the last
-    Sunday on or before the last day (a 2021-06-13 ... 2021-09-09 span gives
-    weeks 24 ... 35).
+    Sunday on or before the last day.  Weeks are then numbered 0..n-1
+    (``week_no``), so a study may cross New Year or last longer than a year.
     """
     row = bits.agg(F.min("day2").alias("lo"), F.max("day2").alias("hi")).first()
     lo, hi = row["lo"], row["hi"]
+    if lo is None:
+        return dt.date(1970, 1, 5), 0
     if complete_only:
-        lo = lo + dt.timedelta(days=(7 - lo.weekday()) % 7)
-        hi = hi - dt.timedelta(days=(hi.weekday() + 1) % 7)
-    return lo.isocalendar()[1], hi.isocalendar()[1]
+        start = lo + dt.timedelta(days=(7 - lo.weekday()) % 7)
+        end = hi - dt.timedelta(days=(hi.weekday() + 1) % 7)
+    else:
+        start = lo - dt.timedelta(days=lo.weekday())
+        end = hi + dt.timedelta(days=6 - hi.weekday())
+    return start, max(0, ((end - start).days + 1) // 7)
+
+
+def week_bounds(bits: DataFrame, complete_only: bool = True) -> tuple[int, int]:
+    """ISO numbers of the first and last study week (a 2021-06-13 ... 2021-09-09
+    span gives weeks 24 ... 35)."""
+    start, n = study_weeks(bits, complete_only)
+    return start.isocalendar()[1], (start + dt.timedelta(weeks=max(n - 1, 0))).isocalendar()[1]
+
+
+def _week_label(start: dt.date, week_no) -> F.Column:
+    """ISO week number of study week ``week_no``."""
+    return F.weekofyear(F.date_add(F.lit(start), week_no * 7))
 
 
 def long_bits(bits: DataFrame, keep=("page_id", "day2")) -> DataFrame:
@@ -53,83 +70,90 @@ def long_bits(bits: DataFrame, keep=("page_id", "day2")) -> DataFrame:
     return bits.select(*keep, F.explode(cells).alias("_c")).select("_c.feature", *keep, "_c.bit")
 
 
-def weekly_count_arrays(bits: DataFrame, first_week: int, last_week: int) -> DataFrame:
-    """(feature, page_id, counts) where counts[i] = changes in week first_week + i.
+def weekly_count_arrays(bits: DataFrame, start: dt.date, n_weeks: int) -> DataFrame:
+    """(feature, page_id, counts) where counts[i] = changes in study week i
+    (the week starting ``start`` + 7i days).
 
     Pages without rows in a week count 0 there.  One shuffle by page_id with
     partial aggregation before it.
     """
-    weeks = list(range(first_week, last_week + 1))
-    pre = bits.select("page_id", F.weekofyear("day2").alias("_w"), *FEATURE_BITS.values())
-    sums = [F.sum(F.when(F.col("_w") == w, F.col(c)).otherwise(0)).alias(f"{f}__{w}")
-            for f, c in FEATURE_BITS.items() for w in weeks]
+    pre = bits.select("page_id", F.floor(F.datediff("day2", F.lit(start)) / 7).cast("int").alias("_w"),
+                      *FEATURE_BITS.values())
+    sums = [F.sum(F.when(F.col("_w") == i, F.col(c)).otherwise(0)).alias(f"{f}__{i}")
+            for f, c in FEATURE_BITS.items() for i in range(n_weeks)]
     wide = pre.groupBy("page_id").agg(*sums)
     per_feature = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.array(*[F.col(f"{f}__{w}").cast("int") for w in weeks]).alias("counts"))
+        F.struct(F.lit(f).alias("feature"),
+                 F.array(*[F.col(f"{f}__{i}").cast("int") for i in range(n_weeks)]).cast("array<int>")
+                  .alias("counts"))
         for f in FEATURE_BITS])
     return wide.select("page_id", F.explode(per_feature).alias("_r")).select("_r.feature", "page_id", "_r.counts")
 
 
-def weekly_changes(bits: DataFrame, first_week: int, last_week: int) -> DataFrame:
-    """(feature, page_id, week, n): changes per page and ISO week, zeros included."""
-    arrays = weekly_count_arrays(bits, first_week, last_week)
-    return (arrays.select("feature", "page_id", F.posexplode("counts").alias("_i", "n"))
-                  .select("feature", "page_id", (F.col("_i") + first_week).alias("week"), "n"))
+def weekly_changes(bits: DataFrame, start: dt.date, n_weeks: int) -> DataFrame:
+    """(feature, page_id, week_no, week, n): changes per page and study week
+    (ISO number as ``week``), zeros included."""
+    arrays = weekly_count_arrays(bits, start, n_weeks)
+    return (arrays.select("feature", "page_id", F.posexplode("counts").alias("week_no", "n"))
+                  .select("feature", "page_id", "week_no", _week_label(start, F.col("week_no")).alias("week"), "n"))
 
 
-def _grid(spark, first: int, last: int, n_values: int, second: bool = False) -> DataFrame:
-    """Dense (feature, week, n[, cur_n]) grid from ranges (tiny, generated)."""
-    g = spark.range(first, last + 1).select(F.col("id").cast("int").alias("week"))
-    g = g.select(F.explode(F.array(*[F.lit(f) for f in FEATURE_BITS])).alias("feature"), "week")
-    g = g.select("feature", "week", F.explode(F.sequence(F.lit(0), F.lit(n_values - 1))).alias("n"))
+def _grid(spark, start: dt.date, first_no: int, n_weeks: int, n_values: int, second: bool = False) -> DataFrame:
+    """Dense (feature, week_no, week, n[, cur_n]) grid from ranges (tiny, generated)."""
+    g = spark.range(first_no, n_weeks).select(F.col("id").cast("int").alias("week_no"))
+    g = g.select(F.explode(F.array(*[F.lit(f) for f in FEATURE_BITS])).alias("feature"), "week_no")
+    g = g.select("feature", "week_no", F.explode(F.sequence(F.lit(0), F.lit(n_values - 1))).alias("n"))
     if second:
-        g = g.select("feature", "week", F.col("n").alias("prev_n"),
+        g = g.select("feature", "week_no", F.col("n").alias("prev_n"),
                      F.explode(F.sequence(F.lit(0), F.lit(n_values - 1))).alias("cur_n"))
     return g
 
 
-def change_matrix(bits: DataFrame, first_week: int, last_week: int) -> DataFrame:
-    """(feature, week, n, pages): number of pages with n change-days in the week."""
-    counts = (weekly_changes(bits, first_week, last_week)
-              .groupBy("feature", "week", "n").agg(F.count(F.lit(1)).alias("pages")))
-    grid = _grid(bits.sparkSession, first_week, last_week, MAX_PER_WEEK + 1)
-    return (grid.join(counts, ["feature", "week", "n"], "full")
-                .select("feature", "week", "n", F.coalesce("pages", F.lit(0)).alias("pages")))
-
-
-def change_cube(bits: DataFrame, first_week: int, last_week: int) -> DataFrame:
-    """(feature, week, prev_n, cur_n, pages): week-to-week transitions, week = later week."""
-    width = last_week - first_week + 1
-    arrays = weekly_count_arrays(bits, first_week, last_week)
-    pairs = F.transform(F.sequence(F.lit(1), F.lit(max(width - 1, 1))),
-                        lambda i: F.struct((i + first_week).alias("week"),
-                                           F.col("counts")[i - 1].alias("prev_n"),
-                                           F.col("counts")[i].alias("cur_n")))
-    if width < 2:
-        pairs = F.array().cast("array<struct<week:int,prev_n:int,cur_n:int>>")
+def change_matrix(bits: DataFrame, start: dt.date, n_weeks: int) -> DataFrame:
+    """(feature, week_no, week, n, pages): number of pages with n change-days in the week."""
+    counts = (weekly_changes(bits, start, n_weeks)
+              .groupBy("feature", "week_no", "n").agg(F.count(F.lit(1)).alias("pages")))
+    grid = _grid(bits.sparkSession, start, 0, n_weeks, MAX_PER_WEEK + 1)
+    return (grid.join(counts, ["feature", "week_no", "n"], "full")
+                .select("feature", "week_no", _week_label(start, F.col("week_no")).alias("week"), "n",
+                        F.coalesce("pages", F.lit(0)).alias("pages")))
+
+
+def change_cube(bits: DataFrame, start: dt.date, n_weeks: int) -> DataFrame:
+    """(feature, week_no, week, prev_n, cur_n, pages): week-to-week transitions;
+    week_no / week belong to the later week."""
+    arrays = weekly_count_arrays(bits, start, n_weeks)
+    if n_weeks >= 2:
+        pairs = F.transform(F.sequence(F.lit(1), F.lit(n_weeks - 1)),
+                            lambda i: F.struct(i.alias("week_no"), F.col("counts")[i - 1].alias("prev_n"),
+                                               F.col("counts")[i].alias("cur_n")))
+    else:
+        pairs = F.array().cast("array<struct<week_no:int,prev_n:int,cur_n:int>>")
     counts = (arrays.select("feature", F.explode(pairs).alias("_p"))
-                    .groupBy("feature", "_p.week", "_p.prev_n", "_p.cur_n").agg(F.count(F.lit(1)).alias("pages")))
-    grid = _grid(bits.sparkSession, first_week + 1, last_week, MAX_PER_WEEK + 1, second=True)
-    return (grid.join(counts, ["feature", "week", "prev_n", "cur_n"], "full")
-                .select("feature", "week", "prev_n", "cur_n", F.coalesce("pages", F.lit(0)).alias("pages")))
+                    .groupBy("feature", "_p.week_no", "_p.prev_n", "_p.cur_n").agg(F.count(F.lit(1)).alias("pages")))
+    grid = _grid(bits.sparkSession, start, 1, n_weeks, MAX_PER_WEEK + 1, second=True)
+    return (grid.join(counts, ["feature", "week_no", "prev_n", "cur_n"], "full")
+                .select("feature", "week_no", _week_label(start, F.col("week_no")).alias("week"), "prev_n", "cur_n",
+                        F.coalesce("pages", F.lit(0)).alias("pages")))
 
 
-def alluvial_edges(cube: DataFrame, first_week: int) -> DataFrame:
-    """Sankey edge list: source = stage*8 + prev, target = (stage+1)*8 + cur."""
-    stage = F.col("week") - (first_week + 1)
+def alluvial_edges(cube: DataFrame) -> DataFrame:
+    """Sankey edge list: source = stage*8 + prev, target = (stage+1)*8 + cur,
+    where stage is the earlier study week."""
+    stage = F.col("week_no") - 1
     return cube.select("feature", (stage * 8 + F.col("prev_n")).alias("source"),
                        ((stage + 1) * 8 + F.col("cur_n")).alias("target"), F.col("pages").alias("value"))
 
 
 def normalized_matrix(matrix: DataFrame) -> DataFrame:
     """Matrix cells divided by the number of pages (each week's row sum)."""
-    n_pages = F.sum("pages").over(Window.partitionBy("feature", "week"))
+    n_pages = F.sum("pages").over(Window.partitionBy("feature", "week_no"))
     return matrix.withColumn("fraction", F.try_divide(F.col("pages").cast("double"), n_pages))
 
 
 def normalized_cube(cube: DataFrame) -> DataFrame:
     """Cube cells divided by the number of pages (sum of each week's cells)."""
-    n_pages = F.sum("pages").over(Window.partitionBy("feature", "week"))
+    n_pages = F.sum("pages").over(Window.partitionBy("feature", "week_no"))
     return cube.withColumn("fraction", F.try_divide(F.col("pages").cast("double"), n_pages))
 
 
@@ -161,7 +185,7 @@ def _ratio(num, den) -> F.Column:
 
 def persistence(cube: DataFrame) -> DataFrame:
     """(feature, week, prev_n, fraction): share of pages keeping the same weekly count."""
-    return (cube.groupBy("feature", "week", "prev_n")
+    return (cube.groupBy("feature", "week_no", "week", "prev_n")
                 .agg(_ratio(F.sum(F.when(F.col("prev_n") == F.col("cur_n"), F.col("pages")).otherwise(0)),
                             F.sum("pages")).alias("fraction")))
 
@@ -169,7 +193,7 @@ def persistence(cube: DataFrame) -> DataFrame:
 def persistence3(cube: DataFrame) -> DataFrame:
     """(feature, week, prev_class, fraction) with classes never / sometimes / always."""
     same = _class3(F.col("prev_n")) == _class3(F.col("cur_n"))
-    return (cube.groupBy("feature", "week", _class3(F.col("prev_n")).alias("prev_class"))
+    return (cube.groupBy("feature", "week_no", "week", _class3(F.col("prev_n")).alias("prev_class"))
                 .agg(_ratio(F.sum(F.when(same, F.col("pages")).otherwise(0)), F.sum("pages")).alias("fraction")))
 
 
@@ -177,7 +201,7 @@ def persistence_all(cube: DataFrame) -> DataFrame:
     """(feature, week, same8, same3): persistence over all classes combined."""
     same8 = F.col("prev_n") == F.col("cur_n")
     same3 = _class3(F.col("prev_n")) == _class3(F.col("cur_n"))
-    return (cube.groupBy("feature", "week")
+    return (cube.groupBy("feature", "week_no", "week")
                 .agg(_ratio(F.sum(F.when(same8, F.col("pages")).otherwise(0)), F.sum("pages")).alias("same8"),
                      _ratio(F.sum(F.when(same3, F.col("pages")).otherwise(0)), F.sum("pages")).alias("same3")))
 
@@ -185,14 +209,14 @@ def persistence_all(cube: DataFrame) -> DataFrame:
 def neighbour_moves(cube: DataFrame) -> DataFrame:
     """(feature, week, prev_n, fraction): share moving to n-1 or n+1."""
     near = F.abs(F.col("prev_n") - F.col("cur_n")) == 1
-    return (cube.groupBy("feature", "week", "prev_n")
+    return (cube.groupBy("feature", "week_no", "week", "prev_n")
                 .agg(_ratio(F.sum(F.when(near, F.col("pages")).otherwise(0)), F.sum("pages")).alias("fraction")))
 
 
 def neighbour_moves3(cube: DataFrame) -> DataFrame:
     """(feature, week, prev_class, fraction): share moving to a neighbouring class."""
     near = F.abs(_class3(F.col("prev_n")) - _class3(F.col("cur_n"))) == 1
-    return (cube.groupBy("feature", "week", _class3(F.col("prev_n")).alias("prev_class"))
+    return (cube.groupBy("feature", "week_no", "week", _class3(F.col("prev_n")).alias("prev_class"))
                 .agg(_ratio(F.sum(F.when(near, F.col("pages")).otherwise(0)), F.sum("pages")).alias("fraction")))
 
 

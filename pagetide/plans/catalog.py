@@ -71,8 +71,8 @@ def _bits(spark, root, only_first_stage=False):
 
 def _weekly(spark, root):
     bits = _bits(spark, root)
-    fw, lw = T.week_bounds(bits)
-    return bits, fw, lw
+    start, n_weeks = T.study_weeks(bits)
+    return bits, start, n_weeks
 
 
 def _n_pairs(bits):
@@ -81,68 +81,68 @@ def _n_pairs(bits):
 
 @query("weekly_changes")
 def q_weekly_changes(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.weekly_changes(bits, fw, lw)
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.weekly_changes(bits, start, n_weeks)
 
 
 @query("change_matrix")
 def q_change_matrix(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.change_matrix(bits, fw, lw)
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.change_matrix(bits, start, n_weeks)
 
 
 @query("normalized_matrix")
 def q_normalized_matrix(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.normalized_matrix(T.change_matrix(bits, fw, lw))
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.normalized_matrix(T.change_matrix(bits, start, n_weeks))
 
 
 @query("change_cube")
 def q_change_cube(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.change_cube(bits, fw, lw)
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.change_cube(bits, start, n_weeks)
 
 
 @query("alluvial_edges")
 def q_alluvial_edges(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.alluvial_edges(T.change_cube(bits, fw, lw), fw)
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.alluvial_edges(T.change_cube(bits, start, n_weeks))
 
 
 @query("avg_behaviour")
 def q_avg_behaviour(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.average_behaviour(T.change_matrix(bits, fw, lw))
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.average_behaviour(T.change_matrix(bits, start, n_weeks))
 
 
 @query("persistence")
 def q_persistence(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.persistence(T.change_cube(bits, fw, lw))
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.persistence(T.change_cube(bits, start, n_weeks))
 
 
 @query("persistence3")
 def q_persistence3(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.persistence3(T.change_cube(bits, fw, lw))
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.persistence3(T.change_cube(bits, start, n_weeks))
 
 
 @query("persistence_all")
 def q_persistence_all(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.persistence_all(T.change_cube(bits, fw, lw))
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.persistence_all(T.change_cube(bits, start, n_weeks))
 
 
 @query("neighbour_moves")
 def q_neighbour_moves(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.neighbour_moves(T.change_cube(bits, fw, lw))
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.neighbour_moves(T.change_cube(bits, start, n_weeks))
 
 
 @query("neighbour_moves3")
 def q_neighbour_moves3(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.neighbour_moves3(T.change_cube(bits, fw, lw))
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.neighbour_moves3(T.change_cube(bits, start, n_weeks))
 
 
 @query("daily_changes")
@@ -588,8 +588,8 @@ def q_rf_predictions(spark, root):
 
 @query("normalized_cube")
 def q_normalized_cube(spark, root):
-    bits, fw, lw = _weekly(spark, root)
-    return T.normalized_cube(T.change_cube(bits, fw, lw))
+    bits, start, n_weeks = _weekly(spark, root)
+    return T.normalized_cube(T.change_cube(bits, start, n_weeks))
 
 
 @query("amplitude_curve")

@@ -95,29 +95,35 @@ def _weekly_cte(first_stage: bool = False) -> str:
            UNION ALL SELECT 'internal_outlinks', page_id, day2, ilinks_changed FROM cbs
            UNION ALL SELECT 'external_outlinks', page_id, day2, elinks_changed FROM cbs),
     span AS (SELECT min(day2) AS lo, max(day2) AS hi FROM cbs),
-    bounds AS (SELECT weekofyear(lo + CAST((8 - isodow(lo)) % 7 AS INTEGER)) AS fw,
-                      weekofyear(hi - CAST(isodow(hi) % 7 AS INTEGER)) AS lw FROM span),
-    weeks AS (SELECT CAST(unnest(range(fw, lw + 1)) AS INTEGER) AS week FROM bounds),
-    wsum AS (SELECT feature, page_id, weekofyear(day2) AS week, sum(bit) AS n FROM lb GROUP BY ALL),
-    wk AS (SELECT f.feature, p.page_id, w.week, CAST(coalesce(s.n, 0) AS INTEGER) AS n
+    st AS (SELECT lo + CAST((8 - isodow(lo)) % 7 AS INTEGER) AS start,
+                  hi - CAST(isodow(hi) % 7 AS INTEGER) AS fin FROM span),
+    weeks AS (SELECT CAST(i AS INTEGER) AS week_no,
+                     CAST(weekofyear((SELECT start FROM st) + CAST(7 * i AS INTEGER)) AS INTEGER) AS week
+              FROM (SELECT unnest(range(0, greatest((SELECT (fin - start + 1) // 7 FROM st), 0))) AS i)),
+    wsum AS (SELECT feature, page_id, CAST(floor((day2 - (SELECT start FROM st)) / 7) AS INTEGER) AS week_no,
+                    sum(bit) AS n FROM lb GROUP BY ALL),
+    wk AS (SELECT f.feature, p.page_id, w.week_no, w.week, CAST(coalesce(s.n, 0) AS INTEGER) AS n
            FROM (SELECT DISTINCT page_id FROM cbs) p CROSS JOIN {FEATURES3} CROSS JOIN weeks w
-           LEFT JOIN wsum s ON s.feature = f.feature AND s.page_id = p.page_id AND s.week = w.week),
-    cnt AS (SELECT feature, week, n, count(*) AS pages FROM wk GROUP BY ALL),
+           LEFT JOIN wsum s ON s.feature = f.feature AND s.page_id = p.page_id AND s.week_no = w.week_no),
+    cnt AS (SELECT feature, week_no, n, count(*) AS pages FROM wk GROUP BY ALL),
     ns AS (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS n),
-    mgrid AS (SELECT f.feature, w.week, ns.n FROM {FEATURES3} CROSS JOIN weeks w CROSS JOIN ns),
-    matrix AS (SELECT coalesce(g.feature, c.feature) AS feature, coalesce(g.week, c.week) AS week,
-                      coalesce(g.n, c.n) AS n, coalesce(c.pages, 0) AS pages
-               FROM mgrid g FULL JOIN cnt c ON g.feature = c.feature AND g.week = c.week AND g.n = c.n),
-    tr AS (SELECT a.feature, b.week, a.n AS prev_n, b.n AS cur_n, count(*) AS pages FROM wk a JOIN wk b
-           ON a.feature = b.feature AND a.page_id = b.page_id AND b.week = a.week + 1 GROUP BY ALL),
-    cgrid AS (SELECT f.feature, w.week, p.n AS prev_n, c.n AS cur_n
-              FROM {FEATURES3} CROSS JOIN (SELECT week FROM weeks WHERE week > (SELECT fw FROM bounds)) w
+    mgrid AS (SELECT f.feature, w.week_no, ns.n FROM {FEATURES3} CROSS JOIN weeks w CROSS JOIN ns),
+    matrix0 AS (SELECT coalesce(g.feature, c.feature) AS feature, coalesce(g.week_no, c.week_no) AS week_no,
+                       coalesce(g.n, c.n) AS n, coalesce(c.pages, 0) AS pages
+                FROM mgrid g FULL JOIN cnt c ON g.feature = c.feature AND g.week_no = c.week_no AND g.n = c.n),
+    matrix AS (SELECT m.feature, m.week_no, w.week, m.n, m.pages FROM matrix0 m JOIN weeks w ON w.week_no = m.week_no),
+    tr AS (SELECT a.feature, b.week_no, a.n AS prev_n, b.n AS cur_n, count(*) AS pages FROM wk a JOIN wk b
+           ON a.feature = b.feature AND a.page_id = b.page_id AND b.week_no = a.week_no + 1 GROUP BY ALL),
+    cgrid AS (SELECT f.feature, w.week_no, p.n AS prev_n, c.n AS cur_n
+              FROM {FEATURES3} CROSS JOIN (SELECT week_no FROM weeks WHERE week_no > 0) w
               CROSS JOIN ns p CROSS JOIN ns c),
-    cube AS (SELECT coalesce(g.feature, t.feature) AS feature, coalesce(g.week, t.week) AS week,
-                    coalesce(g.prev_n, t.prev_n) AS prev_n, coalesce(g.cur_n, t.cur_n) AS cur_n,
-                    coalesce(t.pages, 0) AS pages
-             FROM cgrid g FULL JOIN tr t ON g.feature = t.feature AND g.week = t.week
-                  AND g.prev_n = t.prev_n AND g.cur_n = t.cur_n)"""
+    cube0 AS (SELECT coalesce(g.feature, t.feature) AS feature, coalesce(g.week_no, t.week_no) AS week_no,
+                     coalesce(g.prev_n, t.prev_n) AS prev_n, coalesce(g.cur_n, t.cur_n) AS cur_n,
+                     coalesce(t.pages, 0) AS pages
+              FROM cgrid g FULL JOIN tr t ON g.feature = t.feature AND g.week_no = t.week_no
+                   AND g.prev_n = t.prev_n AND g.cur_n = t.cur_n),
+    cube AS (SELECT c.feature, c.week_no, w.week, c.prev_n, c.cur_n, c.pages FROM cube0 c JOIN weeks w
+             ON w.week_no = c.week_no)"""
 
 
 def _ratio(num: str, den: str) -> str:
@@ -128,39 +134,39 @@ def _cls(c: str) -> str:
     return f"(CASE WHEN {c} = 0 THEN 0 WHEN {c} = 7 THEN 2 ELSE 1 END)"
 
 
-ORACLE["weekly_changes"] = f"WITH {_weekly_cte()} SELECT feature, page_id, week, n FROM wk"
-ORACLE["change_matrix"] = f"WITH {_weekly_cte()} SELECT feature, week, n, pages FROM matrix"
+ORACLE["weekly_changes"] = f"WITH {_weekly_cte()} SELECT feature, page_id, week_no, week, n FROM wk"
+ORACLE["change_matrix"] = f"WITH {_weekly_cte()} SELECT feature, week_no, week, n, pages FROM matrix"
 ORACLE["normalized_matrix"] = f"""WITH {_weekly_cte()}
-SELECT feature, week, n, pages, {_ratio('pages', 'sum(pages) OVER (PARTITION BY feature, week)')} AS fraction
+SELECT feature, week_no, week, n, pages, {_ratio('pages', 'sum(pages) OVER (PARTITION BY feature, week_no)')} AS fraction
 FROM matrix"""
-ORACLE["change_cube"] = f"WITH {_weekly_cte()} SELECT feature, week, prev_n, cur_n, pages FROM cube"
+ORACLE["change_cube"] = f"WITH {_weekly_cte()} SELECT feature, week_no, week, prev_n, cur_n, pages FROM cube"
 ORACLE["alluvial_edges"] = f"""WITH {_weekly_cte()}
-SELECT feature, CAST((week - (SELECT fw FROM bounds) - 1) * 8 + prev_n AS INTEGER) AS source,
-       CAST((week - (SELECT fw FROM bounds)) * 8 + cur_n AS INTEGER) AS target, pages AS value FROM cube"""
+SELECT feature, CAST((week_no - 1) * 8 + prev_n AS INTEGER) AS source,
+       CAST(week_no * 8 + cur_n AS INTEGER) AS target, pages AS value FROM cube"""
 ORACLE["avg_behaviour"] = f"""WITH {_weekly_cte()},
     pn AS (SELECT feature, n, sum(pages) AS s FROM matrix GROUP BY ALL)
 SELECT feature, n, {_ratio('s', 'sum(s) OVER (PARTITION BY feature)')} AS fraction FROM pn"""
 ORACLE["persistence"] = f"""WITH {_weekly_cte()}
-SELECT feature, week, prev_n,
+SELECT feature, week_no, week, prev_n,
        {_ratio('sum(CASE WHEN prev_n = cur_n THEN pages ELSE 0 END)', 'sum(pages)')} AS fraction
-FROM cube GROUP BY feature, week, prev_n"""
+FROM cube GROUP BY feature, week_no, week, prev_n"""
 ORACLE["persistence3"] = f"""WITH {_weekly_cte()}
-SELECT feature, week, {_cls('prev_n')} AS prev_class,
+SELECT feature, week_no, week, {_cls('prev_n')} AS prev_class,
        {_ratio(f"sum(CASE WHEN {_cls('prev_n')} = {_cls('cur_n')} THEN pages ELSE 0 END)", 'sum(pages)')} AS fraction
-FROM cube GROUP BY feature, week, {_cls('prev_n')}"""
+FROM cube GROUP BY feature, week_no, week, {_cls('prev_n')}"""
 ORACLE["persistence_all"] = f"""WITH {_weekly_cte()}
-SELECT feature, week,
+SELECT feature, week_no, week,
        {_ratio('sum(CASE WHEN prev_n = cur_n THEN pages ELSE 0 END)', 'sum(pages)')} AS same8,
        {_ratio(f"sum(CASE WHEN {_cls('prev_n')} = {_cls('cur_n')} THEN pages ELSE 0 END)", 'sum(pages)')} AS same3
-FROM cube GROUP BY feature, week"""
+FROM cube GROUP BY feature, week_no, week"""
 ORACLE["neighbour_moves"] = f"""WITH {_weekly_cte()}
-SELECT feature, week, prev_n,
+SELECT feature, week_no, week, prev_n,
        {_ratio('sum(CASE WHEN abs(prev_n - cur_n) = 1 THEN pages ELSE 0 END)', 'sum(pages)')} AS fraction
-FROM cube GROUP BY feature, week, prev_n"""
+FROM cube GROUP BY feature, week_no, week, prev_n"""
 ORACLE["neighbour_moves3"] = f"""WITH {_weekly_cte()}
-SELECT feature, week, {_cls('prev_n')} AS prev_class,
+SELECT feature, week_no, week, {_cls('prev_n')} AS prev_class,
        {_ratio(f"sum(CASE WHEN abs({_cls('prev_n')} - {_cls('cur_n')}) = 1 THEN pages ELSE 0 END)", 'sum(pages)')} AS fraction
-FROM cube GROUP BY feature, week, {_cls('prev_n')}"""
+FROM cube GROUP BY feature, week_no, week, {_cls('prev_n')}"""
 
 
 def _daily_sql(first_stage: bool = False, limit_weekday: int | None = None) -> str:
@@ -492,7 +498,7 @@ SELECT doc_id, part, start, "end", "end" - start AS tokens, 512 - "end" + start
        md5(array_to_string(toks[start + 1:"end"], ' ')) AS chunk_md5 FROM b"""
 
 ORACLE["normalized_cube"] = f"""WITH {_weekly_cte()}
-SELECT feature, week, prev_n, cur_n, pages, {_ratio('pages', 'sum(pages) OVER (PARTITION BY feature, week)')} AS fraction
+SELECT feature, week_no, week, prev_n, cur_n, pages, {_ratio('pages', 'sum(pages) OVER (PARTITION BY feature, week_no)')} AS fraction
 FROM cube"""
 
 ORACLE["page_static_features"] = f"""WITH

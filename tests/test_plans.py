@@ -42,7 +42,8 @@ def test_weekly_counts_shuffle_once_over_the_input(spark):
     from pagetide.sources import proxies as X
     from pagetide.sources.tables import Tables
     bits = X.change_bits(Tables(spark, SF_SMALL).events)
-    plan = _plan(T.weekly_count_arrays(bits, 1, 5))
+    import datetime as dt
+    plan = _plan(T.weekly_count_arrays(bits, dt.date(2024, 1, 1), 4))
     # proxy build (user, day) + the per-page weekly arrays
     assert plan.count("Exchange hashpartitioning") == 2
 

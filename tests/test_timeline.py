@@ -20,17 +20,17 @@ def _bits(spark):
 
 def test_matrix_rows_sum_to_pages_and_cube_margins(spark):
     bits = _bits(spark)
-    fw, lw = T.week_bounds(bits)
+    start, n_weeks = T.study_weeks(bits)
     n_pages = bits.select("page_id").distinct().count()
-    m = T.change_matrix(bits, fw, lw)
-    sums = {r["s"] for r in m.groupBy("feature", "week").agg(F.sum("pages").alias("s")).collect()}
+    m = T.change_matrix(bits, start, n_weeks)
+    sums = {r["s"] for r in m.groupBy("feature", "week_no").agg(F.sum("pages").alias("s")).collect()}
     assert sums == {n_pages}
-    cube = T.change_cube(bits, fw, lw)
-    mat = {(r["feature"], r["week"], r["n"]): r["pages"] for r in m.collect()}
-    prev = cube.groupBy("feature", "week", "prev_n").agg(F.sum("pages").alias("s")).collect()
-    cur = cube.groupBy("feature", "week", "cur_n").agg(F.sum("pages").alias("s")).collect()
-    assert all(mat[(r["feature"], r["week"] - 1, r["prev_n"])] == r["s"] for r in prev)
-    assert all(mat[(r["feature"], r["week"], r["cur_n"])] == r["s"] for r in cur)
+    cube = T.change_cube(bits, start, n_weeks)
+    mat = {(r["feature"], r["week_no"], r["n"]): r["pages"] for r in m.collect()}
+    prev = cube.groupBy("feature", "week_no", "prev_n").agg(F.sum("pages").alias("s")).collect()
+    cur = cube.groupBy("feature", "week_no", "cur_n").agg(F.sum("pages").alias("s")).collect()
+    assert all(mat[(r["feature"], r["week_no"] - 1, r["prev_n"])] == r["s"] for r in prev)
+    assert all(mat[(r["feature"], r["week_no"], r["cur_n"])] == r["s"] for r in cur)
 
 
 def test_daily_series_sums_to_bits(spark):
@@ -40,8 +40,8 @@ def test_daily_series_sums_to_bits(spark):
 
 
 def _cube_df(spark):
-    rows = [("text", 25, i, j, PUBLISHED_CUBE[i][j]) for i in range(8) for j in range(8)]
-    return spark.createDataFrame(rows, "feature string, week int, prev_n int, cur_n int, pages long")
+    rows = [("text", 1, 25, i, j, PUBLISHED_CUBE[i][j]) for i in range(8) for j in range(8)]
+    return spark.createDataFrame(rows, "feature string, week_no int, week int, prev_n int, cur_n int, pages long")
 
 
 def test_persistence_on_published_cube(spark):
@@ -86,3 +86,17 @@ def test_complete_weeks_of_the_study_span(spark):
               .withColumn("day2", F.to_date("day2"))
     assert T.week_bounds(df) == (24, 35)
     assert T.week_bounds(df, complete_only=False) == (23, 36)
+
+
+def test_study_across_new_year(spark):
+    days = ["2021-12-27", "2021-12-28", "2022-01-03", "2022-01-04", "2022-01-10", "2022-01-16"]
+    rows = [("s00-1", d, 1, 0, 0) for d in days]
+    df = spark.createDataFrame(rows, "page_id string, day2 string, text_changed int, ilinks_changed int, "
+                                     "elinks_changed int").withColumn("day2", F.to_date("day2"))
+    start, n = T.study_weeks(df)
+    assert (str(start), n) == ("2021-12-27", 3)
+    m = {(r["week_no"], r["week"]): r["pages"] for r in
+         T.change_matrix(df, start, n).filter("feature = 'text' AND pages > 0").collect()}
+    assert m == {(0, 52): 1, (1, 1): 1, (2, 2): 1}
+    edges = T.alluvial_edges(T.change_cube(df, start, n)).filter("feature = 'text' AND value > 0").collect()
+    assert sorted((r["source"], r["target"]) for r in edges) == [(2, 10), (10, 18)]
