@@ -51,3 +51,11 @@ def test_model_round_trip(spark, tmp_path):
     assert test.join(train, "page_id").count() == 0
     counts = {r["label"]: r["count"] for r in balanced.groupBy("label").count().collect()}
     assert abs(counts[0.0] - counts[1.0]) <= 0.35 * max(counts.values())
+
+
+def test_command_line_runs_a_query(spark, tmp_path):
+    from pagetide.__main__ import main
+    from conftest import SF_SMALL
+    out = str(tmp_path / "linkage")
+    assert main(["page_linkage", SF_SMALL, out]) == 0
+    assert spark.read.parquet(out).count() == 50
