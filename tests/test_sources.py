@@ -87,3 +87,15 @@ def test_two_crawl_days_to_change_bits(spark, tmp_path):
     bits = {r["page_id"]: (r["text_changed"], r["internal_outlinks_changed"], r["external_outlinks_changed"])
             for r in D.crawl_change_bits(C.clean_crawl(logs, blobs)).collect()}
     assert bits == {"links_s00-1": (0, 0, 0), "links_s00-2": (1, 1, 0)}
+
+
+def test_feature_csvs_parquet_days_and_preview(spark, tmp_path):
+    df = spark.createDataFrame([("links_s00", 2, ["b"], "2021-06-12"), ("links_s00", 1, ["a", "c"], "2021-06-13")],
+                               "stage_file string, url_index int, text array<string>, day string")
+    sinks.write_feature_csvs(df, str(tmp_path / "features"), ["text"])
+    back = spark.read.option("header", True).csv(str(tmp_path / "features" / "text"))
+    assert sorted(r["url_index"] for r in back.collect()) == ["1", "2"]
+    sinks.write_parquet(df, str(tmp_path / "days"), partition_by=["day"])
+    assert sorted(os.listdir(tmp_path / "days"))[-2:] == ["day=2021-06-12", "day=2021-06-13"]
+    pv = sinks.preview(df, "url_index", "text", n=1)
+    assert pv["count"] == 2 and len(pv["sample"]) == 1 and len(pv["sample"][0]["md5"]) == 32
