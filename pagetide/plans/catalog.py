@@ -638,3 +638,24 @@ def q_rf_error_heatmap(spark, root):
                                          F.col("prediction").cast("int").alias("prediction"))
     intervals = ST.interval_edges(_training_long(spark, root), 10)
     return ST.error_heatmap(preds, X.TRAINING_FEATURES, intervals)
+
+
+@query("streamed_pair_bits")
+def q_streamed_pair_bits(spark, root):
+    """Change bits from the stateful stream: the two snapshot days arrive one
+    after the other as parquet files (day 0 = 2021-06-12); the stream keeps
+    per-page digests as state and emits a row when the next day lands."""
+    import uuid
+
+    from pagetide.session import ensure_checkpoint_dir
+    from pagetide.streaming.change_stream import change_bits_stream, read_bits
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streamed-{uuid.uuid4().hex[:12]}"
+    snap = _snap(spark, root).select(
+        F.col("page_id").cast("string").alias("page_id"),
+        F.date_add(F.lit("2021-06-12").cast("date"), F.col("day_no")).alias("day"), *SNAP_FEATURES)
+    for day_no in (0, 1):
+        (snap.filter(F.col("day") == F.date_add(F.lit("2021-06-12").cast("date"), F.lit(day_no)))
+             .write.mode("append").partitionBy("day").parquet(f"{run}/features"))
+        change_bits_stream(spark, f"{run}/features", snap.schema, SNAP_FEATURES, f"{run}/bits",
+                           name=run.rsplit("/", 1)[-1]).awaitTermination()
+    return read_bits(spark, f"{run}/bits")

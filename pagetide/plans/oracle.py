@@ -540,3 +540,9 @@ ORACLE["global_start_duplicates"] = f"""WITH {CRAWL_ORDER},
     f AS (SELECT *, gp IS NOT NULL AS has_prev, coalesce(gp[1:3] = text_lines[1:3], false) AS same_start FROM g)
 SELECT doc_id, thread, url_index, has_prev, same_start,
        (NOT has_prev) OR (len(text_lines) > 0 AND NOT same_start) AS cheap_valid FROM f"""
+
+ORACLE["streamed_pair_bits"] = f"""WITH {SNAPSHOTS}
+SELECT CAST(page_id AS VARCHAR) AS page_id, DATE '2021-06-12' + day1 AS day1, DATE '2021-06-12' + day2 AS day2,
+       CAST(text_1 <> text_2 AS INTEGER) AS text_changed,
+       CAST(internal_outlinks_1 <> internal_outlinks_2 AS INTEGER) AS internal_outlinks_changed,
+       CAST(meta_1 <> meta_2 AS INTEGER) AS meta_changed FROM pr"""
