@@ -97,13 +97,20 @@ def resolve_links(url, href_list, strip_base: bool = True) -> Column:
     return F.struct(email.alias("email"), resolved.alias("resolved"), urls.sl_domain(current).alias("sld"))
 
 
-def split_internal(resolved, page_sld) -> Column:
-    """Struct (internal, external): a link is internal when its second-level label
-    equals the page's."""
-    tagged = F.transform(_col(resolved), lambda u: F.struct(u.alias("u"), (urls.sl_domain(u) == _col(page_sld)).alias("i")))
-    internal = F.transform(F.filter(tagged, lambda t: t["i"]), lambda t: t["u"])
-    external = F.transform(F.filter(tagged, lambda t: ~t["i"]), lambda t: t["u"])
-    return F.struct(internal.alias("internal"), external.alias("external"))
+def tag_internal(resolved, page_sld) -> Column:
+    """Each resolved link with a flag: internal when its second-level label
+    equals the page's.  Materialise this once, then split with
+    ``internal_links`` / ``external_links``."""
+    return F.transform(_col(resolved),
+                       lambda u: F.struct(u.alias("u"), (urls.sl_domain(u) == _col(page_sld)).alias("i")))
+
+
+def internal_links(tagged) -> Column:
+    return F.transform(F.filter(_col(tagged), lambda t: t["i"]), lambda t: t["u"])
+
+
+def external_links(tagged) -> Column:
+    return F.transform(F.filter(_col(tagged), lambda t: ~t["i"]), lambda t: t["u"])
 
 
 def tag_names(html) -> Column:

@@ -33,9 +33,9 @@ def link_lists(pages: DataFrame, keys=("page_id",), url: str = "url", html: str
     step1 = pages.select(*ks, F.col(url).alias("_url"), H.hrefs(html).alias("_hrefs"))
     step2 = step1.select(*ks, "_url", H.resolve_links("_url", "_hrefs", strip_base).alias("_r"))
     step3 = step2.select(*ks, "_url", F.col("_r.email").alias("email_links"),
-                         H.split_internal("_r.resolved", "_r.sld").alias("_s"))
-    return step3.select(*ks, F.col("_url").alias(url), F.col("_s.internal").alias("internal_outlinks"),
-                        F.col("_s.external").alias("external_outlinks"), "email_links")
+                         H.tag_internal("_r.resolved", "_r.sld").alias("_t"))
+    return step3.select(*ks, F.col("_url").alias(url), H.internal_links("_t").alias("internal_outlinks"),
+                        H.external_links("_t").alias("external_outlinks"), "email_links")
 
 
 def page_linkage(pages: DataFrame, keys=("page_id",), url: str = "url", html: str = "html",
@@ -135,7 +135,7 @@ def static_features(pages: DataFrame, keys=("page_id",), url: str = "url", html:
         U.url_subdir_depth("_url").alias("url_subdir_depth"),
         U.url_subdomain_depth("_url").alias("url_subdomain_depth"),
         U.protocol_flag("_url").alias("protocol"),
-        H.split_internal("_r.resolved", "_r.sld").alias("_s"),
+        H.tag_internal("_r.resolved", "_r.sld").alias("_t"),
         F.size("_r.email").alias("email_links"),
         F.size(F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["images"]), 0)).alias("images"),
         F.size(F.regexp_extract_all("_nc", F.lit(H.SCRIPT_ELEMENT_RE), 0)).alias("scripts"),
@@ -144,10 +144,10 @@ def static_features(pages: DataFrame, keys=("page_id",), url: str = "url", html:
         F.transform(F.regexp_extract_all("_clean", F.lit(H.TAG_NAME_RE), 1), lambda n: F.lower(n)).alias("_tags"),
         F.size("_w").alias("words_total"),
         F.size(F.array_distinct(F.transform("_w", lambda w: F.lower(w)))).alias("words_unique"))
-    rest = [c for c in step3.columns if c not in ("_s", "_tags")]
+    rest = [c for c in step3.columns if c not in ("_t", "_tags")]
     return step3.select(*rest,
-                        F.size("_s.internal").alias("internal_outlinks"),
-                        F.size("_s.external").alias("external_outlinks"),
+                        F.size(F.filter("_t", lambda t: t["i"])).alias("internal_outlinks"),
+                        F.size(F.filter("_t", lambda t: ~t["i"])).alias("external_outlinks"),
                         F.size("_tags").alias("tags_total"),
                         F.size(F.array_distinct("_tags")).alias("tags_unique"))
 
@@ -165,15 +165,15 @@ def page_feature_lists(pages: DataFrame, keys=("page_id",), url: str = "url", ht
                          H.blank_script_bodies("_nc").alias("_clean"))
     step3 = step2.select(
         *ks, "text", F.col("_r.email").alias("email_links"),
-        H.split_internal("_r.resolved", "_r.sld").alias("_s"),
+        H.tag_internal("_r.resolved", "_r.sld").alias("_t"),
         F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["images"]), 0).alias("images"),
         F.regexp_extract_all("_nc", F.lit(H.SCRIPT_ELEMENT_RE), 0).alias("scripts"),
         F.regexp_extract_all("_clean", F.lit(H.TABLE_OPEN_RE), 0).alias("tables"),
         F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["metas"]), 0).alias("meta"),
         F.transform(F.regexp_extract_all("_clean", F.lit(H.TAG_NAME_RE), 1), lambda n: F.lower(n))
          .alias("html_tags"))
-    return step3.select(*ks, "email_links", F.col("_s.external").alias("external_outlinks"), "images",
-                        F.col("_s.internal").alias("internal_outlinks"), "meta", "text", "scripts", "tables",
+    return step3.select(*ks, "email_links", H.external_links("_t").alias("external_outlinks"), "images",
+                        H.internal_links("_t").alias("internal_outlinks"), "meta", "text", "scripts", "tables",
                         "html_tags")
 
 

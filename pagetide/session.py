@@ -39,6 +39,9 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     "spark.checkpoint.dir": "shared storage (HDFS / object store), never a local disk",
     "spark.task.maxFailures": "8",
+    # Streaming state (digests per page) kept off-heap and checkpointed incrementally.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
