@@ -441,14 +441,17 @@ def q_domain_split(spark, root):
 
 # ---------------------------------------------------------------- vectors
 
+# Float sums depend on summation order; registered results are rounded to 9
+# places so that engines agree bit for bit (the operators keep full precision).
 @query("cosine_neighbours")
 def q_cosine_neighbours(spark, root):
-    return V.semantic_duplicates(Tables(spark, root).embeddings, "vec_id", "embedding")
+    d = V.semantic_duplicates(Tables(spark, root).embeddings, "vec_id", "embedding")
+    return d.withColumn("distance", F.round("distance", 9))
 
 
 @query("vector_mean")
 def q_vector_mean(spark, root):
-    return V.mean_vectors(Tables(spark, root).embeddings, "label", "embedding")
+    return V.mean_vectors(Tables(spark, root).embeddings, "label", "embedding").withColumn("mean", F.round("mean", 9))
 
 
 @query("token_chunks")

@@ -483,11 +483,11 @@ def _cos(a: str, b: str) -> str:
 
 ORACLE["cosine_neighbours"] = f"""WITH e AS (SELECT vec_id, embedding,
         lag(embedding) OVER (ORDER BY vec_id) AS prev FROM embeddings WHERE embedding IS NOT NULL)
-SELECT vec_id, {_cos('embedding', 'prev')} AS distance,
+SELECT vec_id, round({_cos('embedding', 'prev')}, 9) AS distance,
        prev IS NULL OR {_cos('embedding', 'prev')} >= 0.01 AS valid FROM e
 UNION ALL SELECT vec_id, NULL::DOUBLE, false FROM embeddings WHERE embedding IS NULL"""
 ORACLE["vector_mean"] = """WITH x AS (SELECT label, unnest(range(len(embedding))) AS dim, embedding FROM embeddings)
-SELECT label, CAST(dim AS INTEGER) AS dim, avg(CAST(embedding[dim + 1] AS DOUBLE)) AS mean FROM x GROUP BY label, dim"""
+SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(CAST(embedding[dim + 1] AS DOUBLE)), 9) AS mean FROM x GROUP BY label, dim"""
 ORACLE["token_chunks"] = f"""WITH t AS (SELECT doc_id, {S.words('[text]')} AS toks FROM documents),
     p AS (SELECT doc_id, toks, len(toks) AS n, CAST(ceil(len(toks) / 512.0::DOUBLE) AS INTEGER) AS parts FROM t),
     i AS (SELECT doc_id, toks, n, parts, unnest(range(parts)) AS part FROM p WHERE parts > 0),
