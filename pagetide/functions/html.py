@@ -37,7 +37,10 @@ TABLE_OPEN_RE = r"(?i)<table\b[^>]*>"
 
 # Fixed named entities decoded natively; '&amp;' goes last so '&amp;lt;' stays '&lt;'.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&")]
+            ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+# Whitespace as Python's str.split / str.strip see it: ASCII space characters
+# plus the Unicode space separators (no-break space included).
+WS = r"[\s\p{Z}]"
 
 
 def _col(c) -> Column:
@@ -51,9 +54,39 @@ def unescape_basic(s) -> Column:
     return out
 
 
+# Tokens of a text around character references (decimal / hex, ';' optional,
+# and the named ones above); everything else passes through unchanged.
+ENTITY_TOKEN_RE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&(?:lt|gt|quot|apos|nbsp|amp);|[^&]+|&"
+REPLACEMENT_CHAR = "\ufffd"
+
+
+def _code_point_char(n: Column) -> Column:
+    """Character for a code point; invalid ones (0, surrogates, > U+10FFFF) give U+FFFD."""
+    valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    as_char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(F.coalesce(valid, F.lit(False)), as_char).otherwise(F.lit(REPLACEMENT_CHAR))
+
+
+def unescape(s) -> Column:
+    """Decode numeric character references and the basic named entities in one
+    pass (so an escaped ampersand never starts a second reference)."""
+    def token(t):
+        dec = F.regexp_extract(t, r"^&#([0-9]+);?$", 1)
+        hx = F.regexp_extract(t, r"^&#[xX]([0-9a-fA-F]+);?$", 1)
+        named = F.lit(None).cast("string")
+        for entity, char in ENTITIES:
+            named = F.when(t == entity, F.lit(char)).otherwise(named)
+        return (F.when(dec != "", _code_point_char(dec.try_cast("long")))
+                 .when(hx != "", _code_point_char(F.conv(hx, 16, 10).try_cast("long")))
+                 .otherwise(F.coalesce(named, t)))
+
+    tokens = F.regexp_extract_all(_col(s), F.lit(ENTITY_TOKEN_RE), 0)
+    return F.array_join(F.transform(tokens, token), "")
+
+
 def strip_ws(s) -> Column:
-    """Python-style ``str.strip()`` for ASCII whitespace."""
-    return F.regexp_replace(_col(s), r"^\s+|\s+$", "")
+    """Python-style ``str.strip()``."""
+    return F.regexp_replace(_col(s), f"^{WS}+|{WS}+$", "")
 
 
 def without_comments(html) -> Column:
@@ -77,7 +110,7 @@ def hrefs(html) -> Column:
     def unquote(v):
         quoted = v.startswith('"') | v.startswith("'")
         inner = F.when(quoted, v.substr(F.lit(2), F.length(v) - 2)).otherwise(v)
-        return strip_ws(unescape_basic(inner))
+        return strip_ws(unescape(inner))
 
     return F.transform(raw, unquote)
 
@@ -141,7 +174,7 @@ def text_lines(html) -> Column:
     line, other tags vanish, basic entities decoded, lines stripped, blanks dropped."""
     body = F.regexp_replace(without_scripts(html), HEAD_RE, "")
     body = F.regexp_replace(body, BLOCK_TAG_RE, "\n")
-    body = unescape_basic(F.regexp_replace(body, ANY_TAG_RE, ""))
+    body = unescape(F.regexp_replace(body, ANY_TAG_RE, ""))
     lines = F.transform(F.split(body, r"\r?\n|\r"), lambda s: strip_ws(s))
     return F.filter(lines, lambda s: s != "")
 
@@ -149,9 +182,9 @@ def text_lines(html) -> Column:
 def words(lines) -> Column:
     """Whitespace-separated words of a line array."""
     joined = F.array_join(_col(lines), " ")
-    return F.filter(F.split(joined, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(joined, f"{WS}+"), lambda w: w != "")
 
 
 def one_line(lines) -> Column:
     """Lines joined and whitespace runs collapsed to one space."""
-    return F.regexp_replace(strip_ws(F.array_join(_col(lines), "\n")), r"\s+", " ")
+    return F.regexp_replace(strip_ws(F.array_join(_col(lines), "\n")), f"{WS}+", " ")

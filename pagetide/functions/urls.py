@@ -67,7 +67,8 @@ def href_to_url(href, root, current) -> Column:
 
 def link_host(link) -> Column:
     """Host of a seed link: lower-cased, between the first ``://`` and the next ``/``."""
-    after = F.try_element_at(F.split(F.lower(F.regexp_replace(_col(link), r"^\s+|\s+$", "")), "://"), F.lit(2))
+    stripped = F.regexp_replace(_col(link), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")  # Python str.strip()
+    after = F.try_element_at(F.split(F.lower(stripped), "://"), F.lit(2))
     return F.substring_index(after, "/", 1)
 
 

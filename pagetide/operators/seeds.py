@@ -22,7 +22,7 @@ def dump_links(lines: DataFrame, line: str = "line", keys=("page_id",)) -> DataF
     kept when they have ``://`` and a dot right after it, one trailing ``/`` cut.
     Matching is per line, so a link at the very start of a line is not found."""
     ks = [k for k in keys if k in lines.columns]
-    found = F.regexp_extract_all(H.unescape_basic(line), F.lit(DUMP_LINK_RE), 1)
+    found = F.regexp_extract_all(H.unescape(line), F.lit(DUMP_LINK_RE), 1)
     valid = F.filter(found, lambda u: U.has_protocol_and_dot(u))
     cut = F.transform(valid, lambda u: F.when(u.endswith("/"), u.substr(F.lit(1), F.length(u) - 1)).otherwise(u))
     return lines.select(*ks, F.posexplode(cut).alias("link_no", "link"))

@@ -421,7 +421,7 @@ SELECT avg(CAST(list_has_any(string_split(categories, ','), ['purchase', 'signup
 def _dump_links_cte() -> str:
     from pagetide.operators.seeds import DUMP_LINK_RE
     line = "concat('* [', url, ' x] ref=', replace(url, '&', '&amp;'), ' end')"
-    found = f"regexp_extract_all({S.unescape_basic(line)}, {S.q(DUMP_LINK_RE)}, 1)"
+    found = f"regexp_extract_all({S.unescape(line)}, {S.q(DUMP_LINK_RE)}, 1)"
     valid = ("list_filter(found, lambda u: len(string_split(u, '://')) >= 2 "
              "AND instr(split_part(u, '://', 2), '.') > 0)")
     cut = f"list_transform({valid}, lambda u: CASE WHEN ends_with(u, '/') THEN substr(u, 1, length(u) - 1) ELSE u END)"

@@ -19,7 +19,22 @@ def rx_replace(x: str, pattern: str, repl: str = "") -> str:
 
 
 def strip_ws(x: str) -> str:
-    return rx_replace(x, r"^\s+|\s+$")
+    return rx_replace(x, f"^{H.WS}+|{H.WS}+$")
+
+
+def _code_point_char(n: str) -> str:
+    return (f"(CASE WHEN {n} > 0 AND {n} <= 1114111 AND NOT ({n} BETWEEN 55296 AND 57343) "
+            f"THEN chr(CAST({n} AS INTEGER)) ELSE {q(H.REPLACEMENT_CHAR)} END)")
+
+
+def unescape(x: str) -> str:
+    dec = "TRY_CAST(regexp_extract(t, '^&#([0-9]+);?$', 1) AS BIGINT)"
+    hx = "TRY_CAST(('0x' || regexp_extract(t, '^&#[xX]([0-9a-fA-F]+);?$', 1)) AS BIGINT)"
+    named = " ".join(f"WHEN t = {q(e)} THEN {q(c)}" for e, c in H.ENTITIES)
+    token = (f"CASE WHEN regexp_matches(t, '^&#[0-9]+;?$') THEN {_code_point_char(dec)} "
+             f"WHEN regexp_matches(t, '^&#[xX][0-9a-fA-F]+;?$') THEN {_code_point_char(hx)} "
+             f"{named} ELSE t END")
+    return f"array_to_string(list_transform(regexp_extract_all({x}, {q(H.ENTITY_TOKEN_RE)}, 0), lambda t: {token}), '')"
 
 
 def unescape_basic(x: str) -> str:
@@ -58,7 +73,7 @@ def hrefs(x: str) -> str:
     raw = f"regexp_extract_all({without_scripts(x)}, {q(H.HREF_RE)}, 1)"
     unq = ("(CASE WHEN starts_with(v, '\"') OR starts_with(v, '''') THEN substr(v, 2, length(v) - 2) "
            "ELSE v END)")
-    return f"list_transform({raw}, lambda v: {strip_ws(unescape_basic(unq))})"
+    return f"list_transform({raw}, lambda v: {strip_ws(unescape(unq))})"
 
 
 def href_to_url(h: str, root: str, cur: str) -> str:
@@ -72,17 +87,17 @@ def href_to_url(h: str, root: str, cur: str) -> str:
 def text_lines(x: str) -> str:
     body = rx_replace(without_scripts(x), H.HEAD_RE)
     body = rx_replace(body, H.BLOCK_TAG_RE, "\n")
-    body = unescape_basic(rx_replace(body, H.ANY_TAG_RE))
+    body = unescape(rx_replace(body, H.ANY_TAG_RE))
     lines = f"list_transform(regexp_split_to_array({body}, {q(chr(13) + '?' + chr(10) + '|' + chr(13))}), lambda s: {strip_ws('s')})"
     return f"list_filter({lines}, lambda s: s <> '')"
 
 
 def words(lines: str) -> str:
-    return f"list_filter(regexp_split_to_array(array_to_string({lines}, ' '), '\\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array(array_to_string({lines}, ' '), {q(H.WS + '+')}), lambda w: w <> '')"
 
 
 def one_line(lines: str) -> str:
-    return rx_replace(strip_ws(f"array_to_string({lines}, chr(10))"), r"\s+", " ")
+    return rx_replace(strip_ws(f"array_to_string({lines}, chr(10))"), H.WS + "+", " ")
 
 
 def tag_names(clean: str) -> str:

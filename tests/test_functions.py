@@ -99,3 +99,12 @@ def test_bernoulli_consideration(spark):
     kept = SD.consider(df, 0.25).count()
     assert 4500 < kept < 5500
     assert SD.consider(df, 1.0).count() == 20000
+
+
+def test_unescape_matches_python(spark):
+    import html
+    cases = ["caf&#233; &#x41;&amp;&lt; &#8217;x &#0; &#55296; a&b", "&amp;#233; &#38;lt; &#233 &#xE9x &#99999999999;",
+             "&nbsp;&apos;&quot;&gt;", "plain", "", "&", "&#x1F600; &#128512;", "a &unknown; b"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = [r[0] for r in df.select(H.unescape("t")).collect()]
+    assert got == [html.unescape(c) for c in cases]
