@@ -35,7 +35,7 @@ VOID_ELEMENT_RE = {
 SCRIPT_ELEMENT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
 TABLE_OPEN_RE = r"(?i)<table\b[^>]*>"
 
-# Fixed named entities decoded natively; '&amp;' goes last so '&amp;lt;' stays '&lt;'.
+# Fixed: the named entities decoded natively (one tokenised pass, see unescape).
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&nbsp;", "\u00a0"), ("&amp;", "&")]
 # Whitespace as Python's str.split / str.strip see it: ASCII space characters
@@ -47,13 +47,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def unescape_basic(s) -> Column:
-    out = _col(s)
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
-
-
 # Tokens of a text around character references (decimal / hex, ';' optional,
 # and the named ones above); everything else passes through unchanged.
 ENTITY_TOKEN_RE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&(?:lt|gt|quot|apos|nbsp|amp);|[^&]+|&"

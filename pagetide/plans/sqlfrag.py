@@ -37,13 +37,6 @@ def unescape(x: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({x}, {q(H.ENTITY_TOKEN_RE)}, 0), lambda t: {token}), '')"
 
 
-def unescape_basic(x: str) -> str:
-    out = x
-    for entity, char in H.ENTITIES:
-        out = f"replace({out}, {q(entity)}, {q(char)})"
-    return out
-
-
 def strip_protocol(x: str) -> str:
     return rx_replace(x, r"^(https?://)+")
 
