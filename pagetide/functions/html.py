@@ -74,7 +74,8 @@ def unescape(s) -> Column:
                  .otherwise(F.coalesce(named, t)))
 
     tokens = F.regexp_extract_all(_col(s), F.lit(ENTITY_TOKEN_RE), 0)
-    return F.array_join(F.transform(tokens, token), "")
+    # Strings without '&' (most hrefs, many lines) skip the tokenisation.
+    return F.when(F.instr(_col(s), "&") > 0, F.array_join(F.transform(tokens, token), "")).otherwise(_col(s))
 
 
 def strip_ws(s) -> Column:

@@ -34,7 +34,8 @@ def unescape(x: str) -> str:
     token = (f"CASE WHEN regexp_matches(t, '^&#[0-9]+;?$') THEN {_code_point_char(dec)} "
              f"WHEN regexp_matches(t, '^&#[xX][0-9a-fA-F]+;?$') THEN {_code_point_char(hx)} "
              f"{named} ELSE t END")
-    return f"array_to_string(list_transform(regexp_extract_all({x}, {q(H.ENTITY_TOKEN_RE)}, 0), lambda t: {token}), '')"
+    decoded = f"array_to_string(list_transform(regexp_extract_all({x}, {q(H.ENTITY_TOKEN_RE)}, 0), lambda t: {token}), '')"
+    return f"(CASE WHEN instr({x}, '&') > 0 THEN {decoded} ELSE {x} END)"
 
 
 def strip_protocol(x: str) -> str:
