@@ -662,3 +662,25 @@ def q_streamed_pair_bits(spark, root):
         change_bits_stream(spark, f"{run}/features", snap.schema, SNAP_FEATURES, f"{run}/bits",
                            name=run.rsplit("/", 1)[-1]).awaitTermination()
     return read_bits(spark, f"{run}/bits")
+
+
+@query("rf_grids")
+def q_rf_grids(spark, root):
+    """Prediction grids for every ordered feature pair: one forest per unordered
+    pair (features in sorted order); the reversed pair reports swapped axes,
+    ordered by (y, x).  Axes run from each feature's minimum to maximum."""
+    train, test, balanced = _prepared(spark, root)
+    feats = X.TRAINING_FEATURES
+    bounds = _training(spark, root).agg(*[F.min(f).alias(f"{f}_lo") for f in feats],
+                                        *[F.max(f).alias(f"{f}_hi") for f in feats]).first()
+    grids = None
+    for (a, b), model, _conf in M.pair_models(balanced, test, feats):
+        fa, fb = feats[a], feats[b]
+        st = spark.range(1).select(F.lit(bounds[f"{fa}_lo"]).alias("xl"), F.lit(bounds[f"{fa}_hi"]).alias("xh"),
+                                   F.lit(bounds[f"{fb}_lo"]).alias("yl"), F.lit(bounds[f"{fb}_hi"]).alias("yh"))
+        grid = ST.feature_grid(st, "xl", "xh", "yl", "yh", 100)
+        for swapped, (nx, ny) in ((False, (fa, fb)), (True, (fb, fa))):
+            g = M.prediction_grid(model, grid, swapped=swapped).select(
+                F.lit(nx).alias("feature_x"), F.lit(ny).alias("feature_y"), "x", "y", "probability")
+            grids = g if grids is None else grids.unionByName(g)
+    return grids
