@@ -124,6 +124,16 @@ def cross_validated_forest(train: DataFrame, num_trees=(50,), max_depth=(20,), m
     return cv.fit(train)
 
 
+def cross_validated_regression(train: DataFrame, families=("binomial", "multinomial"), elastic_net=(0.0, 1.0),
+                               reg=(0.01, 0.1, 1.0, 10.0), folds: int = 5, seed: int = SEED):
+    lr = LogisticRegression()
+    grid = (ParamGridBuilder().addGrid(lr.family, list(families)).addGrid(lr.elasticNetParam, list(elastic_net))
+            .addGrid(lr.regParam, list(reg)).build())
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(),
+                        numFolds=folds, seed=seed, parallelism=4)
+    return cv.fit(train)
+
+
 def predictions(model, test: DataFrame) -> DataFrame:
     return model.transform(test)
 

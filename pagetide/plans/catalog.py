@@ -684,3 +684,4 @@ def q_rf_grids(spark, root):
                 F.lit(nx).alias("feature_x"), F.lit(ny).alias("feature_y"), "x", "y", "probability")
             grids = g if grids is None else grids.unionByName(g)
     return grids
+

@@ -59,3 +59,11 @@ def test_command_line_runs_a_query(spark, tmp_path):
     out = str(tmp_path / "linkage")
     assert main(["page_linkage", SF_SMALL, out]) == 0
     assert spark.read.parquet(out).count() == 50
+
+
+def test_regression_cross_validation(spark):
+    rows = [(str(i), i % 7, (i * 3) % 11, int(i % 7 > 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id string, a int, b int, label int")
+    train, test, balanced = M.prepare(df, ["a", "b"])
+    cv = M.cross_validated_regression(balanced, families=("binomial",), elastic_net=(0.0,), reg=(0.01, 1.0), folds=2)
+    assert len(cv.avgMetrics) == 2 and cv.bestModel.getOrDefault("regParam") in (0.01, 1.0)
