@@ -9,6 +9,7 @@ estimators; loops over feature subsets or depths reuse one persisted input.
 from __future__ import annotations
 
 import itertools
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -63,9 +64,19 @@ def balance_by_sampling(train: DataFrame, label: str = "label", counts: tuple[in
     return train.sampleBy(label, fractions, seed)
 
 
+class Prepared(NamedTuple):
+    train: DataFrame
+    test: DataFrame
+    balanced: DataFrame
+    source: DataFrame  # the persisted data set behind the three; ``release()`` frees it
+
+    def release(self) -> None:
+        self.source.unpersist()
+
+
 def prepare(df: DataFrame, features: list[str], label: str = "label", id_col: str = "page_id",
-            persist: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, test, balanced train) with ``features`` vector, ``label``, ``weight``."""
+            persist: bool = True) -> Prepared:
+    """(train, test, balanced train, source) with ``features`` vector, ``label``, ``weight``."""
     counts = class_counts(df, label)
     data = class_weights(hash_split(df, id_col), label, counts)
     data = VectorAssembler(inputCols=features, outputCol="features").transform(data)
@@ -76,7 +87,7 @@ def prepare(df: DataFrame, features: list[str], label: str = "label", id_col: st
     train, test = data.filter(~F.col("validation")), data.filter(F.col("validation"))
     # The sampling fraction comes from the class counts of all pairs, like the weight.
     balanced = balance_by_sampling(train, "label", counts)
-    return train, test, balanced
+    return Prepared(train, test, balanced, data)
 
 
 def balanced_sample(df: DataFrame, n: int, label: str = "label", id_col: str = "page_id",

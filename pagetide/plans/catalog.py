@@ -7,6 +7,7 @@ in full; nothing is sampled, capped or pre-filtered for the check.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -466,8 +467,15 @@ def q_pca_components(spark, root):
 
 # ---------------------------------------------------------------- models (rows-only checks)
 
+@contextmanager
 def _prepared(spark, root):
-    return M.prepare(_training(spark, root), X.TRAINING_FEATURES)
+    """Training data persisted for the fits of one query, released afterwards
+    (results that are still lazy recompute from lineage)."""
+    prep = M.prepare(_training(spark, root), X.TRAINING_FEATURES)
+    try:
+        yield prep.train, prep.test, prep.balanced
+    finally:
+        prep.release()
 
 
 def _rows(spark, rows, schema):
@@ -484,109 +492,109 @@ def _conf_row(name, conf):
 
 @query("rf_eval")
 def q_rf_eval(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    p = M.RF_PARAMS
-    model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
-    conf = M.evaluate(model, test).first().asDict()
-    return _rows(spark, [_conf_row("random_forest", conf)], CONF_SCHEMA)
+    with _prepared(spark, root) as (train, test, balanced):
+        p = M.RF_PARAMS
+        model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
+        conf = M.evaluate(model, test).first().asDict()
+        return _rows(spark, [_conf_row("random_forest", conf)], CONF_SCHEMA)
 
 
 @query("lr_eval")
 def q_lr_eval(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    conf = M.evaluate(M.logistic_regression(balanced), test).first().asDict()
-    return _rows(spark, [_conf_row("logistic_regression", conf)], CONF_SCHEMA)
+    with _prepared(spark, root) as (train, test, balanced):
+        conf = M.evaluate(M.logistic_regression(balanced), test).first().asDict()
+        return _rows(spark, [_conf_row("logistic_regression", conf)], CONF_SCHEMA)
 
 
 @query("rf_importances")
 def q_rf_importances(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    p = M.RF_PARAMS
-    model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
-    return M.importances(model, X.TRAINING_FEATURES).orderBy(F.desc("importance"))
+    with _prepared(spark, root) as (train, test, balanced):
+        p = M.RF_PARAMS
+        model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
+        return M.importances(model, X.TRAINING_FEATURES).orderBy(F.desc("importance"))
 
 
 @query("lr_coefficients")
 def q_lr_coefficients(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    model = M.logistic_regression(balanced)
-    return M.normalized_coefficients(model, train, X.TRAINING_FEATURES).orderBy(F.desc(F.abs("share")))
+    with _prepared(spark, root) as (train, test, balanced):
+        model = M.logistic_regression(balanced)
+        return M.normalized_coefficients(model, train, X.TRAINING_FEATURES).orderBy(F.desc(F.abs("share")))
 
 
 @query("rf_pairs")
 def q_rf_pairs(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    rows = [(X.TRAINING_FEATURES[a], X.TRAINING_FEATURES[b], conf["min_recall"])
-            for (a, b), _m, conf in M.pair_models(balanced, test, X.TRAINING_FEATURES)]
-    return _rows(spark, rows, "feature_a string, feature_b string, min_recall double")
+    with _prepared(spark, root) as (train, test, balanced):
+        rows = [(X.TRAINING_FEATURES[a], X.TRAINING_FEATURES[b], conf["min_recall"])
+                for (a, b), _m, conf in M.pair_models(balanced, test, X.TRAINING_FEATURES)]
+        return _rows(spark, rows, "feature_a string, feature_b string, min_recall double")
 
 
 @query("rf_depths")
 def q_rf_depths(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    rows = []
-    for depth in range(2, 16):
-        model = M.random_forest(balanced, M.RF_PARAMS["numTrees"], depth, M.RF_PARAMS["minInstancesPerNode"])
-        rows.append((depth, M.evaluate(model, test).first()["min_recall"]))
-    return _rows(spark, rows, "depth int, min_recall double")
+    with _prepared(spark, root) as (train, test, balanced):
+        rows = []
+        for depth in range(2, 16):
+            model = M.random_forest(balanced, M.RF_PARAMS["numTrees"], depth, M.RF_PARAMS["minInstancesPerNode"])
+            rows.append((depth, M.evaluate(model, test).first()["min_recall"]))
+        return _rows(spark, rows, "depth int, min_recall double")
 
 
 @query("rf_grid")
 def q_rf_grid(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    a, b = X.TRAINING_FEATURES.index("f_lines"), X.TRAINING_FEATURES.index("f_commas")
-    p = M.RF_PARAMS
-    model = M.random_forest(M.select_subset(balanced, X.TRAINING_FEATURES, [a, b]), p["numTrees"], p["maxDepth"],
-                            p["minInstancesPerNode"])
-    st = _training(spark, root).agg(F.min("f_lines").alias("xl"), F.max("f_lines").alias("xh"),
-                                    F.min("f_commas").alias("yl"), F.max("f_commas").alias("yh"))
-    return M.prediction_grid(model, ST.feature_grid(st, "xl", "xh", "yl", "yh", 100))
+    with _prepared(spark, root) as (train, test, balanced):
+        a, b = X.TRAINING_FEATURES.index("f_lines"), X.TRAINING_FEATURES.index("f_commas")
+        p = M.RF_PARAMS
+        model = M.random_forest(M.select_subset(balanced, X.TRAINING_FEATURES, [a, b]), p["numTrees"], p["maxDepth"],
+                                p["minInstancesPerNode"])
+        st = _training(spark, root).agg(F.min("f_lines").alias("xl"), F.max("f_lines").alias("xh"),
+                                        F.min("f_commas").alias("yl"), F.max("f_commas").alias("yh"))
+        return M.prediction_grid(model, ST.feature_grid(st, "xl", "xh", "yl", "yh", 100))
 
 
 @query("rf_elimination")
 def q_rf_elimination(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    steps = M.feature_elimination(balanced, test, X.TRAINING_FEATURES)
-    return _rows(spark, steps, "features int, used string, accuracy double, dropped string")
+    with _prepared(spark, root) as (train, test, balanced):
+        steps = M.feature_elimination(balanced, test, X.TRAINING_FEATURES)
+        return _rows(spark, steps, "features int, used string, accuracy double, dropped string")
 
 
 @query("pair_sample_accuracy")
 def q_pair_sample_accuracy(spark, root):
     feats = X.TRAINING_FEATURES
-    train, test, balanced = _prepared(spark, root)
-    sample = M.balanced_sample(_training(spark, root), 100).withColumn("label", F.col("label").cast("double"))
-    rows = []
-    for (a, b), model, _conf in M.pair_models(balanced, test, feats):
-        cols = [feats[i] for i in sorted((a, b))]  # model input order, whatever order the pair was named in
-        vec = VectorAssembler(inputCols=cols, outputCol="features").transform(sample)
-        rows.append((feats[a], feats[b], ST.accuracy(model.transform(vec)).first()["accuracy"]))
-    return _rows(spark, rows, "feature_a string, feature_b string, accuracy double")
+    with _prepared(spark, root) as (train, test, balanced):
+        sample = M.balanced_sample(_training(spark, root), 100).withColumn("label", F.col("label").cast("double"))
+        rows = []
+        for (a, b), model, _conf in M.pair_models(balanced, test, feats):
+            cols = [feats[i] for i in sorted((a, b))]  # model input order, whatever order the pair was named in
+            vec = VectorAssembler(inputCols=cols, outputCol="features").transform(sample)
+            rows.append((feats[a], feats[b], ST.accuracy(model.transform(vec)).first()["accuracy"]))
+        return _rows(spark, rows, "feature_a string, feature_b string, accuracy double")
 
 
 @query("cv_search")
 def q_cv_search(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    cv = M.cross_validated_forest(balanced, num_trees=(50,), max_depth=(20,), min_instances=(1,), folds=5)
-    conf = M.evaluate(cv.bestModel, test).first().asDict()
-    best = cv.bestModel
-    return _rows(spark, [(best.getNumTrees, best.getOrDefault("maxDepth"), best.getOrDefault("minInstancesPerNode"),
-                          float(max(cv.avgMetrics)), conf["min_recall"])],
-                 "num_trees int, max_depth int, min_instances int, auc double, min_recall double")
+    with _prepared(spark, root) as (train, test, balanced):
+        cv = M.cross_validated_forest(balanced, num_trees=(50,), max_depth=(20,), min_instances=(1,), folds=5)
+        conf = M.evaluate(cv.bestModel, test).first().asDict()
+        best = cv.bestModel
+        return _rows(spark, [(best.getNumTrees, best.getOrDefault("maxDepth"), best.getOrDefault("minInstancesPerNode"),
+                              float(max(cv.avgMetrics)), conf["min_recall"])],
+                     "num_trees int, max_depth int, min_instances int, auc double, min_recall double")
 
 
 @query("class_downsample")
 def q_class_downsample(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    return balanced.groupBy("label").count()
+    with _prepared(spark, root) as (train, test, balanced):
+        return balanced.groupBy("label").count()
 
 
 @query("rf_predictions")
 def q_rf_predictions(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    p = M.RF_PARAMS
-    model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
-    return model.transform(test).select(*X.TRAINING_FEATURES, F.col("label").cast("int").alias("target"),
-                                        F.col("prediction").cast("int").alias("prediction"))
+    with _prepared(spark, root) as (train, test, balanced):
+        p = M.RF_PARAMS
+        model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
+        return model.transform(test).select(*X.TRAINING_FEATURES, F.col("label").cast("int").alias("target"),
+                                            F.col("prediction").cast("int").alias("prediction"))
 
 
 @query("normalized_cube")
@@ -626,21 +634,21 @@ def q_global_start_duplicates(spark, root):
 
 @query("rf_top_features")
 def q_rf_top_features(spark, root):
-    train, test, balanced = _prepared(spark, root)
-    rows = M.top_feature_models(balanced, test, X.TRAINING_FEATURES)
-    return _rows(spark, rows, "features int, used string, min_recall double")
+    with _prepared(spark, root) as (train, test, balanced):
+        rows = M.top_feature_models(balanced, test, X.TRAINING_FEATURES)
+        return _rows(spark, rows, "features int, used string, min_recall double")
 
 
 @query("rf_error_heatmap")
 def q_rf_error_heatmap(spark, root):
     """Accuracy per feature decile of forest predictions on the hold-out pages."""
-    train, test, balanced = _prepared(spark, root)
-    p = M.RF_PARAMS
-    model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
-    preds = model.transform(test).select(*X.TRAINING_FEATURES, F.col("label").cast("int").alias("label"),
-                                         F.col("prediction").cast("int").alias("prediction"))
-    intervals = ST.interval_edges(_training_long(spark, root), 10)
-    return ST.error_heatmap(preds, X.TRAINING_FEATURES, intervals)
+    with _prepared(spark, root) as (train, test, balanced):
+        p = M.RF_PARAMS
+        model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
+        preds = model.transform(test).select(*X.TRAINING_FEATURES, F.col("label").cast("int").alias("label"),
+                                             F.col("prediction").cast("int").alias("prediction"))
+        intervals = ST.interval_edges(_training_long(spark, root), 10)
+        return ST.error_heatmap(preds, X.TRAINING_FEATURES, intervals)
 
 
 @query("streamed_pair_bits")
@@ -669,19 +677,19 @@ def q_rf_grids(spark, root):
     """Prediction grids for every ordered feature pair: one forest per unordered
     pair (features in sorted order); the reversed pair reports swapped axes,
     ordered by (y, x).  Axes run from each feature's minimum to maximum."""
-    train, test, balanced = _prepared(spark, root)
-    feats = X.TRAINING_FEATURES
-    bounds = _training(spark, root).agg(*[F.min(f).alias(f"{f}_lo") for f in feats],
-                                        *[F.max(f).alias(f"{f}_hi") for f in feats]).first()
-    grids = None
-    for (a, b), model, _conf in M.pair_models(balanced, test, feats):
-        fa, fb = feats[a], feats[b]
-        st = spark.range(1).select(F.lit(bounds[f"{fa}_lo"]).alias("xl"), F.lit(bounds[f"{fa}_hi"]).alias("xh"),
-                                   F.lit(bounds[f"{fb}_lo"]).alias("yl"), F.lit(bounds[f"{fb}_hi"]).alias("yh"))
-        grid = ST.feature_grid(st, "xl", "xh", "yl", "yh", 100)
-        for swapped, (nx, ny) in ((False, (fa, fb)), (True, (fb, fa))):
-            g = M.prediction_grid(model, grid, swapped=swapped).select(
-                F.lit(nx).alias("feature_x"), F.lit(ny).alias("feature_y"), "x", "y", "probability")
-            grids = g if grids is None else grids.unionByName(g)
-    return grids
+    with _prepared(spark, root) as (train, test, balanced):
+        feats = X.TRAINING_FEATURES
+        bounds = _training(spark, root).agg(*[F.min(f).alias(f"{f}_lo") for f in feats],
+                                            *[F.max(f).alias(f"{f}_hi") for f in feats]).first()
+        grids = None
+        for (a, b), model, _conf in M.pair_models(balanced, test, feats):
+            fa, fb = feats[a], feats[b]
+            st = spark.range(1).select(F.lit(bounds[f"{fa}_lo"]).alias("xl"), F.lit(bounds[f"{fa}_hi"]).alias("xh"),
+                                       F.lit(bounds[f"{fb}_lo"]).alias("yl"), F.lit(bounds[f"{fb}_hi"]).alias("yh"))
+            grid = ST.feature_grid(st, "xl", "xh", "yl", "yh", 100)
+            for swapped, (nx, ny) in ((False, (fa, fb)), (True, (fb, fa))):
+                g = M.prediction_grid(model, grid, swapped=swapped).select(
+                    F.lit(nx).alias("feature_x"), F.lit(ny).alias("feature_y"), "x", "y", "probability")
+                grids = g if grids is None else grids.unionByName(g)
+        return grids
 

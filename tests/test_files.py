@@ -40,7 +40,7 @@ def test_log_entry_pairs(spark):
 def test_model_round_trip(spark, tmp_path):
     rows = [(str(i), i % 7, (i * 3) % 11, int(i % 7 > 3)) for i in range(200)]
     df = spark.createDataFrame(rows, "page_id string, a int, b int, label int")
-    train, test, balanced = M.prepare(df, ["a", "b"])
+    train, test, balanced, _ = M.prepare(df, ["a", "b"])
     model = M.random_forest(balanced, 10, 5, 1)
     M.save_model(model, str(tmp_path / "rf"))
     again = M.load_model("rf", str(tmp_path / "rf"))
@@ -64,6 +64,6 @@ def test_command_line_runs_a_query(spark, tmp_path):
 def test_regression_cross_validation(spark):
     rows = [(str(i), i % 7, (i * 3) % 11, int(i % 7 > 3)) for i in range(200)]
     df = spark.createDataFrame(rows, "page_id string, a int, b int, label int")
-    train, test, balanced = M.prepare(df, ["a", "b"])
+    train, test, balanced, _ = M.prepare(df, ["a", "b"])
     cv = M.cross_validated_regression(balanced, families=("binomial",), elastic_net=(0.0,), reg=(0.01, 1.0), folds=2)
     assert len(cv.avgMetrics) == 2 and cv.bestModel.getOrDefault("regParam") in (0.01, 1.0)
