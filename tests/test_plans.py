@@ -51,3 +51,16 @@ def test_weekly_counts_shuffle_once_over_the_input(spark):
 def test_change_bits_shuffle_digests_not_lists(spark):
     plan = E.queries()["day_pair_bits"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" in plan
+
+
+def test_python_runs_only_where_alignment_is_needed(spark):
+    """Only the difflib-backed queries carry a Python evaluation node (amplitude_curve
+    runs its alignment before its checkpoint, so its final plan starts from files)."""
+    python_ok = {"false_duplicates", "feature_diff", "change_amplitudes", "diff_totals"}
+    for name in ("page_linkage", "page_static_features", "page_feature_numbers", "weekly_changes", "change_cube",
+                 "daily_changes", "feature_percentiles", "error_heatmap", "start_duplicates", "day_pair_bits",
+                 "changed_sample", "limited_links", "threat_urls", "token_chunks", "cosine_neighbours",
+                 *sorted(python_ok)):
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        has_python = "ArrowEvalPython" in plan or "BatchEvalPython" in plan
+        assert has_python == (name in python_ok), name
