@@ -67,3 +67,10 @@ def test_regression_cross_validation(spark):
     train, test, balanced, _ = M.prepare(df, ["a", "b"])
     cv = M.cross_validated_regression(balanced, families=("binomial",), elastic_net=(0.0,), reg=(0.01, 1.0), folds=2)
     assert len(cv.avgMetrics) == 2 and cv.bestModel.getOrDefault("regParam") in (0.01, 1.0)
+
+
+def test_command_line_lists_queries(capsys):
+    from pagetide.__main__ import main
+    assert main(["--list"]) == 0
+    names = capsys.readouterr().out.split()
+    assert "page_linkage" in names and "streamed_pair_bits" in names and len(names) == 82
