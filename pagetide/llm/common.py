@@ -127,3 +127,66 @@ def best_per_query(qi: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -
     first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
     start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
     return order[np.arange(len(q)) - start < k]
+
+
+# --- words -------------------------------------------------------------------
+
+_SLICE = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(64).integers(0, 1 << 64, 256, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**(n - 1) modulo 2**64, kept for the next call."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 12), base, dtype=np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= 1 << 21:
+            _POWERS[base] = known
+    return known[:n]
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Spreads every bit of a 64-bit number over all of them (a bijection)."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def range_hashes(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray, unbase: int = _UNBASE) -> np.ndarray:
+    """Hashes of the ranges [begin, end) from the sums that ``prefix_sums`` made; equal for equal content."""
+    return (prefix[end] - prefix[begin]) * powers(unbase, int(begin.max(initial=0)) + 1)[begin]
+
+
+def prefix_sums(values: np.ndarray, base: int = _BASE) -> np.ndarray:
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers(base, len(values)), out=out[1:])
+    return out
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of a UTF-8 text, a slice at a time (cut at white space)."""
+    parts, at = [], 0
+    while at < len(data):
+        stop = min(len(data), at + _SLICE)
+        if stop < len(data):
+            tail = np.flatnonzero(_BLANK[np.frombuffer(data, np.uint8, stop - at, at)])
+            if len(tail):
+                stop = at + int(tail[-1]) + 1
+            else:  # one word longer than a slice
+                while stop < len(data) and not _BLANK[data[stop]]:
+                    stop += 1
+        codes = np.frombuffer(data, np.uint8, stop - at, at)
+        inside = np.r_[False, ~_BLANK[codes], False]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, end = edges[::2], edges[1::2]
+        hashes = range_hashes(prefix_sums(_BYTE[codes]), begin, end)
+        parts.append(mix64(hashes + (end - begin).astype(np.uint64)))
+        at = stop
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)

@@ -57,4 +57,20 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLE = {"op2_source_mixing": OP2, "op3_exact_top_k": OP3, "op8_warc_revisits": OP8}
+OP9 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM d),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS m FROM p),
+r AS (SELECT m FROM h GROUP BY m HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest(range(i, i + 35)) AS pos FROM h WHERE m IN (SELECT m FROM r))),
+k AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.pos) AS kept, count(*) AS n
+  FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.pos = c.pos WHERE c.pos IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(k.n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+ORACLE = {"op2_source_mixing": OP2, "op3_exact_top_k": OP3, "op8_warc_revisits": OP8,
+          "op9_repeated_passages": OP9}

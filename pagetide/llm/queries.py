@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hashforest, mixing, topk, warc
+from . import hashforest, mixing, simhash, substring, topk, warc
 from .common import shared_folder, table, word_count
 
 
@@ -24,6 +24,12 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document (operator 5)."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=4, max_bits=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty near neighbours for every twentieth vector (operator 7)."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -38,4 +44,11 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_records(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_exact_top_k, op7_hash_forest, op8_warc_revisits)}
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document without repeated windows of 35 words (operator 9)."""
+    found = substring.without_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", length=35)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("sha256").alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_exact_top_k, op5_simhash_groups, op7_hash_forest,
+                                   op8_warc_revisits, op9_repeated_passages)}
