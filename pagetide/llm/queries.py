@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hashforest, mixing, simhash, substring, topk, warc
+from . import hashforest, htmltext, langid, mixing, pieces, quality, simhash, substring, topk, warc
 from .common import shared_folder, table, word_count
 
 
+# The public vocabulary that operator 10's query encodes with.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document (operator 1).
+
+    The graded rating: 0 for toxic, 1 for low quality, 2 for good.
+    """
+    docs = table(spark, sf_dir, "documents")
+    rating = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    model = quality.train(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", rating)
+    return quality.score(docs, "text", model, {"doc_id": F.col("doc_id")})
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix (operator 2)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -24,12 +39,25 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, with its layout (operator 4)."""
+    return htmltext.extract(table(spark, sf_dir, "pages"), "html", {"page_id": F.col("page_id")})
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document (operator 5)."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=4, max_bits=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document (operator 6)."""
+    docs = table(spark, sf_dir, "documents")
+    doc_id = F.col("doc_id")
+    model = langid.train(docs, "text", "lang", langid.learnable(doc_id), langid.by_checksum(doc_id))
+    return langid.classify(docs, model, "text", {"doc_id": doc_id, "held_out": langid.held_out(doc_id)})
+
+
 def op7_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty near neighbours for every twentieth vector (operator 7)."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -50,5 +78,16 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("sha256").alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_exact_top_k, op5_simhash_groups, op7_hash_forest,
-                                   op8_warc_revisits, op9_repeated_passages)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text back (operator 10)."""
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = pieces.Vocabulary.load(VOCABULARY)
+    encoded = pieces.encode(docs, "text", vocabulary, {"doc_id": F.col("doc_id"), "was": F.xxhash64("text")})
+    decoded = pieces.decode_ids(encoded, "ids", vocabulary, {"doc_id": F.col("doc_id"), "ids": F.col("ids"), "was": F.col("was")})
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                          (F.xxhash64("text") == F.col("was")).alias("round_trip"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ordinal_quality, op2_source_mixing, op3_exact_top_k, op4_page_text, op5_simhash_groups, op6_language,
+    op7_hash_forest, op8_warc_revisits, op9_repeated_passages, op10_sentencepiece)}

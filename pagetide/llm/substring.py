@@ -108,7 +108,7 @@ def _windows(length):
     return run
 
 
-def _cut_texts(length):
+def _cut_texts(length, keep_untouched):
     def run(batches):
         for batch in batches:
             total, removed, kept = [], [], []
@@ -122,22 +122,23 @@ def _cut_texts(length):
                     cover[m["first"] + m["count"] + length - 1] -= 1
                 keep = np.cumsum(cover[:-1]) == 0
                 removed.append(int((~keep).sum()))
-                kept.append(b" ".join(compress(words, keep.tolist())))
+                kept.append(text if keep_untouched and keep.all() else b" ".join(compress(words, keep.tolist())))
             rest = [n for n in batch.schema.names if n not in ("text", "marks")]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in rest], pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
+                 pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k or b"").hexdigest() for k in kept])],
                 names=[*rest, "n_words", "n_removed", "kept", "sha256"])
     return run
 
 
 def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH,
-                    carry: dict[str, Column] | None = None) -> DataFrame:
+                    carry: dict[str, Column] | None = None, keep_untouched: bool = False) -> DataFrame:
     """(id, the ``carry`` columns, n_words, n_removed, kept binary, sha256), one row per row of ``docs``.
 
     Every word covered by a window of ``length`` words whose word sequence also starts anywhere else,
     the same document included, is left out of ``kept`` (UTF-8, joined by one space).  Windows are
-    judged on the input.  A repeated row is a further document: its windows are repeated.  A null text
+    judged on the input.  With ``keep_untouched``, a text that loses no word stays as it is, null included.
+    A repeated row is a further document: its windows are repeated.  A null text
     has no words; so has an empty one.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -176,5 +177,5 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
     joined = source.join(marks, on_same(source, marks), "left").drop("r_id", "r_key", "key")
     rest = [f for f in joined.schema.fields if f.name not in ("text", "marks")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    out = joined.mapInArrow(_cut_texts(length), f"{schema}, n_words long, n_removed long, kept binary, sha256 string")
+    out = joined.mapInArrow(_cut_texts(length, keep_untouched), f"{schema}, n_words long, n_removed long, kept binary, sha256 string")
     return out.select("id", *[F.col(f"`c_{n}`").alias(n) for n in carry], "n_words", "n_removed", "kept", "sha256")
