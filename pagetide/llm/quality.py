@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_bytes, word_hashes
 
-DIMS = 1 << 15
+BITS = 17
+DIMS = 1 << BITS
 # Bound of the training sample: so many ratings, those with the smallest draw.
 MAX_RATINGS = 20_000
 PARTS = 6
 ROUNDS = 40
 PENALTY = 1e-4
+STATISTICS_PENALTY = 1e-5
 
 _KIND = np.zeros(256, dtype=np.int8)  # 0 letters and beyond ASCII, 1 upper case, 2 digits, 3 other signs, 4 blanks
 _KIND[33:127] = 3
@@ -33,25 +35,25 @@ _KIND[65:91] = 1
 _KIND[97:123] = 0
 _KIND[[9, 10, 11, 12, 13, 32]] = 4
 _WORDS_ONLY = bytes(32 if _KIND[i] in (3, 4) else i for i in range(256))
-STATISTICS = 8
+STATISTICS = 11
+PRESENT = 0.5
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, values): damped counts of hashed lower-case words with unit length, and a few
-    statistics of the text in the last places.  A null text is an empty one."""
+    """(positions, values): which hashed lower-case words the text holds (one telling word counts as much
+    in a long text as in a short one), and statistics of the text in the last places: kinds of
+    characters, lengths, repetition.  A null text is an empty one."""
     data = text or b""
     words = word_hashes(data.lower().translate(_WORDS_ONLY))
-    at, count = np.unique(words >> np.uint64(64 - 15), return_counts=True)
-    value = np.log1p(count)
-    value /= np.linalg.norm(value) or 1.0
-    share = np.zeros(5)
+    at, count = np.unique(words >> np.uint64(64 - BITS), return_counts=True)
+    kinds = np.zeros(5)
     for i in range(0, len(data), 1 << 20):
-        share += np.bincount(_KIND[np.frombuffer(data, np.uint8, min(1 << 20, len(data) - i), i)], minlength=5)
-    share /= max(1, len(data))
-    distinct = len(at) / max(1, min(len(words), DIMS))
-    statistics = np.array([1.0, share[1], share[2], share[3], share[4], distinct,
-                           min(1.0, np.log1p(len(words)) / 10), min(1.0, len(data) / (20 * max(1, len(words))))])
-    return np.r_[at.astype(np.int64), DIMS + np.arange(STATISTICS)], np.r_[value, statistics]
+        kinds += np.bincount(_KIND[np.frombuffer(data, np.uint8, min(1 << 20, len(data) - i), i)], minlength=5)
+    kinds /= max(1, len(data))
+    n = max(1, len(words))
+    statistics = [1.0, *kinds[1:], len(at) / min(n, DIMS), min(1.0, np.log1p(len(words)) / 10), min(1.0, len(data) / (20 * n)),
+                  np.count_nonzero(words[1:] == words[:-1]) / n, count.max(initial=0) / n, min(1.0, 4 * data.count(b"\n") / n)]
+    return np.r_[at.astype(np.int64), DIMS + np.arange(STATISTICS)], np.r_[np.full(len(at), PRESENT), statistics]
 
 
 def _feature_rows(batches):
@@ -168,12 +170,12 @@ def train(docs: DataFrame, doc_id: str, text: str, ratings: DataFrame, rated_id:
         return None
     sc = docs.sparkSession.sparkContext
     width = DIMS + STATISTICS
-    penal = np.r_[np.ones(width), np.zeros(len(grades) - 1)] * PENALTY
+    penal = np.r_[np.full(DIMS, PENALTY), np.full(STATISTICS, STATISTICS_PENALTY), np.zeros(len(grades) - 1)]
 
     def objective(x):
         shared = sc.broadcast(x)
         parts = table.mapInArrow(_partial(shared, len(grades)), "loss double, n long, grad binary").collect()
-        shared.unpersist()
+        shared.destroy()
         n = sum(p["n"] for p in parts)
         loss = -sum(sorted(p["loss"] for p in parts)) / n
         grad = -sum(np.frombuffer(p["grad"]) for p in parts) / n
@@ -203,7 +205,7 @@ def _score_rows(shared):
     return run
 
 
-def score(docs: DataFrame, text: str, model: Model | None, keep: dict[str, Column], least_tail: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, text: str, model: Model | None, keep: dict[str, Column], least_tail: float = 0.6) -> DataFrame:
     """The ``keep`` columns, expected_grade, tail_probability (of the best grade) and selected (the tail
     reaches ``least_tail``) of every row.  Whole texts, one pass, no shuffle.  Without a model both
     scores are null and every row is selected."""
