@@ -9,6 +9,7 @@ record by record along Content-Length.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -36,9 +37,13 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _digest(*parts: Column) -> Column:
+    return F.md5(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x1e")) for p in parts]))
+
+
 def _urn(*parts: Column) -> Column:
     """A record id that a retried task writes again unchanged."""
-    h = F.md5(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x1e")) for p in parts]))
+    h = _digest(*parts)
     cuts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
@@ -57,20 +62,16 @@ def resolve(pages: DataFrame, min_payload: int = 0, page_id: str = "page_id", ur
                         payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn(
         "payload_digest", base32_sha1(F.col("payload")))
+    rows = rows.withColumn("key", _digest(F.col("page_id"), F.col("url"), F.col("payload_digest")))
     headers = rows.drop("payload").distinct()
     first = (headers.where(F.col("payload_bytes") >= min_payload)
                     .groupBy("payload_digest", "payload_bytes")
                     .agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id",
                                         F.col("url").isNull().alias("no_url"), "url")).alias("first")))
-    named = (headers.alias("h").join(first.alias("f"), ["payload_digest", "payload_bytes"], "left")
-                    .select(F.col("page_id").alias("k_page"), F.col("url").alias("k_url"),
-                            F.col("payload_digest").alias("k_digest"), "first"))
+    named = headers.join(first, ["payload_digest", "payload_bytes"], "left").select("key", "first")
+    # One shuffle of payloads, by a key that fully repeated rows alone share: they are numbered in place.
+    joined = rows.join(named, "key").withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
     own = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
-    match = (F.col("page_id").eqNullSafe(F.col("k_page")) & F.col("url").eqNullSafe(F.col("k_url"))
-             & (F.col("payload_digest") == F.col("k_digest")))
-    joined = rows.join(named, match, "inner").drop("k_page", "k_url", "k_digest")
-    copy = F.row_number().over(Window.partitionBy("page_id", "url", "payload_digest").orderBy(F.lit(0)))
-    joined = joined.withColumn("copy", copy)
     revisit = F.col("first").isNotNull() & (~own | (F.col("copy") > 1))
     target = _urn(F.col("first.page_id"), F.col("first.url"), F.col("payload_digest"), F.lit(1))
     return joined.select(
@@ -117,9 +118,9 @@ def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
 def write_archives(resolved: DataFrame, folder: str, per_archive: int) -> str:
     """Write the records as ``folder``/part-*, at most ``per_archive`` to a file.  Spark's text writer
     puts the two line ends that close a WARC record after each row, and its commit protocol survives
-    lost executors."""
+    lost executors.  Each file is one gzip stream."""
     (records(resolved).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_archive)
-                      .option("compression", "none").text(folder))
+                      .option("compression", "gzip").text(folder))
     return folder
 
 
@@ -155,7 +156,7 @@ def _read(batches, with_payload):
     for batch in batches:
         rows, held = [], 0
         for data in batch.column("content").to_pylist():
-            for header, block in _parse(data):
+            for header, block in _parse(gzip.decompress(data)):
                 http_end = block.find(b"\r\n\r\n")
                 payload = block[http_end + 4:] if header["warc-type"] == "response" else None
                 sha = payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode()
