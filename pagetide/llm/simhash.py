@@ -142,6 +142,8 @@ def links(prints: DataFrame, max_bits: int, ring: int = RING, block: int = BLOCK
     differing bits of each other, directly or through others."""
     if not 0 <= max_bits < ring:
         raise ValueError("the ring needs more segments than differing bits")
+    # Spread again: the distinct fingerprints may have been merged into few partitions.
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = prints.select("fp", F.explode(_keys(F.col("fp"), ring)).alias("k")).select("k.key", "k.own", "fp")
     sizes = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("long")).alias("owners"))
                   .where("n > 1 AND owners > 0"))
