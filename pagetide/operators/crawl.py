@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetide.functions import html as H
-from pagetide.functions.udfs import overlap_ratio
+from pagetide.functions.udfs import matched_elements
 from pagetide.operators.ordering import dense_index, previous_row
 
 # Fixed values of the crawler's log format.
@@ -88,8 +88,13 @@ def sample_crawl(df: DataFrame, url_index: str = "url_index", modulus: int = 100
 
 
 def join_logs_pages(logs: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Valid log rows with their page text; logs without a file drop out (inner join)."""
-    return valid_log_entries(logs).join(blobs.select("day", "page_key", "html"), ["day", "page_key"], "inner")
+    """Valid log rows with their page text; logs without a file drop out (inner join).
+
+    A day that could not be read from the folder name is null on both sides and matches as such."""
+    pages = blobs.select(F.col("day").alias("_day"), F.col("page_key").alias("_key"), "html")
+    entries = valid_log_entries(logs)
+    same = entries["day"].eqNullSafe(pages["_day"]) & (entries["page_key"] == pages["_key"])
+    return entries.join(pages, same, "inner").drop("_day", "_key")
 
 
 def previous_in_order(df: DataFrame, thread_cols: list[str], order_cols: list[str], carry: list[str],
@@ -147,7 +152,7 @@ def flag_false_duplicates(with_prev: DataFrame, text: str = "text_lines", prev:
     if use_ratio:
         needs = F.coalesce(~first & cheap_ok & (ratio_upper_bound(c, p) > max_overlap), F.lit(False))
         # Python UDFs run on every row, so undecided rows alone carry their lists.
-        ratio = overlap_ratio(F.when(needs, c), F.when(needs, p))
+        ratio = F.try_divide(F.lit(2.0) * matched_elements(F.when(needs, c), F.when(needs, p)), F.size(c) + F.size(p))
         ratio_ok = ~needs | (ratio <= max_overlap)
     else:
         ratio_ok = F.lit(True)

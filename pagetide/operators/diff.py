@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetide.functions.udfs import opcode_counts
-from pagetide.operators.ordering import bounded_broadcast
+from pagetide.functions.udfs import matched_elements
 
 
 def calendar(snapshots: DataFrame, day: str = "day") -> DataFrame:
@@ -37,7 +36,7 @@ def day_pairs(snapshots: DataFrame, features: list[str], key: str = "page_id", d
     """
     left = left if left is not None else features
     right = right if right is not None else features
-    cal = bounded_broadcast(calendar(snapshots, day))  # one row per crawl day
+    cal = F.broadcast(calendar(snapshots, day))  # one row per crawl day: a century of days is under 1 MB
     a = (snapshots.join(cal, day).select(F.col(key), F.col(day).alias("day1"), F.col("next_day").alias("day2"),
                                          *[F.col(c).alias(c + "_1") for c in left]))
     b = snapshots.select(F.col(key), F.col(day).alias("day2"), *[F.col(c).alias(c + "_2") for c in right])
@@ -50,7 +49,7 @@ def change_bits(snapshots: DataFrame, features: list[str], key: str = "page_id",
     dig = snapshots.select(key, day, *[digest(f).alias(f) for f in features])
     pairs = day_pairs(dig, features, key, day)
     return pairs.select(key, "day1", "day2",
-                        *[(F.col(f + "_1") != F.col(f + "_2")).cast("int").alias(f + "_changed") for f in features])
+                        *[(~F.col(f + "_1").eqNullSafe(F.col(f + "_2"))).cast("int").alias(f + "_changed") for f in features])
 
 
 def feature_numbers(snapshots: DataFrame, features: list[str], key: str = "page_id", day: str = "day") -> DataFrame:
@@ -66,21 +65,25 @@ def training_pairs(snapshots: DataFrame, features: list[str], targets: list[str]
     pairs = day_pairs(pre, [], key, day, left=[*("n_" + f for f in features), *("d_" + t for t in targets)],
                       right=["d_" + t for t in targets])
     return pairs.select(key, "day1", *[F.col(f"n_{f}_1").alias(f) for f in features],
-                        *[(F.col(f"d_{t}_1") != F.col(f"d_{t}_2")).cast("int").alias(t + "_changed")
+                        *[(~F.col(f"d_{t}_1").eqNullSafe(F.col(f"d_{t}_2"))).cast("int").alias(t + "_changed")
                           for t in targets])
 
 
 def opcode_struct(a: Column, b: Column) -> Column:
     """(equal, insert, delete) of two lists; equal lists and empty sides are
     answered natively, the alignment UDF runs only for real differences."""
-    la, lb = F.size(a), F.size(b)
-    same = F.coalesce(a == b, F.lit(False))
+    # A missing list counts as empty.
+    la, lb = F.coalesce(F.size(a), F.lit(0)), F.coalesce(F.size(b), F.lit(0))
+    la, lb = F.greatest(la, F.lit(0)), F.greatest(lb, F.lit(0))
+    same = a.eqNullSafe(b)
     native = (F.when(same, F.struct(la.alias("equal"), F.lit(0).alias("insert"), F.lit(0).alias("delete")))
                .when(la == 0, F.struct(F.lit(0).alias("equal"), lb.alias("insert"), F.lit(0).alias("delete")))
                .when(lb == 0, F.struct(F.lit(0).alias("equal"), F.lit(0).alias("insert"), la.alias("delete"))))
     # Python UDFs run on every row: rows answered natively pass nulls (no transfer, no work).
     needs = ~same & (la > 0) & (lb > 0)
-    return F.coalesce(native, opcode_counts(F.when(needs, a), F.when(needs, b)))
+    equal = matched_elements(F.when(needs, a), F.when(needs, b))
+    aligned = F.struct(equal.alias("equal"), (lb - equal).alias("insert"), (la - equal).alias("delete"))
+    return F.coalesce(native, aligned)
 
 
 def feature_diff(snapshots: DataFrame, features: list[str], key: str = "page_id", day: str = "day",
@@ -92,7 +95,7 @@ def feature_diff(snapshots: DataFrame, features: list[str], key: str = "page_id"
     cells = [F.struct(F.lit(f).alias("feature"), opcode_struct(F.col(f + "_1"), F.col(f + "_2")).alias("ops"))
              for f in features]
     if page_hash:
-        changed = (F.col(page_hash + "_1") != F.col(page_hash + "_2")).cast("int")
+        changed = (~F.col(page_hash + "_1").eqNullSafe(F.col(page_hash + "_2"))).cast("int")
         cells.append(F.struct(F.lit("page_hash").alias("feature"),
                               F.struct((1 - changed).alias("equal"), changed.alias("insert"),
                                        F.lit(0).alias("delete")).alias("ops")))
@@ -120,7 +123,7 @@ def changed_sample(snapshots: DataFrame, feature: str, n: int, key: str = "page_
     dig = snapshots.select(key, day, digest(feature).alias("_d"))
     pairs = day_pairs(dig, ["_d"], key, day)
     order = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"), F.col("day1").cast("string")))
-    picked = (pairs.filter(F.col("_d_1") != F.col("_d_2")).withColumn("_o", order)
+    picked = (pairs.filter(~F.col("_d_1").eqNullSafe(F.col("_d_2"))).withColumn("_o", order)
                    .orderBy("_o", key).limit(n).select(key, "day1", "day2"))
     chosen = F.broadcast(picked)  # n rows by construction
     lists = snapshots.select(key, day, feature)

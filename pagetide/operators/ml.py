@@ -55,13 +55,16 @@ def class_weights(df: DataFrame, label: str = "label", counts: tuple[int, int] |
 
 
 def balance_by_sampling(train: DataFrame, label: str = "label", counts: tuple[int, int] | None = None,
-                        seed: int = SEED) -> DataFrame:
-    """Down-sample the majority class to the size of the minority (Bernoulli, seeded)."""
+                        seed: int = SEED, id_col: str = "page_id") -> DataFrame:
+    """Down-sample the majority class to about the size of the minority: a row stays if the hash of its
+    id falls below the fraction, whatever the number of cores or partitions."""
     n0, n1 = counts or class_counts(train, label)
     if n0 == 0 or n1 == 0:
         return train
-    fractions = {0: min(1.0, n1 / n0), 1: min(1.0, n0 / n1)}
-    return train.sampleBy(label, fractions, seed)
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    unit = F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    fraction = F.when(F.col(label) == 0, min(1.0, n1 / n0)).when(F.col(label) == 1, min(1.0, n0 / n1))
+    return train.where(unit < fraction)
 
 
 class Prepared(NamedTuple):
@@ -86,7 +89,7 @@ def prepare(df: DataFrame, features: list[str], label: str = "label", id_col: st
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = data.filter(~F.col("validation")), data.filter(F.col("validation"))
     # The sampling fraction comes from the class counts of all pairs, like the weight.
-    balanced = balance_by_sampling(train, "label", counts)
+    balanced = balance_by_sampling(train, "label", counts, id_col=id_col)
     return Prepared(train, test, balanced, data)
 
 
@@ -213,9 +216,13 @@ def prediction_grid(model, grid: DataFrame, swapped: bool = False) -> DataFrame:
     return out
 
 
+# The elimination's forest has more and finer trees than the pair model's.
+ELIMINATION_PARAMS = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 10}
+
+
 def feature_elimination(train: DataFrame, test: DataFrame, features: list[str], params: dict | None = None):
     """Recursive elimination: fit, record accuracy, drop the least important feature."""
-    params = params or RF_PARAMS
+    params = params or ELIMINATION_PARAMS
     remaining = list(range(len(features)))
     steps = []
     while remaining:

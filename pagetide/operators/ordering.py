@@ -16,15 +16,6 @@ from pyspark.sql import functions as F
 from pagetide.session import ensure_checkpoint_dir
 
 
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting: tables above ``max_rows`` stay
-    unhinted and join by shuffle (AQE may still broadcast them if small in bytes)."""
-    return F.broadcast(small) if small.count() <= max_rows else small
-
-
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -40,9 +31,9 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[Column |
     is deterministic and survives task retries.  The numbered rows are
     checkpointed (reliable, under ``spark.checkpoint.dir``) before the offset
     table is derived from them, so both read one materialised partitioning.
-    The offset table has at most partitions + groups rows and is broadcast
-    after a size check (few, large groups: threads, days, labels); many tiny
-    groups are better served by ``row_number``.  ``total`` optionally names a
+    The offset table has at most partitions + groups rows; Spark broadcasts it
+    if its measured bytes allow.  Rows whose group is null form a group of their
+    own.  Many tiny groups are better served by ``row_number``.  ``total`` optionally names a
     column with the group size.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -68,7 +59,12 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[Column |
         whole = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
         slices = slices.withColumn("__di_total", F.sum("__di_n").over(whole))
     slices = slices.drop("__di_n")
-    joined = ranged.join(bounded_broadcast(slices), on=["__di_pid", *group_cols], how="inner")
+    slices = slices.select(F.col("__di_pid").alias("__di_p"), *[F.col(g).alias(f"__di_g{i}") for i, g in enumerate(group_cols)],
+                           "__di_first", "__di_offset", *(["__di_total"] if total else []))
+    same = F.col("__di_pid") == F.col("__di_p")
+    for i, g in enumerate(group_cols):
+        same = same & F.col(g).eqNullSafe(F.col(f"__di_g{i}"))
+    joined = ranged.join(slices, same, "inner").drop("__di_p", *[f"__di_g{i}" for i in range(len(group_cols))])
     out = (joined.withColumn(name, (F.col("__di_offset") + F.col("__di_pos") - F.col("__di_first") + 1).cast("bigint"))
                  .drop("__di_pid", "__di_pos", "__di_first", "__di_offset"))
     return out.withColumnRenamed("__di_total", total) if total else out
@@ -81,7 +77,11 @@ def previous_row(df: DataFrame, group_cols: list[str], index_col: str, carry: li
     ``carry`` columns of the earlier row come back as ``prefix + column``
     (null for the first row).  Needs a dense ``index_col``.
     """
-    prev = df.select(*group_cols, (F.col(index_col) + 1).alias(index_col),
+    keys = [*group_cols, index_col]
+    prev = df.select(*[F.col(g).alias(f"__pr_{g}") for g in group_cols], (F.col(index_col) + 1).alias(f"__pr_{index_col}"),
                      *[F.col(c).alias(prefix + c) for c in carry])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__pr_{k}"))
     # Both sides are the whole input: never broadcast, sort-merge (spills) on a unique key.
-    return df.join(prev.hint("merge"), on=[*group_cols, index_col], how="left")
+    return df.join(prev.hint("merge"), same, "left").drop(*[f"__pr_{k}" for k in keys])

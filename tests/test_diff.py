@@ -4,7 +4,19 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagetide.functions.udfs import opcode_counts_py
+import difflib
+
+
+def opcode_counts_py(a, b):
+    """(equal, insert, delete) from the edit operations themselves."""
+    sizes = {"equal": 0, "insert": 0, "delete": 0}
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a or [], b or []).get_opcodes():
+        if tag == "equal":
+            sizes["equal"] += i2 - i1
+        else:
+            sizes["delete"] += i2 - i1
+            sizes["insert"] += j2 - j1
+    return tuple(sizes.values())
 from pagetide.operators import crawl as C
 from pagetide.operators import diff as D
 from pagetide.operators.ordering import dense_index
@@ -34,10 +46,10 @@ def test_opcodes_match_difflib(spark):
 
 
 def test_overlap_ratio_matches_difflib(spark):
-    from pagetide.functions.udfs import overlap_ratio
+    from pagetide.functions.udfs import matched_elements
     cases = _cases()
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<string>, b array<string>")
-    got = {r["i"]: r["r"] for r in df.select("i", overlap_ratio("a", "b").alias("r")).collect()}
+    got = {r["i"]: r["r"] for r in df.select("i", F.coalesce(F.try_divide(2.0 * matched_elements("a", "b"), F.size("a") + F.size("b")), F.lit(1.0)).alias("r")).collect()}
     for i, (a, b) in enumerate(cases):
         assert abs(got[i] - difflib.SequenceMatcher(None, a, b).ratio()) < 1e-12
 
