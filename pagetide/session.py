@@ -65,6 +65,10 @@ def prepare(spark: SparkSession) -> None:
     """What every query needs of a session, whoever built it: the shared folder and the package."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    # Whole documents and pages travel to Python: small batches, unless the application chose a size.
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(batch):
+        spark.conf.set(batch, DEFAULT_CONF[batch])
 
 
 def ship_package(spark: SparkSession) -> None:
