@@ -147,7 +147,7 @@ def powers(base: int, n: int) -> np.ndarray:
         known = np.full(max(n, 1 << 12), base, dtype=np.uint64)
         known[0] = 1
         known = np.multiply.accumulate(known)
-        if n <= 1 << 21:
+        if n <= 1 << 20:
             _POWERS[base] = known
     return known[:n]
 

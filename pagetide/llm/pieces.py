@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import prefix_sums, range_hashes
 
 MARK = "▁"
-CACHE = 500_000
+CACHE = 250_000
 # Units indexed together, in characters.
-INDEX_CHARS = 1 << 19
+INDEX_CHARS = 1 << 18
 
 
 @dataclass
@@ -296,7 +296,7 @@ class Decoder:
         return (data[1:] if data.startswith(b" ") else data).decode("utf-8", "replace")
 
 
-def _encode_rows(shared, column, slice_chars=4 << 20):
+def _encode_rows(shared, column, slice_chars=3 << 19):
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in batches:
