@@ -9,6 +9,9 @@ carry ``</p>`` or ``<a`` inside JavaScript strings.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ VOID_ELEMENT_RE = {
 SCRIPT_ELEMENT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
 TABLE_OPEN_RE = r"(?i)<table\b[^>]*>"
 
-# Fixed: the named entities decoded natively (one tokenised pass, see unescape).
+# Fixed: the commonest named references, answered before the full table is searched.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&nbsp;", "\u00a0"), ("&amp;", "&")]
 # Whitespace as Python's str.split / str.strip see it: ASCII space characters
@@ -47,31 +50,46 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Tokens of a text around character references (decimal / hex, ';' optional,
-# and the named ones above); everything else passes through unchanged.
-ENTITY_TOKEN_RE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&(?:lt|gt|quot|apos|nbsp|amp);|[^&]+|&"
+# Tokens of a text around character references (decimal, hex or named, ';' optional);
+# everything else passes through unchanged.
+ENTITY_TOKEN_RE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"
 REPLACEMENT_CHAR = "\ufffd"
+# Names that need no semicolon, the longest first: such a name may be the start of a longer word.
+OPEN_NAME_RE = "^&(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+# References to 128 ... 159 mean Windows-1252 characters; its unassigned places stay control characters.
+WINDOWS_1252 = [bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)]
 
 
 def _code_point_char(n: Column) -> Column:
-    """Character for a code point; invalid ones (0, surrogates, > U+10FFFF) give U+FFFD."""
+    """Character for a code point; invalid ones (0, surrogates, > U+10FFFF) give U+FFFD, most
+    control characters and non-characters vanish."""
     valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    dropped = (n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF)
+               | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
     as_char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    return F.when(F.coalesce(valid, F.lit(False)), as_char).otherwise(F.lit(REPLACEMENT_CHAR))
+    return (F.when(~F.coalesce(valid, F.lit(False)), F.lit(REPLACEMENT_CHAR))
+             .when(n.between(128, 159), F.try_element_at(F.array(*[F.lit(c) for c in WINDOWS_1252]), (n - 127).cast("int")))
+             .when(dropped, F.lit("")).otherwise(as_char))
 
 
 def unescape(s) -> Column:
-    """Decode numeric character references and the basic named entities in one
-    pass (so an escaped ampersand never starts a second reference)."""
+    """Decode numeric and named character references in one pass (so an escaped
+    ampersand never starts a second reference), as Python's ``html.unescape``."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")  # folded to one literal
+
     def token(t):
         dec = F.regexp_extract(t, r"^&#([0-9]+);?$", 1)
         hx = F.regexp_extract(t, r"^&#[xX]([0-9a-fA-F]+);?$", 1)
         named = F.lit(None).cast("string")
         for entity, char in ENTITIES:
             named = F.when(t == entity, F.lit(char)).otherwise(named)
-        return (F.when(dec != "", _code_point_char(dec.try_cast("long")))
+        start = F.regexp_extract(t, OPEN_NAME_RE, 1)
+        by_start = F.concat(F.try_element_at(names, start), t.substr(F.length(start) + 2, F.length(t)))
+        searched = F.coalesce(named, F.try_element_at(names, t.substr(F.lit(2), F.length(t))), by_start, t)
+        return (F.when(~t.startswith("&"), t)
+                 .when(dec != "", _code_point_char(dec.try_cast("long")))
                  .when(hx != "", _code_point_char(F.conv(hx, 16, 10).try_cast("long")))
-                 .otherwise(F.coalesce(named, t)))
+                 .otherwise(searched))
 
     tokens = F.regexp_extract_all(_col(s), F.lit(ENTITY_TOKEN_RE), 0)
     # Strings without '&' (most hrefs, many lines) skip the tokenisation.
@@ -165,7 +183,7 @@ def has_html_element(html) -> Column:
 
 def text_lines(html) -> Column:
     """Visible text as lines: head/script/style/comments dropped, block tags end a
-    line, other tags vanish, basic entities decoded, lines stripped, blanks dropped."""
+    line, other tags vanish, character references decoded, lines stripped, blanks dropped."""
     body = F.regexp_replace(without_scripts(html), HEAD_RE, "")
     body = F.regexp_replace(body, BLOCK_TAG_RE, "\n")
     body = unescape(F.regexp_replace(body, ANY_TAG_RE, ""))

@@ -17,7 +17,7 @@ SEED = "EMOTION"
 SLD_LIMIT = 50
 
 
-def dump_links(lines: DataFrame, line: str = "line", keys=("page_id",)) -> DataFrame:
+def dump_links(lines: DataFrame, line: str = "line", keys=("page_id", "line_no")) -> DataFrame:
     """(keys..., link_no, link): links of each dump line, entity-decoded first,
     kept when they have ``://`` and a dot right after it, one trailing ``/`` cut.
     Matching is per line, so a link at the very start of a line is not found."""

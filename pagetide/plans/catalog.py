@@ -186,8 +186,8 @@ def _training(spark, root):
     return X.training(t.documents, t.labels)
 
 
-def _training_long(spark, root):
-    return ST.unpivot(_training(spark, root), X.TRAINING_FEATURES)
+def _counts_long(spark, root):
+    return ST.unpivot(X.text_counts(Tables(spark, root).documents), X.TRAINING_FEATURES)
 
 
 def _predicted(spark, root):
@@ -198,12 +198,12 @@ def _predicted(spark, root):
 
 @query("feature_percentiles")
 def q_feature_percentiles(spark, root):
-    return ST.percentiles(_training_long(spark, root))
+    return ST.percentiles(_counts_long(spark, root))
 
 
 @query("value_statistics")
 def q_value_statistics(spark, root):
-    return ST.value_statistics(_training_long(spark, root), ignore_extremes=0.025)
+    return ST.value_statistics(_counts_long(spark, root), ignore_extremes=0.025)
 
 
 @query("quantity_statistics")
@@ -216,12 +216,12 @@ def q_quantity_statistics(spark, root):
 
 @query("interval_edges")
 def q_interval_edges(spark, root):
-    return ST.interval_edges(_training_long(spark, root), 10)
+    return ST.interval_edges(_counts_long(spark, root), 10)
 
 
 @query("error_heatmap")
 def q_error_heatmap(spark, root):
-    intervals = ST.interval_edges(_training_long(spark, root), 10)
+    intervals = ST.interval_edges(ST.unpivot(_training(spark, root), X.TRAINING_FEATURES), 10)
     return ST.error_heatmap(_predicted(spark, root), X.TRAINING_FEATURES, intervals)
 
 
@@ -252,8 +252,9 @@ def q_balanced_sample(spark, root):
 
 @query("feature_grid")
 def q_feature_grid(spark, root):
-    st = _training(spark, root).agg(F.min("f_lines").alias("xl"), F.max("f_lines").alias("xh"),
-                                    F.min("f_commas").alias("yl"), F.max("f_commas").alias("yh"))
+    counts = X.text_counts(Tables(spark, root).documents)
+    st = counts.agg(F.min("f_lines").alias("xl"), F.max("f_lines").alias("xh"),
+                    F.min("f_commas").alias("yl"), F.max("f_commas").alias("yh"))
     return ST.feature_grid(st, "xl", "xh", "yl", "yh", 100)
 
 
@@ -647,7 +648,7 @@ def q_rf_error_heatmap(spark, root):
         model = M.random_forest(balanced, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])
         preds = model.transform(test).select(*X.TRAINING_FEATURES, F.col("label").cast("int").alias("label"),
                                              F.col("prediction").cast("int").alias("prediction"))
-        intervals = ST.interval_edges(_training_long(spark, root), 10)
+        intervals = ST.interval_edges(ST.unpivot(_training(spark, root), X.TRAINING_FEATURES), 10)
         return ST.error_heatmap(preds, X.TRAINING_FEATURES, intervals)
 
 

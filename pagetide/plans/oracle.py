@@ -218,6 +218,7 @@ TRAINING = """
                   CAST(length(d.text) - length(replace(d.text, '.', '')) AS INTEGER) AS f_dots,
                   CAST(length(d.text) - length(replace(d.text, ',', '')) AS INTEGER) AS f_commas, l.quality AS label
            FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+COUNTS = TRAINING.replace(", l.quality AS label", "").replace(" JOIN labels l ON d.doc_id = l.doc_id", "")
 TRAINING_FEATURES = ["f_chars", "f_lines", "f_spaces", "f_dots", "f_commas"]
 
 
@@ -256,16 +257,16 @@ def _edges_cte(k: int = 10) -> str:
 
 PRED = "pred AS (SELECT *, CASE WHEN f_dots > f_lines THEN 1 ELSE 0 END AS prediction FROM tr)"
 
-ORACLE["feature_percentiles"] = f"""WITH {TRAINING},
+ORACLE["feature_percentiles"] = f"""WITH {COUNTS},
     lg AS ({_long('tr', TRAINING_FEATURES)}),
     {_positions('lg')}
 SELECT s.feature, p.percentile, s.value FROM s
 JOIN (VALUES (0), (20), (40), (60), (80), (100)) p(percentile) ON s.pos = floor((s.n - 1) * p.percentile / 100)"""
-ORACLE["value_statistics"] = _value_stats_sql(TRAINING, _long("tr", TRAINING_FEATURES), 0.025)
+ORACLE["value_statistics"] = _value_stats_sql(COUNTS, _long("tr", TRAINING_FEATURES), 0.025)
 ORACLE["quantity_statistics"] = _value_stats_sql(
     "li AS (SELECT CAST(l_quantity AS INTEGER) AS quantity, l_linenumber AS linenumber FROM lineitem)",
     _long("li", ["quantity", "linenumber"]), 0.025)
-ORACLE["interval_edges"] = f"""WITH {TRAINING},
+ORACLE["interval_edges"] = f"""WITH {COUNTS},
     lg AS ({_long('tr', TRAINING_FEATURES)}),
     {_edges_cte(10)}
 SELECT feature, interval, start, "end" FROM iv"""
@@ -311,7 +312,7 @@ def _axis(lo: str, hi: str, num: int = 100) -> str:
             f"ELSE i * {step} + {lo} END) AS BIGINT) AS v FROM st, (SELECT unnest(range(0, {num})) AS i)")
 
 
-ORACLE["feature_grid"] = f"""WITH {TRAINING},
+ORACLE["feature_grid"] = f"""WITH {COUNTS},
     st AS (SELECT min(f_lines) AS xl, max(f_lines) AS xh, min(f_commas) AS yl, max(f_commas) AS yh FROM tr),
     xs AS ({_axis('xl', 'xh')}), ys AS ({_axis('yl', 'yh')})
 SELECT xs.v AS x, ys.v AS y FROM xs, ys"""
@@ -421,15 +422,17 @@ SELECT avg(CAST(list_has_any(string_split(categories, ','), ['purchase', 'signup
 def _dump_links_cte() -> str:
     from pagetide.operators.seeds import DUMP_LINK_RE
     line = "concat('* [', url, ' x] ref=', replace(url, '&', '&amp;'), ' end')"
-    found = f"regexp_extract_all({S.unescape(line)}, {S.q(DUMP_LINK_RE)}, 1)"
+    found = f"regexp_extract_all({S.unescape('line')}, {S.q(DUMP_LINK_RE)}, 1)"
     valid = ("list_filter(found, lambda u: len(string_split(u, '://')) >= 2 "
              "AND instr(split_part(u, '://', 2), '.') > 0)")
     cut = f"list_transform({valid}, lambda u: CASE WHEN ends_with(u, '/') THEN substr(u, 1, length(u) - 1) ELSE u END)"
     return f"""
-    wl AS (SELECT page_id, {found} AS found FROM pages),
-    vl AS (SELECT page_id, {cut} AS links FROM wl),
-    ix AS (SELECT page_id, links, unnest(range(len(links))) AS i FROM vl),
-    dl AS (SELECT page_id, CAST(i AS INTEGER) AS link_no, links[i + 1] AS link FROM ix)"""
+    ls AS (SELECT page_id, list_concat([{line}], coalesce(string_split(html, chr(10)), [])) AS ls FROM pages),
+    li AS (SELECT page_id, ls, unnest(range(len(ls))) AS line_no FROM ls),
+    wl AS (SELECT page_id, line_no, {found} AS found FROM (SELECT page_id, line_no, ls[line_no + 1] AS line FROM li)),
+    vl AS (SELECT page_id, line_no, {cut} AS links FROM wl),
+    ix AS (SELECT page_id, line_no, links, unnest(range(len(links))) AS i FROM vl),
+    dl AS (SELECT page_id, CAST(line_no AS INTEGER) AS line_no, CAST(i AS INTEGER) AS link_no, links[i + 1] AS link FROM ix)"""
 
 
 def _host(x: str) -> str:
@@ -440,9 +443,9 @@ POP = f"""
     pop AS (SELECT array_to_string(string_split({_host('link')}, '.')[-2:], '.') AS sld, link, count(*) AS n
             FROM dl WHERE len(string_split({_host('link')}, '.')) >= 2 GROUP BY ALL)"""
 
-ORACLE["wiki_links"] = f"WITH {_dump_links_cte()} SELECT page_id, link_no, link FROM dl"
+ORACLE["wiki_links"] = f"WITH {_dump_links_cte()} SELECT page_id, line_no, link_no, link FROM dl"
 ORACLE["tld_links"] = f"""WITH {_dump_links_cte()}
-SELECT page_id, link_no, link FROM dl WHERE string_split({_host('link')}, '.')[-1] = 'com'"""
+SELECT page_id, line_no, link_no, link FROM dl WHERE string_split({_host('link')}, '.')[-1] = 'com'"""
 ORACLE["ranked_domains"] = """WITH r AS (SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS n FROM pages GROUP BY 1)
 SELECT 'http://' || host AS link FROM r WHERE string_split(host, '.')[-1] = 'com'"""
 

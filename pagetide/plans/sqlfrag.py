@@ -1,11 +1,15 @@
 """DuckDB SQL fragments mirroring the column functions, for the oracle queries.
 
-Each helper returns an SQL expression string.  The regex constants are the
-same objects the Spark side uses, so both engines run identical patterns.
+Each helper returns an SQL expression string.  The tag patterns are the same
+objects the Spark side uses, so both engines run identical patterns; what they
+find is checked against ``html.parser`` in tests/test_html_stdlib.py.  Character
+references are written here anew.
 """
 
 from __future__ import annotations
 
+import html.entities
+
 from pagetide.functions import html as H
 
 
@@ -23,18 +27,32 @@ def strip_ws(x: str) -> str:
 
 
 def _code_point_char(n: str) -> str:
-    return (f"(CASE WHEN {n} > 0 AND {n} <= 1114111 AND NOT ({n} BETWEEN 55296 AND 57343) "
-            f"THEN chr(CAST({n} AS INTEGER)) ELSE {q(H.REPLACEMENT_CHAR)} END)")
+    remapped = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
+    return (f"(CASE WHEN {n} IS NULL OR {n} <= 0 OR {n} > 1114111 OR {n} BETWEEN 55296 AND 57343 THEN chr(65533) "
+            f"WHEN {n} BETWEEN 128 AND 159 THEN substr({q(remapped)}, CAST({n} - 127 AS INTEGER), 1) "
+            f"WHEN {n} < 9 OR {n} = 11 OR {n} BETWEEN 14 AND 31 OR {n} = 127 OR {n} BETWEEN 64976 AND 65007 "
+            f"OR {n} % 65536 >= 65534 THEN '' ELSE chr(CAST({n} AS INTEGER)) END)")
+
+
+def _names() -> str:
+    table = html.entities.html5
+    return f"MAP([{', '.join(q(n) for n in table)}], [{', '.join(q(c) for c in table.values())}])"
+
+
+_OPEN = "|".join(sorted((n for n in html.entities.html5 if n[-1] != ";"), key=len, reverse=True))
 
 
 def unescape(x: str) -> str:
     dec = "TRY_CAST(regexp_extract(t, '^&#([0-9]+);?$', 1) AS BIGINT)"
     hx = "TRY_CAST(('0x' || regexp_extract(t, '^&#[xX]([0-9a-fA-F]+);?$', 1)) AS BIGINT)"
-    named = " ".join(f"WHEN t = {q(e)} THEN {q(c)}" for e, c in H.ENTITIES)
+    start = f"regexp_extract(t, '^&({_OPEN})', 1)"
+    searched = (f"coalesce(element_at({_names()}, substr(t, 2))[1], "
+                f"element_at({_names()}, {start})[1] || substr(t, length({start}) + 2), t)")
     token = (f"CASE WHEN regexp_matches(t, '^&#[0-9]+;?$') THEN {_code_point_char(dec)} "
              f"WHEN regexp_matches(t, '^&#[xX][0-9a-fA-F]+;?$') THEN {_code_point_char(hx)} "
-             f"{named} ELSE t END")
-    decoded = f"array_to_string(list_transform(regexp_extract_all({x}, {q(H.ENTITY_TOKEN_RE)}, 0), lambda t: {token}), '')"
+             f"WHEN t = '&amp;' THEN '&' WHEN NOT starts_with(t, '&') THEN t ELSE {searched} END")
+    pieces = "'&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\\t\\n\\f <&#;]{1,32};?|[^&]+|&'"
+    decoded = f"array_to_string(list_transform(regexp_extract_all({x}, {pieces}, 0), lambda t: {token}), '')"
     return f"(CASE WHEN instr({x}, '&') > 0 THEN {decoded} ELSE {x} END)"
 
 

@@ -80,20 +80,23 @@ def log_rows(events: DataFrame) -> DataFrame:
                          F.when(F.col("event_type") == "error", 1).otherwise(0).alias("is_threat"))
 
 
-def training(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Five text counts as features, document quality as label."""
+def text_counts(documents: DataFrame) -> DataFrame:
+    """Five text counts of every document."""
     t = F.col("text")
 
     def occurrences(ch):
         return (F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))).cast("int")
 
-    feats = documents.select(
-        F.col("doc_id"), F.col("n_chars").cast("int").alias("f_chars"),
+    return documents.select(
+        F.col("doc_id").cast("string").alias("page_id"), F.col("n_chars").cast("int").alias("f_chars"),
         (occurrences("\n") + 1).alias("f_lines"), occurrences(" ").alias("f_spaces"),
         occurrences(".").alias("f_dots"), occurrences(",").alias("f_commas"))
-    joined = feats.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    return joined.select(F.col("doc_id").cast("string").alias("page_id"), "f_chars", "f_lines", "f_spaces",
-                         "f_dots", "f_commas", "label")
+
+
+def training(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Five text counts as features, document quality as label."""
+    rated = labels.select(F.col("doc_id").cast("string").alias("page_id"), F.col("quality").alias("label"))
+    return text_counts(documents).join(rated, "page_id")
 
 
 TRAINING_FEATURES = ["f_chars", "f_lines", "f_spaces", "f_dots", "f_commas"]
@@ -108,10 +111,11 @@ def categories(events: DataFrame) -> DataFrame:
 
 
 def wiki_lines(pages: DataFrame) -> DataFrame:
-    """Dump-line stand-in: two links per line, one entity-escaped."""
-    return pages.select("page_id", F.concat(F.lit("* ["), F.col("url"), F.lit(" x] ref="),
-                                            F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")),
-                                            F.lit(" end")).alias("line"))
+    """Dump-line stand-in: a line with the page's own URL twice (once escaped), then every line of its source."""
+    own = F.concat(F.lit("* ["), F.col("url"), F.lit(" x] ref="), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")),
+                   F.lit(" end"))
+    source = F.coalesce(F.split(F.col("html"), "\n"), F.array().cast("array<string>"))
+    return pages.select("page_id", F.posexplode(F.concat(F.array(own), source)).alias("line_no", "line"))
 
 
 def ranked_domains(pages: DataFrame) -> DataFrame:
