@@ -35,3 +35,10 @@ def day_number(day, start) -> Column:
 def pair_weekday(day2) -> Column:
     """Weekday of the first day of a (day1, day2) pair."""
     return F.weekday(F.date_sub(_col(day2), 1))
+
+
+def truncate_to_second(ts) -> Column:
+    """Drop the fraction of a second without a time-zone round trip (works on
+    TIMESTAMP_NTZ and TIMESTAMP alike)."""
+    sec = F.date_part(F.lit("SECOND"), ts)
+    return ts - F.make_dt_interval(secs=sec - F.floor(sec))

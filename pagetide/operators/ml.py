@@ -9,6 +9,7 @@ estimators; loops over feature subsets or depths reuse one persisted input.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark import StorageLevel
@@ -175,13 +176,16 @@ def normalized_coefficients(model, train: DataFrame, features: list[str]) -> Dat
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, coefficient double, mean double, share double")
 
 
-def pair_models(train: DataFrame, test: DataFrame, features: list[str], params: dict | None = None):
-    """Random forest per unordered feature pair; yields (pair, model, metrics)."""
+def pair_models(train: DataFrame, test: DataFrame, features: list[str], params: dict | None = None,
+                fit: Callable[[DataFrame], object] | None = None):
+    """Model per unordered feature pair; yields (pair, model, metrics).  ``fit`` is a random forest
+    with ``params`` unless given (``logistic_regression`` for the regression)."""
     params = params or RF_PARAMS
+    fit = fit or (lambda rows: random_forest(rows, params["numTrees"], params["maxDepth"], params["minInstancesPerNode"]))
     for a, b in itertools.combinations(range(len(features)), 2):
         tr = select_subset(train, features, [a, b])
         te = select_subset(test, features, [a, b])
-        model = random_forest(tr, params["numTrees"], params["maxDepth"], params["minInstancesPerNode"])
+        model = fit(tr)
         yield (a, b), model, evaluate(model, te).first().asDict()
 
 
@@ -205,14 +209,14 @@ def top_feature_models(train: DataFrame, test: DataFrame, features: list[str], p
 def prediction_grid(model, grid: DataFrame, swapped: bool = False) -> DataFrame:
     """P(class 1) over an (x, y) grid for a two-feature model (features in
     sorted order).  ``swapped`` reports the pair the other way round: columns
-    exchanged and rows ordered by (y, x)."""
+    exchanged, to be read in (y, x) order.  Rows come unordered."""
     vec = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(
         grid.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
     out = (model.transform(vec)
                 .select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"),
                         vector_to_array("probability")[1].alias("probability")))
     if swapped:
-        out = out.select(F.col("y").alias("x"), F.col("x").alias("y"), "probability").orderBy("y", "x")
+        out = out.select(F.col("y").alias("x"), F.col("x").alias("y"), "probability")
     return out
 
 

@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetide.functions.dates import truncate_to_second
+
+# Fixed values of the threat list: its time column and the format of the times.
+THREAT_TIME_COLUMN = "Occured on"
+THREAT_TIME_FORMAT = "dd-MM-yyyy HH:mm:ss"
+
+
+def read_threats(spark: SparkSession, path: str, column: str = THREAT_TIME_COLUMN) -> DataFrame:
+    """(ts): the times of a threat list saved as CSV with a header.
+
+    A time that cannot be parsed fails the job: a threat left out would clear the pages near it.
+    An empty time is null and matches nothing."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(F.to_timestamp_ntz(F.col(f"`{column}`"), F.lit(THREAT_TIME_FORMAT)).alias("ts"))
+
 
 def threat_seconds(threats: DataFrame, seconds: int = 10, ts: str = "ts") -> DataFrame:
     """Every second in [threat, threat + seconds], once (seconds + 1 rows per threat)."""
     offsets = F.sequence(F.lit(0), F.lit(seconds))
-    return (threats.select(F.explode(F.transform(offsets, lambda s: F.col(ts) + F.make_dt_interval(secs=s)))
+    return (threats.select(F.explode(F.transform(offsets, lambda s: truncate_to_second(F.col(ts)) + F.make_dt_interval(secs=s)))
                            .alias(ts))
                    .distinct())
 
 
 def flag_threat_window(logs: DataFrame, threats: DataFrame, seconds: int = 10, ts: str = "ts") -> DataFrame:
-    """Log rows whose (second-grain) time falls within ``seconds`` after a threat.
+    """Log rows whose time, without its fraction of a second, falls within ``seconds`` after a threat.
 
     An equi semi-join on the exploded seconds: each log row appears at most
     once.  The threat side is not force-broadcast (it may grow with the
     data); AQE turns the join into a broadcast when the runtime size allows.
     """
-    return logs.join(threat_seconds(threats, seconds, ts), ts, "left_semi")
+    wanted = threat_seconds(threats, seconds, ts).select(F.col(ts).alias("__second"))
+    return logs.join(wanted, truncate_to_second(F.col(ts)) == F.col("__second"), "left_semi")

@@ -57,8 +57,9 @@ def mean_vectors(df: DataFrame, group: str, vec: str) -> DataFrame:
 
 
 def token_chunks(df: DataFrame, key: str, text: str, max_size: int = 512) -> DataFrame:
-    """(key, part, start, end, tokens, padding, chunk_md5): ceil(n / max_size)
-    even parts of the whitespace tokens, boundaries ceil(i * n / parts)."""
+    """(key, part, start, end, tokens, padding, chunk, chunk_md5): ceil(n / max_size)
+    even parts of the whitespace tokens, boundaries ceil(i * n / parts).  ``chunk`` holds the part's
+    tokens, space-joined; ``padding`` says how many pad tokens fill it up to ``max_size``."""
     toks = df.select(key, H.words(F.array(F.col(text))).alias("_t"))
     n = F.size("_t")
     parts = F.ceil(n / F.lit(float(max_size))).cast("int")
@@ -69,11 +70,14 @@ def token_chunks(df: DataFrame, key: str, text: str, max_size: int = 512) -> Dat
     bounds = F.transform(parts_idx,
                          lambda i: F.struct(i.alias("part"), F.ceil(i * avg).cast("int").alias("start"),
                                             F.ceil((i + 1) * avg).cast("int").alias("end")))
-    rows = with_parts.select(key, "_t", F.explode(bounds).alias("_b"))
-    chunk = F.slice("_t", F.col("_b.start") + 1, F.col("_b.end") - F.col("_b.start"))
+    # Each part takes its own tokens before the explode, so no row carries the whole text.
+    parts = F.transform("_bounds", lambda b: F.struct(
+        b["part"].alias("part"), b["start"].alias("start"), b["end"].alias("end"),
+        F.array_join(F.slice("_t", b["start"] + 1, b["end"] - b["start"]), " ").alias("chunk")))
+    rows = with_parts.select(key, "_t", bounds.alias("_bounds")).select(key, F.explode(parts).alias("_b"))
     return rows.select(key, "_b.part", "_b.start", "_b.end", (F.col("_b.end") - F.col("_b.start")).alias("tokens"),
                        (F.lit(max_size) - F.col("_b.end") + F.col("_b.start")).alias("padding"),
-                       F.md5(F.array_join(chunk, " ")).alias("chunk_md5"))
+                       "_b.chunk", F.md5("_b.chunk").alias("chunk_md5"))
 
 
 def pca_projection(df: DataFrame, key: str, vec: str, k: int = 24) -> DataFrame:

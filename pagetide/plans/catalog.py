@@ -530,6 +530,15 @@ def q_rf_pairs(spark, root):
         return _rows(spark, rows, "feature_a string, feature_b string, min_recall double")
 
 
+@query("lr_pairs")
+def q_lr_pairs(spark, root):
+    """The regression half of the feature pairs: least recall of a logistic regression per pair."""
+    with _prepared(spark, root) as (train, test, balanced):
+        rows = [(X.TRAINING_FEATURES[a], X.TRAINING_FEATURES[b], conf["min_recall"])
+                for (a, b), _m, conf in M.pair_models(balanced, test, X.TRAINING_FEATURES, fit=M.logistic_regression)]
+        return _rows(spark, rows, "feature_a string, feature_b string, min_recall double")
+
+
 @query("rf_depths")
 def q_rf_depths(spark, root):
     with _prepared(spark, root) as (train, test, balanced):
@@ -565,11 +574,12 @@ def q_pair_sample_accuracy(spark, root):
     with _prepared(spark, root) as (train, test, balanced):
         sample = M.balanced_sample(_training(spark, root), 100).withColumn("label", F.col("label").cast("double"))
         rows = []
-        for (a, b), model, _conf in M.pair_models(balanced, test, feats):
-            cols = [feats[i] for i in sorted((a, b))]  # model input order, whatever order the pair was named in
-            vec = VectorAssembler(inputCols=cols, outputCol="features").transform(sample)
-            rows.append((feats[a], feats[b], ST.accuracy(model.transform(vec)).first()["accuracy"]))
-        return _rows(spark, rows, "feature_a string, feature_b string, accuracy double")
+        for kind, fit in (("forest", None), ("regression", M.logistic_regression)):
+            for (a, b), model, _conf in M.pair_models(balanced, test, feats, fit=fit):
+                cols = [feats[i] for i in sorted((a, b))]  # model input order, whatever order the pair was named in
+                vec = VectorAssembler(inputCols=cols, outputCol="features").transform(sample)
+                rows.append((kind, feats[a], feats[b], ST.accuracy(model.transform(vec)).first()["accuracy"]))
+        return _rows(spark, rows, "model string, feature_a string, feature_b string, accuracy double")
 
 
 @query("cv_search")
@@ -690,7 +700,10 @@ def q_rf_grids(spark, root):
             grid = ST.feature_grid(st, "xl", "xh", "yl", "yh", 100)
             for swapped, (nx, ny) in ((False, (fa, fb)), (True, (fb, fa))):
                 g = M.prediction_grid(model, grid, swapped=swapped).select(
-                    F.lit(nx).alias("feature_x"), F.lit(ny).alias("feature_y"), "x", "y", "probability")
+                    F.lit(nx).alias("feature_x"), F.lit(ny).alias("feature_y"), "x", "y", "probability",
+                    F.lit(swapped).alias("_swapped"))
                 grids = g if grids is None else grids.unionByName(g)
-        return grids
+        # One sort after the union, which keeps no order of its own.
+        major, minor = (F.when(F.col("_swapped"), F.col(a)).otherwise(F.col(b)) for a, b in (("y", "x"), ("x", "y")))
+        return grids.orderBy("feature_x", "feature_y", major, minor).drop("_swapped")
 

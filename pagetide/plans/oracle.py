@@ -498,7 +498,7 @@ ORACLE["token_chunks"] = f"""WITH t AS (SELECT doc_id, {S.words('[text]')} AS to
                  CAST(ceil(part * (n / CAST(parts AS DOUBLE))) AS INTEGER) AS start,
                  CAST(ceil((part + 1) * (n / CAST(parts AS DOUBLE))) AS INTEGER) AS "end" FROM i)
 SELECT doc_id, part, start, "end", "end" - start AS tokens, 512 - "end" + start AS padding,
-       md5(array_to_string(toks[start + 1:"end"], ' ')) AS chunk_md5 FROM b"""
+       array_to_string(toks[start + 1:"end"], ' ') AS chunk, md5(array_to_string(toks[start + 1:"end"], ' ')) AS chunk_md5 FROM b"""
 
 ORACLE["normalized_cube"] = f"""WITH {_weekly_cte()}
 SELECT feature, week_no, week, prev_n, cur_n, pages, {_ratio('pages', 'sum(pages) OVER (PARTITION BY feature, week_no)')} AS fraction

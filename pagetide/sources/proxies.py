@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetide.functions.dates import truncate_to_second
 from pagetide.operators.ordering import dense_index
 
 
@@ -67,13 +68,6 @@ def crawl_order(documents: DataFrame) -> DataFrame:
                          F.split(F.col("text"), "\n").alias("text_lines"))
 
 
-def truncate_to_second(ts) -> F.Column:
-    """Drop the fraction of a second without a time-zone round trip (works on
-    TIMESTAMP_NTZ and TIMESTAMP alike)."""
-    sec = F.date_part(F.lit("SECOND"), ts)
-    return ts - F.make_dt_interval(secs=sec - F.floor(sec))
-
-
 def log_rows(events: DataFrame) -> DataFrame:
     """Crawl-log rows at one-second grain; ``error`` events are the threat list."""
     return events.select("event_id", truncate_to_second(F.col("ts")).alias("ts"),
