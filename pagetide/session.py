@@ -28,6 +28,8 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     # Page-sized lists travel to the alignment UDF: keep Arrow batches small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # A batch also ends at so many bytes: rows may hold whole documents of many megabytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 # Suggested settings for a large cluster (passed with spark-submit --conf; not
@@ -66,9 +68,10 @@ def prepare(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     # Whole documents and pages travel to Python: small batches, unless the application chose a size.
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not spark.sparkContext.getConf().contains(batch):
-        spark.conf.set(batch, DEFAULT_CONF[batch])
+    for limit in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        key = f"spark.sql.execution.arrow.{limit}"
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, DEFAULT_CONF[key])
 
 
 def ship_package(spark: SparkSession) -> None:
