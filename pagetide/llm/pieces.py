@@ -296,14 +296,14 @@ class Decoder:
         return (data[1:] if data.startswith(b" ") else data).decode("utf-8", "replace")
 
 
-def _encode_rows(shared, column, slice_chars=3 << 19):
+def _encode_rows(shared, column, slice_chars=1 << 19):
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in batches:
             texts = batch.column(column).to_pylist()
             rest = [n for n in batch.schema.names if n != column]
             at = 0
-            while at < len(texts):  # a few million characters at a time
+            while at < len(texts):  # half a million characters at a time
                 stop, total = at, 0
                 while stop < len(texts) and (stop == at or total + len(texts[stop] or "") < slice_chars):
                     total += len(texts[stop] or "")
