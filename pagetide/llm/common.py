@@ -32,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.  A join with it shuffles both sides afresh, so
+    that adaptive execution can split a hot key; it can't where an aggregate feeds the join directly."""
+    folder = shared_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null.  Words become one letter each, white space goes,
     the length is left: no array of words is built, however long the text."""

@@ -11,7 +11,8 @@ twice its length at the next:
 3. where a span is alone, its full windows are compared one by one with the other spans' windows.
 
 Counting is pre-aggregated at every level, so a passage that a third of all documents share costs
-each task one row.
+each task one row.  What is counted is stored before it is joined back, so that the join of a hot
+window can be split.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prefix_sums, range_hashes, shared_folder, text_bytes, word_hashes
+from .common import mix64, prefix_sums, range_hashes, stored, text_bytes, word_hashes
 
 LENGTH = 35
 _BASE2 = 0xC2B2AE3D27D4EB4F
@@ -141,7 +142,6 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
     A repeated row is a further document: its windows are repeated.  A null text
     has no words; so has an empty one.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     carry = carry or {}
     # A document is named by its id and a hash of its text: rows that agree in both agree in what is removed.
     source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).cast("binary").alias("text"),
@@ -155,21 +155,20 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
     # Level 1.
     spans = source.select("id", "key", "text").mapInArrow(
         _spans(length), f"id {id_type}, key long, quarter long, span long, first int, count int")
-    counts = spans.groupBy("quarter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("quarter")
-    folder = shared_folder(spark, "spans")
-    spans.join(counts, "quarter", "left_semi").write.parquet(folder)
-    spans = spark.read.parquet(folder)
+    quarters = stored(spans.groupBy("quarter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("quarter"), "quarters")
+    spans = stored(spans.join(quarters, "quarter", "left_semi"), "spans")
     # Level 2.
-    groups = spans.groupBy("quarter", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "first", "count")).alias("one"))
+    groups = stored(spans.groupBy("quarter", "span").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "first", "count")).alias("one")), "groups")
     repeated = spans.join(groups.where("n > 1").select("quarter", "span"), ["quarter", "span"], "left_semi")
-    mixed = groups.where("n = 1").select("quarter").distinct()
+    mixed = stored(groups.where("n = 1").select("quarter").distinct(), "mixed")
     members = groups.join(mixed, "quarter", "left_semi").select("one.*", (F.col("n") == 1).alias("alone"))
     # Level 3.
     wanted = members.groupBy(same).agg(F.collect_list(F.struct("first", "count", "alone")).alias("spans")).select(
         F.col("id").alias("r_id"), F.col("key").alias("r_key"), "spans")
     windows = source.join(wanted, on_same(source, wanted)).select("id", "key", "text", "spans").mapInArrow(
         _windows(length), f"id {id_type}, key long, one long, two long, first int, alone boolean")
-    often = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
+    often = stored(windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two"), "windows")
     hits = windows.where("alone").join(often, ["one", "two"], "left_semi").select(*same, "first", F.lit(1).alias("count"))
     marks = (repeated.select(*same, "first", "count").unionByName(hits)
                      .groupBy(same).agg(F.collect_set(F.struct("first", "count")).alias("marks"))
