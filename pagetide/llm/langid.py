@@ -24,6 +24,8 @@ DIMS = 1 << 14
 ORDERS = (1, 2, 3)
 # Bound of the training sample: so many texts per language, those with the smallest draw.
 PER_LANGUAGE = 500
+# Draws lie in [0, DRAWS).
+DRAWS = 1 << 32
 UNKNOWN = "und"
 _PIECE = 1 << 18
 
@@ -133,16 +135,16 @@ def _feature_rows(batches):
 def train(docs: DataFrame, text: str, lang: str, learn: Column, draw: Column,
           per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on rows where ``learn`` holds and text and language are not null: of every language the
-    ``per_language`` rows with the smallest ``draw``.  None if no such row has a letter."""
+    ``per_language`` rows with the smallest ``draw``, a checksum evenly spread over [0, DRAWS).  None if
+    no such row has a letter."""
     spark = docs.sparkSession
     rows = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
-    # Which rows: decided on the narrow columns; each task sends per_language rows of a language at most.
-    order = Window.partitionBy("lang").orderBy("draw", "tie")
-    limits = (rows.select("lang", "draw", F.xxhash64("text").alias("tie"))
-                  .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-                  .groupBy("lang").agg(F.max("draw").alias("most")))
-    sample = rows.join(F.broadcast(limits), "lang").where(F.col("draw") <= F.col("most")).select("lang", "text")
+    # About twice as many as wanted pass the limit, whatever the table's size; those are ranked.
+    limits = rows.groupBy("lang").agg((F.lit(2.0 * per_language * DRAWS) / F.count(F.lit(1))).alias("limit"))
+    order = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
+    sample = (rows.join(F.broadcast(limits), "lang").where(F.col("draw") < F.col("limit")).select("lang", "text", "draw")
+                  .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "text"))
     found = cut(sample.mapInArrow(_feature_rows, "lang string, idx array<int>, val array<double>"))
     langs = sorted(r[0] for r in found.select("lang").distinct().collect())
     if not langs:
