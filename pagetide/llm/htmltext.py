@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas "
+UNSEEN = frozenset("script style title template noscript iframe noembed noframes object audio video canvas "
                    "datalist rp meta link base param source track area map".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header "
@@ -26,6 +26,7 @@ CLOSES_P = BLOCK - frozenset("html body caption tr option optgroup legend dd dt
 CELLS = frozenset(("td", "th"))
 GROUPS = frozenset(("thead", "tbody", "tfoot"))
 TABLE_PARTS = CELLS | GROUPS | {"tr", "caption", "table"}
+RUBY = frozenset("rb rt rtc rp".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -86,7 +87,10 @@ class Tree:
                     self.open.pop()
 
     def _text(self, raw: str) -> None:
-        self.open[-1].children.append(unescape(raw) if "&" in raw else raw)
+        text = unescape(raw) if "&" in raw else raw
+        if self.open[-1].tag == "colgroup" and BLANKS.sub("", text):
+            self.open.pop()
+        self.open[-1].children.append(text)
 
     def _close(self, wanted: frozenset | set, walls: frozenset | set) -> bool:
         """Close the innermost open element of ``wanted`` and what is open in it, unless a wall stands between."""
@@ -102,6 +106,12 @@ class Tree:
         if tag in ("html", "body"):
             self.root.attributes.update({k: v for k, v in attributes.items() if k not in self.root.attributes})
             return self.root
+        # What a head may hold is unseen by itself, and whatever else comes ends the head: no node is made,
+        # so nothing hangs on an end tag that may be left out.
+        if tag == "head" or tag == "colgroup" and not self._inside("table"):
+            return self.open[-1]
+        if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.open.pop()
         if tag in CLOSES_P:
             self._close({"p"}, TABLE_PARTS | {"button"})
         if tag == "li":
@@ -117,7 +127,9 @@ class Tree:
                 self._add("tr", {})
         elif tag == "tr":
             self._close({"tr", "caption"}, {"table"})
-        elif tag in GROUPS or tag == "caption":
+        elif tag in RUBY:
+            self._close({"rt", "rp", "rb"} if tag in ("rt", "rp") else RUBY, TABLE_PARTS | {"ruby"})
+        elif tag in GROUPS or tag in ("caption", "colgroup"):
             while self._close(GROUPS | {"tr", "caption"}, {"table"}):
                 pass
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6") and re.fullmatch("h[1-6]", self.open[-1].tag):
@@ -140,8 +152,13 @@ class Tree:
     def _end(self, tag: str) -> None:
         if tag == "br":
             self._start("br", {})
-        elif tag in ("html", "body") or tag in VOID:
             return
+        if tag in ("html", "head", "body") or tag in VOID:
+            return
+        if self.open[-1].tag == "colgroup" and tag not in ("colgroup", "template"):
+            self.open.pop()
+        if tag == "colgroup":
+            self._close({"colgroup"}, {"table"})
         elif tag == "p" and not any(n.tag == "p" for n in self.open):
             node = self._add("p", {})
             if self.open[-1] is node:

@@ -313,6 +313,20 @@ def test_visible_text(html, text):
     assert htmltext.page_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<html><head><title>t</title><body><p>Hello", "Hello"), ("<head><title>t</title><p>Hello", "Hello"),
+    ("<head><meta charset=x>Hello</head> you", "Hello you"), ("<head><title>t</title></head><body>a<head>b", "ab"),
+    ("<head><title>t</title></br>x", "x"), ("<head><script>no</script><noscript><p>no</noscript><body>x", "x"),
+    ("<ruby>K<rp>(<rt>kan<rp>)</ruby> x", "Kkan x"), ("<rp>(<rt>kan<rp>)", "kan"),
+    ("<ruby>K<rtc><rt>a<rt>b<rb>L<rp>(</ruby>x", "KabLx"),
+    ("<table><colgroup><col><tr><td>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><caption>C<colgroup><col><col><tbody><tr><td>a<td>b</table>", "C\na  b"),
+    ("<table><colgroup><col></table>x", "x"), ("<div><colgroup>x</div>y", "x\ny"),
+])
+def test_end_tags_left_out(html, text):
+    assert htmltext.page_text(html) == text
+
+
 def test_all_visible_words_of_the_given_pages_stay_in_order(spark):
     from html.parser import HTMLParser
 
