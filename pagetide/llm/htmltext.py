@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 UNSEEN = frozenset("script style title template noscript iframe noembed noframes object audio video canvas "
-                   "datalist rp meta link base param source track area map".split())
+                   "datalist rp meta link base param source track area".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header "
                            "hgroup legend li main menu nav optgroup option section search summary caption tr".split())
@@ -26,6 +26,7 @@ CLOSES_P = BLOCK - frozenset("html body caption tr option optgroup legend dd dt
 CELLS = frozenset(("td", "th"))
 GROUPS = frozenset(("thead", "tbody", "tfoot"))
 TABLE_PARTS = CELLS | GROUPS | {"tr", "caption", "table"}
+ROWS = GROUPS | {"tr"}
 RUBY = frozenset("rb rt rtc rp".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -39,10 +40,11 @@ DEPTH = 200
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "stray")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.stray: list[str] | tuple = ()  # of a table: text in it, its groups or rows, which stands before it
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -88,8 +90,17 @@ class Tree:
 
     def _text(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
-        if self.open[-1].tag == "colgroup" and BLANKS.sub("", text):
+        shown = BLANKS.sub(" ", text).strip(" ")
+        if shown and self.open[-1].tag == "colgroup":
             self.open.pop()
+        if shown and (self.open[-1].tag in ROWS or self.open[-1].tag == "table"):
+            i = len(self.open) - 1
+            while self.open[i].tag in ROWS:
+                i -= 1
+            if self.open[i].tag == "table":
+                self.open[i].stray = self.open[i].stray or []
+                self.open[i].stray.append(shown)
+                return
         self.open[-1].children.append(text)
 
     def _close(self, wanted: frozenset | set, walls: frozenset | set) -> bool:
@@ -292,6 +303,12 @@ class Renderer:
                 if tag in BLOCK:
                     self._break(2 if tag in SPACED and not (tag in ("ul", "ol") and counters) else 1)
                 continue
+            before = node.stray if state[0] else ()
+            if before:  # shown even where the table or the row is not
+                self._break(2)
+                for text in before:
+                    self._write(text)
+                    self._break(1)
             if tag in UNSEEN or "hidden" in node.attributes or tag == "input" and node.attributes.get("type", "").lower() == "hidden":
                 continue
             if tag == "dialog" and "open" not in node.attributes:
@@ -313,7 +330,7 @@ class Renderer:
                     self._inline(node.attributes["value"])
                 continue
             if tag in BLOCK:
-                self._break(2 if tag in SPACED and not (tag in ("ul", "ol") and counters) else 1)
+                self._break(2 if tag in SPACED and not (before or tag in ("ul", "ol") and counters) else 1)
             if tag == "table":
                 self._table(node, inner)
                 self._break(2)
@@ -372,7 +389,6 @@ class Renderer:
                 todo += [(c, at) for c in reversed(node.children) if isinstance(c, Node)]
             else:  # captions and what does not belong in a table stand before it
                 captions.append(self._cell([node], at))
-        captions += [t for t in (BLANKS.sub(" ", c).strip() for c in table.children if not isinstance(c, Node)) if t and state[0]]
         widths: dict[int, int] = {}
         for row in rows:
             column = 0

@@ -327,6 +327,17 @@ def test_end_tags_left_out(html, text):
     assert htmltext.page_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<table><tr>Total: <td>5</table>", "Total:\n5"), ("a<table>b<tr>c<td>d<tbody>e<tr><td>f</table>g", "a\n\nb\nc\ne\nd\nf\n\ng"),
+    ("<table><thead>h<tfoot>f</table>", "h\nf"), ("<table hidden><tr style='display:none'>Total:<td>5</table>", "Total:"),
+    ("<div hidden><table>no<tr>no</table></div>x", "x"), ("<div style='visibility:hidden'><table><tr>no</table></div>x", "x"),
+    ("<table><tr><td>a<table><tr>in<td>b</table></table>", "a in b"), ("<div><tr>a<td>b</div>", "a b"),
+    ("<map name=m><area alt=no><p>in the map</map> x", "in the map x"),
+])
+def test_stray_text_of_tables_and_maps_stays(html, text):
+    assert htmltext.page_text(html) == text
+
+
 def test_all_visible_words_of_the_given_pages_stay_in_order(spark):
     from html.parser import HTMLParser
 
