@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .styles import Styles, media
+
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -26,13 +28,12 @@ CLOSES_P = BLOCK - frozenset("html body caption tr option optgroup legend dd dt
 CELLS = frozenset(("td", "th"))
 GROUPS = frozenset(("thead", "tbody", "tfoot"))
 TABLE_PARTS = CELLS | GROUPS | {"tr", "caption", "table"}
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 ROWS = GROUPS | {"tr"}
 RUBY = frozenset("rb rt rtc rp".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-SIMPLE = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 # As in browsers, elements nested deeper than this become neighbours: no text is lost, and no page costs
 # more than its length.
@@ -40,10 +41,14 @@ DEPTH = 200
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "stray")
+    __slots__ = ("tag", "attributes", "children", "stray", "parent", "before", "last")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
+        # The element around, the one before it in there, and the last one inside.
+        self.parent: Node | None = None
+        self.before: Node | None = None
+        self.last: Node | None = None
         self.stray: list[str] | tuple = ()  # of a table: text in it, its groups or rows, which stands before it
 
 
@@ -60,8 +65,12 @@ class Tree:
 
     def __init__(self, page: str):
         self.root = Node("html", {})
-        self.open = [self.root]
-        self.styles: list[str] = []
+        self.body = Node("body", {})
+        self.body.parent, self.root.last = self.root, self.body
+        self.root.children.append(self.body)
+        self.open = [self.body]
+        self.in_head = True
+        self.styles: list[tuple[int, str]] = []  # how surely a sheet holds, and the sheet
         at, end = 0, len(page)
         while at < end:
             m = TOKEN.search(page, at)
@@ -82,7 +91,10 @@ class Tree:
                 stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
                 body, at = (page[at:stop.start()], stop.end()) if stop else (page[at:], end)
                 if tag == "style":
-                    self.styles.append(body)
+                    kind = node.attributes.get("type", "").strip().lower()
+                    holds = media(node.attributes.get("media", ""))
+                    if kind in ("", "text/css") and holds and not (self._inside("noscript") or self._inside("template")):
+                        self.styles.append((holds, body))
                 elif tag in ("textarea", "xmp"):
                     node.children.append(unescape(body) if tag == "textarea" else body)
                 if self.open[-1] is node:
@@ -91,6 +103,8 @@ class Tree:
     def _text(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
         shown = BLANKS.sub(" ", text).strip(" ")
+        if shown and len(self.open) == 1:
+            self.in_head = False
         if shown and self.open[-1].tag == "colgroup":
             self.open.pop()
         if shown and (self.open[-1].tag in ROWS or self.open[-1].tag == "table"):
@@ -115,8 +129,10 @@ class Tree:
 
     def _start(self, tag: str, attributes: dict[str, str]) -> Node:
         if tag in ("html", "body"):
-            self.root.attributes.update({k: v for k, v in attributes.items() if k not in self.root.attributes})
-            return self.root
+            node = self.root if tag == "html" else self.body
+            node.attributes.update({k: v for k, v in attributes.items() if k not in node.attributes})
+            self.in_head = self.in_head and tag == "html"
+            return node
         # What a head may hold is unseen by itself, and whatever else comes ends the head: no node is made,
         # so nothing hangs on an end tag that may be left out.
         if tag == "head" or tag == "colgroup" and not self._inside("table"):
@@ -135,9 +151,11 @@ class Tree:
             self._close(CELLS, {"tr", "table"})
             if self._inside("table") and self.open[-1].tag != "tr":
                 self._close({"caption"}, {"table"})
+                self._group()
                 self._add("tr", {})
         elif tag == "tr":
             self._close({"tr", "caption"}, {"table"})
+            self._group()
         elif tag in RUBY:
             self._close({"rt", "rp", "rb"} if tag in ("rt", "rp") else RUBY, TABLE_PARTS | {"ruby"})
         elif tag in GROUPS or tag in ("caption", "colgroup"):
@@ -153,9 +171,19 @@ class Tree:
     def _inside(self, tag: str) -> bool:
         return any(n.tag == tag for n in self.open)
 
+    def _group(self) -> None:
+        if self.open[-1].tag == "table":
+            self._add("tbody", {})
+
     def _add(self, tag: str, attributes: dict[str, str]) -> Node:
-        node = Node(tag, attributes)
-        self.open[-1].children.append(node)
+        node, around = Node(tag, attributes), self.open[-1]
+        node.parent = around
+        around.children.append(node)
+        if around is self.body and self.in_head and tag in HEAD:
+            pass  # no neighbour of what the body holds
+        else:
+            self.in_head = self.in_head and around is not self.body
+            node.before, around.last = around.last, node
         if len(self.open) < DEPTH:
             self.open.append(node)
         return node
@@ -188,35 +216,11 @@ class Tree:
                     return
 
 
-def _style_rules(styles: list[str]) -> list[tuple[str, str, str, str, str]]:
-    """(tag, kind, name, property, value) of simple selectors that set display or visibility."""
-    rules = []
-    for sheet in styles:
-        if "display" not in sheet and "visibility" not in sheet:
-            continue
-        for m in RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            for name, value in _declarations(m[2]).items():
-                for selector in m[1].split(","):
-                    s = SIMPLE.fullmatch(selector.strip())
-                    if s and s[0]:
-                        rules.append(((s[1] or "").lower(), s[2] or "", s[3] or "", name, value))
-    return rules
-
-
-def _declarations(source: str) -> dict[str, str]:
-    found = {}
-    for part in source.split(";"):
-        name, _, value = part.partition(":")
-        if name.strip().lower() in ("display", "visibility"):
-            found[name.strip().lower()] = value.replace("!important", "").strip().lower()
-    return found
-
-
 class Renderer:
     """Writes the visible text of a tree, block by block, without recursion."""
 
-    def __init__(self, rules):
-        self.rules = rules
+    def __init__(self, styles: Styles):
+        self.styles = styles
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = 0  # line breaks still to be written before the next text
@@ -224,17 +228,6 @@ class Renderer:
         self.indent = ""
         self.mark = ""
 
-    def _style(self, node: Node) -> dict[str, str]:
-        found = {}
-        if self.rules:
-            classes = node.attributes.get("class", "").split()
-            for tag, kind, name, prop, value in self.rules:
-                if tag in ("", node.tag) and (not kind or (name in classes if kind == "." else node.attributes.get("id") == name)):
-                    found[prop] = value
-        if "style" in node.attributes:
-            found.update(_declarations(node.attributes["style"]))
-        return found
-
     def _break(self, lines: int) -> None:
         self.gap, self.blank = max(self.gap, lines), False
 
@@ -283,9 +276,9 @@ class Renderer:
             if part:
                 self._write(part) if self.gap or not self.line else self.line.append(part)
 
-    def render(self, root: Node) -> str:
+    def render(self, root: Node, seen: bool = True) -> str:
         # Work list of ("in", node, state) and ("out", node, state); state = (visible, exact).
-        work: list = [("in", root, (True, False))]
+        work: list = [("in", root, (seen, False))]
         counters: list = []
         saved: list[tuple[str, str]] = []
         while work:
@@ -309,11 +302,9 @@ class Renderer:
                 for text in before:
                     self._write(text)
                     self._break(1)
-            if tag in UNSEEN or "hidden" in node.attributes or tag == "input" and node.attributes.get("type", "").lower() == "hidden":
-                continue
-            if tag == "dialog" and "open" not in node.attributes:
+            if tag in UNSEEN or tag == "input" and node.attributes.get("type", "").lower() == "hidden":
                 continue
-            style = self._style(node)
+            style = self.styles.of(node)
             if style.get("display") == "none":
                 continue
             seen = {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility"), state[0])
@@ -360,35 +351,30 @@ class Renderer:
         self._flush()
         return "\n".join(self.lines).strip("\n")
 
-    def _cell(self, children: list, state) -> str:
+    def _cell(self, node: Node, state) -> str:
         """A cell's or caption's text on one line."""
-        inner = Renderer(self.rules)
-        box = Node("div", {})
-        box.children = children
-        if not state[0]:
-            box.attributes["style"] = "visibility:hidden"
-        return BLANKS.sub(" ", inner.render(box)).strip()
+        return BLANKS.sub(" ", Renderer(self.styles).render(node, state[0])).strip()
 
     def _table(self, table: Node, state) -> None:
         rows, captions, todo = [], [], [(c, state) for c in reversed(table.children) if isinstance(c, Node)]
         while todo:
             node, at = todo.pop()
-            style = self._style(node)
-            if node.tag in UNSEEN or "hidden" in node.attributes or style.get("display") == "none":
+            style = self.styles.of(node)
+            if node.tag in UNSEEN or style.get("display") == "none":
                 continue
             at = ({"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility"), at[0]), at[1])
             if node.tag == "tr":
                 row = []
                 for cell in node.children:
-                    if not isinstance(cell, Node) or "hidden" in cell.attributes or self._style(cell).get("display") == "none":
+                    if not isinstance(cell, Node) or self.styles.of(cell).get("display") == "none":
                         continue
                     span = cell.attributes.get("colspan", "1")
-                    row.append((self._cell([cell], at), min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1))
+                    row.append((self._cell(cell, at), min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1))
                 rows.append(row)
             elif node.tag in GROUPS:
                 todo += [(c, at) for c in reversed(node.children) if isinstance(c, Node)]
             else:  # captions and what does not belong in a table stand before it
-                captions.append(self._cell([node], at))
+                captions.append(self._cell(node, at))
         widths: dict[int, int] = {}
         for row in rows:
             column = 0
@@ -420,7 +406,7 @@ def page_text(html: str | None) -> str | None:
     if html is None:
         return None
     tree = Tree(html)
-    return Renderer(_style_rules(tree.styles)).render(tree.root)
+    return Renderer(Styles(tree.styles)).render(tree.root)
 
 
 def _rows(column):

@@ -338,6 +338,51 @@ def test_stray_text_of_tables_and_maps_stays(html, text):
     assert htmltext.page_text(html) == text
 
 
+@pytest.mark.parametrize("css, body, text", [
+    ("@media print{.nav{display:none}}", "<p class=nav>nav", "nav"), ("@media (max-width:600px){.side{display:none}}", "<p class=side>side", "side"),
+    ("@media screen{.x{display:none}}", "a<p class=x>no", "a"), ("@media not print{.x{display:none}} @media print,tv{p{display:none}}", "a<b class=x>no</b><p>b", "a\n\nb"),
+    (".x{display:none} @media (min-width:600px){.md\\:block{display:block}}", "<b class='x md:block'>yes</b> <b class=x>no</b>", "yes"),
+    ("@supports (display:grid){.x{display:none}} .y{display:none} @supports (a:b){.y{display:grid}}", "<b class=x>a</b> <b class=y>b</b>", "a b"),
+    (".tab{display:none} .tab.active{display:block}", "<div class=tab>no</div><div class='active tab'>yes</div>", "yes"),
+    (".tab.active{display:block} .tab{display:none}", "<div class='tab active'>yes</div>", "yes"),
+    (".x{display:none!important} #i{display:block}", "a<p id=i class=x style='display:block'>no", "a"),
+    (".x{display:none!important}", "<p class=x style='display:block ! important'>yes", "yes"),
+    ("nav ul>li .x, nav + p{display:none}", "<nav><ul><li><i><b class=x>no</b></i>a</ul></nav><p>no<p>b<ul><li><b class=x>c</b></ul>", "- a\n\nb\n\n- c"),
+    ("h1 ~ .x{display:none}", "<b class=x>a</b><h1>b</h1><p>c</p><p class=x>no</p>", "a\n\nb\n\nc"),
+    ("html.js body .x{display:none} body.y > p{display:none}", "<p class=x>a<div><p>b</div>", "a\n\nb"),
+    ("[data-a='q}'][lang|=en], a[href^=x i]{display:none}", "<b data-a='q}' lang=en-us>no</b><b data-a=q>a</b><a href=Xy>no</a>", "a"),
+    (".x{display:none} .x:hover, .x::before, .x:before{display:block}", "a<b class=x>no</b>", "a"),
+    (".x{display:none} .x:nth-child(2n){display:block} .y:nth-child(1){display:none}", "<b class=x>a</b> <b class=y>b</b>", "a b"),
+    ("p:not(.x):is(.y,.z){display:none}", "<p class='x y'>a<p class=y>no<p>b", "a\n\nb"),
+    (".m{display:none} :checked ~ .m{display:block}", "<input type=radio checked><p class=m>yes", "yes"),
+    (".a{color:red; .b{display:none} &.c{display:none} @media print{display:none} > i{display:none}}", "<p class=a>a<b class=b>no</b><i>no</i><p class='a c'>no<p class=b>b", "a\n\nb"),
+    ("@layer z{.x{display:none!important} .y{display:block}} .y{display:none}", "<b class=x>a</b> <b class=y>b</b>", "a b"),
+    ("@import url('a;b'); @charset 'x'; .x{background:url(data:a;b}c);display:none}", "a<b class=x>no</b>", "a"),
+    ("@keyframes f{from{display:none}} @font-face{display:none} .x{display:none;display:var(--d)}", "<b class=x>a</b>", "a"),
+    (".x{/*}*/content:'}/*';display:none}/* .y{display:none}", "a<b class=x>no</b><b class=y>b</b>", "ab"),
+    (".x{visibility:hidden} .x .y{visibility:visible} .z{visibility:inherit}", "<p class=x>no<b class=y>yes</b><b class=z>no</b>", "yes"),
+    (".f{display:flex}", "a<b hidden>no</b><b hidden class=f>yes</b>", "ayes"), ("div{display:none}", "<table><caption>c<tr><td>a<td>b</table>", "c\na  b"),
+    ("tr.x, table > tr, td + .h{display:none}", "<table><tr class=x><td>no<tr><td>a<td class=h>no</table>", "a"),
+    ("p:first-child{display:none} style ~ p{display:none}", "<p>no<p>a", "a"),
+    ("a:b|c{display:none} ..x, p{display:none}", "<p>a", "a"),
+])
+def test_style_rules(css, body, text):
+    assert htmltext.page_text(f"<head><style>{css}</style><body>{body}") == text
+
+
+def test_sheets_for_other_media_and_for_no_script_hide_nothing():
+    for style in ("<style media=print>", "<style media='(max-width: 9em)'>", "<style type=text/less>", "<noscript><style>"):
+        assert htmltext.page_text(f"{style}p{{display:none}}</style></noscript><p>a") == "a"
+    assert htmltext.page_text("<style media=screen type=text/css>p{display:none}</style>a<p>no") == "a"
+
+
+def test_style_rules_cost_their_length():
+    for css, body in [(".a " * 90 + ".b{display:none}", "<div class=a>" * 190 + "<i class=b>x</i>" * 3000), ("i~i~i~b~u{display:none}", "<i>x</i>" * 20_000 + "<u>x</u>" * 5000),
+                      ("a{" * 3000 + "display:none", "<a>x</a>"), (":is(" * 3000 + "a" + ")" * 3000 + "{display:none}", "<a>x</a>"),
+                      ("".join(f".c{i}{{display:none}}" for i in range(20_000)), "<i>x</i>" * 5000)]:
+        assert "x" in htmltext.page_text(f"<style>{css}</style>{body}<s>x</s>")
+
+
 def test_all_visible_words_of_the_given_pages_stay_in_order(spark):
     from html.parser import HTMLParser
 
