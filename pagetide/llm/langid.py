@@ -99,9 +99,9 @@ class Model:
     family_bias: np.ndarray
     pairs: dict[tuple[str, str], tuple[np.ndarray, float]]
 
-    def predict(self, x: np.ndarray) -> tuple[str, float]:
-        """Language and a score in [0, 1]: the family's probability times the winner's least margin
-        against its relatives, as a logistic.  Votes first, then margins, then the smaller code."""
+    def predict(self, x: np.ndarray) -> tuple[str, float, float]:
+        """Language, the family's probability, and the winner's least margin against its relatives, as a
+        logistic (half or more if it won every vote).  Votes first, then margins, then the smaller code."""
         z = self.family_weights @ x + self.family_bias
         p = np.exp(z - z.max())
         p /= p.sum()
@@ -114,7 +114,7 @@ class Model:
             votes[a if sure >= 0.5 else b] += 1
             least[a], least[b] = min(least[a], sure), min(least[b], 1 - sure)
         lang = min(langs, key=lambda c: (-votes[c], -least[c], c))
-        return lang, float(p[best]) * least[lang]
+        return lang, float(p[best]), least[lang]
 
 
 def _feature_rows(batches):
@@ -172,29 +172,32 @@ def train(docs: DataFrame, text: str, lang: str, learn: Column, draw: Column,
     return Model(families, members, weights, bias, pairs)
 
 
-def _classify(shared):
+def _classify(shared, parts):
     def run(batches):
         model = shared.value
         for batch in batches:
-            langs, scores = [], []
+            found = []
             for text in batch.column("__text").to_pylist():
                 x = features(text) if model else None
-                lang, score = model.predict(x) if x is not None else (UNKNOWN, 0.0)
-                langs.append(lang)
-                scores.append(round(score, 6))
+                found.append(model.predict(x) if x is not None else (UNKNOWN, 0.0, 0.0))
+            columns = {"lang_pred": pa.array([f[0] for f in found], pa.string()),
+                       "score": pa.array([round(f[1] * f[2], 6) for f in found], pa.float64())}
+            if parts:
+                columns |= {"family": pa.array([f[1] for f in found], pa.float64()), "margin": pa.array([f[2] for f in found], pa.float64())}
             rest = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], pa.array(langs), pa.array(scores, pa.float64())],
-                                             names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], *columns.values()], names=[*rest, *columns])
     return run
 
 
-def classify(docs: DataFrame, model: Model | None, text: str, keep: dict[str, Column]) -> DataFrame:
+def classify(docs: DataFrame, model: Model | None, text: str, keep: dict[str, Column], parts: bool = False) -> DataFrame:
     """The ``keep`` columns, lang_pred and score of every row; ``und`` and 0 for a text that is null or
-    has no letter, or where there is no model.  One pass, no shuffle."""
+    has no letter, or where there is no model.  The score is the family's probability times the margin
+    inside it; ``parts`` adds these two as ``family`` and ``margin``.  One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_classify(shared), ", ".join(x for x in (schema, "lang_pred string, score double") if x))
+    found = "lang_pred string, score double" + (", family double, margin double" if parts else "")
+    return rows.mapInArrow(_classify(shared, parts), ", ".join(x for x in (schema, found) if x))
 
 
 def held_out(doc_id: Column) -> Column:
