@@ -116,14 +116,18 @@ def _search(shared, k, trees, bits, matches, seed):
                     hashed[width] = _hash_strings(q, np.zeros(len(q)), _planes(width, trees, bits, seed), trees, bits)
                 found = _candidates(codes, places, hashed[width], bits, matches * n + LEAST_MATCHES, n)
                 new_q, new_s, new_i = [qi], [sc], [cid]
+                total, by_id = np.diff(starts), np.argsort(ids, kind="stable")
+                lows, highs = (np.searchsorted(ids[by_id], ids_q, side) for side in ("left", "right"))
                 for i in range(len(q)):
-                    at = np.flatnonzero(found[i])
+                    # Of every entry, how many of its ids are the query's own.
+                    own = np.bincount(np.searchsorted(starts, by_id[lows[i]:highs[i]], "right") - 1, minlength=n)
+                    at = np.flatnonzero(found[i] & (total > own))
                     # Summed entry by entry in one order: equal vectors get equal scores in every shard.
                     s = np.einsum("ij,j->i", vectors[at], q[i])
-                    if len(s) > k + 1:  # one may be the query itself
-                        least = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                    if len(s) > k:
+                        least = np.partition(s, len(s) - k)[len(s) - k]
                         at, s = at[s >= least], s[s >= least]
-                    size = np.minimum(starts[at + 1] - starts[at], k + 1)
+                    size = np.minimum(total[at], k + own[at])
                     pick = np.repeat(starts[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                     keep = ids[pick] != ids_q[i]
                     new_i.append(ids[pick][keep])

@@ -131,6 +131,20 @@ def test_forest_recall_and_order(spark):
     assert hashforest.search_forest(empty, df, "vec_id", "embedding", 5).count() == 0
 
 
+def test_forest_finds_copies_beside_a_query_row_repeated_often(spark):
+    rows = vector_rows(300, 16, 4)
+    rows += [rows[20]] * 40 + [(3000 + i, rows[20][1], "", "") for i in range(30)]
+    rows += [(1000, [-x * (9 + i) for x in rows[20][1]], "", "") for i in range(30)]  # an id with many vectors
+    df = vectors(spark, rows)
+    forest = hashforest.build_forest(df, "vec_id", "embedding")
+    found = defaultdict(list)
+    asked = df.where("vec_id = 20").unionByName(df.where("vec_id = 1000").orderBy("embedding").limit(1))
+    for r in hashforest.search_forest(forest, asked, "vec_id", "embedding", 20).orderBy("rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    assert found[20] == list(range(3000, 3020))
+    assert len(found[1000]) == 20 and 1000 not in found[1000]
+
+
 # --- 5: SimHash -------------------------------------------------------------------
 
 def brute_fingerprint(text):
