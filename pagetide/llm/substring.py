@@ -1,4 +1,4 @@
-"""Operator 9: substring dedup by level-wise doubling.
+"""Operator 9: substring dedup by minimizer selection and span extension, in place of level-wise doubling.
 
 A window of ``length`` words can only be repeated if every shorter window inside it is.  So the levels
 climb from short windows to long ones, and only what is repeated at one level is extended to about
