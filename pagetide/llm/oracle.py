@@ -72,5 +72,35 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(k.n, 0))::B
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM s, range(1, 6) AS r(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+b AS (
+  SELECT DISTINCT c.lang, c.phrase FROM (
+    SELECT lang, a AS longer, array_to_string(ws[i:i + j - 1], ' ') AS phrase
+    FROM c, range(2, 5) AS q(j), range(1, 5) AS t(i) WHERE j < k AND i + j - 1 <= k) x
+  JOIN c ON c.lang = x.lang AND c.phrase = x.phrase AND 100 * x.longer >= 100 * c.a),
+u AS (
+  SELECT c.lang, c.phrase, c.a, h.k AS cut, array_to_string(ws[1:h.k], ' ') AS l_phrase, array_to_string(ws[h.k + 1:c.k], ' ') AS r_phrase
+  FROM c, range(1, 5) AS h(k)
+  WHERE h.k < c.k AND NOT EXISTS (SELECT 1 FROM b WHERE b.lang = c.lang AND b.phrase = c.phrase)),
+v AS (
+  SELECT u.lang, u.phrase, u.a, u.cut, l.f AS l, r.f AS r, n.n,
+    ((1000::HUGEINT * u.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.l_phrase JOIN f r ON r.lang = u.lang AND r.phrase = u.r_phrase
+    JOIN n ON n.lang = u.lang),
+x AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM x)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM y WHERE rank <= 2000
+"""
+
 ORACLE = {"op2_source_mixing": OP2, "op3_exact_top_k": OP3, "op8_warc_revisits": OP8,
-          "op9_repeated_passages": OP9}
+          "op9_repeated_passages": OP9, "op11_collocations": OP11}

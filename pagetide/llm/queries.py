@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hashforest, htmltext, langid, mixing, pieces, quality, simhash, substring, topk, warc
+from . import hashforest, htmltext, langid, mixing, phrases, pieces, quality, simhash, substring, topk, warc
 from .common import shared_folder, table, word_count
 
 
@@ -88,6 +88,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.xxhash64("text") == F.col("was")).alias("round_trip"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of every language (operator 11)."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), "text", "lang", top=2000)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ordinal_quality, op2_source_mixing, op3_exact_top_k, op4_page_text, op5_simhash_groups, op6_language,
-    op7_hash_forest, op8_warc_revisits, op9_repeated_passages, op10_sentencepiece)}
+    op7_hash_forest, op8_warc_revisits, op9_repeated_passages, op10_sentencepiece, op11_collocations)}
