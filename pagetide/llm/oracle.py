@@ -102,5 +102,43 @@ y AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM y WHERE rank <= 2000
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce({_LOWERED.format("text")}, ''), '{_TERM}') AS ts FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS words FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(coalesce({_LOWERED.format("text")}, ''), '{_TERM}')) AS term FROM benchmark),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM p, s GROUP BY term),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(ts) * docs) // words) AS m FROM d, s WHERE len(ts) > 0),
+c AS (
+  SELECT q.item_id, m.r, m.doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m)))::BIGINT AS score
+  FROM q JOIN p ON p.term = q.term JOIN w ON w.term = q.term JOIN m ON m.r = p.r GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n, hex(coalesce(text, '')) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, greatest(n - 399, 0))) AS i FROM d),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM p),
+s AS (SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM s),
+x AS (SELECT doc_id, i, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+u AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM x GROUP BY doc_id, run),
+v AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM u),
+k AS (
+  SELECT d.doc_id, string_agg(substr(d.h, 2 * v.prev + 1, 2 * (v.a - v.prev)), '' ORDER BY v.a) || substr(any_value(d.h), 2 * max(v.b) + 1) AS kept,
+    sum(v.b - v.a)::BIGINT AS n_removed, count(*) AS n_spans
+  FROM v JOIN d ON d.doc_id = v.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 ORACLE = {"op2_source_mixing": OP2, "op3_exact_top_k": OP3, "op8_warc_revisits": OP8,
-          "op9_repeated_passages": OP9, "op11_collocations": OP11}
+          "op9_repeated_passages": OP9, "op11_collocations": OP11, "op12_ranked_search": OP12, "op13_repeated_bytes": OP13}

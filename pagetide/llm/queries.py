@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hashforest, htmltext, langid, mixing, phrases, pieces, quality, simhash, substring, topk, warc
+from . import hashforest, htmltext, langid, lexical, mixing, phrases, pieces, quality, simhash, substring, suffixes, topk, warc
 from .common import shared_folder, table, word_count
 
 
@@ -93,6 +93,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), "text", "lang", top=2000)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents for every benchmark item (operator 12)."""
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), "doc_id", "text",
+                                 table(spark, sf_dir, "benchmark"), "item_id", "text", 10)
+
+
+def op13_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document without repeated strings of 400 bytes (operator 13)."""
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", length=400, with_text=False)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("sha256").alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ordinal_quality, op2_source_mixing, op3_exact_top_k, op4_page_text, op5_simhash_groups, op6_language,
-    op7_hash_forest, op8_warc_revisits, op9_repeated_passages, op10_sentencepiece, op11_collocations)}
+    op7_hash_forest, op8_warc_revisits, op9_repeated_passages, op10_sentencepiece, op11_collocations, op12_ranked_search,
+    op13_repeated_bytes)}
