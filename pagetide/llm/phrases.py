@@ -30,7 +30,7 @@ LONGEST = 5
 LEAST = 100
 BUCKETS = 1 << 22
 BLOCK = 1 << 14
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 a word, 1 a blank, 2 the end of a piece
@@ -40,13 +40,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def slices(texts: Iterable[bytes | None], size: int = SLICE) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(text numbers, parts) of about ``size`` bytes together; a longer text is cut where a piece ends."""
+def slices(texts: Iterable[bytes | None], size: int = SLICE, breaks: re.Pattern = _BREAK) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(text numbers, parts) of about ``size`` bytes together; a longer text is cut after a match of ``breaks``."""
     numbers, parts, held = [], [], 0
     for i, text in enumerate(texts):
         text, at = text or b"", 0
         while at < len(text):
-            end = _BREAK.search(text, at + size) if len(text) - at > size else None
+            end = breaks.search(text, at + size) if len(text) - at > size else None
             stop = end.end() if end else len(text)
             numbers.append(i)
             parts.append(text[at:stop])
