@@ -36,7 +36,8 @@ VOID_ELEMENT_RE = {
     "metas": r"(?i)<meta\b[^>]*>",
 }
 SCRIPT_ELEMENT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
-TABLE_OPEN_RE = r"(?i)<table\b[^>]*>"
+TABLE_OPEN_RE = r"(?i)<table(?:[\s/][^>]*)?>"
+TABLE_TAG_RE = r"(?i)</?table(?:[\s/][^>]*)?>"
 
 # Fixed: the commonest named references, answered before the full table is searched.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
@@ -164,6 +165,48 @@ def tag_names(html) -> Column:
     return F.transform(names, lambda n: F.lower(n))
 
 
+def let(value, fn) -> Column:
+    """``fn`` of a value that is worked out once, however often ``fn`` uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def nested_elements(html, tag_re: str) -> Column:
+    """Source text of every element of one kind, from its opening to its closing tag, nested ones included, in the order
+    of their opening tags.
+
+    ``tag_re`` finds the opening and closing tags.  A running sum over them gives every tag its depth; tags of one
+    depth alternate between opening and closing, so after a sort by (depth, position) an element's end is
+    the next entry.  A closing tag without an opening one is passed over; an element that is never closed ends with the page.
+    """
+    parts = F.struct(F.regexp_extract_all(_col(html), F.lit(tag_re), 0).alias("tags"), F.split(_col(html), tag_re, -1).alias("texts"))
+
+    def closes(tag):
+        return tag.startswith("</")
+
+    def with_depths(p):
+        depth = F.aggregate(p["tags"], F.array(F.lit(0)), lambda acc, t: F.concat(
+            acc, F.array(F.greatest(F.element_at(acc, -1) + F.when(closes(t), -1).otherwise(1), F.lit(0)))))
+        pieces = F.transform(p["tags"], lambda t, i: F.concat(t, F.get(p["texts"], i + 1)))
+        return F.struct(p["tags"].alias("tags"), pieces.alias("pieces"), depth.alias("depth"))
+
+    def with_levels(p):
+        level = F.transform(p["tags"], lambda t, i: F.struct(
+            F.greatest(F.get(p["depth"], i), F.get(p["depth"], i + 1)).alias("level"), i.alias("at"), closes(t).alias("end")))
+        return F.struct(p["tags"].alias("tags"), p["pieces"].alias("pieces"),
+                        F.array_sort(F.filter(level, lambda x: x["level"] > 0)).alias("ordered"))
+
+    def elements(p):
+        spans = F.transform(p["ordered"], lambda x, k: let(F.get(p["ordered"], k + 1), lambda y: F.struct(
+            x["at"].alias("at"), F.when(y["level"] == x["level"], y["at"]).alias("stop"), x["end"].alias("end"))))
+        opened = F.array_sort(F.filter(spans, lambda x: ~x["end"]))
+        return F.transform(opened, lambda x: F.concat(
+            F.array_join(F.slice(p["pieces"], x["at"] + 1, F.coalesce(x["stop"], F.size(p["tags"])) - x["at"]), ""),
+            F.coalesce(F.get(p["tags"], x["stop"]), F.lit(""))))
+
+    found = let(let(let(parts, with_depths), with_levels), elements)
+    return F.when(F.regexp_like(_col(html), F.lit(tag_re)), found).otherwise(F.when(_col(html).isNotNull(), F.array().cast("array<string>")))
+
+
 def element_list(html, kind: str) -> Column:
     """Serialised elements of one kind: ``images``, ``metas``, ``scripts``, ``tables``."""
     cleaned = blank_script_bodies(html)
@@ -172,8 +215,7 @@ def element_list(html, kind: str) -> Column:
     if kind == "scripts":
         return F.regexp_extract_all(without_comments(html), F.lit(SCRIPT_ELEMENT_RE), 0)
     if kind == "tables":
-        # One entry per table element, nested ones included; the opening tag stands in.
-        return F.regexp_extract_all(cleaned, F.lit(TABLE_OPEN_RE), 0)
+        return nested_elements(cleaned, TABLE_TAG_RE)
     raise ValueError(f"unknown element kind {kind!r}")
 
 

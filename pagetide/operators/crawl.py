@@ -2,8 +2,8 @@
 
 One plan for all crawl days: scan logs -> status filter -> join page blobs
 -> text -> previous page in crawl order -> duplicate predicate.  The
-previous page is found with a distributed dense index and an equi-join on
-``seq - 1`` (see ``ordering.py``), never with a window over one partition.
+previous page is found in range partitions with one carried row per border
+(``ordering.with_previous``); digests and line hashes travel, texts do not.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagetide.functions import dates as D
 from pagetide.functions import html as H
 from pagetide.functions.udfs import matched_elements
-from pagetide.operators.ordering import dense_index, previous_row
+from pagetide.operators.ordering import with_previous
 
 # Fixed values of the crawler's log format.
 SUCCESS_STATUS = "RequestStatus.HEADLESS_SUCCESS"
@@ -41,13 +42,13 @@ def read_crawl_logs(spark, path: str, day: str | None = None) -> DataFrame:
     day_str = F.lit(day) if day else F.regexp_extract("_path", r"/(\d{8})[^/]*/[^/]+$", 1)
     stage_file = F.translate(F.col("Stage file"), "\u0000", "")
     return raw.select(
-        F.try_to_date(day_str, "yyyyMMdd").alias("day"),
+        D.crawl_day(day_str).alias("day"),
         F.regexp_extract("_path", r"-(\d+)\.[^/.]*$", 1).try_cast("int").alias("log_index"),
         stage_file.alias("stage_file"),
         F.regexp_extract(stage_file, r"_s(\d+)$", 1).try_cast("int").alias("stage_index"),
         F.col("URL index").try_cast("int").alias("url_index"),
         F.col("Status code").alias("status"),
-        F.try_to_timestamp(F.col("Timestamp"), F.lit("yyyyMMddHHmmss")).alias("ts"),
+        D.crawl_timestamp("Timestamp").alias("ts"),
         (F.col("File present") == FILE_PRESENT).alias("file_present"),
         F.col("URL").alias("url"),
         F.concat(stage_file, F.lit("-"), F.col("URL index")).alias("page_key"))
@@ -64,7 +65,7 @@ def read_page_blobs(spark, path: str, day: str | None = None) -> DataFrame:
     valid = F.is_valid_utf8(text)
     day_str = F.lit(day) if day else F.regexp_extract("path", r"/(\d{8})[^/]*/pages/[^/]+$", 1)
     return raw.select(
-        F.try_to_date(day_str, "yyyyMMdd").alias("day"),
+        D.crawl_day(day_str).alias("day"),
         F.element_at(F.split(F.col("path"), "/"), -1).alias("page_key"),
         F.col("length").alias("size"),
         F.when(valid, text).otherwise(F.lit("")).alias("html"))
@@ -97,28 +98,53 @@ def join_logs_pages(logs: DataFrame, blobs: DataFrame) -> DataFrame:
     return entries.join(pages, same, "inner").drop("_day", "_key")
 
 
-def previous_in_order(df: DataFrame, thread_cols: list[str], order_cols: list[str], carry: list[str],
-                      row_key: list[str] | None = None) -> DataFrame:
+def previous_in_order(df: DataFrame, thread_cols: list[str], order_cols: list[str], carry: list[str]) -> DataFrame:
     """Attach ``prev_<col>`` of the previous page in crawl order within ``thread_cols``.
 
     ``thread_cols = [day, log_index]`` compares pages of one crawler thread;
-    ``[day]`` compares across thread borders in (log, stage, url) order.  With
-    a unique ``row_key`` the ordering runs on a narrow key projection only and
-    page payloads are joined by key afterwards (no payload in the range
-    shuffle or the checkpoint).
+    ``[day]`` compares across thread borders in (log, stage, url) order.  All of ``df`` goes through the
+    exchange: for whole texts use ``page_signatures`` and ``against_previous``.
     """
-    if not row_key:
-        indexed = dense_index(df, thread_cols, order_cols, name="_seq")
-        return previous_row(indexed, thread_cols, "_seq", carry).drop("_seq")
-    narrow = df.select(*dict.fromkeys([*row_key, *thread_cols, *order_cols]))
-    indexed = dense_index(narrow, thread_cols, order_cols, name="_seq")
-    prev_keys = [f"_pk_{k}" for k in row_key]
-    pairs = previous_row(indexed.select(*row_key, *thread_cols, "_seq"), thread_cols, "_seq", row_key,
-                         prefix="_pk_").select(*row_key, *prev_keys)
-    with_keys = df.join(pairs, row_key, "left")
-    prev = df.select(*[F.col(k).alias(p) for k, p in zip(row_key, prev_keys)],
-                     *[F.col(c).alias("prev_" + c) for c in carry])
-    return with_keys.join(prev.hint("merge"), prev_keys, "left").drop(*prev_keys)
+    return with_previous(df, thread_cols, order_cols, carry, {f"prev_{c}": F.col(f"prev_{c}") for c in carry}, df.columns)
+
+
+SIGNATURE = ["start_digest", "text_digest", "line_hashes"]
+
+
+def page_signatures(df: DataFrame, text: str = "text_lines") -> DataFrame:
+    """Adds what the duplicate rules need of a page's lines, so that no line leaves its task: a digest of the first
+    three lines, one of all, and a 64-bit hash per line (aligning those gives the sizes that aligning the lines gives)."""
+    lines = F.col(text)
+    return df.withColumns({"start_digest": F.md5(F.to_json(F.slice(lines, 1, START_LINES))), "text_digest": F.md5(F.to_json(lines)),
+                           "line_hashes": F.transform(lines, lambda x: F.xxhash64(x))})
+
+
+def against_previous(df: DataFrame, thread_cols: list[str], order_cols: list[str], result: dict[str, Column], keep: list[str],
+                     extra: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep``, ``result``) of every page of ``page_signatures`` against the previous one in crawl order; ``extra``
+    columns are carried along with the signature."""
+    return with_previous(df, thread_cols, order_cols, [*SIGNATURE, *extra], result, keep)
+
+
+def same_start() -> Column:
+    """The first three lines equal those of the previous page."""
+    return F.coalesce(F.col("prev_start_digest") == F.col("start_digest"), F.lit(False))
+
+
+def cheap_valid() -> Column:
+    """First page of a sequence, or a page with text and another start than the previous one."""
+    return F.col("prev_line_hashes").isNull() | ((F.size("line_hashes") > 0) & ~same_start())
+
+
+def not_false_duplicate(max_overlap: float = MAX_OVERLAP, use_ratio: bool = True) -> Column:
+    """The whole rule on signatures: ``cheap_valid``, and an overlap ratio of at most ``max_overlap``."""
+    return _valid(F.col("line_hashes"), F.col("prev_line_hashes"), same_start(), max_overlap, use_ratio)
+
+
+def other_text(counts: str | None = None) -> Column:
+    """The hash check on signatures: another text than the previous page; a page without text compares ``counts``."""
+    return _other(F.size("line_hashes") == 0, F.col("prev_line_hashes").isNull(), F.col("text_digest") == F.col("prev_text_digest"),
+                  F.col(counts).eqNullSafe(F.col(f"prev_{counts}")) if counts else None)
 
 
 def start_overlap(prev: Column, cur: Column, n: int = START_LINES) -> Column:
@@ -139,6 +165,18 @@ def ratio_upper_bound(a: Column, b: Column) -> Column:
     return F.try_divide((2 * matched).cast("double"), (la + lb).cast("double"))
 
 
+def _valid(c: Column, p: Column, starts_alike: Column, max_overlap: float, use_ratio: bool) -> Column:
+    first = p.isNull()
+    cheap_ok = (F.size(c) > 0) & ~starts_alike
+    if not use_ratio:
+        return first | cheap_ok
+    needs = F.coalesce(~first & cheap_ok & (ratio_upper_bound(c, p) > max_overlap), F.lit(False))
+    # Python UDFs run on every row, so undecided rows alone carry their lists.
+    texts = [F.transform(F.when(needs, x), lambda line: line.cast("string")) for x in (c, p)]
+    ratio = F.try_divide(F.lit(2.0) * matched_elements(*texts), F.size(c) + F.size(p))
+    return first | (cheap_ok & (~needs | (ratio <= max_overlap)))
+
+
 def flag_false_duplicates(with_prev: DataFrame, text: str = "text_lines", prev: str = "prev_text_lines",
                           max_overlap: float = MAX_OVERLAP, use_ratio: bool = True) -> DataFrame:
     """Adds ``valid``: the first page of a sequence is valid; later pages need
@@ -147,16 +185,12 @@ def flag_false_duplicates(with_prev: DataFrame, text: str = "text_lines", prev:
     pairs that pass the native checks and whose ratio bound exceeds the limit.
     """
     p, c = F.col(prev), F.col(text)
-    first = p.isNull()
-    cheap_ok = (F.size(c) > 0) & ~start_overlap(p, c)
-    if use_ratio:
-        needs = F.coalesce(~first & cheap_ok & (ratio_upper_bound(c, p) > max_overlap), F.lit(False))
-        # Python UDFs run on every row, so undecided rows alone carry their lists.
-        ratio = F.try_divide(F.lit(2.0) * matched_elements(F.when(needs, c), F.when(needs, p)), F.size(c) + F.size(p))
-        ratio_ok = ~needs | (ratio <= max_overlap)
-    else:
-        ratio_ok = F.lit(True)
-    return with_prev.withColumn("valid", first | (cheap_ok & ratio_ok))
+    return with_prev.withColumn("valid", _valid(c, p, start_overlap(p, c), max_overlap, use_ratio))
+
+
+def _other(textless: Column, first: Column, same_text: Column, same_counts: Column | None) -> Column:
+    by_text = first | ~same_text
+    return by_text if same_counts is None else F.when(textless, ~same_counts).otherwise(by_text)
 
 
 def hash_duplicates(with_prev: DataFrame, text: str = "text_lines", prev: str = "prev_text_lines",
@@ -164,28 +198,25 @@ def hash_duplicates(with_prev: DataFrame, text: str = "text_lines", prev: str =
     """Adds ``valid`` for the hash check: a page with text is valid when its text
     digest differs from the previous page's; a textless page compares its HTML
     count features (``counts``) instead, when given."""
-    digest = F.md5(F.to_json(F.col(text)))
-    prev_digest = F.md5(F.to_json(F.col(prev)))
-    textless = F.size(F.col(text)) == 0
-    by_text = F.col(prev).isNull() | ~(digest == prev_digest)
-    if counts:
-        by_counts = ~F.col(counts).eqNullSafe(F.col(prev_counts))
-        valid = F.when(textless, by_counts).otherwise(by_text)
-    else:
-        valid = by_text
-    return with_prev.withColumn("valid", valid)
+    same_text = F.md5(F.to_json(F.col(text))) == F.md5(F.to_json(F.col(prev)))
+    same_counts = F.col(counts).eqNullSafe(F.col(prev_counts)) if counts else None
+    return with_prev.withColumn("valid", _other(F.size(F.col(text)) == 0, F.col(prev).isNull(), same_text, same_counts))
 
 
 def clean_crawl(logs: DataFrame, blobs: DataFrame, cross_thread: bool = False,
-                max_overlap: float = MAX_OVERLAP) -> DataFrame:
-    """Whole clean-up: valid, present, non-duplicate pages of every crawl day."""
-    joined = join_logs_pages(logs, blobs)
-    pages = joined.withColumn("text_lines", H.text_lines("html"))
+                max_overlap: float = MAX_OVERLAP, use_ratio: bool = True) -> DataFrame:
+    """Whole clean-up: valid, present, non-duplicate pages of every crawl day.
+
+    The order of the crawl is settled on signatures; page texts move in the join of logs and pages and in the
+    semi-join back to the valid keys, which both go by (day, page key).  ``use_ratio=False`` leaves the overlap ratio out.
+    """
+    pages = join_logs_pages(logs, blobs).withColumn("text_lines", H.text_lines("html"))
     threads = ["day"] if cross_thread else ["day", "log_index"]
     order = ["log_index", "stage_index", "url_index"] if cross_thread else ["stage_index", "url_index"]
-    with_prev = previous_in_order(pages, threads, order, ["text_lines"], row_key=["day", "page_key"])
-    flagged = flag_false_duplicates(with_prev, max_overlap=max_overlap)
-    return flagged.filter("valid").drop("valid", "prev_text_lines", "status", "file_present")
+    flagged = against_previous(page_signatures(pages), threads, order, {"valid": not_false_duplicate(max_overlap, use_ratio)}, ["day", "page_key"])
+    valid = flagged.where("valid").select(F.col("day").alias("_day"), F.col("page_key").alias("_key"))
+    same = pages["day"].eqNullSafe(valid["_day"]) & (pages["page_key"] == valid["_key"])
+    return pages.join(valid, same, "left_semi").drop("status", "file_present")
 
 
 def log_entry_pairs(log1: DataFrame, log2: DataFrame, keys=("stage_file", "url_index")) -> DataFrame:

@@ -1,10 +1,8 @@
 """Day-over-day comparison of page feature lists.
 
-Pairs are consecutive crawl days of the same page.  The next day comes from
-a calendar of the distinct crawl days (a table with one row per day, bounded
-by the crawl schedule, broadcast), then pages pair up by an equi-join on
-(page, day) = (page, next day).  For change bits only MD5 digests and list
-sizes are shuffled, never the lists themselves.
+Pairs are consecutive crawl days of the same page.  All days of a page meet in one exchange by page key; there ``lag``
+gives every snapshot the one before, and the pair counts if the list of crawl days has nothing between the
+two.  For change bits only MD5 digests and list sizes are shuffled, never the lists themselves.
 """
 
 from __future__ import annotations
@@ -15,11 +13,9 @@ from pyspark.sql import functions as F
 from pagetide.functions.udfs import matched_elements
 
 
-def calendar(snapshots: DataFrame, day: str = "day") -> DataFrame:
-    """(day, next_day): each crawl day and the following crawl day in the list."""
-    days = snapshots.select(day).distinct()
-    # One row per crawl day (90 in a study): a whole-table window is cheap here.
-    return days.withColumn("next_day", F.lead(day).over(Window.orderBy(day))).filter(F.col("next_day").isNotNull())
+def crawl_days(snapshots: DataFrame, day: str = "day") -> list:
+    """The ordered crawl days (one row per day of the study, read from the day column alone)."""
+    return sorted(r[0] for r in snapshots.select(day).where(F.col(day).isNotNull()).distinct().collect())
 
 
 def digest(c) -> Column:
@@ -28,26 +24,33 @@ def digest(c) -> Column:
 
 
 def day_pairs(snapshots: DataFrame, features: list[str], key: str = "page_id", day: str = "day",
-              left: list[str] | None = None, right: list[str] | None = None) -> DataFrame:
+              left: list[str] | None = None, right: list[str] | None = None, days: list | None = None) -> DataFrame:
     """(key, day1, day2, <col>_1..., <col>_2...) for consecutive crawl days.
 
-    ``left``/``right`` are the columns taken from day 1 / day 2 (default: the
-    feature columns on both sides).
+    ``left``/``right`` are the columns taken from day 1 / day 2 (default: the feature columns on both sides).
+    ``days`` is the crawl calendar; where it is not given it is read from the snapshots.  A page has one snapshot a day;
+    snapshots without key or day belong to no pair, and days that a page misses break its sequence.
     """
     left = left if left is not None else features
     right = right if right is not None else features
-    cal = F.broadcast(calendar(snapshots, day))  # one row per crawl day: a century of days is under 1 MB
-    a = (snapshots.join(cal, day).select(F.col(key), F.col(day).alias("day1"), F.col("next_day").alias("day2"),
-                                         *[F.col(c).alias(c + "_1") for c in left]))
-    b = snapshots.select(F.col(key), F.col(day).alias("day2"), *[F.col(c).alias(c + "_2") for c in right])
-    return a.join(b, [key, "day2"], "inner")
-
-
-def change_bits(snapshots: DataFrame, features: list[str], key: str = "page_id", day: str = "day") -> DataFrame:
+    days = crawl_days(snapshots, day) if days is None else sorted(days)
+    calendar = F.array(*[F.lit(d) for d in days]).cast(f"array<{snapshots.schema[day].dataType.simpleString()}>")
+    before = F.lag(F.struct(F.col(day).alias("day"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(left)])).over(
+        Window.partitionBy(key).orderBy(day))
+    paired = (snapshots.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(key, day, *dict.fromkeys([*left, *right]))
+                       .select(key, day, *right, before.alias("_before")))
+    follows = F.array_position(calendar, F.col(day)) == F.array_position(calendar, F.col("_before.day")) + 1
+    return paired.where(follows).select(key, F.col("_before.day").alias("day1"), F.col(day).alias("day2"),
+                                        *[F.col(f"_before.c{i}").alias(c + "_1") for i, c in enumerate(left)],
+                                        *[F.col(c).alias(c + "_2") for c in right])
+
+
+def change_bits(snapshots: DataFrame, features: list[str], key: str = "page_id", day: str = "day",
+                days: list | None = None) -> DataFrame:
     """(key, day1, day2, <feature>_changed): order-sensitive list inequality,
     computed on digests so that only 32-character hashes cross the shuffle."""
     dig = snapshots.select(key, day, *[digest(f).alias(f) for f in features])
-    pairs = day_pairs(dig, features, key, day)
+    pairs = day_pairs(dig, features, key, day, days=days)
     return pairs.select(key, "day1", "day2",
                         *[(~F.col(f + "_1").eqNullSafe(F.col(f + "_2"))).cast("int").alias(f + "_changed") for f in features])
 
@@ -58,12 +61,12 @@ def feature_numbers(snapshots: DataFrame, features: list[str], key: str = "page_
 
 
 def training_pairs(snapshots: DataFrame, features: list[str], targets: list[str], key: str = "page_id",
-                   day: str = "day") -> DataFrame:
+                   day: str = "day", days: list | None = None) -> DataFrame:
     """(key, day1, <feature sizes on day 1>, <target>_changed): static training pairs."""
     pre = snapshots.select(key, day, *[F.size(f).alias("n_" + f) for f in features],
                            *[digest(t).alias("d_" + t) for t in targets])
     pairs = day_pairs(pre, [], key, day, left=[*("n_" + f for f in features), *("d_" + t for t in targets)],
-                      right=["d_" + t for t in targets])
+                      right=["d_" + t for t in targets], days=days)
     return pairs.select(key, "day1", *[F.col(f"n_{f}_1").alias(f) for f in features],
                         *[(~F.col(f"d_{t}_1").eqNullSafe(F.col(f"d_{t}_2"))).cast("int").alias(t + "_changed")
                           for t in targets])
@@ -87,11 +90,11 @@ def opcode_struct(a: Column, b: Column) -> Column:
 
 
 def feature_diff(snapshots: DataFrame, features: list[str], key: str = "page_id", day: str = "day",
-                 page_hash: str | None = "page_hash") -> DataFrame:
+                 page_hash: str | None = "page_hash", days: list | None = None) -> DataFrame:
     """Long form (key, day1, day2, feature, equal, insert, delete) per list
     feature, plus a ``page_hash`` row with insert = 1 when the digest changed."""
     cols = features + ([page_hash] if page_hash else [])
-    pairs = day_pairs(snapshots, cols, key, day)
+    pairs = day_pairs(snapshots, cols, key, day, days=days)
     cells = [F.struct(F.lit(f).alias("feature"), opcode_struct(F.col(f + "_1"), F.col(f + "_2")).alias("ops"))
              for f in features]
     if page_hash:
@@ -112,32 +115,34 @@ def diff_totals(diff: DataFrame, feature: str, include_equal: bool = True) -> Da
                  F.sum("delete").cast("bigint").alias("delete"))
 
 
+BROADCAST_PAIRS = 10_000
+
+
 def changed_sample(snapshots: DataFrame, feature: str, n: int, key: str = "page_id", day: str = "day",
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, days: list | None = None) -> DataFrame:
     """n pairs whose feature differs, chosen by seeded-hash order, with the lines
     only in day 1 (``removed``) and only in day 2 (``added``).
 
     The choice runs on digests (top-n, no global sort); only the n chosen
-    pages' full lists are then fetched, through a broadcast of n keys.
+    pages' full lists are then fetched, in one read (up to ``BROADCAST_PAIRS`` chosen pairs are broadcast).
     """
     dig = snapshots.select(key, day, digest(feature).alias("_d"))
-    pairs = day_pairs(dig, ["_d"], key, day)
+    pairs = day_pairs(dig, ["_d"], key, day, days=days)
     order = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"), F.col("day1").cast("string")))
     picked = (pairs.filter(~F.col("_d_1").eqNullSafe(F.col("_d_2"))).withColumn("_o", order)
                    .orderBy("_o", key).limit(n).select(key, "day1", "day2"))
-    chosen = F.broadcast(picked)  # n rows by construction
-    lists = snapshots.select(key, day, feature)
-    a = lists.join(chosen.select(key, F.col("day1").alias(day), "day2"), [key, day]).select(
-        key, F.col(day).alias("day1"), "day2", F.col(feature).alias("_a"))
-    b = lists.join(chosen.select(key, F.col("day2").alias(day)), [key, day]).select(
-        key, F.col(day).alias("day2"), F.col(feature).alias("_b"))
-    both = a.join(b, [key, "day2"])
+    # Both days of every chosen pair in one read of the lists.
+    sides = picked.select(key, "day1", "day2", F.explode(F.array(F.col("day1"), F.col("day2"))).alias(day))
+    chosen = F.broadcast(sides) if n <= BROADCAST_PAIRS else sides
+    sided = snapshots.select(key, day, feature).join(chosen, [key, day])
+    both = sided.groupBy(key, "day1", "day2").agg(F.first(F.when(F.col(day) == F.col("day1"), F.col(feature)), ignorenulls=True).alias("_a"),
+                                                  F.first(F.when(F.col(day) == F.col("day2"), F.col(feature)), ignorenulls=True).alias("_b"))
     return both.select(key, "day1", "day2", F.array_except("_a", "_b").alias("removed"),
                        F.array_except("_b", "_a").alias("added"))
 
 
 def crawl_change_bits(clean_pages: DataFrame, features=("text", "internal_outlinks", "external_outlinks"),
-                      url: str = "url", html: str = "html") -> DataFrame:
+                      url: str = "url", html: str = "html", days: list | None = None) -> DataFrame:
     """Change bits of cleaned crawl pages between consecutive crawl days.
 
     ``clean_pages`` is the output of ``crawl.clean_crawl`` (day, page_key, url,
@@ -146,5 +151,5 @@ def crawl_change_bits(clean_pages: DataFrame, features=("text", "internal_outlin
     """
     from pagetide.operators.pages import page_feature_lists
     lists = page_feature_lists(clean_pages, keys=("day", "page_key"), url=url, html=html)
-    bits = change_bits(lists, list(features), key="page_key", day="day")
+    bits = change_bits(lists, list(features), key="page_key", day="day", days=days)
     return bits.withColumnRenamed("page_key", "page_id")

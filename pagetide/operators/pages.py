@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetide.functions import dates as D
 from pagetide.functions import html as H
 from pagetide.functions import urls as U
 
@@ -69,7 +70,8 @@ def url_features(df: DataFrame, keys=("page_id",), url: str = "url") -> DataFram
 
 
 def html_lists(pages: DataFrame, keys=("page_id",), html: str = "html") -> DataFrame:
-    """Element lists: images, scripts, tables, metas (serialised) and all tag names."""
+    """Element lists: images, scripts, tables, metas as their source text and all tag names.  Tables hold all they
+    enclose (comments and script or style bodies left out), nested tables also on their own."""
     ks = _keys(pages, keys)
     step = pages.select(*ks, H.without_comments(html).alias("_nc"))
     step = step.select(*ks, "_nc", H.blank_script_bodies("_nc").alias("_clean"))
@@ -77,7 +79,7 @@ def html_lists(pages: DataFrame, keys=("page_id",), html: str = "html") -> DataF
         *ks,
         F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["images"]), 0).alias("images"),
         F.regexp_extract_all("_nc", F.lit(H.SCRIPT_ELEMENT_RE), 0).alias("scripts"),
-        F.regexp_extract_all("_clean", F.lit(H.TABLE_OPEN_RE), 0).alias("tables"),
+        H.nested_elements("_clean", H.TABLE_TAG_RE).alias("tables"),
         F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["metas"]), 0).alias("meta"),
         F.transform(F.regexp_extract_all("_clean", F.lit(H.TAG_NAME_RE), 1), lambda n: F.lower(n))
          .alias("html_tags"))
@@ -104,6 +106,21 @@ def text_features(pages: DataFrame, keys=("page_id",), html: str = "html") -> Da
         F.md5(H.one_line("text")).alias("text_md5"))
 
 
+def text_and_counts(pages: DataFrame, keys=("page_id",), html: str = "html") -> DataFrame:
+    """Text lines, and a struct of the six HTML counts that stand in for the text of a page without any."""
+    ks = _keys(pages, keys)
+    step = pages.select(*ks, H.text_lines(html).alias("text"), H.without_comments(html).alias("_nc"))
+    step = step.select(*ks, "text", "_nc", H.blank_script_bodies("_nc").alias("_clean"))
+    step = step.select(
+        *ks, "text", F.size(F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["images"]), 0)).alias("images"),
+        F.size(F.regexp_extract_all("_nc", F.lit(H.SCRIPT_ELEMENT_RE), 0)).alias("scripts"),
+        F.size(F.regexp_extract_all("_clean", F.lit(H.TABLE_OPEN_RE), 0)).alias("tables"),
+        F.size(F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["metas"]), 0)).alias("meta"),
+        F.transform(F.regexp_extract_all("_clean", F.lit(H.TAG_NAME_RE), 1), lambda n: F.lower(n)).alias("_tags"))
+    return step.select(*ks, "text", F.struct("images", "scripts", "tables", "meta", F.size("_tags").alias("tags_total"),
+                                             F.size(F.array_distinct("_tags")).alias("tags_unique")).alias("counts"))
+
+
 def valid_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Pages that are present (at most 10 MiB) and contain an ``<html>`` element."""
     return pages.filter((F.octet_length(html) <= MAX_PAGE_BYTES) & H.has_html_element(html))
@@ -117,7 +134,7 @@ def static_features(pages: DataFrame, keys=("page_id",), url: str = "url", html:
     ks = _keys(pages, keys)
     meta = [F.octet_length(html).alias("size"), F.md5(F.col(html)).alias("source_md5")]
     if ts:
-        meta.append(F.weekday(F.col(ts)).alias("weekday"))
+        meta.append(D.weekday(ts).alias("weekday"))
     meta_names = ["size", "source_md5"] + (["weekday"] if ts else [])
     step1 = valid_pages(pages, html).select(
         *ks, *meta, F.col(url).alias("_url"), H.hrefs(html).alias("_hrefs"),
@@ -168,7 +185,7 @@ def page_feature_lists(pages: DataFrame, keys=("page_id",), url: str = "url", ht
         H.tag_internal("_r.resolved", "_r.sld").alias("_t"),
         F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["images"]), 0).alias("images"),
         F.regexp_extract_all("_nc", F.lit(H.SCRIPT_ELEMENT_RE), 0).alias("scripts"),
-        F.regexp_extract_all("_clean", F.lit(H.TABLE_OPEN_RE), 0).alias("tables"),
+        H.nested_elements("_clean", H.TABLE_TAG_RE).alias("tables"),
         F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["metas"]), 0).alias("meta"),
         F.transform(F.regexp_extract_all("_clean", F.lit(H.TAG_NAME_RE), 1), lambda n: F.lower(n))
          .alias("html_tags"))

@@ -2,15 +2,20 @@
 
 Order statistics are taken from a value histogram per feature instead of a
 global sort: ``groupBy(feature, value).count()`` (partial aggregation, skew
-safe), then cumulative counts over the histogram.  Work after the first
+safe), then cumulative counts over range partitions of (feature, value), so a feature with many
+distinct values is spread over many tasks.  Work after the first
 aggregation is proportional to the number of distinct values, not rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetide.operators.ordering import running_total
+
 
 def unpivot(df: DataFrame, features: list[str], keep: list[str] | None = None,
             name: str = "feature", value: str = "value") -> DataFrame:
@@ -20,15 +25,32 @@ def unpivot(df: DataFrame, features: list[str], keep: list[str] | None = None,
     return df.select(*keep, F.explode(cells).alias("_c")).select(*keep, f"_c.{name}", f"_c.{value}")
 
 
-def histogram(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
+def histogram(long: DataFrame, feature: str = "feature", value: str = "value", descending: bool = False) -> DataFrame:
     """(feature, value, cnt, lo, hi, n): each distinct value covers sorted
     positions lo..hi (0-based) among the n non-null values of its feature."""
     h = long.filter(F.col(value).isNotNull()).groupBy(feature, value).agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy(feature).orderBy(value)
-    cum = F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (h.withColumn("hi", cum - 1)
-             .withColumn("lo", F.col("hi") - F.col("cnt") + 1)
-             .withColumn("n", F.sum("cnt").over(Window.partitionBy(feature))))
+    ordered = running_total(h, [F.col(feature), F.col(value).desc() if descending else F.col(value)], "cnt", name="_end")
+    # A row per feature: names of columns, not data.
+    ranges = ordered.groupBy(feature).agg(F.min(F.col("_end") - F.col("cnt")).alias("_base"), F.sum("cnt").alias("n")).select(
+        F.col(feature).alias("_f"), "_base", "n")
+    placed = ordered.join(F.broadcast(ranges), F.col(feature).eqNullSafe(F.col("_f")))
+    hi = F.col("_end") - F.col("_base") - 1
+    return placed.select(feature, value, "cnt", (hi - F.col("cnt") + 1).alias("lo"), hi.alias("hi"), "n")
+
+
+RANK_BLOCK = 10_000
+
+
+def rank_curve(ranges: DataFrame, keep: list[str], value: str) -> DataFrame:
+    """(``keep``, position, percentile, value), one row per counted value, from ``histogram(..., descending=True)``.
+
+    A value's positions lo..hi are written out from the histogram, in blocks of at most ``RANK_BLOCK``, so neither the
+    values nor their owners are ever ranked one by one.  The axis runs evenly from 0 to 100.
+    """
+    starts = ranges.select(*keep, value, "hi", "n", F.explode(F.sequence(F.col("lo"), F.col("hi"), F.lit(RANK_BLOCK).cast("bigint"))).alias("_from"))
+    rows = starts.select(*keep, value, "n", F.explode(F.sequence("_from", F.least(F.col("hi"), F.col("_from") + (RANK_BLOCK - 1)))).alias("_at"))
+    percentile = F.when(F.col("n") > 1, F.col("_at") * 100.0 / (F.col("n") - 1)).otherwise(F.lit(0.0))
+    return rows.select(*keep, (F.col("_at") + 1).alias("position"), percentile.alias("percentile"), value)
 
 
 def _value_at(pos: Column, value: str = "value") -> Column:
@@ -86,33 +108,55 @@ def interval_edges(long: DataFrame, k: int = 10, feature: str = "feature", value
     return wide.select(feature, F.explode(cells).alias("_c")).select(feature, "_c.interval", "_c.start", "_c.end")
 
 
+def _interval_table(intervals: DataFrame, feature: str = "feature") -> dict[str, Column]:
+    """Every feature's intervals as one literal array; as many in all as features x intervals were asked for."""
+    found: dict[str, list[tuple]] = {}
+    for r in intervals.select(feature, "interval", "start", "end").collect():
+        found.setdefault(r[0], []).append((r["interval"], r["start"], r["end"]))
+    kinds = ", ".join(f"`{c}`: {intervals.schema[c].dataType.simpleString()}" for c in ("interval", "start", "end"))
+    # From text, which is folded to a literal: an array of structs built up by expressions would not fit generated code.
+    return {f: F.from_json(F.lit(json.dumps([dict(zip(("interval", "start", "end"), x, strict=True)) for x in sorted(rows)])),
+                           f"array<struct<{kinds}>>") for f, rows in found.items()}
+
+
+def _intervals_of(value: Column, table: Column) -> Column:
+    """The intervals of ``table`` that hold ``value``: start <= value < max(start + 1, end)."""
+    return F.filter(table, lambda x: (x["start"] <= value) & (value < F.greatest(x["start"] + 1, x["end"])))
+
+
 def interval_join(long: DataFrame, intervals: DataFrame, feature: str = "feature",
                   value: str = "value") -> DataFrame:
     """Rows matched to every interval with start <= value < max(start + 1, end).
 
     Zero-width intervals are widened to one, so a value may land in several.
     The interval table has features x intervals rows (bounded by its
-    definition, not by the data), so it is broadcast; the residual range test
-    runs in the join.
+    definition, not by the data): it is read once and becomes an expression, so that
+    the rows are neither joined nor moved.
     """
-    iv = intervals.select(F.col(feature).alias("_f"), "interval", "start",
-                          F.greatest(F.col("start") + 1, F.col("end")).alias("_end"))
-    cond = ((F.col(feature) == F.col("_f")) & (F.col("start") <= F.col(value)) & (F.col(value) < F.col("_end")))
-    return long.join(F.broadcast(iv), cond, "inner").drop("_f", "_end")
+    hits = F.lit(None)
+    for name, table in _interval_table(intervals, feature).items():
+        hits = F.when(F.col(feature) == name, _intervals_of(F.col(value), table)).otherwise(hits)
+    return long.select("*", F.explode(hits).alias("_i")).select(*long.columns, "_i.interval", "_i.start")
 
 
 def error_heatmap(predictions: DataFrame, features: list[str], intervals: DataFrame,
                   label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(feature, interval, accuracy): share of correct predictions among rows whose
-    feature value lies in the interval; rounded to 4 places, null when empty."""
-    correct = (F.col(label) == F.col(prediction)).cast("int").alias("_ok")
-    long = unpivot(predictions.select(*features, correct), features, keep=["_ok"])
-    hits = interval_join(long, intervals).groupBy("feature", "interval").agg(
+    feature value lies in the interval; rounded to 4 places, null when empty.  One scan of the predictions: every row
+    looks its intervals up in the (small) table of edges."""
+    table = _interval_table(intervals)
+    correct = (F.col(label) == F.col(prediction)).cast("int")
+    def cells(f):
+        return F.transform(_intervals_of(F.col(f), table[f]), lambda x: F.struct(F.lit(f).alias("feature"), x["interval"].alias("interval")))
+
+    empty = F.array().cast("array<struct<feature:string,interval:int>>")
+    hits = predictions.select(correct.alias("_ok"), F.explode(F.concat(empty, *[cells(f) for f in features if f in table])).alias("_c")).groupBy("_c.feature", "_c.interval").agg(
         F.sum("_ok").alias("_c"), F.count(F.lit(1)).alias("_t"))
-    return (intervals.select("feature", "interval").join(hits, ["feature", "interval"], "left")
-                     .select("feature", "interval",
-                             F.round(F.try_divide(F.col("_c").cast("double"), F.col("_t").cast("double")), 4)
-                             .alias("accuracy")))
+    grid = intervals.select("feature", "interval")
+    return (grid.join(hits, ["feature", "interval"], "left")
+                .select("feature", "interval",
+                        F.round(F.try_divide(F.col("_c").cast("double"), F.col("_t").cast("double")), 4)
+                        .alias("accuracy")))
 
 
 def confusion(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -17,7 +17,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetide.operators.ordering import dense_index
+from pagetide.functions import dates as D
+from pagetide.operators.stats import histogram, rank_curve
 
 # Fixed: change-bit columns per feature, in the reference's display order.
 FEATURE_BITS = {"text": "text_changed", "internal_outlinks": "ilinks_changed",
@@ -60,7 +61,7 @@ def week_bounds(bits: DataFrame, complete_only: bool = True) -> tuple[int, int]:
 
 def _week_label(start: dt.date, week_no) -> F.Column:
     """ISO week number of study week ``week_no``."""
-    return F.weekofyear(F.date_add(F.lit(start), week_no * 7))
+    return D.iso_week(F.date_add(F.lit(start), week_no * 7))
 
 
 def long_bits(bits: DataFrame, keep=("page_id", "day2")) -> DataFrame:
@@ -77,7 +78,7 @@ def weekly_count_arrays(bits: DataFrame, start: dt.date, n_weeks: int) -> DataFr
     Pages without rows in a week count 0 there.  One shuffle by page_id with
     partial aggregation before it.
     """
-    pre = bits.select("page_id", F.floor(F.datediff("day2", F.lit(start)) / 7).cast("int").alias("_w"),
+    pre = bits.select("page_id", F.floor(D.day_number("day2", F.lit(start)) / 7).cast("int").alias("_w"),
                       *FEATURE_BITS.values())
     sums = [F.sum(F.when(F.col("_w") == i, F.col(c)).otherwise(0)).alias(f"{f}__{i}")
             for f, c in FEATURE_BITS.items() for i in range(n_weeks)]
@@ -157,14 +158,10 @@ def normalized_cube(cube: DataFrame) -> DataFrame:
     return cube.withColumn("fraction", F.try_divide(F.col("pages").cast("double"), n_pages))
 
 
-def percentile_curve(df: DataFrame, group: str, value: str, tie_cols: list[str]) -> DataFrame:
+def percentile_curve(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, position, percentile, value): values sorted descending per group
-    against an even 0..100 axis; distributed ranking (few groups).  ``tie_cols``
-    make the order total (and the result stable under task retries)."""
-    ranked = dense_index(df.select(group, value, *tie_cols), [group],
-                         [F.col(value).desc(), *[F.col(c) for c in tie_cols]], name="position", total="_total")
-    pct = F.when(F.col("_total") > 1, (F.col("position") - 1) * 100.0 / (F.col("_total") - 1)).otherwise(F.lit(0.0))
-    return ranked.select(group, "position", pct.alias("percentile"), value)
+    against an even 0..100 axis, from the histogram of the values."""
+    return rank_curve(histogram(df, group, value, descending=True), [group], value)
 
 
 def average_behaviour(matrix: DataFrame) -> DataFrame:
@@ -232,9 +229,9 @@ def daily_changes(bits: DataFrame, limit_weekday: int | None = None) -> DataFram
                    .agg(*[F.sum(c).cast("bigint").alias(f) for f, c in FEATURE_BITS.items()]))
     # Tiny table (one row per crawl day): whole-table windows are cheap here.
     start = F.min("day2").over(Window.partitionBy())
-    days = per_day.withColumn("day_no", F.datediff("day2", start))
+    days = per_day.withColumn("day_no", D.day_number("day2", start))
     if limit_weekday is not None:
-        days = (days.filter(F.weekday(F.date_sub("day2", 1)) == limit_weekday)
+        days = (days.filter(D.pair_weekday("day2") == limit_weekday)
                     .withColumn("day_no", F.floor(F.col("day_no") / 7).cast("int")))
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("changed")) for f in FEATURE_BITS])
     long = (days.select("day_no", F.explode(cells).alias("_c"))
@@ -266,9 +263,7 @@ def rare_changes(bits: DataFrame, n_pairs: int, threshold_fraction: float = 0.1,
 
 def day_change_curve(bits: DataFrame, n_pairs: int, bit: str = "text_changed") -> DataFrame:
     """(position, percentile, fraction): per-page change fractions sorted descending
-    against an even 0..100 axis.  Distributed ranking, no single-task sort."""
-    per_page = changes_per_page(bits, bit).withColumn("fraction", F.col("changes") / F.lit(float(n_pairs)))
-    ranked = dense_index(per_page, [], [F.col("changes").desc(), F.col("page_id")], name="position",
-                         total="_total")
-    pct = F.when(F.col("_total") > 1, (F.col("position") - 1) * 100.0 / (F.col("_total") - 1)).otherwise(F.lit(0.0))
-    return ranked.select("position", pct.alias("percentile"), "fraction")
+    against an even 0..100 axis.  Pages are counted by their number of changes, never ranked."""
+    per_page = changes_per_page(bits, bit).select(F.lit("pages").alias("_all"), "changes")
+    curve = rank_curve(histogram(per_page, "_all", "changes", descending=True), [], "changes")
+    return curve.select("position", "percentile", (F.col("changes") / F.lit(float(n_pairs))).alias("fraction"))

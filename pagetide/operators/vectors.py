@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions import html as H
-from pagetide.operators.ordering import dense_index, previous_row
+from pagetide.operators.ordering import with_previous
 
 DISTANCE_THRESHOLD = 0.01
 
@@ -36,24 +37,22 @@ def semantic_duplicates(df: DataFrame, order: str, vec: str, threshold: float =
                         group_cols: list[str] | None = None) -> DataFrame:
     """(order, distance, valid): each vector against the previous non-null vector
     in ``order``; the first is valid, later ones need distance >= threshold,
-    rows without a vector are invalid.  Distributed order (dense index + join)."""
+    rows without a vector are invalid.  One exchange by range; distances alone are checkpointed."""
     groups = group_cols or []
     present = df.filter(F.col(vec).isNotNull()).select(*groups, order, vec)
-    indexed = dense_index(present, groups, [order], name="_seq")
-    paired = previous_row(indexed, groups, "_seq", [vec])
     dist = cosine_distance(F.col(vec), F.col("prev_" + vec))
-    scored = paired.select(*groups, order, dist.alias("distance"),
-                           (F.col("prev_" + vec).isNull() | (dist >= threshold)).alias("valid"))
+    scored = with_previous(present, groups, [order], [vec], {"distance": dist, "valid": ~F.col("has_prev") | (dist >= threshold)}, [*groups, order])
     missing = df.filter(F.col(vec).isNull()).select(*groups, order, F.lit(None).cast("double").alias("distance"),
                                                      F.lit(False).alias("valid"))
     return scored.unionByName(missing)
 
 
 def mean_vectors(df: DataFrame, group: str, vec: str) -> DataFrame:
-    """(group, dim, mean): element-wise mean per group (partial aggregation per
-    dimension, no vector collected)."""
-    return (df.select(group, F.posexplode(_dbl(vec)).alias("dim", "_v"))
-              .groupBy(group, "dim").agg(F.avg("_v").alias("mean")))
+    """(group, dim, mean): element-wise mean per group.  ``Summarizer`` adds vectors up as they are, one buffer per group
+    and task; rows with a null vector count nowhere."""
+    data = df.where(F.col(vec).isNotNull()).select(group, array_to_vector(_dbl(vec)).alias("_v"))
+    mean = data.groupBy(group).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return mean.select(group, F.posexplode(vector_to_array("_m")).alias("dim", "mean"))
 
 
 def token_chunks(df: DataFrame, key: str, text: str, max_size: int = 512) -> DataFrame:

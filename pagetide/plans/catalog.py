@@ -13,6 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetide.functions import dates as DT
 from pagetide.operators import change_types as CT
 from pagetide.operators import crawl as C
 from pagetide.operators import diff as D
@@ -276,29 +277,29 @@ def q_sampled_pages(spark, root):
     return C.sample_crawl(_crawl_order(spark, root)).select("doc_id", "log_index", "url_index")
 
 
-def _with_prev(spark, root):
-    co = _crawl_order(spark, root)
+def _against_previous(spark, root, result, threads=("thread",), order=("url_index",), keep=("doc_id", "log_index", "url_index")):
     # A crawler thread's pages in URL order (FIXTURES: thread = source % 4).
-    return C.previous_in_order(co, ["thread"], ["url_index"], ["text_lines"], row_key=["doc_id"])
+    pages = C.page_signatures(_crawl_order(spark, root))
+    return C.against_previous(pages, list(threads), list(order), result, list(keep))
+
+
+def _starts():
+    return {"has_prev": F.col("prev_line_hashes").isNotNull(), "same_start": C.same_start(), "cheap_valid": C.cheap_valid()}
 
 
 @query("start_duplicates")
 def q_start_duplicates(spark, root):
-    wp = _with_prev(spark, root)
-    same = F.coalesce(C.start_overlap(F.col("prev_text_lines"), F.col("text_lines")), F.lit(False))
-    has_prev = F.col("prev_text_lines").isNotNull()
-    return wp.select("doc_id", "log_index", "url_index", has_prev.alias("has_prev"), same.alias("same_start"),
-                     (~has_prev | ((F.size("text_lines") > 0) & ~same)).alias("cheap_valid"))
+    return _against_previous(spark, root, _starts())
 
 
 @query("hash_duplicates")
 def q_hash_duplicates(spark, root):
-    return C.hash_duplicates(_with_prev(spark, root)).select("doc_id", "log_index", "url_index", "valid")
+    return _against_previous(spark, root, {"valid": C.other_text()})
 
 
 @query("false_duplicates")
 def q_false_duplicates(spark, root):
-    return C.flag_false_duplicates(_with_prev(spark, root)).select("doc_id", "log_index", "url_index", "valid")
+    return _against_previous(spark, root, {"valid": C.not_false_duplicate()})
 
 
 @query("log_blob_join")
@@ -324,6 +325,67 @@ def q_threat_urls(spark, root):
     return TH.flag_threat_window(logs, threats, seconds=10)
 
 
+# ---------------------------------------------------------------- crawl days of pages, end to end
+
+ELEMENT_LISTS = ["images", "scripts", "tables", "meta", "html_tags"]
+CHANGE_TARGETS = ["text", "internal_outlinks", "external_outlinks"]
+
+
+def _series(spark, root):
+    return X.crawl_series(Tables(spark, root).pages)
+
+
+def _clean_series(spark, root):
+    """Log and pages of the crawl series, cleaned.  The overlap ratio, which SQL can't express, is left to
+    ``false_duplicates``."""
+    series = _series(spark, root)
+    return C.clean_crawl(series.drop("html"), series.select("day", "page_key", "html"), use_ratio=False)
+
+
+@query("page_element_lists")
+def q_page_element_lists(spark, root):
+    """Number and digest of the serialised elements of every page and day."""
+    lists = P.html_lists(_series(spark, root), keys=("day", "page_key"))
+    return lists.select("day", "page_key", *[F.size(k).alias(k) for k in ELEMENT_LISTS],
+                        *[F.md5(F.array_join(k, "\n")).alias(f"{k}_md5") for k in ELEMENT_LISTS])
+
+
+@query("clean_pages")
+def q_clean_pages(spark, root):
+    return _clean_series(spark, root).select("day", "page_key", "log_index", "url_index", F.size("text_lines").alias("lines"),
+                                             F.md5("html").alias("page_md5"))
+
+
+@query("page_change_bits")
+def q_page_change_bits(spark, root):
+    """Clean-up, nine feature lists, and the change bits of all nine between consecutive crawl days."""
+    return D.crawl_change_bits(_clean_series(spark, root), P.FEATURES)
+
+
+@query("page_training_pairs")
+def q_page_training_pairs(spark, root):
+    """Nine list sizes of the first day and three change bits, from cleaned pages."""
+    lists = P.page_feature_lists(_clean_series(spark, root), keys=("day", "page_key"))
+    return D.training_pairs(lists, P.FEATURES, CHANGE_TARGETS, key="page_key")
+
+
+@query("page_hash_duplicates")
+def q_page_hash_duplicates(spark, root):
+    """Hash check of valid pages in crawl order; pages without text compare their HTML counts."""
+    valid = C.valid_log_entries(_series(spark, root))
+    keys = ("day", "log_index", "url_index", "page_key")
+    texts = P.text_and_counts(valid, keys)
+    return C.against_previous(C.page_signatures(texts, "text"), ["day", "log_index"], ["url_index"], {"valid": C.other_text("counts")},
+                              ["day", "page_key"], extra=("counts",))
+
+
+@query("crawl_static_features")
+def q_crawl_static_features(spark, root):
+    """Full static row of every crawled page, with the weekday of its crawl timestamp."""
+    pages = C.valid_log_entries(_series(spark, root)).withColumn("ts", DT.crawl_timestamp("ts"))
+    return P.static_features(pages, keys=("day", "page_key"), ts="ts")
+
+
 # ---------------------------------------------------------------- day-over-day diff
 
 SNAP_FEATURES = ["text", "internal_outlinks", "meta"]
@@ -623,7 +685,7 @@ def q_amplitude_curve(spark, root):
                             (F.col("insert") / total).alias("share")).unionByName(
         changed.select(F.concat(F.col("feature"), F.lit("/delete")).alias("series"), "page_id", "day1",
                        (F.col("delete") / total).alias("share")))
-    return T.percentile_curve(shares, "series", "share", ["page_id", "day1"]).drop("page_id", "day1")
+    return T.percentile_curve(shares.select("series", "share"), "series", "share")
 
 
 @query("page_feature_numbers")
@@ -635,12 +697,7 @@ def q_page_feature_numbers(spark, root):
 def q_global_start_duplicates(spark, root):
     """Cross-thread mode: the previous page is the previous one of the whole
     crawl in (thread, URL index) order, across thread borders."""
-    co = _crawl_order(spark, root)
-    wp = C.previous_in_order(co, [], ["thread", "url_index"], ["text_lines"], row_key=["doc_id"])
-    same = F.coalesce(C.start_overlap(F.col("prev_text_lines"), F.col("text_lines")), F.lit(False))
-    has_prev = F.col("prev_text_lines").isNotNull()
-    return wp.select("doc_id", "thread", "url_index", has_prev.alias("has_prev"), same.alias("same_start"),
-                     (~has_prev | ((F.size("text_lines") > 0) & ~same)).alias("cheap_valid"))
+    return _against_previous(spark, root, _starts(), (), ("thread", "url_index"), ("doc_id", "thread", "url_index"))
 
 
 @query("rf_top_features")

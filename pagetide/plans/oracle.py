@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagetide.functions import html as H
 from pagetide.plans import sqlfrag as S
+from pagetide.sources import proxies as X
 
 ORACLE: dict[str, str] = {}
 
@@ -346,6 +347,82 @@ SELECT event_id, ts FROM r WHERE NOT threat
   AND EXISTS (SELECT 1 FROM r t WHERE t.threat AND r.ts BETWEEN t.ts AND t.ts + INTERVAL 10 SECOND)"""
 
 
+# ---------------------------------------------------------------- crawl days of pages, end to end
+
+def _series_cte() -> str:
+    html = "html"
+    for find, new in X.SERIES_BASE:
+        html = f"replace({html}, {S.q(find)}, {S.q(new)})"
+    steps = [f"e0 AS (SELECT page_id AS p, url, {html} AS html, d FROM pages, (SELECT unnest(range(0, {len(X.SERIES_DAYS)})) AS d))"]
+    for i, (lo, hi, modulus, rest, find, new) in enumerate(X.SERIES_EDITS):
+        steps.append(f"e{i + 1} AS (SELECT p, url, d, CASE WHEN d BETWEEN {lo} AND {hi} AND p % {modulus} = {rest} "
+                     f"THEN replace(html, {S.q(find)}, {S.q(new)}) ELSE html END AS html FROM e{i})")
+    for i, (at, modulus, rests, source) in enumerate(X.SERIES_REPLACED, len(X.SERIES_EDITS)):
+        steps.append(f"e{i + 1} AS (SELECT p, url, d, CASE WHEN d = {at} AND p % {modulus} IN {rests} THEN {S.q(source)} ELSE html END AS html FROM e{i})")
+    days = ", ".join(f"DATE '{x}'" for x in X.SERIES_DAYS)
+    (fd, fm, fr), (ad, am, ar) = X.SERIES_FAILED, X.SERIES_ABSENT
+    steps.append(f"""sr AS (SELECT 'links_s00-' || p || '@' || d AS page_id, 'links_s00-' || p AS page_key, ([{days}])[d + 1] AS day, d, CAST(p AS INTEGER) AS url_index,
+        CAST(p // {X.SERIES_THREAD} AS INTEGER) AS log_index, NOT (d = {fd} AND p % {fm} = {fr}) AND NOT (d = {ad} AND p % {am} = {ar}) AS ok,
+        url, html FROM e{len(X.SERIES_EDITS) + len(X.SERIES_REPLACED)})""")
+    return ",\n    ".join(steps)
+
+
+def _tables_cte(src: str) -> str:
+    """Table elements: the end of an element is the first later tag with a smaller depth."""
+    tag = S.q(H.TABLE_TAG_RE)
+    return f"""
+    g0 AS (SELECT page_id, {S.blank_script_bodies('html')} AS clean FROM {src}),
+    g1 AS (SELECT page_id, regexp_extract_all(clean, {tag}) AS tags, regexp_split_to_array(clean, {tag}) AS texts FROM g0),
+    g2 AS (SELECT page_id, tags, texts, unnest(range(1, len(tags) + 1)) AS i FROM g1),
+    g3 AS (SELECT *, starts_with(tags[i], '</') AS c, sum(CASE WHEN starts_with(tags[i], '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM g2),
+    g4 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM g3),
+    g5 AS (SELECT o.page_id, o.i, any_value(o.tags) AS tags, any_value(o.texts) AS texts, min(e.i) AS j FROM g4 o
+           LEFT JOIN g4 e ON e.page_id = o.page_id AND e.i > o.i AND e.depth < o.depth WHERE NOT o.c GROUP BY o.page_id, o.i),
+    tb AS (SELECT page_id, list(array_to_string(list_transform(range(i, coalesce(j, len(tags) + 1)), lambda k: tags[k] || texts[k + 1]), '')
+                  || coalesce(tags[j], '') ORDER BY i) AS tables FROM g5 GROUP BY page_id)"""
+
+
+_ELEMENTS = {"images": "hl.images", "scripts": "hl.scripts", "tables": "coalesce(tb.tables, [])", "meta": "hl.meta", "html_tags": "hl.html_tags"}
+ORACLE["page_element_lists"] = f"""WITH {_series_cte()},
+    {_html_lists_cte('sr')},
+    {_tables_cte('sr')}
+SELECT sr.day, sr.page_key, {', '.join(f"CAST(len({x}) AS INTEGER) AS {k}" for k, x in _ELEMENTS.items())},
+       {', '.join(f"md5(array_to_string({x}, chr(10))) AS {k}_md5" for k, x in _ELEMENTS.items())}
+FROM sr JOIN hl ON hl.page_id = sr.page_id LEFT JOIN tb ON tb.page_id = sr.page_id"""
+
+_CLEAN = f"""{_series_cte()},
+    t0 AS (SELECT *, {S.text_lines('html')} AS text FROM sr WHERE ok),
+    t1 AS (SELECT *, lag(text) OVER (PARTITION BY day, log_index ORDER BY url_index) AS prev FROM t0),
+    cl AS (SELECT * FROM t1 WHERE prev IS NULL OR (len(text) > 0 AND NOT coalesce(prev[1:3] = text[1:3], false)))"""
+ORACLE["clean_pages"] = f"""WITH {_CLEAN}
+SELECT day, page_key, log_index, url_index, CAST(len(text) AS INTEGER) AS lines, md5(html) AS page_md5 FROM cl"""
+
+_NINE = f"""{_CLEAN},
+    vp AS (SELECT * FROM cl WHERE octet_length(encode(html)) <= {10 * 1048576} AND {S.has_html_element('html')}),
+    {_links_cte('vp')},
+    {_html_lists_cte('vp')},
+    {_tables_cte('vp')},
+    nine AS (SELECT vp.page_key, vp.day, vp.d, links.email AS email_links, links.external AS external_outlinks, hl.images, links.internal AS internal_outlinks,
+                    hl.meta, vp.text, hl.scripts, coalesce(tb.tables, []) AS tables, hl.html_tags
+             FROM vp JOIN links ON links.page_id = vp.page_id JOIN hl ON hl.page_id = vp.page_id LEFT JOIN tb ON tb.page_id = vp.page_id)"""
+FEATURES9 = ["email_links", "external_outlinks", "images", "internal_outlinks", "meta", "text", "scripts", "tables", "html_tags"]
+ORACLE["page_change_bits"] = f"""WITH {_NINE}
+SELECT a.page_key AS page_id, a.day AS day1, b.day AS day2, {', '.join(f"CAST(a.{f} <> b.{f} AS INTEGER) AS {f}_changed" for f in FEATURES9)}
+FROM nine a JOIN nine b ON a.page_key = b.page_key AND b.d = a.d + 1"""
+ORACLE["page_training_pairs"] = f"""WITH {_NINE}
+SELECT a.page_key, a.day AS day1, {', '.join(f"CAST(len(a.{f}) AS INTEGER) AS {f}" for f in FEATURES9)},
+       {', '.join(f"CAST(a.{f} <> b.{f} AS INTEGER) AS {f}_changed" for f in ("text", "internal_outlinks", "external_outlinks"))}
+FROM nine a JOIN nine b ON a.page_key = b.page_key AND b.d = a.d + 1"""
+ORACLE["page_hash_duplicates"] = f"""WITH {_series_cte()},
+    ok AS (SELECT * FROM sr WHERE ok),
+    {_html_lists_cte('ok')},
+    t0 AS (SELECT ok.day, ok.page_key, ok.log_index, ok.url_index, {S.text_lines('ok.html')} AS text,
+                  {{'i': len(hl.images), 's': len(hl.scripts), 't': len(hl.tables), 'm': len(hl.meta), 'n': len(hl.html_tags), 'u': len(list_distinct(hl.html_tags))}} AS counts
+           FROM ok JOIN hl ON hl.page_id = ok.page_id),
+    t1 AS (SELECT *, lag(text) OVER w AS prev, lag(counts) OVER w AS prev_counts FROM t0 WINDOW w AS (PARTITION BY day, log_index ORDER BY url_index))
+SELECT day, page_key, CASE WHEN len(text) = 0 THEN counts IS DISTINCT FROM prev_counts ELSE prev IS NULL OR prev <> text END AS valid FROM t1"""
+
+
 # ---------------------------------------------------------------- day-over-day diff
 
 SNAPSHOTS = """
@@ -504,13 +581,14 @@ ORACLE["normalized_cube"] = f"""WITH {_weekly_cte()}
 SELECT feature, week_no, week, prev_n, cur_n, pages, {_ratio('pages', 'sum(pages) OVER (PARTITION BY feature, week_no)')} AS fraction
 FROM cube"""
 
-ORACLE["page_static_features"] = f"""WITH
-    vp AS (SELECT * FROM pages WHERE octet_length(encode(html)) <= {10 * 1048576} AND {S.has_html_element('html')}),
+def _static_sql(before: str, src: str, first: str) -> str:
+    return f"""WITH {before}
+    vp AS (SELECT * FROM {src} WHERE octet_length(encode(html)) <= {10 * 1048576} AND {S.has_html_element('html')}),
     {_links_cte('vp')},
     {_html_lists_cte('vp')},
     t0 AS (SELECT page_id, {S.words(S.text_lines('html'))} AS w FROM vp),
-    u AS (SELECT page_id, url, html, {S.sl_domain('url')} AS sld FROM vp)
-SELECT u.page_id, CAST(octet_length(encode(u.html)) AS INTEGER) AS size, md5(u.html) AS source_md5,
+    u AS (SELECT *, {S.sl_domain('url')} AS sld FROM vp)
+SELECT {first}, CAST(octet_length(encode(u.html)) AS INTEGER) AS size, md5(u.html) AS source_md5,
        CAST(length(u.url) AS INTEGER) AS url_length, CAST(length(sld) AS INTEGER) AS domain_name_length,
        CAST(length({S.rx_replace('sld', r'[^\p{Nd}]')}) AS INTEGER) AS domain_name_digits,
        CAST(length({S.rx_replace('sld', r'[\p{L}\p{Nd}]')}) AS INTEGER) AS domain_name_special_chars,
@@ -526,6 +604,11 @@ SELECT u.page_id, CAST(octet_length(encode(u.html)) AS INTEGER) AS size, md5(u.h
        CAST(len(hl.html_tags) AS INTEGER) AS tags_total, CAST(len(list_distinct(hl.html_tags)) AS INTEGER) AS tags_unique
 FROM u JOIN links ON links.page_id = u.page_id JOIN hl ON hl.page_id = u.page_id JOIN t0 ON t0.page_id = u.page_id"""
 
+
+ORACLE["page_static_features"] = _static_sql("", "pages", "u.page_id")
+ORACLE["crawl_static_features"] = _static_sql(_series_cte() + ", ok AS (SELECT * FROM sr WHERE ok),", "ok",
+                                              "u.day, u.page_key, CAST(isodow(u.day) - 1 AS INTEGER) AS weekday")
+
 ORACLE["page_feature_numbers"] = f"""WITH
     vp AS (SELECT * FROM pages WHERE octet_length(encode(html)) <= {10 * 1048576} AND {S.has_html_element('html')}),
     {_links_cte('vp')},

@@ -10,6 +10,7 @@ import os
 import tempfile
 import zipfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Settings the engine relies on.  Applied with ``setIfMissing`` semantics.
@@ -53,8 +54,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    given = _submitted()
     for key, value in DEFAULT_CONF.items():
-        builder = builder.config(key, value)
+        if key not in given:
+            builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -63,6 +66,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def _submitted() -> set[str]:
+    """Names of the settings that spark-submit passed on (it starts the JVM before this process asks for it)."""
+    if not os.environ.get("PYSPARK_GATEWAY_PORT"):
+        return set()
+    SparkContext._ensure_initialized()
+    return {key for key, _ in SparkConf(_jvm=SparkContext._jvm).getAll()}
+
+
 def prepare(spark: SparkSession) -> None:
     """What every query needs of a session, whoever built it: the shared folder and the package."""
     ensure_checkpoint_dir(spark)

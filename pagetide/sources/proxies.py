@@ -58,6 +58,50 @@ def snapshots(documents: DataFrame) -> DataFrame:
         F.md5(F.concat_ws("\u0001", F.col("d.t"), F.col("d.s"), F.col("d.l"))).alias("page_hash"))
 
 
+# Fixed values of the crawl series (FIXTURES.md): four crawl days, none on the 14th.
+SERIES_DAYS = ["2021-06-12", "2021-06-13", "2021-06-15", "2021-06-16"]
+# Edits of a page's source on every day: lists become nested tables with images, an e-mail and an external link are added.
+SERIES_BASE = [("<ul>", '<table class="nav"><tr><td><table>'), ("</ul>", "</table></td></tr></table>"),
+               ("<li>", '<tr><td><img src="/i.png">'), ("</li>", "</td></tr>"),
+               ("</nav>", '</nav><a href="mailto:info@example.org">mail</a><a href="https://other.org/x">out</a>')]
+# (first day, last day, modulus, remainder, text, new text): edits of the pages with page_id % modulus = remainder.
+SERIES_EDITS = [(1, 3, 3, 1, "</article>", "<p>news of today</p></article>"), (1, 1, 5, 0, "/i.png", "/j.png"),
+                (2, 3, 5, 2, "</table></td></tr></table>", "<tr><td>new cell</td></tr></table></td></tr></table>"),
+                (3, 3, 7, 3, "other.org", "elsewhere.net"), (2, 3, 4, 1, "</nav>", '<a href="/extra">x</a></nav>'),
+                (1, 1, 6, 0, '<meta charset="utf-8">', '<meta charset="utf-8"><meta name="day" content="1">'),
+                (2, 2, 8, 1, "track(0)", "track(2)"), (1, 2, 9, 2, "info@", "post@"), (2, 2, 10, 8, "</article>", "<i>b</i></article>")]
+# (day, modulus, remainders, source): pages replaced by a fixed one.
+SERIES_REPLACED = [(2, 10, (4, 5), "<html><head></head><body><p>Service unavailable</p></body></html>"),
+                   (3, 10, (6, 7), '<html><head></head><body><img src="/x.png"></body></html>')]
+SERIES_FAILED, SERIES_ABSENT = (1, 11, 0), (2, 13, 0)  # (day, modulus, remainder): fetch failed; file missing
+SERIES_THREAD = 50  # pages per crawler thread
+
+
+def crawl_series(pages: DataFrame) -> DataFrame:
+    """Crawl log and pages of several days: each page's source with day-dependent edits.
+
+    (day, ts, log_index, stage_file, stage_index, url_index, status, file_present, url, page_key, html)
+    """
+    p, d = F.col("page_id"), F.col("d")
+    html = F.col("html")
+    for find, new in SERIES_BASE:
+        html = F.replace(html, F.lit(find), F.lit(new))
+    for lo, hi, modulus, rest, find, new in SERIES_EDITS:
+        html = F.when(d.between(lo, hi) & (p % modulus == rest), F.replace(html, F.lit(find), F.lit(new))).otherwise(html)
+    for at, modulus, rests, source in SERIES_REPLACED:
+        html = F.when((d == at) & (p % modulus).isin(*rests), F.lit(source)).otherwise(html)
+
+    def on(rule):
+        return (d == rule[0]) & (p % rule[1] == rule[2])
+
+    day = F.get(F.array(*[F.lit(x) for x in SERIES_DAYS]), d).cast("date")
+    return pages.select("page_id", "url", "html", F.explode(F.sequence(F.lit(0), F.lit(len(SERIES_DAYS) - 1))).alias("d")).select(
+        day.alias("day"), F.date_format(day + F.make_dt_interval(hours=F.lit(10), mins=(p % 60).cast("int")), "yyyyMMddHHmmss").alias("ts"),
+        F.floor(p / SERIES_THREAD).cast("int").alias("log_index"), F.lit("links_s00").alias("stage_file"), F.lit(0).alias("stage_index"),
+        p.cast("int").alias("url_index"), F.when(on(SERIES_FAILED), "RequestStatus.HEADLESS_FAILED").otherwise("RequestStatus.HEADLESS_SUCCESS").alias("status"),
+        (~on(SERIES_ABSENT)).alias("file_present"), "url", F.concat(F.lit("links_s00-"), p.cast("string")).alias("page_key"), html.alias("html"))
+
+
 def crawl_order(documents: DataFrame) -> DataFrame:
     """Crawl log stand-in: source number = log index, source % 4 = crawler thread,
     URL index = rank of (text, doc_id) inside the thread."""

@@ -27,8 +27,32 @@ def test_domain_limit_uses_window_group_limit(spark):
     assert "WindowGroupLimit" in _plan(E.queries()["limited_links"](spark, SF_SMALL))
 
 
-def test_interval_join_broadcasts_the_interval_table(spark):
-    assert "BroadcastHashJoin" in _plan(E.queries()["error_heatmap"](spark, SF_SMALL))
+def test_error_heatmap_reads_its_rows_once_and_joins_only_the_grid(spark):
+    plan = _plan(E.queries()["error_heatmap"](spark, SF_SMALL))
+    assert plan.count("FileScan parquet") == 2  # documents and labels; the edges are in the expression
+    assert "Window" not in plan
+
+
+def test_order_statistics_have_no_window_per_feature(spark):
+    for name in ("feature_percentiles", "value_statistics", "interval_edges", "day_change_curve"):
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        assert "Window" not in plan and "SinglePartition" not in plan, name
+
+
+def test_day_pairs_are_one_scan_and_one_exchange(spark):
+    plan = _plan(E.queries()["day_pair_bits"](spark, SF_SMALL))
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_no_text_leaves_its_task_in_the_crawl_order(spark, monkeypatch):
+    """What goes through the range exchange and the checkpoint holds digests and hashes, no lines."""
+    from pagetide.operators import ordering
+    seen = []
+    shifted = ordering._shifted
+    monkeypatch.setattr(ordering, "_shifted", lambda groups, carry, prefix: (seen.append(carry), shifted(groups, carry, prefix))[1])
+    for name in ("start_duplicates", "hash_duplicates", "false_duplicates"):
+        assert "text_lines" not in _plan(E.queries()[name](spark, SF_SMALL)).split("FileScan")[0]
+    assert seen and all("text_lines" not in carry and "text" not in carry for carry in seen)
 
 
 def test_crawl_order_has_no_single_partition_exchange(spark):
