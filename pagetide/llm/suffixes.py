@@ -219,8 +219,8 @@ class _Gathered:
     def __init__(self):
         self.ids, self.keys = [], []  # arrays with an entry per suffix, then per crowded window
         self.first, self.count, self.back, self.suffix, self.before = [], [], [], [], []
-        self.window_ids, self.window_keys, self.window_first, self.one, self.two = [], [], [], [], []
-        self.bytes = self.windows = 0
+        self.window_ids, self.window_keys, self.window_doc, self.window_first, self.one, self.two = [], [], [], [], [], []
+        self.bytes = self.windows = self.docs = 0
 
     def add(self, batch, length):
         texts = text_bytes(batch.column("text"))
@@ -253,7 +253,10 @@ class _Gathered:
                 self.windows += len(one)
         for held, name in ((self.ids, "id"), (self.keys, "key")):
             held.append(batch.column(name).take(pa.array(rows, pa.int64())))
-        picked = pa.array(np.concatenate(window_rows) if window_rows else np.zeros(0, np.int64))
+        picked = np.concatenate(window_rows) if window_rows else np.zeros(0, np.int64)
+        self.window_doc.append(picked + self.docs)
+        self.docs += len(texts)
+        picked = pa.array(picked)
         for held, name in ((self.window_ids, "id"), (self.window_keys, "key")):
             held.append(batch.column(name).take(picked))
 
@@ -293,7 +296,7 @@ class _Gathered:
 
     def _window_rows(self, parts, window_parts, schema):
         ids, keys = pa.concat_arrays(self.window_ids), pa.concat_arrays(self.window_keys)
-        first, one, two = (np.concatenate(x) for x in (self.window_first, self.one, self.two))
+        doc, first, one, two = (np.concatenate(x) for x in (self.window_doc, self.window_first, self.one, self.two))
         order = np.lexsort((two, one))
         a, b = one[order], two[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
@@ -312,13 +315,18 @@ class _Gathered:
         yield pa.RecordBatch.from_arrays(
             [pa.array([int(part[p[0]]) for p in picks], pa.int32()), _lists(ids, picks), _lists(keys, picks), _lists(pa.array(first, pa.int64()), picks),
              _lists(counts, picks), *[pa.nulls(n, pa.binary())] * 5, pa.array([one[p].tobytes() + two[p].tobytes() for p in picks], pa.binary())], schema=schema)
+        # Marks of windows that follow each other are one entry.
         marks = np.flatnonzero(known)
-        for i in range(0, len(marks), 1 << 16):
-            pick = [marks[i:i + (1 << 16)]]
+        marks = marks[np.lexsort((first[marks], doc[marks]))]
+        begin = np.flatnonzero(np.r_[True, (doc[marks][1:] != doc[marks][:-1]) | (first[marks][1:] != first[marks][:-1] + 1)]) if len(marks) else marks
+        length = np.diff(np.r_[begin, len(marks)])
+        marks = marks[begin]
+        for i in range(0, len(marks), 1 << 14):
+            pick = [marks[i:i + (1 << 14)]]
             target = parts + window_parts + int(one[pick[0][0]] % np.uint64(parts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([target], pa.int32()), _lists(ids, pick), _lists(keys, pick), _lists(pa.array(first, pa.int64()), pick),
-                 pa.array([[1] * len(pick[0])], pa.list_(pa.int32())), *[pa.nulls(1, pa.binary())] * 6], schema=schema)
+                 pa.array([length[i:i + (1 << 14)].tolist()], pa.list_(pa.int32())), *[pa.nulls(1, pa.binary())] * 6], schema=schema)
 
 
 def _runs(length, parts, window_parts, id_type):
