@@ -73,24 +73,42 @@ def _code_point_char(n: Column) -> Column:
              .when(dropped, F.lit("")).otherwise(as_char))
 
 
+def _by_first_letter() -> Column:
+    """The table of names as a map of small maps, one literal: a look-up in a map of Spark's compares key after key."""
+    table: dict[str, dict[str, str]] = {}
+    for name, char in html5.items():
+        table.setdefault(name[0], {})[name] = char
+    return F.from_json(F.lit(json.dumps(table)), "map<string,map<string,string>>")
+
+
 def unescape(s) -> Column:
     """Decode numeric and named character references in one pass (so an escaped
-    ampersand never starts a second reference), as Python's ``html.unescape``."""
-    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")  # folded to one literal
+    ampersand never starts a second reference), as Python's ``html.unescape``.
+
+    The commonest names are compared first and numbers are told by their ``#``; the table of names is asked for
+    the rest, and names that need no semicolon only after a miss.
+    """
+    names = _by_first_letter()
+
+    def lookup(name):
+        return F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
+
+    def number(t):
+        digits = F.regexp_extract(t, r"^&#([0-9]+);?$", 1)
+        hexed = F.regexp_extract(t, r"^&#[xX]([0-9a-fA-F]+);?$", 1)
+        return (F.when(digits != "", _code_point_char(digits.try_cast("long")))
+                 .when(hexed != "", _code_point_char(F.conv(hexed, 16, 10).try_cast("long"))).otherwise(t))
+
+    def by_start(t):
+        start = F.regexp_extract(t, OPEN_NAME_RE, 1)
+        return F.concat(lookup(start), t.substr(F.length(start) + 2, F.length(t)))
 
     def token(t):
-        dec = F.regexp_extract(t, r"^&#([0-9]+);?$", 1)
-        hx = F.regexp_extract(t, r"^&#[xX]([0-9a-fA-F]+);?$", 1)
-        named = F.lit(None).cast("string")
+        found = F.when(~t.startswith("&"), t)
         for entity, char in ENTITIES:
-            named = F.when(t == entity, F.lit(char)).otherwise(named)
-        start = F.regexp_extract(t, OPEN_NAME_RE, 1)
-        by_start = F.concat(F.try_element_at(names, start), t.substr(F.length(start) + 2, F.length(t)))
-        searched = F.coalesce(named, F.try_element_at(names, t.substr(F.lit(2), F.length(t))), by_start, t)
-        return (F.when(~t.startswith("&"), t)
-                 .when(dec != "", _code_point_char(dec.try_cast("long")))
-                 .when(hx != "", _code_point_char(F.conv(hx, 16, 10).try_cast("long")))
-                 .otherwise(searched))
+            found = found.when(t == entity, F.lit(char))
+        named = F.coalesce(lookup(t.substr(F.lit(2), F.length(t))), by_start(t), t)
+        return found.when(t.startswith("&#"), number(t)).otherwise(named)
 
     tokens = F.regexp_extract_all(_col(s), F.lit(ENTITY_TOKEN_RE), 0)
     # Strings without '&' (most hrefs, many lines) skip the tokenisation.
@@ -108,17 +126,30 @@ def without_comments(html) -> Column:
 
 def without_scripts(html) -> Column:
     """Comments and whole script/style elements removed."""
-    return F.regexp_replace(without_comments(html), SCRIPT_STYLE_RE, "")
+    return scripts_out(without_comments(html))
+
+
+def scripts_out(uncommented) -> Column:
+    return F.regexp_replace(_col(uncommented), SCRIPT_STYLE_RE, "")
 
 
 def blank_script_bodies(html) -> Column:
     """Comments removed, script/style bodies emptied, their tags kept."""
-    return F.regexp_replace(without_comments(html), SCRIPT_STYLE_BODY_RE, "$1$2$3$4")
+    return script_bodies_out(without_comments(html))
+
+
+def script_bodies_out(uncommented) -> Column:
+    return F.regexp_replace(_col(uncommented), SCRIPT_STYLE_BODY_RE, "$1$2$3$4")
 
 
 def hrefs(html) -> Column:
     """All ``<a href>`` values in document order, unquoted, entity-decoded and stripped."""
-    raw = F.regexp_extract_all(without_scripts(html), F.lit(HREF_RE), 1)
+    return hrefs_in(without_scripts(html))
+
+
+def hrefs_in(bare) -> Column:
+    """``hrefs`` of a source without comments, scripts and styles."""
+    raw = F.regexp_extract_all(_col(bare), F.lit(HREF_RE), 1)
 
     def unquote(v):
         quoted = v.startswith('"') | v.startswith("'")
@@ -220,13 +251,23 @@ def element_list(html, kind: str) -> Column:
 
 
 def has_html_element(html) -> Column:
-    return F.coalesce(F.regexp_like(blank_script_bodies(html), F.lit(HTML_ELEMENT_RE)), F.lit(False))
+    return has_html_tag(blank_script_bodies(html))
+
+
+def has_html_tag(clean) -> Column:
+    """``has_html_element`` of a source without comments and script bodies."""
+    return F.coalesce(F.regexp_like(_col(clean), F.lit(HTML_ELEMENT_RE)), F.lit(False))
 
 
 def text_lines(html) -> Column:
     """Visible text as lines: head/script/style/comments dropped, block tags end a
     line, other tags vanish, character references decoded, lines stripped, blanks dropped."""
-    body = F.regexp_replace(without_scripts(html), HEAD_RE, "")
+    return lines_in(without_scripts(html))
+
+
+def lines_in(bare) -> Column:
+    """``text_lines`` of a source without comments, scripts and styles."""
+    body = F.regexp_replace(_col(bare), HEAD_RE, "")
     body = F.regexp_replace(body, BLOCK_TAG_RE, "\n")
     body = unescape(F.regexp_replace(body, ANY_TAG_RE, ""))
     lines = F.transform(F.split(body, r"\r?\n|\r"), lambda s: strip_ws(s))

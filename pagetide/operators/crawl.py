@@ -27,21 +27,24 @@ START_LINES = 3
 RAW_LOG_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in LOG_COLUMNS])
 
 
-def read_crawl_logs(spark, path: str, day: str | None = None) -> DataFrame:
-    """Crawler thread logs (CSV with header) of one or many crawl days.
+def crawl_log_lines(spark, path: str, day: str | None = None) -> DataFrame:
+    """Every line of the crawler thread logs (CSV with header), parsed, with what is wrong with it.
 
-    Values are parsed with ``try_`` functions: a malformed line yields nulls
-    instead of failing the job (ANSI mode).
+    ``defects`` holds ``columns`` (more or fewer than six), ``index`` (no whole URL index), ``stage`` (no stage number), ``time``
+    and ``day`` (unreadable; the folder has no ``yyyymmdd`` prefix); it is empty for a sound line.  ``line`` is the source of a line
+    with a wrong number of columns.  NUL characters are removed from every column.
 
     ``path`` may be a glob over day directories (``root/*/*.csv``).  The log
     index comes from the file name (``log-thread-K.csv``), the day from the
     ``yyyymmdd`` prefix of the parent directory unless given.
     """
-    raw = (spark.read.schema(RAW_LOG_SCHEMA).option("header", True).csv(path)
-                .withColumn("_path", F.col("_metadata.file_path")))
+    schema = T.StructType([*RAW_LOG_SCHEMA.fields, T.StructField("_line", T.StringType())])
+    # All columns are parsed whatever a query selects: a pruned reader does not notice missing ones.
+    raw = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", "_line").option("columnPruning", False).csv(path)
+    clean = raw.select(*[F.translate(F.col(c), "\u0000", "").alias(c) for c in LOG_COLUMNS], "_line", F.col("_metadata.file_path").alias("_path"))
     day_str = F.lit(day) if day else F.regexp_extract("_path", r"/(\d{8})[^/]*/[^/]+$", 1)
-    stage_file = F.translate(F.col("Stage file"), "\u0000", "")
-    return raw.select(
+    stage_file = F.col("Stage file")
+    rows = clean.select(
         D.crawl_day(day_str).alias("day"),
         F.regexp_extract("_path", r"-(\d+)\.[^/.]*$", 1).try_cast("int").alias("log_index"),
         stage_file.alias("stage_file"),
@@ -51,7 +54,37 @@ def read_crawl_logs(spark, path: str, day: str | None = None) -> DataFrame:
         D.crawl_timestamp("Timestamp").alias("ts"),
         (F.col("File present") == FILE_PRESENT).alias("file_present"),
         F.col("URL").alias("url"),
-        F.concat(stage_file, F.lit("-"), F.col("URL index")).alias("page_key"))
+        F.concat(stage_file, F.lit("-"), F.col("URL index")).alias("page_key"),
+        F.col("_line").alias("line"), F.col("_path").alias("path"))
+    found = [F.when(bad, F.lit(name)) for name, bad in (
+        ("columns", F.col("line").isNotNull()), ("index", F.col("url_index").isNull()), ("stage", F.col("stage_index").isNull()),
+        ("time", F.col("ts").isNull()), ("day", F.col("day").isNull()))]
+    return rows.withColumn("defects", F.array_compact(F.array(*found)))
+
+
+DEFECTS = ("columns", "index", "stage", "time", "day")
+# A line with one of these defects has no place in the crawl order; the others leave a column null.
+REJECTING = ("columns", "index", "stage")
+
+
+def _rejected() -> Column:
+    return F.arrays_overlap("defects", F.array(*[F.lit(d) for d in REJECTING]))
+
+
+def read_crawl_logs(spark, path: str, day: str | None = None) -> DataFrame:
+    """Crawler thread logs of one or many crawl days, without the lines that ``rejected_log_lines`` returns."""
+    return crawl_log_lines(spark, path, day).where(~_rejected()).drop("line", "path", "defects")
+
+
+def log_line_counts(spark, path: str, day: str | None = None) -> DataFrame:
+    """(path, lines, rejected, and a count per defect) of every log file: what a read leaves out or leaves empty."""
+    tallies = [F.count_if(F.array_contains("defects", d)).alias(d) for d in DEFECTS]
+    return crawl_log_lines(spark, path, day).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_if(_rejected()).alias("rejected"), *tallies)
+
+
+def rejected_log_lines(spark, path: str, day: str | None = None) -> DataFrame:
+    """(path, stage_file, page_key, line, defects) of the lines that cannot be used."""
+    return crawl_log_lines(spark, path, day).where(_rejected()).select("path", "stage_file", "page_key", "line", "defects")
 
 
 def read_page_blobs(spark, path: str, day: str | None = None) -> DataFrame:
@@ -71,6 +104,28 @@ def read_page_blobs(spark, path: str, day: str | None = None) -> DataFrame:
         F.when(valid, text).otherwise(F.lit("")).alias("html"))
 
 
+def pack_page_files(spark, folders: list[str], target: str, day: str | None = None) -> DataFrame:
+    """Page files (one per page) packed into one Parquet data set by day, sorted by page key inside each file.
+
+    One folder at a time: what the driver lists at once is one crawl day, and a run that breaks off goes on with the
+    folders that are left (a folder's day is replaced as a whole).  Later reads list a few large files.
+    """
+    for folder in folders:
+        pages = read_page_blobs(spark, folder, day)
+        n = max(1, int(pages.agg(F.sum("size")).first()[0] or 0) // PACKED_FILE_BYTES)
+        (pages.repartitionByRange(n, "day", "page_key").sortWithinPartitions("day", "page_key")
+              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(target))
+    return read_packed_pages(spark, target)
+
+
+PACKED_FILE_BYTES = 256 << 20
+
+
+def read_packed_pages(spark, target: str) -> DataFrame:
+    """The pages of ``pack_page_files``, as ``read_page_blobs`` gives them."""
+    return spark.read.parquet(target).select("day", "page_key", "size", "html")
+
+
 def valid_log_entries(logs: DataFrame) -> DataFrame:
     """Successful headless fetches whose page file is present."""
     return logs.filter(F.col("file_present") & (F.col("status") == SUCCESS_STATUS))

@@ -2,18 +2,22 @@
 
 Preparation is one DataFrame plan (no RDD hop): class counts in one scalar
 aggregate, weight and hold-out flag as columns, ``VectorAssembler`` for the
-feature vector, ``sampleBy`` for class balancing.  Models are MLlib
-estimators; loops over feature subsets or depths reuse one persisted input.
+feature vector, a seeded hash for class balancing.  Models are MLlib
+estimators; fits over feature subsets or depths share one persisted input and run side by side.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
+from functools import partial
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel,
+                                       RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 
 from pagetide.operators import stats
 
+# The seed and the forest of the study.
 SEED = 42
 RF_PARAMS = {"numTrees": 50, "maxDepth": 15, "minInstancesPerNode": 100}
 
@@ -129,13 +134,14 @@ def logistic_regression(train: DataFrame):
     return LogisticRegression().fit(train)
 
 
+# The grids of the study's cross-validation are the defaults below.
 def cross_validated_forest(train: DataFrame, num_trees=(50,), max_depth=(20,), min_instances=(1,),
                            folds: int = 5, seed: int = SEED):
     rf = RandomForestClassifier(seed=seed)
     grid = (ParamGridBuilder().addGrid(rf.numTrees, list(num_trees)).addGrid(rf.maxDepth, list(max_depth))
             .addGrid(rf.minInstancesPerNode, list(min_instances)).build())
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(),
-                        numFolds=folds, seed=seed)
+                        numFolds=folds, seed=seed, parallelism=PARALLEL_FITS)
     return cv.fit(train)
 
 
@@ -145,7 +151,7 @@ def cross_validated_regression(train: DataFrame, families=("binomial", "multinom
     grid = (ParamGridBuilder().addGrid(lr.family, list(families)).addGrid(lr.elasticNetParam, list(elastic_net))
             .addGrid(lr.regParam, list(reg)).build())
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(),
-                        numFolds=folds, seed=seed, parallelism=4)
+                        numFolds=folds, seed=seed, parallelism=PARALLEL_FITS)
     return cv.fit(train)
 
 
@@ -176,17 +182,28 @@ def normalized_coefficients(model, train: DataFrame, features: list[str]) -> Dat
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, coefficient double, mean double, share double")
 
 
+# Fits whose jobs run side by side: one small fit leaves most executors idle.
+PARALLEL_FITS = 8
+
+
+def side_by_side(jobs: list[Callable[[], object]], at_once: int = PARALLEL_FITS) -> list:
+    """Results of independent fits, in order; up to ``at_once`` of them submit their jobs at the same time."""
+    with ThreadPool(max(1, min(at_once, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(lambda job: job()), jobs, chunksize=1)
+
+
 def pair_models(train: DataFrame, test: DataFrame, features: list[str], params: dict | None = None,
                 fit: Callable[[DataFrame], object] | None = None):
     """Model per unordered feature pair; yields (pair, model, metrics).  ``fit`` is a random forest
-    with ``params`` unless given (``logistic_regression`` for the regression)."""
+    with ``params`` unless given (``logistic_regression`` for the regression).  The pairs are fitted side by side."""
     params = params or RF_PARAMS
     fit = fit or (lambda rows: random_forest(rows, params["numTrees"], params["maxDepth"], params["minInstancesPerNode"]))
-    for a, b in itertools.combinations(range(len(features)), 2):
-        tr = select_subset(train, features, [a, b])
-        te = select_subset(test, features, [a, b])
-        model = fit(tr)
-        yield (a, b), model, evaluate(model, te).first().asDict()
+
+    def one(a, b):
+        model = fit(select_subset(train, features, [a, b]))
+        return (a, b), model, evaluate(model, select_subset(test, features, [a, b])).first().asDict()
+
+    yield from side_by_side([partial(one, a, b) for a, b in itertools.combinations(range(len(features)), 2)])
 
 
 def top_feature_models(train: DataFrame, test: DataFrame, features: list[str], params: dict | None = None):
@@ -196,14 +213,26 @@ def top_feature_models(train: DataFrame, test: DataFrame, features: list[str], p
     full = random_forest(train, params["numTrees"], params["maxDepth"], params["minInstancesPerNode"])
     imp = full.featureImportances.toArray().tolist()
     order = sorted(range(len(features)), key=lambda i: (-imp[i], i))
-    out = []
-    for n in range(1, len(features) + 1):
+
+    def one(n):
         subset = sorted(order[:n])
         model = random_forest(select_subset(train, features, subset), params["numTrees"], params["maxDepth"],
                               params["minInstancesPerNode"])
         recall = evaluate(model, select_subset(test, features, subset)).first()["min_recall"]
-        out.append((n, ",".join(features[i] for i in subset), recall))
-    return out
+        return n, ",".join(features[i] for i in subset), recall
+
+    return side_by_side([partial(one, n) for n in range(1, len(features) + 1)])
+
+
+def depth_sweep(train: DataFrame, test: DataFrame, depths, params: dict | None = None) -> list[tuple[int, float]]:
+    """[(depth, minimum recall)] of forests of different depth, fitted side by side."""
+    params = params or RF_PARAMS
+
+    def one(depth):
+        model = random_forest(train, params["numTrees"], depth, params["minInstancesPerNode"])
+        return depth, evaluate(model, test).first()["min_recall"]
+
+    return side_by_side([partial(one, d) for d in depths])
 
 
 def prediction_grid(model, grid: DataFrame, swapped: bool = False) -> DataFrame:
@@ -246,6 +275,5 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(kind: str, path: str):
-    """``kind`` is ``rf`` (random forest) or ``lr`` (logistic regression)."""
-    from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
-    return (RandomForestClassificationModel if kind == "rf" else LogisticRegressionModel).load(path)
+    """``kind`` is ``rf`` (random forest), ``lr`` (logistic regression) or ``pca`` (centring and components)."""
+    return {"rf": RandomForestClassificationModel, "lr": LogisticRegressionModel, "pca": PipelineModel}[kind].load(path)

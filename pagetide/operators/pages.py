@@ -1,14 +1,14 @@
 """Page feature extraction (one scan, map-only, no Python in the hot path).
 
 Each operator is ``DataFrame -> DataFrame`` over a page table with a URL and
-an HTML column.  Expensive regex passes are materialised in one projection and
+an HTML column.  The cleaning passes (comments, scripts) are materialised in one projection and
 consumed by the next; Catalyst does not collapse projections that would
-duplicate non-trivial expressions, so every regex runs once per page.
+duplicate non-trivial expressions, so each of them runs once per page (``cleaned``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions import dates as D
@@ -26,6 +26,22 @@ def _keys(df: DataFrame, keys) -> list[str]:
     return [k for k in keys if k in df.columns]
 
 
+def cleaned(pages: DataFrame, keep: dict[str, Column], html: str = "html", only_valid: bool = False) -> DataFrame:
+    """(``keep``, _nc, _bare, _clean): each page's source without comments, without scripts and styles as well, and with their
+    bodies emptied.  Everything else is taken from these three, so each cleaning pass runs once per page.
+
+    With ``only_valid`` only pages of at most 10 MiB that hold an ``<html>`` element.  The row number keeps the filter
+    where it stands: pushed below the projection, it would run the passes a second time.
+    """
+    source = pages.where(F.octet_length(html) <= MAX_PAGE_BYTES) if only_valid else pages
+    step = source.select(*[c.alias(n) for n, c in keep.items()], H.without_comments(html).alias("_nc"))
+    step = step.select(*keep, "_nc", H.scripts_out("_nc").alias("_bare"), H.script_bodies_out("_nc").alias("_clean"),
+                       F.monotonically_increasing_id().alias("_row"))
+    if only_valid:
+        step = step.where((F.col("_row") >= 0) & H.has_html_tag("_clean"))
+    return step.select(*keep, "_nc", "_bare", "_clean")
+
+
 def link_lists(pages: DataFrame, keys=("page_id",), url: str = "url", html: str = "html",
                strip_base: bool = True) -> DataFrame:
     """Outlinks of each page: ``internal_outlinks``, ``external_outlinks``,
@@ -74,7 +90,7 @@ def html_lists(pages: DataFrame, keys=("page_id",), html: str = "html") -> DataF
     enclose (comments and script or style bodies left out), nested tables also on their own."""
     ks = _keys(pages, keys)
     step = pages.select(*ks, H.without_comments(html).alias("_nc"))
-    step = step.select(*ks, "_nc", H.blank_script_bodies("_nc").alias("_clean"))
+    step = step.select(*ks, "_nc", H.script_bodies_out("_nc").alias("_clean"))
     return step.select(
         *ks,
         F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["images"]), 0).alias("images"),
@@ -109,10 +125,9 @@ def text_features(pages: DataFrame, keys=("page_id",), html: str = "html") -> Da
 def text_and_counts(pages: DataFrame, keys=("page_id",), html: str = "html") -> DataFrame:
     """Text lines, and a struct of the six HTML counts that stand in for the text of a page without any."""
     ks = _keys(pages, keys)
-    step = pages.select(*ks, H.text_lines(html).alias("text"), H.without_comments(html).alias("_nc"))
-    step = step.select(*ks, "text", "_nc", H.blank_script_bodies("_nc").alias("_clean"))
+    step = cleaned(pages, {k: F.col(k) for k in ks}, html)
     step = step.select(
-        *ks, "text", F.size(F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["images"]), 0)).alias("images"),
+        *ks, H.lines_in("_bare").alias("text"), F.size(F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["images"]), 0)).alias("images"),
         F.size(F.regexp_extract_all("_nc", F.lit(H.SCRIPT_ELEMENT_RE), 0)).alias("scripts"),
         F.size(F.regexp_extract_all("_clean", F.lit(H.TABLE_OPEN_RE), 0)).alias("tables"),
         F.size(F.regexp_extract_all("_clean", F.lit(H.VOID_ELEMENT_RE["metas"]), 0)).alias("meta"),
@@ -130,19 +145,18 @@ def static_features(pages: DataFrame, keys=("page_id",), url: str = "url", html:
                     ts: str | None = None) -> DataFrame:
     """Full static feature row of each valid page: meta (size, source hash, weekday
     when a crawl timestamp is given), URL, linkage, HTML and text features.
-    Three chained projections over one scan; every regex pass runs once."""
+    Chained projections over one scan; every cleaning pass runs once."""
     ks = _keys(pages, keys)
     meta = [F.octet_length(html).alias("size"), F.md5(F.col(html)).alias("source_md5")]
     if ts:
         meta.append(D.weekday(ts).alias("weekday"))
     meta_names = ["size", "source_md5"] + (["weekday"] if ts else [])
-    step1 = valid_pages(pages, html).select(
-        *ks, *meta, F.col(url).alias("_url"), H.hrefs(html).alias("_hrefs"),
-        H.without_comments(html).alias("_nc"), H.text_lines(html).alias("_text"))
+    keep = {**{k: F.col(k) for k in ks}, **dict(zip(meta_names, meta, strict=True)), "_url": F.col(url)}
+    step1 = cleaned(pages, keep, html, only_valid=True).select(
+        *keep, "_nc", "_clean", H.hrefs_in("_bare").alias("_hrefs"), H.lines_in("_bare").alias("_text"))
     step2 = step1.select(
         *ks, *meta_names, "_url", "_nc", U.sl_domain("_url").alias("_sld"),
-        H.resolve_links("_url", "_hrefs").alias("_r"), H.blank_script_bodies("_nc").alias("_clean"),
-        H.words("_text").alias("_w"))
+        H.resolve_links("_url", "_hrefs").alias("_r"), "_clean", H.words("_text").alias("_w"))
     step3 = step2.select(
         *ks, *meta_names,
         F.length("_url").alias("url_length"),
@@ -175,11 +189,10 @@ def page_feature_lists(pages: DataFrame, keys=("page_id",), url: str = "url", ht
     text lines, three link lists, images, scripts, tables, metas, tag names.
     One scan, three chained projections, no shuffle."""
     ks = _keys(pages, keys)
-    valid = valid_pages(pages, html)
-    step1 = valid.select(*ks, F.col(url).alias("_url"), H.hrefs(html).alias("_hrefs"),
-                         H.without_comments(html).alias("_nc"), H.text_lines(html).alias("text"))
-    step2 = step1.select(*ks, "text", "_nc", H.resolve_links("_url", "_hrefs", strip_base).alias("_r"),
-                         H.blank_script_bodies("_nc").alias("_clean"))
+    keep = {**{k: F.col(k) for k in ks}, "_url": F.col(url)}
+    step1 = cleaned(pages, keep, html, only_valid=True).select(
+        *keep, "_nc", "_clean", H.hrefs_in("_bare").alias("_hrefs"), H.lines_in("_bare").alias("text"))
+    step2 = step1.select(*ks, "text", "_nc", H.resolve_links("_url", "_hrefs", strip_base).alias("_r"), "_clean")
     step3 = step2.select(
         *ks, "text", F.col("_r.email").alias("email_links"),
         H.tag_internal("_r.resolved", "_r.sld").alias("_t"),

@@ -3,10 +3,11 @@ token chunking for an embedding model, PCA."""
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.functions import html as H
@@ -79,9 +80,29 @@ def token_chunks(df: DataFrame, key: str, text: str, max_size: int = 512) -> Dat
                        "_b.chunk", F.md5("_b.chunk").alias("chunk_md5"))
 
 
+def fit_pca(df: DataFrame, vec: str, k: int = 24) -> PipelineModel:
+    """Centring and the first k principal components as one model; save it with ``ml.save_model``, load it with
+    ``ml.load_model("pca", ...)``.  Null vectors take no part."""
+    data = df.where(F.col(vec).isNotNull()).select(array_to_vector(_dbl(vec)).alias("_v"))
+    steps = [StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False), PCA(k=k, inputCol="_c", outputCol="_p")]
+    return Pipeline(stages=steps).fit(data)
+
+
+def project_pca(model: PipelineModel, df: DataFrame, key: str, vec: str) -> DataFrame:
+    """(key, pca): projection of each vector by a fitted model; a null vector has a null projection."""
+    data = df.select(key, array_to_vector(_dbl(vec)).alias("_v"), F.col(vec).isNull().alias("_null"))
+    done = model.transform(data.where(~F.col("_null"))).select(key, vector_to_array("_p").alias("pca"))
+    return done.unionByName(data.where("_null").select(key, F.lit(None).cast("array<double>").alias("pca")))
+
+
+def pca_components(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """(component, explained, loadings) of a fitted model: one row per component."""
+    pca = model.stages[-1]
+    share, loadings = pca.explainedVariance.toArray().tolist(), pca.pc.toArray().T.tolist()
+    rows = [(i, float(x), [float(v) for v in w]) for i, (x, w) in enumerate(zip(share, loadings, strict=True))]
+    return spark.createDataFrame(rows, "component int, explained double, loadings array<double>")
+
+
 def pca_projection(df: DataFrame, key: str, vec: str, k: int = 24) -> DataFrame:
     """(key, pca): projection on the first k principal components after centring."""
-    data = df.select(key, array_to_vector(_dbl(vec)).alias("_v"))
-    scaled = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(data).transform(data)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(scaled)
-    return model.transform(scaled).select(key, vector_to_array("_p").alias("pca"))
+    return project_pca(fit_pca(df, vec, k), df, key, vec)

@@ -313,7 +313,7 @@ def q_log_blob_join(spark, root):
         (F.col("toxic") == 0).alias("file_present"))
     blobs = t.documents.select(F.lit(None).cast("date").alias("day"), F.col("doc_id").cast("string").alias("page_key"),
                                F.col("text").alias("html"))
-    joined = C.valid_log_entries(logs).join(blobs, ["page_key"], "inner")
+    joined = C.join_logs_pages(logs, blobs)
     return joined.select("page_key", F.octet_length("html").alias("size"), F.md5("html").alias("page_md5"))
 
 
@@ -528,6 +528,12 @@ def q_pca_components(spark, root):
     return V.pca_projection(Tables(spark, root).embeddings, "vec_id", "embedding", k=24)
 
 
+@query("pca_model")
+def q_pca_model(spark, root):
+    """Explained variance and loadings of the 24 components."""
+    return V.pca_components(V.fit_pca(Tables(spark, root).embeddings, "embedding", 24), spark)
+
+
 # ---------------------------------------------------------------- models (rows-only checks)
 
 @contextmanager
@@ -604,11 +610,7 @@ def q_lr_pairs(spark, root):
 @query("rf_depths")
 def q_rf_depths(spark, root):
     with _prepared(spark, root) as (train, test, balanced):
-        rows = []
-        for depth in range(2, 16):
-            model = M.random_forest(balanced, M.RF_PARAMS["numTrees"], depth, M.RF_PARAMS["minInstancesPerNode"])
-            rows.append((depth, M.evaluate(model, test).first()["min_recall"]))
-        return _rows(spark, rows, "depth int, min_recall double")
+        return _rows(spark, M.depth_sweep(balanced, test, range(2, 16)), "depth int, min_recall double")
 
 
 @query("rf_grid")
@@ -655,6 +657,19 @@ def q_cv_search(spark, root):
                      "num_trees int, max_depth int, min_instances int, auc double, min_recall double")
 
 
+@query("lr_cv_search")
+def q_lr_cv_search(spark, root):
+    """The whole regression grid (family, elastic net, regularisation), five folds: mean area under the curve of every cell."""
+    with _prepared(spark, root) as (train, test, balanced):
+        cv = M.cross_validated_regression(balanced)
+        cells = [{p.name: v for p, v in cell.items()} for cell in cv.getEstimatorParamMaps()]
+        best = max(range(len(cells)), key=lambda i: (cv.avgMetrics[i], -i))
+        recall = M.evaluate(cv.bestModel, test).first()["min_recall"]
+        return _rows(spark, [(c["family"], float(c["elasticNetParam"]), float(c["regParam"]), float(m), recall if i == best else None)
+                             for i, (c, m) in enumerate(zip(cells, cv.avgMetrics, strict=True))],
+                     "family string, elastic_net double, reg double, auc double, best_min_recall double")
+
+
 @query("class_downsample")
 def q_class_downsample(spark, root):
     with _prepared(spark, root) as (train, test, balanced):

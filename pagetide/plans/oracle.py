@@ -307,6 +307,13 @@ ORACLE["balanced_sample"] = f"""WITH {TRAINING},
 SELECT * FROM r WHERE pair_no <= (SELECT k FROM k)"""
 
 
+ORACLE["class_downsample"] = f"""WITH {TRAINING},
+    c AS (SELECT CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS n0, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS n1 FROM tr),
+    t AS (SELECT label, CAST(('0x' || substr(md5('42:' || page_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM tr WHERE {_md5_mod5('page_id')} <> 4)
+SELECT CAST(label AS DOUBLE) AS label, count(*) AS count FROM t, c
+WHERE u < CASE WHEN label = 0 THEN least(1.0, n1 / n0) ELSE least(1.0, n0 / n1) END GROUP BY label"""
+
+
 def _axis(lo: str, hi: str, num: int = 100) -> str:
     step = f"(CAST({hi} - {lo} AS DOUBLE) / CAST({num - 1} AS DOUBLE))"
     return (f"SELECT DISTINCT CAST(trunc(CASE WHEN i = {num - 1} THEN CAST({hi} AS DOUBLE) "

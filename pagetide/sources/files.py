@@ -14,9 +14,15 @@ FEATURE_NAMES = ["email_links", "external_outlinks", "images", "internal_outlink
 def read_excel_csv(spark: SparkSession, path: str) -> DataFrame:
     """';'-separated export with a byte-order mark; NUL characters removed from
     every value, the mark removed from the first header name."""
-    df = spark.read.option("header", True).option("sep", ";").option("encoding", "UTF-8").csv(path)
-    renamed = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    return renamed.select(*[F.translate(F.col(c), "\u0000", "").alias(c) for c in renamed.columns])
+    return read_plain_csv(spark, path, sep=";")
+
+
+def read_plain_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """CSV with a header, all columns strings; NUL characters removed from every value and header name, a byte-order
+    mark from the first name."""
+    df = spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(path)
+    renamed = df.toDF(*[c.lstrip("﻿").replace("\x00", "") for c in df.columns])
+    return renamed.select(*[F.translate(F.col(f"`{c}`"), "\u0000", "").alias(c) for c in renamed.columns])
 
 
 def read_training_pairs(spark: SparkSession, path: str, features: list[str] = FEATURE_NAMES,

@@ -87,7 +87,8 @@ def crawl_series(pages: DataFrame) -> DataFrame:
     for find, new in SERIES_BASE:
         html = F.replace(html, F.lit(find), F.lit(new))
     for lo, hi, modulus, rest, find, new in SERIES_EDITS:
-        html = F.when(d.between(lo, hi) & (p % modulus == rest), F.replace(html, F.lit(find), F.lit(new))).otherwise(html)
+        # Elsewhere the text is replaced by itself: the source stands in the expression once.
+        html = F.replace(html, F.lit(find), F.when(d.between(lo, hi) & (p % modulus == rest), F.lit(new)).otherwise(F.lit(find)))
     for at, modulus, rests, source in SERIES_REPLACED:
         html = F.when((d == at) & (p % modulus).isin(*rests), F.lit(source)).otherwise(html)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +16,36 @@ def write_csv(df: DataFrame, path: str, lead: list[str], mode: str = "overwrite"
     df.select(*lead, *rest).write.mode(mode).option("header", True).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
-    w = df.write.mode(mode).option("compression", "zstd")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite", files: int = 8,
+                  spread_by: str | None = None) -> None:
+    """Parquet data set.  With ``partition_by`` the rows of a partition value are gathered first, in at most ``files`` tasks
+    (dealt out by ``spread_by``, or by the whole row), so a day is a few files and not one per task."""
+    if not partition_by:
+        df.write.mode(mode).option("compression", "zstd").parquet(path)
+        return
+    spread = F.xxhash64(*([spread_by] if spread_by else [c for c, t in df.dtypes if not t.startswith("map")]))
+    dealt = df.withColumn("_file", F.pmod(spread, F.lit(files)))
+    (dealt.repartition(*partition_by, "_file").drop("_file")
+          .write.mode(mode).option("compression", "zstd").partitionBy(*partition_by).parquet(path))
+
+
+def write_page_table(df: DataFrame, table: str, key: list[str], buckets: int, sort_by: list[str] | None = None) -> DataFrame:
+    """A table in the warehouse, bucketed and sorted by ``key``.  Tables with the same key and number of buckets are joined,
+    and grouped by the key, without an exchange.  Rows are dealt out by the key first: one file per bucket."""
+    (df.repartition(buckets, *key).write.mode("overwrite").format("parquet").option("compression", "zstd")
+       .bucketBy(buckets, *key).sortBy(*key, *(sort_by or [])).saveAsTable(table))
+    return df.sparkSession.table(table)
 
 
 def write_feature_csvs(df: DataFrame, root: str, names: list[str], keys=("stage_file", "url_index")) -> None:
     """One CSV per feature (keys + feature), rows key-sorted inside each file.
-    Joins on the keys do not need the order; it only makes files diffable."""
+    Joins on the keys do not need the order; it only makes files diffable.  The input is worked out once, in
+    the shared folder, and each feature is read from there."""
+    flat = df.select(*keys, *[F.col(name).cast("string").alias(name) for name in names])
+    held = save_checkpoint(flat, f"features-{uuid.uuid4().hex}")
     for name in names:
-        (df.select(*keys, F.col(name).cast("string").alias(name)).sortWithinPartitions(*keys)
-           .write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/{name}"))
+        (held.select(*keys, name).sortWithinPartitions(*keys)
+             .write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/{name}"))
 
 
 def write_stage_files(staged: DataFrame, path: str, width: int = 2) -> None:

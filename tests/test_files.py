@@ -75,3 +75,44 @@ def test_command_line_lists_queries(capsys):
     names = capsys.readouterr().out.split()
     from pagetide.plans.catalog import QUERIES
     assert {"page_linkage", "streamed_pair_bits", "lr_pairs"} <= set(names) and set(QUERIES) <= set(names)
+
+
+def test_pca_model_round_trip(spark, tmp_path):
+    from pagetide.operators import vectors as V
+    rows = [(i, [float(i % 5), float(i % 3), float(i)]) for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    model = V.fit_pca(df, "embedding", 2)
+    M.save_model(model, str(tmp_path / "pca"))
+    again = M.load_model("pca", str(tmp_path / "pca"))
+    one, two = ({r["vec_id"]: r["pca"] for r in V.project_pca(m, df, "vec_id", "embedding").collect()} for m in (model, again))
+    assert one == two and one[99] is None and len(one[0]) == 2 and abs(sum(v[0] for v in one.values() if v)) < 1e-6
+    parts = V.pca_components(again, spark).collect()
+    assert [len(r["loadings"]) for r in parts] == [3, 3] and parts[0]["explained"] >= parts[1]["explained"]
+
+
+def test_fits_side_by_side_equal_serial_fits(spark):
+    rows = [(str(i), i % 7, (i * 3) % 11, i % 4, int(i % 7 > 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id string, a int, b int, c int, label int")
+    train, test, balanced, _ = M.prepare(df, ["a", "b", "c"])
+    found = [(pair, model.coefficients.toArray().tolist(), conf) for pair, model, conf in M.pair_models(balanced, test, ["a", "b", "c"], fit=M.logistic_regression)]
+    assert [pair for pair, *_ in found] == [(0, 1), (0, 2), (1, 2)]
+    for (a, b), weights, conf in found:
+        model = M.logistic_regression(M.select_subset(balanced, ["a", "b", "c"], [a, b]))
+        assert model.coefficients.toArray().tolist() == weights
+        assert M.evaluate(model, M.select_subset(test, ["a", "b", "c"], [a, b])).first().asDict() == conf
+
+
+def test_submitted_script_from_another_folder_finds_the_package(tmp_path):
+    """A query with a Python helper, run by spark-submit outside the repository."""
+    import subprocess
+    import sys
+
+    import pyspark
+    from conftest import ROOT, SF_SMALL
+    submit = os.path.join(os.path.dirname(pyspark.__file__), "bin", "spark-submit")
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([submit, "--master", "local[2]", "--conf", "spark.ui.enabled=false", "--conf", f"spark.checkpoint.dir={tmp_path}/ckpt",
+                           "--conf", "spark.sql.shuffle.partitions=4", f"{ROOT}/pagetide/__main__.py", "diff_totals", SF_SMALL, str(tmp_path / "out")],
+                          cwd=tmp_path, env={**env, "PYSPARK_PYTHON": sys.executable, "PYSPARK_DRIVER_PYTHON": sys.executable}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert [f for f in os.listdir(tmp_path / "out") if f.endswith(".parquet")]

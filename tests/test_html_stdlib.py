@@ -76,3 +76,62 @@ def test_no_page_text_keeps_a_known_name(spark, read_pages):
         # A reference may only remain where the source escapes its ampersand.
         escaped = set(re.findall(r"&[a-zA-Z]+;", html.unescape(source)))
         assert set(re.findall(r"&[a-zA-Z]+;", text)) <= escaped
+
+
+class TableReader(HTMLParser):
+    """Source text of every table element, by the parser's own positions."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=False)
+        self.source, self.lines, self.open, self.found = source, [0], [], []
+        for line in source.splitlines(keepends=True):
+            self.lines.append(self.lines[-1] + len(line))
+
+    def here(self):
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.open.append(len(self.found))
+            self.found.append([self.here(), len(self.source)])
+
+    handle_startendtag = handle_starttag  # HTML knows no empty-element tags but the void ones
+
+    def handle_endtag(self, tag):
+        if tag == "table" and self.open:
+            end = self.source.index(">", self.here()) + 1
+            self.found[self.open.pop()][1] = end
+
+    def texts(self):
+        self.feed(self.source)
+        self.close()
+        return [self.source[a:b] for a, b in self.found]
+
+
+NESTED = ["<table><tr><td>a<table class=x><td>b</table>c</table><TABLE\nid=2>d</TABLE >", "</table><table>x", "<table><table>y</table>z", "no tables",
+          "<tablet>n</tablet><table/><p></table>", "", "<table>" * 40 + "deep" + "</table>" * 40, "<table>1</table>" * 30, "a</table></table>b<table>c</table>d</table>"]
+
+
+def test_table_elements_as_the_parser_spans_them(spark):
+    df = spark.createDataFrame(list(enumerate(NESTED)) + [(99, None)], "i int, html string")
+    got = {r["i"]: r["t"] for r in df.select("i", H.nested_elements("html", H.TABLE_TAG_RE).alias("t")).collect()}
+    assert got.pop(99) is None
+    assert got == {i: TableReader(source).texts() for i, source in enumerate(NESTED)}
+
+
+def test_table_elements_of_all_crawl_pages(spark):
+    from pagetide.sources import proxies as X
+    series = X.crawl_series(spark.read.parquet(ROOT + "/pages.parquet"))
+    step = series.select("day", "page_key", H.blank_script_bodies("html").alias("clean"))
+    rows = step.select("clean", H.nested_elements("clean", H.TABLE_TAG_RE).alias("t")).collect()
+    assert len(rows) == 1000 and sum(len(r["t"]) for r in rows) > 1000
+    for r in rows:
+        assert r["t"] == TableReader(r["clean"]).texts()
+
+
+def test_a_changed_cell_changes_the_tables(spark):
+    source = "<html><body><table><tr><td>{}</td></tr></table></body></html>"
+    df = spark.createDataFrame([(1, source.format("a")), (2, source.format("b"))], "page_id int, html string")
+    one, two = P.html_lists(df).orderBy("page_id").collect()
+    assert one["tables"] != two["tables"] and one["html_tags"] == two["html_tags"]

@@ -27,3 +27,21 @@ def test_stream_matches_batch(spark, tmp_path):
     want = D.change_bits(snap, FEATURES).select("page_id", *[f + "_changed" for f in FEATURES])
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_stream_follows_the_calendar_and_pairs_late_rows(spark, tmp_path):
+    import datetime as dt
+    days = [dt.date(2021, 6, 12), dt.date(2021, 6, 13), dt.date(2021, 6, 15)]
+    rows = [("p", days[0], ["a"]), ("p", days[1], ["b"]), ("p", days[2], ["b"]), ("q", days[0], ["x"]), ("q", days[2], ["x"]),
+            ("late", days[2], ["z"]), ("late", days[0], ["y"]), ("late", days[1], ["y"])]
+    snap = spark.createDataFrame(rows, "page_id string, day date, text array<string>")
+    src, sink, name = str(tmp_path / "features"), str(tmp_path / "bits"), f"t{uuid.uuid4().hex[:8]}"
+    arrivals = [snap.where(~F.col("page_id").eqNullSafe("late") & (F.col("day") == days[0])),
+                snap.where("day = '2021-06-13' AND page_id <> 'late' OR day = '2021-06-15'"),
+                snap.where("page_id = 'late' AND day <> '2021-06-15'")]
+    for some in arrivals:
+        some.write.mode("append").parquet(src)
+        change_bits_stream(spark, src, snap.schema, ["text"], sink, name=name, days=days).awaitTermination(300)
+    got = sorted(tuple(r) for r in read_bits(spark, sink).select("page_id", "day1", "day2", "text_changed").collect())
+    want = sorted(tuple(r) for r in D.change_bits(snap, ["text"], days=days).select("page_id", "day1", "day2", "text_changed").collect())
+    assert got == want and len(got) == 4
