@@ -55,6 +55,7 @@ def _col(c) -> Column:
 # everything else passes through unchanged.
 ENTITY_TOKEN_RE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"
 REPLACEMENT_CHAR = "\ufffd"
+STAND_IN = "\ufdd0"  # a code point that is no character; strings that hold it are decoded token by token
 # Names that need no semicolon, the longest first: such a name may be the start of a longer word.
 OPEN_NAME_RE = "^&(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 # References to 128 ... 159 mean Windows-1252 characters; its unassigned places stay control characters.
@@ -88,10 +89,8 @@ def unescape(s) -> Column:
     The commonest names are compared first and numbers are told by their ``#``; the table of names is asked for
     the rest, and names that need no semicolon only after a miss.
     """
-    names = _by_first_letter()
-
-    def lookup(name):
-        return F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
+    names = _by_first_letter()  # once in the expression: a literal of this size is costly to plan and to send
+    open_names = F.from_json(F.lit(json.dumps({n: c for n, c in html5.items() if not n.endswith(";")})), "map<string,string>")
 
     def number(t):
         digits = F.regexp_extract(t, r"^&#([0-9]+);?$", 1)
@@ -100,19 +99,28 @@ def unescape(s) -> Column:
                  .when(hexed != "", _code_point_char(F.conv(hexed, 16, 10).try_cast("long"))).otherwise(t))
 
     def by_start(t):
-        start = F.regexp_extract(t, OPEN_NAME_RE, 1)
-        return F.concat(lookup(start), t.substr(F.length(start) + 2, F.length(t)))
+        return let(F.regexp_extract(t, OPEN_NAME_RE, 1),
+                   lambda start: F.concat(F.try_element_at(open_names, start), t.substr(F.length(start) + 2, F.length(t))))
 
     def token(t):
-        found = F.when(~t.startswith("&"), t)
-        for entity, char in ENTITIES:
-            found = found.when(t == entity, F.lit(char))
-        named = F.coalesce(lookup(t.substr(F.lit(2), F.length(t))), by_start(t), t)
-        return found.when(t.startswith("&#"), number(t)).otherwise(named)
-
-    tokens = F.regexp_extract_all(_col(s), F.lit(ENTITY_TOKEN_RE), 0)
-    # Strings without '&' (most hrefs, many lines) skip the tokenisation.
-    return F.when(F.instr(_col(s), "&") > 0, F.array_join(F.transform(tokens, token), "")).otherwise(_col(s))
+        name = F.try_element_at(F.try_element_at(names, F.substring(t, 2, 1)), t.substr(F.lit(2), F.length(t)))
+        return (F.when(~t.startswith("&"), t).when(t.startswith("&#"), number(t))
+                 .otherwise(F.coalesce(name, by_start(t), t)))
+
+    def decoded(x):
+        # The commonest names by whole-string replacements.  None of them makes an ampersand but that of "&amp;", which stays a
+        # stand-in until all else is decoded; and no name holds one of the characters they make, so names end where they did.
+        y = F.replace(x, F.lit("&amp;"), F.lit(STAND_IN))
+        for entity, char in ENTITIES[:-1]:
+            y = F.replace(y, F.lit(entity), F.lit(char))
+        plain = F.instr(x, STAND_IN) == 0
+        rest = F.when(plain, y).otherwise(x)
+        done = let(rest, lambda z: F.when(F.instr(z, "&") == 0, z).otherwise(
+            F.array_join(F.transform(F.regexp_extract_all(z, F.lit(ENTITY_TOKEN_RE), 0), token), "")))
+        return let(done, lambda z: F.when(plain, F.replace(z, F.lit(STAND_IN), F.lit("&"))).otherwise(z))
+
+    # Strings without '&' (most hrefs, many lines) are left as they are.
+    return let(_col(s), lambda x: F.when(F.instr(x, "&") == 0, x).otherwise(decoded(x)))
 
 
 def strip_ws(s) -> Column:

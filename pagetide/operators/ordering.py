@@ -22,6 +22,12 @@ from pyspark.sql import functions as F
 from pagetide.session import ensure_checkpoint_dir
 
 
+def _ranged(df: DataFrame, n: int | None, keys: list) -> DataFrame:
+    """Range-partitioned and sorted by ``keys``; without a number adaptive execution merges small neighbouring ranges."""
+    dealt = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions(*keys)
+
+
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -143,10 +149,9 @@ def with_previous(df: DataFrame, group_cols: list[str], order_cols: list[str], c
     border rows of each partition (so ``result`` may use ``keep``, group and ``carry`` columns only).  The first rows of partitions (at most one per partition) are then
     compared with the last row before them that belongs to their group.
     """
-    n = _partitions(df, num_partitions)
     keys = [*group_cols, *order_cols]
     used = list(dict.fromkeys([*keep, *keys, *carry]))
-    ranged = df.select(*used).repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__pid", F.spark_partition_id())
+    ranged = _ranged(df.select(*used), num_partitions, keys).withColumn("__pid", F.spark_partition_id())
     fields = {f.name: f.dataType.simpleString() for f in ranged.schema.fields}
     schema = [*fields.items(), *((prefix + c, fields[c]) for c in carry), *((f, "boolean") for f in ("__has", "__first", "__last"))]
     shifted = ranged.mapInArrow(_shifted(group_cols, carry, prefix), ", ".join(f"`{c}` {t}" for c, t in schema))
@@ -192,8 +197,7 @@ def running_total(df: DataFrame, order_cols: list[Column | str], weight: str, na
     partitions before (one number per partition, read by the driver).  No key is gathered in one task.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = (df.repartitionByRange(_partitions(df, num_partitions), *keys).sortWithinPartitions(*keys)
-                .withColumn("__pid", F.spark_partition_id()))
+    ranged = _ranged(df, num_partitions, keys).withColumn("__pid", F.spark_partition_id())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
     ensure_checkpoint_dir(df.sparkSession)
     summed = ranged.mapInArrow(_summed(weight), f"{schema}, __run long").checkpoint(eager=True)
