@@ -21,18 +21,21 @@ BINS = 1024
 BLOCK = 4096
 CHUNK_BYTES = 1 << 20
 LONG = (-(1 << 63), (1 << 63) - 1)
+LARGEST = np.finfo(np.float64).max
 
 
 def _integers(m: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x), kept as doubles."""
-    return np.floor(m * scale)
+    """floor(scale * x), kept as doubles; products beyond a double saturate."""
+    with np.errstate(over="ignore"):
+        return np.floor(np.clip(m * scale, -LARGEST, LARGEST))
 
 
 def _scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact integer inner products (rows of c x rows of q) as int64; beyond a long they saturate."""
     width = max(c.shape[1], q.shape[1], 1)
     c, q = fit_width(c, width), fit_width(q, width)
-    top = np.abs(c).max(initial=0) * np.abs(q).max(initial=0) * width
+    with np.errstate(over="ignore"):
+        top = np.abs(c).max(initial=0) * np.abs(q).max(initial=0) * width
     if top < 2.0 ** 53:
         return (c @ q.T).astype(np.int64)
     exact = np.vectorize(int, otypes=[object])
@@ -55,7 +58,9 @@ def _histogram(shared, bounds, scale, k):
         for _, s, other in _each_block(batches, shared, scale):
             if counts is None:
                 counts = np.zeros((n, BINS + 1), dtype=np.int64)
-            at = np.where(s < lo, -1, np.minimum((s - lo) // width, BINS))
+            # Differences of longs need 64 bits without a sign.
+            steps = (s.astype(np.uint64) - lo.astype(np.uint64)) // width.astype(np.uint64)
+            at = np.where(s < lo, -1, np.minimum(steps, BINS).astype(np.int64))
             at = np.where(other & (at >= 0), at + np.arange(n) * (BINS + 1), -1)
             flat = at[at >= 0]
             counts += np.bincount(flat, minlength=counts.size).reshape(counts.shape)
@@ -103,7 +108,7 @@ def exact_top_k(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k:
     inner product of floor(scale * component), a row with the query's own id excepted.
 
     Rows with a null id, or a vector that is null or holds null or non-finite components, take no
-    part.  Scores are exact up to 2**61.  Shorter vectors count as filled up with zeros.  Equal scores rank by id; repeated rows are
+    part.  Scores are exact; beyond a long they saturate to its ends.  Shorter vectors count as filled up with zeros.  Equal scores rank by id; repeated rows are
     candidates one by one.  Fewer than k candidates: all of them.  No queries or no rows: no result.
     Queries go out in chunks of ``chunk_bytes``; a chunk's results are written to the shared folder.
     """
@@ -111,15 +116,17 @@ def exact_top_k(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k:
     sc = spark.sparkContext
     candidates = finite_vectors(df, id_col, vec_col)
     asked = finite_vectors(queries, id_col, vec_col).distinct()
-    squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (F.floor(x * scale) * 1.0) * (F.floor(x * scale) * 1.0))
-    longest = candidates.agg(F.max(F.sqrt(squares))).first()[0] or 0.0
+    size = lambda x: F.abs(x) * float(scale) + 1.0  # noqa: E731  no less than the floor's, in doubles
+    longest = candidates.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + size(x) * size(x))))).first()[0] or 0.0
     parts = []
     for ids, raw in query_chunks(asked, chunk_bytes):
         q = _integers(raw, scale)
         shared = sc.broadcast((ids, q))
         n = len(ids)
-        reach = [min(LONG[1] // 4, int(x) + 1) for x in np.sqrt((q * q).sum(axis=1)) * (longest * 1.0000001) + 1]
-        lo, hi = [-r for r in reach], list(reach)
+        with np.errstate(over="ignore", invalid="ignore"):
+            reach = np.sqrt((q * q).sum(axis=1)) * (longest * 1.0000001) + 1
+        reach = [int(x) + 1 if x < float(LONG[1]) else LONG[1] + 1 for x in reach]
+        lo, hi = [max(LONG[0], -r) for r in reach], [min(LONG[1], r) for r in reach]
         above, done = np.zeros(n, np.int64), np.zeros(n, bool)
         while not done.all():
             width = [max(1, -(-(h - a + 1) // BINS)) for a, h in zip(lo, hi, strict=True)]
@@ -129,8 +136,8 @@ def exact_top_k(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k:
             hist = hist.where(F.col("bin") < BINS)
             found = _kth_bins(hist, above, k, spark)
             for i in np.nonzero(~done)[0]:
-                if i not in found:
-                    done[i] = True
+                if i not in found:  # fewer than k scores in all: every one counts
+                    done[i], lo[i] = True, LONG[0]
                     continue
                 b, over, inside = found[i]
                 above[i] = over
