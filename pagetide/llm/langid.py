@@ -140,8 +140,9 @@ def train(docs: DataFrame, text: str, lang: str, learn: Column, draw: Column,
     spark = docs.sparkSession
     rows = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
-    # About twice as many as wanted pass the limit, whatever the table's size; those are ranked.
-    limits = rows.groupBy("lang").agg((F.lit(2.0 * per_language * DRAWS) / F.count(F.lit(1))).alias("limit"))
+    # About twice as many different draws as wanted pass the limit, whatever the table's size; those rows are ranked.  Rows
+    # that share an id share a draw, so draws are counted, not rows.
+    limits = rows.groupBy("lang").agg((F.lit(2.0 * per_language * DRAWS) / F.approx_count_distinct("draw")).alias("limit"))
     order = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
     sample = (rows.join(F.broadcast(limits), "lang").where(F.col("draw") < F.col("limit")).select("lang", "text", "draw")
                   .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "text"))
