@@ -3,7 +3,8 @@
 Every vector gets one long hash string per tree (signs of random projections).  The index is a table
 of shards; a shard holds, per tree, its hash strings as a sorted array.  A query descends to the
 longest prefix that matches in any tree and then ascends in all trees at once, one bit at a time,
-until the matches of all trees together reach the wanted number; those candidates are scored exactly.
+until the matches of all trees together reach the wanted number and enough different entries are among them (an entry
+close by matches in every tree); those candidates are scored exactly.
 
 Identical vectors are one entry of a shard with a list of ids, so a vector that a third of all rows
 share neither fills the candidate sets nor gathers in one task: shards are cut by place, not by key.
@@ -26,6 +27,9 @@ SHARD_ROWS = 4096
 # shard for a recall above 0.9; in small tables the k-th neighbour is hardly nearer than the rest.
 MATCHES = 0.40
 LEAST_MATCHES = 500
+# Different entries wanted, as a share of a shard's; never less than the k asked for.  Where vectors lie in groups, a group
+# alone, which matches in every tree, does not end the search.
+LEAST_SHARE = 0.60
 SEED = 20
 CHUNK_BYTES = 1 << 20
 
@@ -76,10 +80,14 @@ def build_forest(df: DataFrame, id_col: str, vec_col: str, trees: int = TREES, b
     return cut(vectors.mapInArrow(_build(trees, bits, shard_rows, seed), SHARD_SCHEMA))
 
 
-def _candidates(codes, places, asked, bits, wanted, n):
-    """Boolean queries x entries: matches at the deepest level where all trees together hold ``wanted``."""
+def _candidates(codes, places, asked, bits, wanted, usable, k):
+    """Boolean queries x entries: matches at the deepest level where all trees together hold ``wanted``, and where
+    at least ``k`` different entries, and ``LEAST_SHARE`` of all, are ``usable`` (all of them, if fewer)."""
     trees, nq = asked.shape
+    n = usable.shape[1]
     found = np.zeros((nq, n), dtype=bool)
+    most = usable.sum(axis=1)
+    need = np.minimum(most, np.maximum(k, np.ceil(LEAST_SHARE * most)))
     todo = np.arange(nq)
     for depth in range(bits, -1, -1):
         if not len(todo):
@@ -96,7 +104,9 @@ def _candidates(codes, places, asked, bits, wanted, n):
                 size = e - b
                 at = np.repeat(b - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 found[np.repeat(rows, size), places[t][at]] = True
-            todo = todo[~ready]
+            # Shorter prefixes hold what longer ones held, so a query that goes on keeps its marks.
+            enough = (found[rows] & usable[rows]).sum(axis=1) >= need[rows]
+            todo = np.r_[todo[~ready], rows[~enough]] if depth else todo[:0]
     return found
 
 
@@ -114,14 +124,20 @@ def _search(shared, k, trees, bits, matches, seed):
                 q = fit_width(q_all, width)
                 if width not in hashed:
                     hashed[width] = _hash_strings(q, np.zeros(len(q)), _planes(width, trees, bits, seed), trees, bits)
-                found = _candidates(codes, places, hashed[width], bits, matches * n + LEAST_MATCHES, n)
                 new_q, new_s, new_i = [qi], [sc], [cid]
                 total, by_id = np.diff(starts), np.argsort(ids, kind="stable")
                 lows, highs = (np.searchsorted(ids[by_id], ids_q, side) for side in ("left", "right"))
+                # Of every entry, how many of its ids are the query's own (by query; most have none in this shard).
+                owns = {i: np.bincount(np.searchsorted(starts, by_id[lows[i]:highs[i]], "right") - 1, minlength=n)
+                        for i in np.flatnonzero(highs > lows)}
+                none = np.zeros(n, dtype=np.int64)
+                usable = np.ones((len(q), n), dtype=bool)
+                for i, own in owns.items():
+                    usable[i] = total > own
+                found = _candidates(codes, places, hashed[width], bits, matches * n + LEAST_MATCHES, usable, k)
                 for i in range(len(q)):
-                    # Of every entry, how many of its ids are the query's own.
-                    own = np.bincount(np.searchsorted(starts, by_id[lows[i]:highs[i]], "right") - 1, minlength=n)
-                    at = np.flatnonzero(found[i] & (total > own))
+                    own = owns.get(i, none)
+                    at = np.flatnonzero(found[i] & usable[i])
                     # Summed entry by entry in one order: equal vectors get equal scores in every shard.
                     s = np.einsum("ij,j->i", vectors[at], q[i])
                     if len(s) > k:

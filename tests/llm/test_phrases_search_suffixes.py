@@ -247,3 +247,53 @@ def test_queries_have_the_contract_columns(spark):
             "op13_repeated_bytes": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]}
     for name, columns in want.items():
         assert QUERIES[name](spark, SF_SMALL).columns == columns
+
+
+# --- 3, 6, 7: what was lost ---------------------------------------------------------------
+
+def test_forest_finds_all_of_few_and_most_of_clustered_vectors(spark):
+    from pagetide.llm import hashforest
+    r = np.random.default_rng(11)
+
+    def recall(near, far, k=20, groups=1):
+        centres = r.standard_normal((groups, 64)) * 3
+        rows = np.concatenate([centres[i % groups] + 0.01 * r.standard_normal((1, 64)) for i in range(near)] + [r.standard_normal((far, 64))])
+        df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").coalesce(1)
+        asked = df.where("vec_id % 20 = 0")
+        got = {}
+        for x in hashforest.search_forest(hashforest.build_forest(df, "vec_id", "embedding"), asked, "vec_id", "embedding", k).collect():
+            got.setdefault(x["query_id"], []).append(x["vec_id"])
+        hits = wanted = 0
+        for q in range(0, near + far, 20):
+            best = [i for i in np.argsort(-(rows @ rows[q]), kind="stable") if i != q][:k]
+            assert len(got[q]) == min(k, near + far - 1)
+            hits, wanted = hits + len(set(best) & set(got[q])), wanted + len(best)
+        return hits / wanted
+
+    assert recall(8, 7) == 1.0
+    assert recall(8, 300) >= 0.9
+    assert recall(14, 1900) >= 0.9
+    assert recall(600, 900, groups=40) >= 0.9
+
+
+def test_top_k_of_huge_scores(spark):
+    from pagetide.llm import topk
+    rows = [(100, [2097152.0]), (1, [-2097152.0]), (2, [2097152.0]), (3, [3e6]), (4, [-3e6]), (5, [1e200]), (6, [-1e200]), (7, [1.7e308]), (8, [0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = topk.exact_top_k(df, df.where("vec_id = 100"), "vec_id", "embedding", 10).collect()
+    low, high = -(1 << 63), (1 << 63) - 1
+    q = math.floor(1024 * 2097152.0)
+    want = {i: max(low, min(high, q * (math.floor(1024 * v[0]) if abs(v[0]) < 1e300 else int(np.finfo(float).max) * (1 if v[0] > 0 else -1)))) for i, v in rows if i != 100}
+    assert {r["vec_id"]: r["score"] for r in out} == want and want[1] == -(1 << 62) and want[6] == low and want[5] == high
+    assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"])] == [i for i, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))]
+
+
+def test_language_of_rows_that_repeat_one_id_is_learned(spark):
+    from pagetide.llm import langid
+    english, german = "the cat sat on the mat and then it ran away {}", "der Hund und die Katze sind nicht im Haus {}"
+    rows = [(i, english.format(i), "en") for i in range(1200)]
+    drawn = spark.range(4000).select("id", langid.by_checksum(F.col("id")).alias("d"), langid.learnable(F.col("id")).alias("l")).where("l").orderBy(F.desc("d")).first()
+    rows += [(drawn["id"], german.format(i), "de") for i in range(3000)]  # the id that is drawn last
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, "text", "lang", langid.learnable(F.col("doc_id")), langid.by_checksum(F.col("doc_id")))
+    assert sorted(x for group in model.members.values() for x in group) == ["de", "en"]
