@@ -106,6 +106,33 @@ def feature_diff(snapshots: DataFrame, features: list[str], key: str = "page_id"
                  .select(key, "day1", "day2", "_c.feature", "_c.ops.equal", "_c.ops.insert", "_c.ops.delete"))
 
 
+def combine_features(frames: dict[str, DataFrame], keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, a column per frame, missing, repeated): per-feature lists of one value per key put side by side.
+
+    All frames meet in one exchange by key.  Their keys have to agree: ``missing`` names the features that lack a key and
+    ``repeated`` those that hold it more than once, both empty where all is well (``disagreements`` has the other rows).
+    Of a repeated key the smallest value is taken; null keys are keys.
+    """
+    names = list(frames)
+    rows = None
+    for name, frame in frames.items():
+        part = frame.select(*keys, F.lit(name).alias("_feature"), F.col(value).alias("_value"))
+        rows = part if rows is None else rows.unionByName(part)
+    of = {name: F.col("_feature") == name for name in names}
+    wide = rows.groupBy(*keys).agg(*[F.min(F.when(of[n], F.col("_value"))).alias(n) for n in names],
+                                   *[F.count_if(of[n]).alias(f"_n{i}") for i, n in enumerate(names)])
+
+    def named(test):
+        return F.array_compact(F.array(*[F.when(test(F.col(f"_n{i}")), F.lit(n)) for i, n in enumerate(names)]))
+
+    return wide.select(*keys, *names, named(lambda c: c == 0).alias("missing"), named(lambda c: c > 1).alias("repeated"))
+
+
+def disagreements(combined: DataFrame) -> DataFrame:
+    """The keys of ``combine_features`` that some feature lacks or repeats."""
+    return combined.where((F.size("missing") > 0) | (F.size("repeated") > 0))
+
+
 def diff_totals(diff: DataFrame, feature: str, include_equal: bool = True) -> DataFrame:
     """Total equal / insert / delete of one feature; ``include_equal=False`` skips unchanged pairs."""
     d = diff.filter(F.col("feature") == feature)

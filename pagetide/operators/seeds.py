@@ -13,7 +13,7 @@ from pagetide.operators.ordering import dense_index
 # Fixed: a link follows one of these characters and runs until one of the
 # terminators (group form of a look-behind; identical matches).
 DUMP_LINK_RE = r"""["\[><;=\n ](http[^|"\]><;\n ]*)"""
-SEED = "EMOTION"
+SEED = "links"
 SLD_LIMIT = 50
 
 
@@ -80,7 +80,7 @@ def stage_sizes(staged: DataFrame) -> DataFrame:
     return per.select("stage", "urls", F.round(100.0 * F.col("urls") / run_max, 2).alias("percentage"))
 
 
-def split_domains(first_stage: DataFrame, train_size: float, seed: int = 1492021, link: str = "link") -> DataFrame:
+def split_domains(first_stage: DataFrame, train_size: float, seed: int = 7, link: str = "link") -> DataFrame:
     """(sld, train): second-level labels of first-stage links split into a training
     share of floor(train_size * n) and the rest, in seeded-hash order."""
     slds = first_stage.select(U.sl_domain(link).alias("sld")).distinct()

@@ -436,6 +436,18 @@ def q_change_amplitudes(spark, root):
     return CT.change_amplitudes(D.feature_diff(_snap(spark, root), SNAP_FEATURES, day="day_no"))
 
 
+@query("combined_differences")
+def q_combined_differences(spark, root):
+    """Per-feature lists of changed list sizes side by side; a feature without a change lacks the key."""
+    numbers = D.feature_numbers(_snap(spark, root), SNAP_FEATURES, day="day_no")
+    pairs = D.day_pairs(numbers, SNAP_FEATURES, day="day_no")
+    frames = {f: pairs.where(F.col(f + "_1") != F.col(f + "_2")).select("page_id", "day1", (F.col(f + "_2") - F.col(f + "_1")).alias("value"))
+              for f in SNAP_FEATURES}
+    frames["all"] = pairs.select("page_id", "day1", F.lit(0).alias("value"))
+    both = D.combine_features(frames, ["page_id", "day1"])
+    return both.select("page_id", "day1", *SNAP_FEATURES, F.array_join("missing", ",").alias("missing"), F.size("repeated").alias("repeated"))
+
+
 @query("diff_totals")
 def q_diff_totals(spark, root):
     return D.diff_totals(D.feature_diff(_snap(spark, root), ["text"], day="day_no", page_hash=None), "text")

@@ -464,6 +464,10 @@ ORACLE["training_pairs"] = f"""WITH {SNAPSHOTS}
 SELECT page_id, day1, CAST(len(text_1) AS INTEGER) AS text, CAST(len(internal_outlinks_1) AS INTEGER) AS internal_outlinks,
        CAST(len(meta_1) AS INTEGER) AS meta, CAST(text_1 <> text_2 AS INTEGER) AS text_changed,
        CAST(internal_outlinks_1 <> internal_outlinks_2 AS INTEGER) AS internal_outlinks_changed FROM pr"""
+_GROWN = {f: f"CAST(len({f}_2) - len({f}_1) AS INTEGER)" for f in ("text", "internal_outlinks", "meta")}
+ORACLE["combined_differences"] = f"""WITH {SNAPSHOTS}
+SELECT page_id, day1, {', '.join(f"CASE WHEN {x} <> 0 THEN {x} END AS {f}" for f, x in _GROWN.items())},
+       concat_ws(',', {', '.join(f"CASE WHEN {x} = 0 THEN '{f}' END" for f, x in _GROWN.items())}) AS missing, CAST(0 AS INTEGER) AS repeated FROM pr"""
 ORACLE["change_fractions"] = f"""WITH {SNAPSHOTS}
 SELECT 'text' AS feature, avg(CAST(text_1 <> text_2 AS DOUBLE)) AS fraction FROM pr
 UNION ALL SELECT 'internal_outlinks', avg(CAST(internal_outlinks_1 <> internal_outlinks_2 AS DOUBLE)) FROM pr
@@ -535,7 +539,7 @@ SELECT 'http://' || host AS link FROM r WHERE string_split(host, '.')[-1] = 'com
 
 
 def _limited(limit: int, popular: bool) -> str:
-    order = "n DESC, link" if popular else "md5('EMOTION' || link), link"
+    order = "n DESC, link" if popular else "md5('links' || link), link"
     extra = ", n" if popular else ""
     return f"""WITH {_dump_links_cte()}, {POP},
     rk AS (SELECT sld, link, n, row_number() OVER (PARTITION BY sld ORDER BY {order}) AS rn FROM pop)
@@ -550,7 +554,7 @@ SELECT stage, urls, round(CAST(100 AS DOUBLE) * urls / max(urls) OVER (ORDER BY
 FROM per"""
 ORACLE["domain_split"] = f"""WITH st AS ({_limited(50, False)}),
     sl AS (SELECT DISTINCT {S.sl_domain('link')} AS sld FROM st WHERE stage = 0),
-    rk AS (SELECT sld, row_number() OVER (ORDER BY md5('1492021' || sld), sld) AS pos, count(*) OVER () AS n FROM sl)
+    rk AS (SELECT sld, row_number() OVER (ORDER BY md5('7' || sld), sld) AS pos, count(*) OVER () AS n FROM sl)
 SELECT sld, pos <= floor(n * 0.8) AS train FROM rk"""
 
 

@@ -148,3 +148,13 @@ def test_dense_index_with_payload_under_sampling(spark):
     ref = df.select("g", "v", F.row_number().over(Window.partitionBy("g").orderBy("v")).alias("rn2"))
     assert idx.join(ref, ["g", "v"]).filter("rn != rn2").count() == 0
     assert idx.select("payload").distinct().count() == 60000
+
+
+def test_combined_features_report_keys_that_do_not_agree(spark):
+    a = spark.createDataFrame([("p", 1, 5), ("q", 1, 6), (None, 1, 7)], "page_id string, day1 int, value int")
+    b = spark.createDataFrame([("p", 1, 8), ("r", 1, 9), ("r", 1, 4), (None, 1, 0)], "page_id string, day1 int, value int")
+    both = D.combine_features({"a": a, "b": b}, ["page_id", "day1"])
+    got = {r["page_id"]: (r["a"], r["b"], r["missing"], r["repeated"]) for r in both.collect()}
+    assert got == {"p": (5, 8, [], []), "q": (6, None, ["b"], []), "r": (None, 4, ["a"], ["b"]), None: (7, 0, [], [])}
+    assert sorted(r["page_id"] for r in D.disagreements(both).collect()) == ["q", "r"]
+    assert D.disagreements(D.combine_features({"a": a, "b": a}, ["page_id", "day1"])).count() == 0
