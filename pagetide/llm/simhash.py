@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes
+from .common import cut, stored, text_bytes
 
 HASH_SEED = 42
 RING = 5
@@ -145,8 +145,9 @@ def links(prints: DataFrame, max_bits: int, ring: int = RING, block: int = BLOCK
     # Spread again: the distinct fingerprints may have been merged into few partitions.
     prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = prints.select("fp", F.explode(_keys(F.col("fp"), ring)).alias("k")).select("k.key", "k.own", "fp")
-    sizes = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("long")).alias("owners"))
-                  .where("n > 1 AND owners > 0"))
+    # Stored, like every aggregate below that is joined: the join's sides are then dealt out afresh, and a hot key can be split.
+    sizes = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("long")).alias("owners"))
+                        .where("n > 1 AND owners > 0"), "key-sizes")
     met = keyed.join(sizes, "key")
     # Blocks of about ``block`` rows; a row goes to every pair of blocks that its own block is in.
     blocks = F.ceil(F.col("n") / block).cast("long")
@@ -165,7 +166,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star / small-star rounds: each node points its larger neighbours, then itself and its smaller
     neighbours, at the smallest one known.  Minima are pre-aggregated, so a node with very many
-    neighbours is split over tasks; every round ends in a reliable checkpoint.
+    neighbours is split over tasks; minima are stored before they are joined, so the join of such a
+    node can be split as well; every round ends in a reliable checkpoint.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
 
@@ -175,9 +177,9 @@ def components(edges: DataFrame) -> DataFrame:
     last = state(edges)
     while last[0]:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        least = stored(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), "least")
+        large = stored(both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct(), "large")
+        least = stored(large.groupBy("v").agg(F.min("u").alias("m")), "least")
         joined = large.join(least, "v")
         small = (joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
                        .unionByName(least.select("v", F.col("m").alias("u")))).distinct()
@@ -202,9 +204,9 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, shingle: int = 4, m
         "doc_id": F.col(doc_id), "text_key": F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text)))}))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = cut(components(links(distinct.select("fp"), max_bits)))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("component"))
-    smallest = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    rooted = stored(distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("component")), "rooted")
+    smallest = stored(rooted.groupBy("component").agg(F.min("least").alias("component_id")), "components")
     known = rooted.drop("least").join(smallest, "component")
     return prints.join(known, "fp").select("doc_id", "text_key", "fp", "component", "component_id")
 
