@@ -135,3 +135,46 @@ def test_a_changed_cell_changes_the_tables(spark):
     df = spark.createDataFrame([(1, source.format("a")), (2, source.format("b"))], "page_id int, html string")
     one, two = P.html_lists(df).orderBy("page_id").collect()
     assert one["tables"] != two["tables"] and one["html_tags"] == two["html_tags"]
+
+
+BLOCKS = set("p div br h1 h2 h3 h4 h5 h6 li ul ol tr td th table thead tbody tfoot section article header footer nav aside main blockquote pre hr dl dt dd "
+             "form fieldset figure figcaption address title option caption body html".split())
+
+
+class LineReader(HTMLParser):
+    """Text lines of a page, written from the parser's events."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.unseen, self.text = None, []
+
+    def handle_starttag(self, tag, attrs):
+        if self.unseen is None and tag in ("head", "script", "style"):
+            self.unseen = tag
+        if tag in BLOCKS:
+            self.handle_data("\n")
+
+    def handle_endtag(self, tag):
+        if tag == self.unseen:
+            self.unseen = None
+        elif tag in BLOCKS:
+            self.handle_data("\n")
+
+    def handle_data(self, data):
+        if self.unseen is None:
+            self.text.append(data)
+
+    def lines(self, source):
+        self.feed(source)
+        self.close()
+        return [line.strip() for line in re.split(r"\r?\n|\r", "".join(self.text)) if line.strip()]
+
+
+def test_text_lines_as_the_parser_reads_them(spark):
+    from pagetide.sources import proxies as X
+    pages = spark.read.parquet(ROOT + "/pages.parquet")
+    for source in (pages, X.crawl_series(pages)):
+        rows = source.select("html", H.text_lines("html").alias("t")).collect()
+        assert sum(len(r["t"]) for r in rows) > 1000
+        for r in rows:
+            assert r["t"] == LineReader().lines(r["html"])
