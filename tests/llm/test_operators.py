@@ -482,3 +482,18 @@ def test_gradient_is_the_slope_of_the_likelihood(spark):
         step = np.zeros(len(x))
         step[i] = 1e-5
         assert grad[i] == pytest.approx((loss(x + step)[0] - loss(x - step)[0]) / 2e-5, rel=1e-4, abs=1e-6)
+
+
+def test_exact_top_k_of_repeated_query_rows(spark):
+    df = vectors(spark, [(0, [1.0], "", ""), (0, [1.0], "", ""), (0, [-1.0], "", ""), *[(i, [float(i)], "", "") for i in range(1, 8)], (8, [-9.0], "", "")])
+    out = topk.exact_top_k(df, df.where("vec_id = 0"), "vec_id", "embedding", 5).orderBy("rank").collect()
+    unit = 1024 * 1024
+    # The best of all pairs of a row of the query and a candidate, as in the SQL.
+    assert [tuple(r) for r in out] == [(0, 1, 8, 9 * unit), (0, 2, 7, 7 * unit), (0, 3, 7, 7 * unit), (0, 4, 6, 6 * unit), (0, 5, 6, 6 * unit)]
+
+
+def test_exact_top_k_ranks_the_least_long_last(spark):
+    least = -float(1 << 43)  # times 1024 twice: -2**63
+    df = vectors(spark, [(0, [1.0], "", ""), *[(i, [least], "", "") for i in range(1, 21)], (30, [2.0], "", ""), (31, [1.0], "", "")]).coalesce(1)
+    out = topk.exact_top_k(df, df.where("vec_id = 0"), "vec_id", "embedding", 4).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in out] == [(30, 2 << 20), (31, 1 << 20), (1, -(1 << 63)), (2, -(1 << 63))]
