@@ -1,73 +1,47 @@
 """Change bits as crawl days arrive (Structured Streaming).
 
 Each crawl day lands as new parquet files of page features.  The stream
-digests every feature list, then keeps per page the digests of its crawl
-days as state (``applyInPandasWithState``).  A pair is emitted once both of its days are there, in whatever order they
-came; which days are neighbours is settled by the crawl calendar, as in the batch operator.  Only MD5 digests travel and sit
-in state, at most one entry per page and calendar day.  The
+digests every feature list, drops further snapshots of a page and day, and joins
+itself by page and place in the crawl calendar, as first and as second day of a pair: two stateful operators of Spark's
+own, no Python per page.  A pair is emitted once both of its days are there, in whatever order they
+came; which days are neighbours is settled by the crawl calendar, as in the batch operator.  Only MD5 digests (16 bytes) travel and sit
+in state, one entry per page and calendar day on either side of the join.  The
 checkpoint lives under the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from pagetide.operators.diff import digest
 from pagetide.session import ensure_checkpoint_dir
 
 
-def _schemas(features: list[str]):
-    out = T.StructType([T.StructField("page_id", T.StringType()), T.StructField("day1", T.DateType()),
-                        T.StructField("day2", T.DateType())]
-                       + [T.StructField(f + "_changed", T.IntegerType()) for f in features])
-    state = T.StructType([T.StructField("known", T.StringType())])  # JSON: day -> digests
-    return out, state
-
-
-def _pair_step(features: list[str], days: list[dt.date] | None):
-    out_cols = ["page_id", "day1", "day2"] + [f + "_changed" for f in features]
-    place = {d: i for i, d in enumerate(sorted(days))} if days else None
-
-    def neighbour(day, step):
-        if place is None:
-            return day + dt.timedelta(days=step)
-        at = place.get(day)
-        return None if at is None else next((d for d, i in place.items() if i == at + step), None)
-
-    def step(key, batches, state):
-        known = {dt.date.fromisoformat(d): x for d, x in json.loads(state.get[0]).items()} if state.exists else {}
-        emitted = []
-        for r in pd.concat(list(batches)).sort_values("day").itertuples(index=False):
-            if r.day in known:  # a page has one snapshot a day: the first one counts
-                continue
-            known[r.day] = [getattr(r, f) for f in features]
-            for one, two in ((neighbour(r.day, -1), r.day), (r.day, neighbour(r.day, 1))):
-                if one in known and two in known:
-                    emitted.append((key[0], one, two, *[int(a != b) for a, b in zip(known[one], known[two], strict=True)]))
-        state.update((json.dumps({d.isoformat(): x for d, x in known.items()}),))
-        yield pd.DataFrame(emitted, columns=out_cols)
-
-    return step
-
-
 def change_bits_stream(spark: SparkSession, source_dir: str, feature_schema: T.StructType, features: list[str],
                        sink_dir: str, name: str = "change_bits", available_now: bool = True, days: list[dt.date] | None = None):
     """Start the stream; returns the ``StreamingQuery``.  ``feature_schema`` must
     hold ``page_id`` (string), ``day`` (date) and the list features.  ``days`` is the crawl calendar (a row of a day that is not in it
     has no pair); without it every calendar day is a crawl day.  Rows that come late are paired when they come."""
     stream = spark.readStream.schema(feature_schema).parquet(source_dir)
-    digests = stream.select(F.col("page_id").cast("string").alias("page_id"), F.col("day").cast("date").alias("day"),
-                            *[digest(f).alias(f) for f in features])
-    out_schema, state_schema = _schemas(features)
-    bits = digests.groupBy("page_id").applyInPandasWithState(
-        _pair_step(features, days), out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    date = F.col("day").cast("date")
+    if days:
+        calendar = F.array(*[F.lit(d) for d in sorted(set(days))])
+        place = F.nullif(F.array_position(calendar, date), F.lit(0))
+    else:
+        place = F.unix_date(date)
+    digests = stream.select(F.col("page_id").cast("string").alias("page_id"), date.alias("day"), place.alias("at"),
+                            *[F.unhex(digest(f)).alias(f"d{i}") for i, f in enumerate(features)])
+    seen = digests.dropDuplicates(["page_id", "day"])  # a page has one snapshot a day: the first one counts
+    values = [f"d{i}" for i in range(len(features))]
+    one = seen.select(F.col("page_id").alias("page1"), F.col("day").alias("day1"), (F.col("at") + 1).alias("at1"), *[F.col(v).alias(v + "_1") for v in values])
+    two = seen.select("page_id", F.col("day").alias("day2"), F.col("at").alias("at2"), *[F.col(v).alias(v + "_2") for v in values])
+    pairs = one.join(two, one["page1"].eqNullSafe(two["page_id"]) & (one["at1"] == two["at2"]))
+    bits = pairs.select("page_id", "day1", "day2", *[(~F.col(v + "_1").eqNullSafe(F.col(v + "_2"))).cast("int").alias(f + "_changed")
+                                                     for v, f in zip(values, features, strict=True)])
     checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     writer = (bits.writeStream.format("parquet").option("path", sink_dir)
                   .option("checkpointLocation", checkpoint).outputMode("append"))

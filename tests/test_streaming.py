@@ -45,3 +45,16 @@ def test_stream_follows_the_calendar_and_pairs_late_rows(spark, tmp_path):
     got = sorted(tuple(r) for r in read_bits(spark, sink).select("page_id", "day1", "day2", "text_changed").collect())
     want = sorted(tuple(r) for r in D.change_bits(snap, ["text"], days=days).select("page_id", "day1", "day2", "text_changed").collect())
     assert got == want and len(got) == 4
+
+
+def test_stream_keeps_its_state_in_native_operators(spark, tmp_path):
+    import datetime as dt
+    days = [dt.date(2021, 6, 12), dt.date(2021, 6, 13)]
+    rows = [("p", days[0], ["a"]), ("p", days[0], ["a"]), ("p", days[1], None), (None, days[0], ["n"]), (None, days[1], ["n"])]
+    spark.createDataFrame(rows, "page_id string, day date, text array<string>").write.parquet(str(tmp_path / "features"))
+    schema = spark.read.parquet(str(tmp_path / "features")).schema
+    q = change_bits_stream(spark, str(tmp_path / "features"), schema, ["text"], str(tmp_path / "bits"), name=f"t{uuid.uuid4().hex[:8]}")
+    q.awaitTermination(300)
+    got = [(r["page_id"], r["text_changed"]) for r in read_bits(spark, str(tmp_path / "bits")).collect()]
+    assert sorted(got, key=str) == [("p", 1), (None, 0)]
+    assert {o["operatorName"] for o in q.recentProgress[0]["stateOperators"]} == {"dedupe", "symmetricHashJoin"}
