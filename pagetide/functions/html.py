@@ -39,6 +39,15 @@ SCRIPT_ELEMENT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
 TABLE_OPEN_RE = r"(?i)<table(?:[\s/][^>]*)?>"
 TABLE_TAG_RE = r"(?i)</?table(?:[\s/][^>]*)?>"
 
+# The same matches as the patterns above, for Java: one test of '<' tells most places apart, where a pattern that ignores case
+# throughout compares a whole word at every place.
+_ANY_CASE = {
+    "script_style": r"(?s)<(?:(?i:script\b[^>]*>.*?</script\s*>)|(?i:style\b[^>]*>.*?</style\s*>))",
+    "script_style_body": r"(?s)<(?:(?i:(script\b[^>]*>).*?(</script\s*>))|(?i:(style\b[^>]*>).*?(</style\s*>)))",
+    "head": r"(?s)<(?i:head\b[^>]*>.*?</head\s*>)",
+    "href": r"""(?s)<(?i:a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))""",
+}
+
 # Fixed: the commonest named references, answered before the full table is searched.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&nbsp;", "\u00a0"), ("&amp;", "&")]
@@ -62,6 +71,12 @@ OPEN_NAME_RE = "^&(" + "|".join(sorted((n for n in html5 if not n.endswith(";"))
 WINDOWS_1252 = [bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)]
 
 
+def replaced(text, find: str, new: str) -> Column:
+    """``find`` replaced by ``new`` wherever it stands in a text: a literal pattern, which Java looks for in leaps, where
+    ``replace`` compares at every byte."""
+    return F.regexp_replace(_col(text), f"\\Q{find}\\E", new.replace("\\", "\\\\").replace("$", "\\$"))
+
+
 def _code_point_char(n: Column) -> Column:
     """Character for a code point; invalid ones (0, surrogates, > U+10FFFF) give U+FFFD, most
     control characters and non-characters vanish."""
@@ -110,17 +125,17 @@ def unescape(s) -> Column:
     def decoded(x):
         # The commonest names by whole-string replacements.  None of them makes an ampersand but that of "&amp;", which stays a
         # stand-in until all else is decoded; and no name holds one of the characters they make, so names end where they did.
-        y = F.replace(x, F.lit("&amp;"), F.lit(STAND_IN))
+        y = replaced(x, "&amp;", STAND_IN)
         for entity, char in ENTITIES[:-1]:
-            y = F.replace(y, F.lit(entity), F.lit(char))
-        plain = F.instr(x, STAND_IN) == 0
+            y = replaced(y, entity, char)
+        plain = ~F.contains(x, F.lit(STAND_IN))
         rest = F.when(plain, y).otherwise(x)
-        done = let(rest, lambda z: F.when(F.instr(z, "&") == 0, z).otherwise(
+        done = let(rest, lambda z: F.when(~F.contains(z, F.lit("&")), z).otherwise(
             F.array_join(F.transform(F.regexp_extract_all(z, F.lit(ENTITY_TOKEN_RE), 0), token), "")))
-        return let(done, lambda z: F.when(plain, F.replace(z, F.lit(STAND_IN), F.lit("&"))).otherwise(z))
+        return let(done, lambda z: F.when(plain, replaced(z, STAND_IN, "&")).otherwise(z))
 
     # Strings without '&' (most hrefs, many lines) are left as they are.
-    return let(_col(s), lambda x: F.when(F.instr(x, "&") == 0, x).otherwise(decoded(x)))
+    return let(_col(s), lambda x: F.when(~F.contains(x, F.lit("&")), x).otherwise(decoded(x)))
 
 
 def strip_ws(s) -> Column:
@@ -138,7 +153,7 @@ def without_scripts(html) -> Column:
 
 
 def scripts_out(uncommented) -> Column:
-    return F.regexp_replace(_col(uncommented), SCRIPT_STYLE_RE, "")
+    return F.regexp_replace(_col(uncommented), _ANY_CASE["script_style"], "")
 
 
 def blank_script_bodies(html) -> Column:
@@ -147,7 +162,7 @@ def blank_script_bodies(html) -> Column:
 
 
 def script_bodies_out(uncommented) -> Column:
-    return F.regexp_replace(_col(uncommented), SCRIPT_STYLE_BODY_RE, "$1$2$3$4")
+    return F.regexp_replace(_col(uncommented), _ANY_CASE["script_style_body"], "<$1$2$3$4")
 
 
 def hrefs(html) -> Column:
@@ -157,7 +172,7 @@ def hrefs(html) -> Column:
 
 def hrefs_in(bare) -> Column:
     """``hrefs`` of a source without comments, scripts and styles."""
-    raw = F.regexp_extract_all(_col(bare), F.lit(HREF_RE), 1)
+    raw = F.regexp_extract_all(_col(bare), F.lit(_ANY_CASE["href"]), 1)
 
     def unquote(v):
         quoted = v.startswith('"') | v.startswith("'")
@@ -275,7 +290,7 @@ def text_lines(html) -> Column:
 
 def lines_in(bare) -> Column:
     """``text_lines`` of a source without comments, scripts and styles."""
-    body = F.regexp_replace(_col(bare), HEAD_RE, "")
+    body = F.regexp_replace(_col(bare), _ANY_CASE["head"], "")
     body = F.regexp_replace(body, BLOCK_TAG_RE, "\n")
     body = unescape(F.regexp_replace(body, ANY_TAG_RE, ""))
     lines = F.transform(F.split(body, r"\r?\n|\r"), lambda s: strip_ws(s))

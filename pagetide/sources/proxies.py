@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions.dates import truncate_to_second
+from pagetide.functions.html import let, replaced
 from pagetide.operators.ordering import dense_index
 
 
@@ -83,12 +84,18 @@ def crawl_series(pages: DataFrame) -> DataFrame:
     (day, ts, log_index, stage_file, stage_index, url_index, status, file_present, url, page_key, html)
     """
     p, d = F.col("page_id"), F.col("d")
-    html = F.col("html")
+    # Edits of every day are made once, before the page is repeated day by day.
+    base = F.col("html")
     for find, new in SERIES_BASE:
-        html = F.replace(html, F.lit(find), F.lit(new))
+        base = replaced(base, find, new)
+    based = pages.select("page_id", "url", base.alias("html"))
+
+    def edit(source, rule, find, new):  # the source stands in the expression once, and no page is searched that stays as it is
+        return let(source, lambda x: F.when(rule, replaced(x, find, new)).otherwise(x))
+
+    html = F.col("html")
     for lo, hi, modulus, rest, find, new in SERIES_EDITS:
-        # Elsewhere the text is replaced by itself: the source stands in the expression once.
-        html = F.replace(html, F.lit(find), F.when(d.between(lo, hi) & (p % modulus == rest), F.lit(new)).otherwise(F.lit(find)))
+        html = edit(html, d.between(lo, hi) & (p % modulus == rest), find, new)
     for at, modulus, rests, source in SERIES_REPLACED:
         html = F.when((d == at) & (p % modulus).isin(*rests), F.lit(source)).otherwise(html)
 
@@ -96,7 +103,7 @@ def crawl_series(pages: DataFrame) -> DataFrame:
         return (d == rule[0]) & (p % rule[1] == rule[2])
 
     day = F.get(F.array(*[F.lit(x) for x in SERIES_DAYS]), d).cast("date")
-    return pages.select("page_id", "url", "html", F.explode(F.sequence(F.lit(0), F.lit(len(SERIES_DAYS) - 1))).alias("d")).select(
+    return based.select("page_id", "url", "html", F.explode(F.sequence(F.lit(0), F.lit(len(SERIES_DAYS) - 1))).alias("d")).select(
         day.alias("day"), F.date_format(day + F.make_dt_interval(hours=F.lit(10), mins=(p % 60).cast("int")), "yyyyMMddHHmmss").alias("ts"),
         F.floor(p / SERIES_THREAD).cast("int").alias("log_index"), F.lit("links_s00").alias("stage_file"), F.lit(0).alias("stage_index"),
         p.cast("int").alias("url_index"), F.when(on(SERIES_FAILED), "RequestStatus.HEADLESS_FAILED").otherwise("RequestStatus.HEADLESS_SUCCESS").alias("status"),
