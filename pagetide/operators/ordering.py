@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetide.session import ensure_checkpoint_dir
+from pagetide.session import ensure_checkpoint_dir, stored
 
 
 def _ranged(df: DataFrame, n: int | None, keys: list) -> DataFrame:
@@ -151,7 +151,9 @@ def with_previous(df: DataFrame, group_cols: list[str], order_cols: list[str], c
     """
     keys = [*group_cols, *order_cols]
     used = list(dict.fromkeys([*keep, *keys, *carry]))
-    ranged = _ranged(df.select(*used), num_partitions, keys).withColumn("__pid", F.spark_partition_id())
+    # A range exchange reads its input twice, the first time for a sample of the keys: signatures are not worked out for that.
+    rows = stored(df.select(*used), "rows")
+    ranged = _ranged(rows, num_partitions, keys).withColumn("__pid", F.spark_partition_id())
     fields = {f.name: f.dataType.simpleString() for f in ranged.schema.fields}
     schema = [*fields.items(), *((prefix + c, fields[c]) for c in carry), *((f, "boolean") for f in ("__has", "__first", "__last"))]
     shifted = ranged.mapInArrow(_shifted(group_cols, carry, prefix), ", ".join(f"`{c}` {t}" for c, t in schema))
