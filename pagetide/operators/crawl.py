@@ -16,6 +16,7 @@ from pagetide.functions import dates as D
 from pagetide.functions import html as H
 from pagetide.functions.udfs import matched_elements
 from pagetide.operators.ordering import with_previous
+from pagetide.session import stored
 
 # Fixed values of the crawler's log format.
 SUCCESS_STATUS = "RequestStatus.HEADLESS_SUCCESS"
@@ -263,9 +264,10 @@ def clean_crawl(logs: DataFrame, blobs: DataFrame, cross_thread: bool = False,
     """Whole clean-up: valid, present, non-duplicate pages of every crawl day.
 
     The order of the crawl is settled on signatures; page texts move in the join of logs and pages and in the
-    semi-join back to the valid keys, which both go by (day, page key).  ``use_ratio=False`` leaves the overlap ratio out.
+    semi-join back to the valid keys, which both go by (day, page key).  In between the pages and their text are kept in
+    the shared folder, so that each is joined and read once.  ``use_ratio=False`` leaves the overlap ratio out.
     """
-    pages = join_logs_pages(logs, blobs).withColumn("text_lines", H.text_lines("html"))
+    pages = stored(join_logs_pages(logs, blobs).withColumn("text_lines", H.text_lines("html")), "pages")
     threads = ["day"] if cross_thread else ["day", "log_index"]
     order = ["log_index", "stage_index", "url_index"] if cross_thread else ["stage_index", "url_index"]
     flagged = against_previous(page_signatures(pages), threads, order, {"valid": not_false_duplicate(max_overlap, use_ratio)}, ["day", "page_key"])
