@@ -173,10 +173,11 @@ def crawl_change_bits(clean_pages: DataFrame, features=("text", "internal_outlin
     """Change bits of cleaned crawl pages between consecutive crawl days.
 
     ``clean_pages`` is the output of ``crawl.clean_crawl`` (day, page_key, url,
-    html, ...).  Feature lists are extracted per page-day (map-only), digested,
+    html, ...).  Feature lists are extracted per page-day (map-only; ``text_lines`` are taken as they are), digested,
     and paired by page key across the crawl calendar.
     """
     from pagetide.operators.pages import page_feature_lists
-    lists = page_feature_lists(clean_pages, keys=("day", "page_key"), url=url, html=html)
+    text = "text_lines" if "text_lines" in clean_pages.columns else None
+    lists = page_feature_lists(clean_pages, keys=("day", "page_key"), url=url, html=html, text=text)
     bits = change_bits(lists, list(features), key="page_key", day="day", days=days)
     return bits.withColumnRenamed("page_key", "page_id")

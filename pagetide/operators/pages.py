@@ -184,14 +184,15 @@ def static_features(pages: DataFrame, keys=("page_id",), url: str = "url", html:
 
 
 def page_feature_lists(pages: DataFrame, keys=("page_id",), url: str = "url", html: str = "html",
-                       strip_base: bool = True) -> DataFrame:
+                       strip_base: bool = True, text: str | None = None) -> DataFrame:
     """The nine list features of each valid page (the per-day extraction job):
     text lines, three link lists, images, scripts, tables, metas, tag names.
-    One scan, three chained projections, no shuffle."""
+    One scan, three chained projections, no shuffle.  ``text`` names a column that holds the ``text_lines`` of the page already."""
     ks = _keys(pages, keys)
-    keep = {**{k: F.col(k) for k in ks}, "_url": F.col(url)}
+    keep = {**{k: F.col(k) for k in ks}, "_url": F.col(url), **({"_text": F.col(text)} if text else {})}
+    lines = F.col("_text") if text else H.lines_in("_bare")
     step1 = cleaned(pages, keep, html, only_valid=True).select(
-        *keep, "_nc", "_clean", H.hrefs_in("_bare").alias("_hrefs"), H.lines_in("_bare").alias("text"))
+        *ks, "_url", "_nc", "_clean", H.hrefs_in("_bare").alias("_hrefs"), lines.alias("text"))
     step2 = step1.select(*ks, "text", "_nc", H.resolve_links("_url", "_hrefs", strip_base).alias("_r"), "_clean")
     step3 = step2.select(
         *ks, "text", F.col("_r.email").alias("email_links"),

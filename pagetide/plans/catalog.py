@@ -365,7 +365,7 @@ def q_page_change_bits(spark, root):
 @query("page_training_pairs")
 def q_page_training_pairs(spark, root):
     """Nine list sizes of the first day and three change bits, from cleaned pages."""
-    lists = P.page_feature_lists(_clean_series(spark, root), keys=("day", "page_key"))
+    lists = P.page_feature_lists(_clean_series(spark, root), keys=("day", "page_key"), text="text_lines")
     return D.training_pairs(lists, P.FEATURES, CHANGE_TARGETS, key="page_key")
 
 
