@@ -103,17 +103,29 @@ def _salts(langs: pa.Array) -> np.ndarray:
     return np.array(own, dtype=np.uint64)[coded.indices.to_numpy()] if len(langs) else np.zeros(0, np.uint64)
 
 
+def _counters(shape: int | tuple[int, int], least: int) -> np.ndarray:
+    """Zeros that can count to ``least``: one byte each where that is enough, as each task holds all buckets of all orders."""
+    return np.zeros(shape, dtype="u1" if least <= 255 else "<u4")
+
+
+def _add_up_to(counts: np.ndarray, place: np.ndarray, more: np.ndarray, least: int) -> None:
+    """Adds ``more`` at the different places ``place``; sums stop at ``least``, whatever the order of adding."""
+    counts[place] = np.minimum(counts[place] + more.astype(np.int64), least)
+
+
 def _sketch(longest: int, least: int):
     """Per task, the bucket counts of all prefixes, cut off at ``least``, as blocks with (place, count) pairs."""
     def run(batches):
-        counts = np.zeros((longest, BUCKETS), dtype=np.uint32)
+        counts = _counters((longest, BUCKETS), least)
         shift = np.uint64(64 - BUCKETS.bit_length() + 1)
         for batch in batches:
             salts = _salts(batch.column("lang"))
             for numbers, parts in slices(text_bytes(batch.column("text"))):
                 words = Words(parts, longest)
                 for k, (_, value) in enumerate(words.prefixes(salts[numbers][words.text], longest)):
-                    np.add.at(counts[k], (value >> shift).astype(np.int64), 1)
+                    place = np.sort((value >> shift).astype(np.uint32))
+                    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][:len(place)])
+                    _add_up_to(counts[k], place[first], np.diff(np.r_[first, len(place)]), least)
         for k in range(longest):
             found, places, numbers = [], [], []
             for b in range(0, BUCKETS, BLOCK):
@@ -121,7 +133,7 @@ def _sketch(longest: int, least: int):
                 if len(some):
                     found.append((k * BUCKETS + b) // BLOCK)
                     places.append(some.astype("<u2").tobytes())
-                    numbers.append(np.minimum(counts[k, b + some], least).astype("<u4" if least > 255 else "u1").tobytes())
+                    numbers.append(counts[k, b + some].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(places, pa.binary()), pa.array(numbers, pa.binary())],
                                              names=["block", "places", "counts"])
     return run
@@ -133,9 +145,9 @@ def _full_blocks(least: int):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                total = sums.setdefault(block, np.zeros(BLOCK, dtype=np.uint32))
-                place = np.frombuffer(places, dtype="<u2")
-                total[place] = np.minimum(total[place] + np.frombuffer(counts, dtype="<u4" if least > 255 else "u1"), least)
+                if block not in sums:
+                    sums[block] = _counters(BLOCK, least)
+                _add_up_to(sums[block], np.frombuffer(places, dtype="<u2"), np.frombuffer(counts, dtype=sums[block].dtype), least)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(v >= least).tobytes() for v in sums.values()], pa.binary())],
                                          names=["block", "bits"])
     return run
@@ -198,7 +210,7 @@ def phrase_counts(docs: DataFrame, text: str, lang: str, longest: int = LONGEST,
     w = [f"w{j + 1}" for j in range(longest)]
     bits = spark.sparkContext.broadcast(frequent_bits(spark, texts, longest, least))
     windows = texts.mapInArrow(_windows(longest, bits), f"lang string, {', '.join(f'{c} string' for c in w)}, n long")
-    tops = stored(windows.groupBy("lang", *w).agg(F.sum("n").alias("n")), "windows")
+    tops = windows.groupBy("lang", *w).agg(F.sum("n").alias("n"))
     # The rolled-up columns are null; a prefix that ends in padding is no phrase.
     rolled = tops.rollup("lang", *w).agg(F.sum("n").alias("f")).where(F.col("lang").isNotNull())
     kept = F.array_compact(F.array(*w))
@@ -223,8 +235,8 @@ def collocations(docs: DataFrame, text: str, lang: str, top: int = 2000, longest
     size = F.col("words")
     inner = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda k: F.transform(
         F.sequence(F.lit(1), size - k + 1), lambda i: F.array_join(F.slice("parts", i, k), " "))))
-    around = stored(phrases.where("words > 2").select("lang", F.explode(inner).alias("phrase"), "a")
-                           .groupBy("lang", "phrase").agg(F.max("a").alias("longer")), "inside")
+    around = (phrases.where("words > 2").select("lang", F.explode(inner).alias("phrase"), "a")
+                     .groupBy("lang", "phrase").agg(F.max("a").alias("longer")))
     free = phrases.join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     cut = F.explode(F.sequence(F.lit(1), size - 1)).alias("k")
     cuts = stored(free.select("lang", "phrase", "a", "words", "parts", cut).select(

@@ -82,6 +82,36 @@ def test_collocations_when_every_bucket_is_shared(spark, monkeypatch):
     assert pairs == dict(want)
 
 
+@pytest.mark.parametrize("least", [3, 255, 300])
+def test_bucket_counts_stop_at_the_least_frequency(spark, monkeypatch, least):
+    monkeypatch.setattr(phrases, "BUCKETS", 1 << 16)
+    monkeypatch.setattr(phrases, "BLOCK", 1 << 10)
+    texts = [("a b " * 64, "en"), ("a b " * 63, "en"), ("a b " * 127 + "a", "fr"), ("c " * 299, "en"), ("c", "en"), ("d " * 254, "en"), ("", "en"), (None, "en")]
+    df = spark.createDataFrame([(lang, t) for t, lang in texts], "lang string, text string").select("lang", F.col("text").cast("binary").alias("text"))
+    batches = df.repartition(4).mapInArrow(phrases._sketch(1, least), "block int, places binary, counts binary")
+    held = Counter()
+    for r in batches.collect():
+        counts = np.frombuffer(r["counts"], "<u4" if least > 255 else "u1")
+        assert counts.max() <= least
+        held.update({(r["block"], p): int(c) for p, c in zip(np.frombuffer(r["places"], "<u2").tolist(), counts)})
+    assert sorted(min(c, least) for c in held.values()) == sorted(min(c, least) for c in (127, 127, 300, 254, 128, 127))
+    bits = phrases.frequent_bits(spark, df, 1, least)
+    assert int(np.unpackbits(bits).sum()) == sum(c >= least for c in (127, 127, 300, 254, 128, 127))
+
+
+def test_bucket_counts_fit_in_a_quarter_of_the_memory():
+    """A byte for each bucket of each order (20 MB, 80 MB before), besides what one slice of text takes."""
+    import tracemalloc
+
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [b"a b c d e f. " * 100]})
+    tracemalloc.start()
+    list(phrases._sketch(5, 100)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+
+
 def test_collocations_products_pass_64_bits(spark):
     a, n, left, right = 2 * 10**14 + 7, 3 * 10**15 + 1, 2 * 10**14 + 9, 25 * 10**13 + 3
     row = spark.createDataFrame([(a, n, left, right)], "a long, n long, l long, r long")
